@@ -133,8 +133,8 @@ def merge_leftovers(left: DataFrame, level: int, tasks: int, final: bool, length
             rest = _powers(rest, first)
         yield _batch(held + rest)
 
-    spread = left.repartition(tasks, F.xxhash64("sequence_id")) if tasks > 1 else left.coalesce(1)
-    return spread.sortWithinPartitions(F.desc("length"), "doc_id", "start").mapInArrow(run, SCHEMA)
+    # neighbouring input partitions are read by one task: each level then has fewer open windows
+    return left.coalesce(tasks).sortWithinPartitions(F.desc("length"), "doc_id", "start").mapInArrow(run, SCHEMA)
 
 
 def _powers(rows: list[tuple], first_id: int) -> list[tuple]:
