@@ -19,15 +19,16 @@ def raw_words(text: Column) -> Column:
 def tokenize(text: Column, dedup: bool = True) -> Column:
     """Words without their particle, and the stems of verbs; each once, in order of appearance."""
     particle, verb = f"({'|'.join(PARTICLES)})$", f"({'|'.join(VERB_ENDINGS)})$"
+    # only words that end in Hangul have particles or endings; a comparison is cheaper than a pattern
+    korean = lambda w: F.right(w, F.lit(1)).between("가", "힣")
 
     def bare(w):
         cut = F.regexp_replace(w, particle, "")
-        return F.when(F.length(cut) > 1, cut).otherwise(w)
+        return F.when(korean(w) & (F.length(cut) > 1), cut).otherwise(w)
 
     def with_stem(w):
-        ending = F.regexp_extract(w, verb, 1)
-        stem = F.left(w, F.length(w) - F.length(ending))
-        return F.when(w.rlike(f"^..+?{verb}") & (F.length(stem) >= 2), F.array(w, stem)).otherwise(F.array(w))
+        stem = F.left(w, F.length(w) - F.length(F.regexp_extract(w, verb, 1)))
+        return F.when(korean(w) & w.rlike(f"^..+?{verb}") & (F.length(stem) >= 2), F.array(w, stem)).otherwise(F.array(w))
 
     out = F.flatten(F.transform(F.transform(raw_words(text), bare), with_stem))
     return F.array_distinct(out) if dedup else out

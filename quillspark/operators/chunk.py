@@ -86,6 +86,20 @@ def split_article_old(text: Column, size: int = MAX_CHARS) -> Column:
     return F.when(F.length(text) <= size, F.array(text)).when(text.rlike("[①-⑳]"), packed).otherwise(split_sentences(text, size, min(LEAST_CUT, size // 7), 0, 2))
 
 
+def _emitted(parts: Column, text: Column) -> Column:
+    """The parts that become chunks, numbered; the whole article first where it has typed parts."""
+
+    def numbered(ps):
+        nested = F.exists(ps, lambda p: p["chunk_type"] != "article")
+        all_parts = F.transform(ps, lambda p, i: F.struct(p["text"].alias("text"), p["paragraph"].alias("paragraph"), p["item"].alias("item"), p["chunk_type"].alias("chunk_type"), p["part_index"].alias("part_index"), (i + 1).alias("emit"), F.size(ps).alias("parts")))
+        none = F.lit(None)
+        parent = F.struct(text.alias("text"), none.cast("string").alias("paragraph"), none.cast("string").alias("item"), F.lit("article").alias("chunk_type"), none.cast("int").alias("part_index"), F.lit(0).alias("emit"), F.lit(1).alias("parts"))
+        return F.when(nested, F.concat(F.array(parent), F.filter(all_parts, lambda p: p["chunk_type"] != "article"))).otherwise(all_parts)
+
+    # a one-element array names the parts, so that the split runs once
+    return F.element_at(F.transform(F.array(parts), numbered), 1)
+
+
 def articles_to_chunks(arts: DataFrame, size: int = MAX_CHARS, fold_circled: bool = False, shared_part_ids: bool = False) -> DataFrame:
     """Chunks of articles with ``text``: id, text and the flat metadata columns.
 
@@ -94,20 +108,17 @@ def articles_to_chunks(arts: DataFrame, size: int = MAX_CHARS, fold_circled: boo
     document the first stays. ``shared_part_ids`` leaves the part number out of an article's id.
     """
     meta = T.law_metadata(F.col("document"))
-    rows = arts.where(F.length("text") >= MIN_CHARS).withColumn("parts", split_article(F.col("text"), fold_circled, size)).withColumns(meta)
+    rows = arts.where(F.length("text") >= MIN_CHARS).select("*", F.explode(_emitted(split_article(F.col("text"), fold_circled, size), F.col("text"))).alias("p"))
+    rows = rows.withColumns(meta)
     law, section, article = F.col("law_name"), F.col("section"), F.col("article")
-    rows = rows.withColumn("nested", F.exists("parts", lambda p: p["chunk_type"] != "article")).withColumn("parent", T.chunk_id(law, section, article))
-    parts = rows.select("*", F.posexplode("parts").alias("k", "p")).where(~(F.col("nested") & (F.col("p.chunk_type") == "article")))
-    index = F.col("p.part_index")
-    own_index = F.when(F.col("p.chunk_type") == "article", F.lit(None)).otherwise(index) if shared_part_ids else index
-    common = ["document", "pos", "law_name", "law_type", "law_number", "effective_date", "section", F.col("chapter.number").alias("chapter"), F.col("chapter.title").alias("chapter_title"), F.col("subsection.number").alias("subsection"), F.col("subsection.title").alias("subsection_title"), "article", F.col("title").alias("article_title"), "page_start", "page_end"]
-    kids = parts.select(
-        *common, T.chunk_id(law, section, article, F.col("p.paragraph"), F.col("p.item"), part_index=own_index.cast("int")).alias("id"), F.col("p.text").alias("text"), F.col("p.paragraph").alias("paragraph"), F.col("p.item").alias("item"),
-        F.col("p.chunk_type").alias("chunk_type"), F.when(F.col("p.chunk_type") != "article", F.col("parent")).alias("parent_id"), F.when(F.col("p.chunk_type") == "article", F.col("k") + 1).otherwise(F.coalesce(index, F.col("k") + 1)).alias("chunk_index"), F.size("parts").alias("chunk_count"), (F.col("k") + 1).alias("emit"),
-    )
-    none = F.lit(None).cast("string")
-    parents = rows.where("nested").select(*common, F.col("parent").alias("id"), "text", none.alias("paragraph"), none.alias("item"), F.lit("article").alias("chunk_type"), none.alias("parent_id"), F.lit(1).alias("chunk_index"), F.lit(1).alias("chunk_count"), F.lit(0).alias("emit"))
-    both = parents.unionByName(kids).where(F.length("text") >= MIN_CHARS)
+    plain, index = F.col("p.chunk_type") == "article", F.col("p.part_index")
+    own_index = F.when(plain, F.lit(None)).otherwise(index) if shared_part_ids else index
+    both = rows.select(
+        "document", "pos", "law_name", "law_type", "law_number", "effective_date", "section", F.col("chapter.number").alias("chapter"), F.col("chapter.title").alias("chapter_title"),
+        F.col("subsection.number").alias("subsection"), F.col("subsection.title").alias("subsection_title"), "article", F.col("title").alias("article_title"), "page_start", "page_end",
+        T.chunk_id(law, section, article, F.col("p.paragraph"), F.col("p.item"), part_index=own_index.cast("int")).alias("id"), "p.text", "p.paragraph", "p.item", "p.chunk_type", F.when(~plain, T.chunk_id(law, section, article)).alias("parent_id"),
+        F.when(F.col("p.emit") == 0, 1).when(plain, F.col("p.emit")).otherwise(F.coalesce(index, F.col("p.emit"))).alias("chunk_index"), F.when(F.col("p.emit") == 0, 1).otherwise(F.col("p.parts")).alias("chunk_count"), F.col("p.emit").alias("emit"),
+    ).where(F.length("text") >= MIN_CHARS)
     first = Window.partitionBy("document", T.fingerprint(F.col("text"))).orderBy("pos", "emit")
     return both.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
 
