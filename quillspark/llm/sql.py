@@ -1,3 +1,82 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
 
-SQL: dict[str, str] = {}
+The others (token files, packing, 64-bit SimHash, learnt scores, patterns with look-behind)
+are held against brute force in the tests.
+"""
+
+from .decontam import LITERALS, NAME, NUMBER, SHARE, UNIT, UNITS, WINDOW, WORDS
+from .licences import AGREE, BASE, STOP, TEMPLATES, TOP_WORDS
+
+_PROBE = "<|im_end|><|im_start|>assistant ok"
+
+OP1 = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', '{_PROBE}'), (-1, 1, 'assistant', '{_PROBE}'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(24 + length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+OP5 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, payload_digest, CASE WHEN strlen(html) >= 100 AND first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN strlen(html) >= 100 AND first_id < page_id THEN first_id END AS refers_to FROM f"""
+
+OP6 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT r.a AS vec_id, coalesce(any_value(d.n), 0) AS n_links, min(r.b) AS component_id, r.a = min(r.b) AS kept FROM reach r LEFT JOIN degree d ON d.a = r.a GROUP BY r.a"""
+
+_CANON = f"CASE WHEN lower(left(w, 1)) <> left(w, 1) THEN '{NAME}' WHEN left(w, 1) BETWEEN '0' AND '9' THEN '{NUMBER}' WHEN w IN ({', '.join(repr(u) for u in UNITS)}) THEN '{UNIT}' ELSE w END"
+_SLOTS = f"('{NAME}', '{NUMBER}', '{UNIT}')"
+OP9 = rf"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS r FROM documents WHERE doc_id IS NOT NULL),
+dt AS (SELECT doc_id, r, list_transform(r, lambda w: {_CANON}) AS t FROM d),
+i AS (SELECT item_id, list_filter(string_split_regex(coalesce(text, ''), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS r FROM benchmark WHERE item_id IS NOT NULL),
+it AS (SELECT item_id, r, list_transform(r, lambda w: {_CANON}) AS t, len(r) AS n, least(len(r), {WINDOW}) AS size FROM i WHERE len(r) > 0),
+bw0 AS (SELECT item_id, n, size, t, unnest(range(0, n - size + 1)) AS p FROM it),
+bw AS (SELECT item_id, n, size, p, array_to_string(t[p + 1:p + size], ' ') AS k FROM bw0 WHERE len(list_filter(t[p + 1:p + size], lambda w: w NOT IN {_SLOTS})) >= least({LITERALS}, size) OR n <= size),
+dw0 AS (SELECT doc_id, size, t, unnest(range(0, len(t) - size + 1)) AS p FROM dt, (SELECT DISTINCT size FROM bw) WHERE len(t) >= size),
+dw AS (SELECT doc_id, size, p, array_to_string(t[p + 1:p + size], ' ') AS k FROM dw0),
+runs AS (SELECT doc_id, item_id, n, size, dw.p - bw.p AS shift, count(DISTINCT bw.p) AS m, min(bw.p) AS lo, max(bw.p) AS hi FROM dw JOIN bw USING (k, size) GROUP BY ALL),
+good AS (SELECT *, least(m + size - 1, n) AS matched FROM runs WHERE least(m + size - 1, n) >= least(n, greatest({WORDS}, ceil(n * {SHARE})))),
+each_word AS (SELECT g.doc_id, g.item_id, g.n, g.matched, g.shift, it.r AS ir, it.t AS t, dt.r AS dr, unnest(range(lo, hi + g.size)) AS k FROM good g JOIN dt USING (doc_id) JOIN it USING (item_id)),
+slots AS (SELECT doc_id, item_id, n, matched, shift, ir[k + 1] AS a, dr[k + shift + 1] AS b, t[k + 1] IN {_SLOTS} AS slot FROM each_word),
+met AS (SELECT doc_id, item_id, n AS item_words, matched, shift, count(*) FILTER (slot) AS n_slots, count(*) FILTER (slot AND a <> b) AS n_changed, count(DISTINCT a) FILTER (slot) = count(DISTINCT a || chr(0) || b) FILTER (slot) AS consistent FROM slots GROUP BY ALL)
+SELECT doc_id, item_id, matched::BIGINT AS matched_words, item_words::BIGINT AS item_words, n_slots, n_changed, consistent FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, n_changed, shift) AS nth FROM met WHERE consistent OR n_changed * 10 <= n_slots) WHERE nth = 1"""
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows)
+
+
+_NOTICES = [(t, label, p, w) for t, (label, notice, _) in enumerate(TEMPLATES) for p, w in enumerate(notice.split()) if w not in STOP]
+_KEYS = []
+for _t, (_label, _notice, _key) in enumerate(TEMPLATES):
+    _first = len(_notice[: f" {_notice} ".index(f" {_key} ")].split())
+    _KEYS += [(_t, _first + k, w) for k, w in enumerate(_key.split()) if w not in STOP]
+_PHRASES = [(label, p.split()) for p, label in BASE.items()]
+OP10 = rf"""
+WITH notice(template, label, place, word) AS (VALUES {_values(_NOTICES)}), key(template, place, word) AS (VALUES {_values(_KEYS)}),
+d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+base AS ({" UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, k FROM (SELECT doc_id, ws, unnest(range(0, len(ws))) AS k FROM d WHERE list_contains(ws, '{p[0]}')) WHERE ws[k + 1:k + {len(p)}] = {p}" for label, p in _PHRASES)}),
+bases AS (SELECT doc_id, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word, array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM base GROUP BY doc_id),
+hit AS (SELECT doc_id, pos, ws[pos + 1] AS word FROM (SELECT doc_id, ws, unnest(range(0, len(ws))) AS pos FROM d) WHERE ws[pos + 1] IN (SELECT word FROM notice)),
+df AS (SELECT word, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(DISTINCT doc_id))) AS idf FROM hit GROUP BY word),
+top AS (SELECT doc_id, word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, word) AS r FROM (SELECT DISTINCT doc_id, word FROM hit) JOIN df USING (word)) WHERE r <= {TOP_WORDS}),
+near AS (SELECT doc_id, template, label, pos - place AS shift, count(DISTINCT place) AS n FROM hit JOIN top USING (doc_id, word) JOIN notice USING (word) GROUP BY ALL HAVING count(DISTINCT place) >= {AGREE}),
+sure AS (SELECT n.doc_id, n.label, n.n / (SELECT count(*) FROM notice x WHERE x.template = n.template) AS share FROM near n WHERE NOT EXISTS (SELECT 1 FROM key k WHERE k.template = n.template AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.doc_id = n.doc_id AND h.pos = k.place + n.shift AND h.word = k.word))),
+method AS (SELECT doc_id, list(DISTINCT label) AS labels, max(least(1, share)) AS score FROM sure GROUP BY doc_id),
+own AS (SELECT doc_id, list(DISTINCT label) AS labels FROM base GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(o.labels, []::VARCHAR[]), coalesce(m.labels, []::VARCHAR[])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(m.score, 0) END::DOUBLE AS score
+FROM d LEFT JOIN bases USING (doc_id) LEFT JOIN method m USING (doc_id) LEFT JOIN own o USING (doc_id)"""
+
+SQL: dict[str, str] = {
+    "op1_chat_prefix_targets": OP1,
+    "op5_warc_seekable_zstd": OP5,
+    "op6_collision_projections": OP6,
+    "op9_template_decontamination": OP9,
+    "op10_licence_positions": OP10,
+}
