@@ -165,7 +165,7 @@ def supplement_lines_old(spark, sf_dir):
     return page_lines(spark, sf_dir).where(H.supplementary_old(line) | H.supplementary_note(line)).select("document", "page", "line_no", H.supplementary_note(line).alias("is_note"))
 
 
-@query("P07_P09_articles", with_sql(ARTICLES, "SELECT document, pos, section, chapter, chapter_title, subsection, article, title, array_to_string(lines, chr(10)) AS body, array_to_string(pages, ',') AS pages FROM arts"))
+@query("P07_P09_W05_articles", with_sql(ARTICLES, "SELECT document, pos, section, chapter, chapter_title, subsection, article, title, array_to_string(lines, chr(10)) AS body, array_to_string(pages, ',') AS pages FROM arts"))
 def articles(spark, sf_dir):
     return statute_articles(spark, sf_dir).select("document", F.col("pos").cast("long").alias("pos"), "section", F.col("chapter.number").alias("chapter"), F.col("chapter.title").alias("chapter_title"), F.col("subsection.number").alias("subsection"), "article", "title", F.array_join("lines", "\n").alias("body"), F.array_join("pages", ",").alias("pages"))
 
@@ -230,7 +230,12 @@ def chunks(spark, sf_dir):
     return statute_chunks(spark, sf_dir).select("document", F.col("pos").cast("long").alias("pos"), "id", "text", "section", "chapter", "chapter_title", "subsection", "article", "article_title", "page_start", "page_end", "chunk_index", "chunk_count", "law_name")
 
 
-@query("G06_T13_chunks_old")
+OLD_CHUNKS = MERGED + ",\nlongs AS (SELECT document || '|' || section || '|' || article AS kk, * FROM texts WHERE length(text) >= 20),\n" + greedy_sql(f"(SELECT * FROM longs WHERE length(text) > {SIZE})", "kk", SIZE, SIZE // 7, 0, 2) + rf""",
+olds AS (SELECT document, pos, section, article, page_start, page_end, piece AS text, part FROM longs JOIN pieces USING (kk) UNION ALL SELECT document, pos, section, article, page_start, page_end, text, 1 FROM longs WHERE length(text) <= {SIZE}),
+once_old AS (SELECT *, row_number() OVER (PARTITION BY document, sha1(regexp_replace(text, '[\s\p{{Z}}]+', '', 'g')) ORDER BY pos, part) AS nth FROM olds WHERE length(text) >= 20)"""
+
+
+@query("G06_T13_chunks_old", with_sql(OLD_CHUNKS, r"SELECT document, regexp_replace(regexp_replace(regexp_replace(document || '_' || section || '_' || article || CASE WHEN part > 1 THEN '_part' || part ELSE '' END, '[^\p{L}\p{N}_\-]+', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS id, section, article, page_start, page_end, text FROM once_old WHERE nth = 1"))
 def chunks_old(spark, sf_dir):
     return C.articles_to_chunks_old(merged(spark, sf_dir), SIZE).select("document", "id", "section", "article", "page_start", "page_end", "text")
 

@@ -79,7 +79,10 @@ def name_metadata(spark, sf_dir):
     return rows.select("doc_id", *(c.alias(k) for k, c in T.law_metadata(F.col("name")).items()))
 
 
-@query("T14_point_id")
+_UUID5 = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::INT & 3) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+
+
+@query("T14_point_id", f"SELECT doc_id, {_UUID5} AS id FROM (SELECT doc_id, sha1(unhex('{T.URL_NAMESPACE}') || encode('doc_' || doc_id)) AS h FROM documents)")
 def point_id(spark, sf_dir):
     return docs(spark, sf_dir, T.uuid5(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))).alias("id"))
 
