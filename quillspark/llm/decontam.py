@@ -2,7 +2,8 @@
 
 Words become a template: capitalised words, numbers and units turn into typed placeholders,
 others stay. Windows of template words are hashed and joined with those of the benchmark, so a
-question whose names and numbers were exchanged still matches. Matches on one diagonal are
+question whose names and numbers were exchanged still matches. A second template in lower case,
+without names, finds passages whose case was changed. Matches on one diagonal are
 added up; then the slots are compared: each benchmark value must stand for one document
 value throughout, or nearly all slots must be unchanged.
 """
@@ -31,10 +32,17 @@ def words(text: Column) -> Column:
 
 
 def canonical(word: Column) -> Column:
+    """The template's word: a placeholder for names, numbers and units."""
     head = F.left(word, F.lit(1))
     return F.when(F.lower(head) != head, NAME).when(head.between("0", "9"), NUMBER).when(word.isin(*UNITS), UNIT).otherwise(word)
 
 
+def canonical_lower(word: Column) -> Column:
+    """The same in lower case, without names."""
+    low = F.lower(word)
+    return F.when(F.left(word, F.lit(1)).between("0", "9"), NUMBER).when(low.isin(*UNITS), UNIT).otherwise(low)
+
+
 def is_slot(word: Column) -> Column:
     return word.isin(NAME, NUMBER, UNIT)
 
@@ -46,20 +54,23 @@ def _windows(template: str, size: str) -> Column:
 
 
 def _templates(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return rows.select(F.col(id_col).cast("long").alias(id_col), words(text_or_empty(text_col)).alias("raw")).withColumn("template", F.transform("raw", canonical))
+    """Two rows a text: kind 0 is the template with names, kind 1 that in lower case."""
+    raw = rows.select(F.col(id_col).cast("long").alias(id_col), words(text_or_empty(text_col)).alias("raw"))
+    both = F.array(F.transform("raw", canonical), F.transform("raw", canonical_lower))
+    return raw.select(id_col, F.size("raw").alias("n_words"), F.posexplode(both).alias("kind", "template"))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(h, item_id, item_pos, size, n_item): every window of every item.
+    """(kind, h, item_id, item_pos, size, n_item): every window of every item's templates.
 
     An item shorter than a window is one window of all its words. Windows of mostly
     placeholders are left out, but for an item's only one.
     """
-    items = _templates(benchmark, "item_id", "text").where("item_id is not null and size(raw) > 0")
-    items = items.withColumn("n_item", F.size("raw")).withColumn("size", F.least("n_item", F.lit(window)))
-    rows = items.select("item_id", "n_item", "size", "template", F.posexplode(_windows("template", "size")).alias("item_pos", "h"))
+    items = _templates(benchmark, "item_id", "text").where("item_id is not null and n_words > 0")
+    items = items.withColumnRenamed("n_words", "n_item").withColumn("size", F.least("n_item", F.lit(window)))
+    rows = items.select("item_id", "n_item", "size", "kind", "template", F.posexplode(_windows("template", "size")).alias("item_pos", "h"))
     literal = F.size(F.filter(F.slice("template", F.col("item_pos") + 1, F.col("size")), lambda w: ~is_slot(w)))
-    return rows.where((literal >= F.least(F.lit(LITERALS), F.col("size"))) | (F.col("n_item") <= F.col("size"))).select("h", "item_id", "item_pos", "size", "n_item")
+    return rows.where((literal >= F.least(F.lit(LITERALS), F.col("size"))) | (F.col("n_item") <= F.col("size"))).select("kind", "h", "item_id", "item_pos", "size", "n_item")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -72,17 +83,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """
     bench = staged(benchmark_windows(benchmark, window), "bench-windows")
     n = bench.count()
-    sizes = [r[0] for r in bench.select("size").distinct().collect()]  # window sizes: at most ``window`` values
-    texts = _templates(docs, "doc_id", "text").where("doc_id is not null").select("doc_id", "template")
+    sizes = [r[0] for r in bench.select("size").distinct().collect()]  # at most ``window`` values
+    texts = _templates(docs, "doc_id", "text").where("doc_id is not null").select("doc_id", "kind", "template")
     side = F.broadcast(bench) if n <= BROADCAST_WINDOWS else bench
     hits = None
     for size in sorted(sizes):
-        found = texts.withColumn("size", F.lit(size)).select("doc_id", F.posexplode(_windows("template", "size")).alias("doc_pos", "h"))
-        found = found.join(side.where(F.col("size") == size), "h").select("doc_id", "item_id", "size", "n_item", "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("shift"))
+        found = texts.withColumn("size", F.lit(size)).select("doc_id", "kind", F.posexplode(_windows("template", "size")).alias("doc_pos", "h"))
+        found = found.join(side.where(F.col("size") == size), ["kind", "h"]).select("kind", "doc_id", "item_id", "size", "n_item", "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("shift"))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        hits = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, size int, n_item int, item_pos int, shift int")
-    runs = hits.groupBy("doc_id", "item_id", "n_item", "size", "shift").agg(F.count_distinct("item_pos").alias("n"), F.min("item_pos").alias("lo"), F.max("item_pos").alias("hi"))
+        hits = docs.sparkSession.createDataFrame([], "kind int, doc_id long, item_id long, size int, n_item int, item_pos int, shift int")
+    runs = hits.groupBy("kind", "doc_id", "item_id", "n_item", "size", "shift").agg(F.count_distinct("item_pos").alias("n"), F.min("item_pos").alias("lo"), F.max("item_pos").alias("hi"))
     runs = runs.withColumn("matched", F.least(F.col("n") + F.col("size") - 1, "n_item"))
     runs = staged(runs.where(F.col("matched") >= F.least("n_item", F.greatest(F.lit(WORDS), F.ceil(F.col("n_item") * SHARE)))), "bench-runs")
     return _checked(runs, docs, benchmark)
@@ -96,13 +107,14 @@ def _checked(runs: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFram
     met = runs.join(doc_words, "doc_id").join(items, "item_id")
     span = F.col("hi") - F.col("lo") + F.col("size")
     met = met.withColumn("iw", F.slice("iw", F.col("lo") + 1, span)).withColumn("dw", F.slice("dw", F.col("lo") + F.col("shift") + 1, span))
-    slots = F.filter(F.zip_with("iw", "dw", lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda s: is_slot(canonical(s["i"])))
+    pairs = F.zip_with("iw", "dw", lambda i, d: F.struct(i.alias("i"), d.alias("d")))
+    slots = F.filter(pairs, lambda s: is_slot(F.when(F.col("kind") == 0, canonical(s["i"])).otherwise(canonical_lower(s["i"]))))
     met = met.withColumn("slots", slots)
     changed = F.size(F.filter("slots", lambda s: ~s["i"].eqNullSafe(s["d"])))
     one_to_one = F.size(F.array_distinct(F.transform("slots", lambda s: s["i"]))) == F.size(F.array_distinct("slots"))
-    met = met.select("doc_id", "item_id", F.col("matched").cast("long").alias("matched_words"), F.col("n_item").cast("long").alias("item_words"), F.size("slots").cast("long").alias("n_slots"), changed.cast("long").alias("n_changed"), one_to_one.alias("consistent"), "shift")
+    met = met.select("doc_id", "item_id", F.col("matched").cast("long").alias("matched_words"), F.col("n_item").cast("long").alias("item_words"), F.size("slots").cast("long").alias("n_slots"), changed.cast("long").alias("n_changed"), one_to_one.alias("consistent"), "shift", "kind")
     good = met.where(F.col("consistent") | (F.col("n_changed") * 10 <= F.col("n_slots")))
-    best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("matched_words"), -F.col("n_changed"), -F.col("shift"), F.struct("item_words", "n_slots", "n_changed", "consistent").alias("rest"))).alias("b"))
+    best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("matched_words"), -F.col("kind"), -F.col("n_changed"), -F.col("shift"), F.struct("item_words", "n_slots", "n_changed", "consistent").alias("rest"))).alias("b"))
     return best.select("doc_id", "item_id", "b.matched_words", "b.rest.item_words", "b.rest.n_slots", "b.rest.n_changed", "b.rest.consistent")
 
 

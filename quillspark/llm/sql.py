@@ -29,22 +29,23 @@ degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
 SELECT r.a AS vec_id, coalesce(any_value(d.n), 0) AS n_links, min(r.b) AS component_id, r.a = min(r.b) AS kept FROM reach r LEFT JOIN degree d ON d.a = r.a GROUP BY r.a"""
 
 _CANON = f"CASE WHEN lower(left(w, 1)) <> left(w, 1) THEN '{NAME}' WHEN left(w, 1) BETWEEN '0' AND '9' THEN '{NUMBER}' WHEN w IN ({', '.join(repr(u) for u in UNITS)}) THEN '{UNIT}' ELSE w END"
+_LOWER = f"CASE WHEN left(w, 1) BETWEEN '0' AND '9' THEN '{NUMBER}' WHEN lower(w) IN ({', '.join(repr(u) for u in UNITS)}) THEN '{UNIT}' ELSE lower(w) END"
 _SLOTS = f"('{NAME}', '{NUMBER}', '{UNIT}')"
 OP9 = rf"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS r FROM documents WHERE doc_id IS NOT NULL),
-dt AS (SELECT doc_id, r, list_transform(r, lambda w: {_CANON}) AS t FROM d),
+dt AS (SELECT 0 AS kind, doc_id, r, list_transform(r, lambda w: {_CANON}) AS t FROM d UNION ALL SELECT 1, doc_id, r, list_transform(r, lambda w: {_LOWER}) FROM d),
 i AS (SELECT item_id, list_filter(string_split_regex(coalesce(text, ''), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS r FROM benchmark WHERE item_id IS NOT NULL),
-it AS (SELECT item_id, r, list_transform(r, lambda w: {_CANON}) AS t, len(r) AS n, least(len(r), {WINDOW}) AS size FROM i WHERE len(r) > 0),
-bw0 AS (SELECT item_id, n, size, t, unnest(range(0, n - size + 1)) AS p FROM it),
-bw AS (SELECT item_id, n, size, p, array_to_string(t[p + 1:p + size], ' ') AS k FROM bw0 WHERE len(list_filter(t[p + 1:p + size], lambda w: w NOT IN {_SLOTS})) >= least({LITERALS}, size) OR n <= size),
-dw0 AS (SELECT doc_id, size, t, unnest(range(0, len(t) - size + 1)) AS p FROM dt, (SELECT DISTINCT size FROM bw) WHERE len(t) >= size),
-dw AS (SELECT doc_id, size, p, array_to_string(t[p + 1:p + size], ' ') AS k FROM dw0),
-runs AS (SELECT doc_id, item_id, n, size, dw.p - bw.p AS shift, count(DISTINCT bw.p) AS m, min(bw.p) AS lo, max(bw.p) AS hi FROM dw JOIN bw USING (k, size) GROUP BY ALL),
+it AS (SELECT kind, item_id, r, CASE WHEN kind = 0 THEN list_transform(r, lambda w: {_CANON}) ELSE list_transform(r, lambda w: {_LOWER}) END AS t, len(r) AS n, least(len(r), {WINDOW}) AS size FROM i, (VALUES (0), (1)) k(kind) WHERE len(r) > 0),
+bw0 AS (SELECT kind, item_id, n, size, t, unnest(range(0, n - size + 1)) AS p FROM it),
+bw AS (SELECT kind, item_id, n, size, p, array_to_string(t[p + 1:p + size], ' ') AS k FROM bw0 WHERE len(list_filter(t[p + 1:p + size], lambda w: w NOT IN {_SLOTS})) >= least({LITERALS}, size) OR n <= size),
+dw0 AS (SELECT kind, doc_id, size, t, unnest(range(0, len(t) - size + 1)) AS p FROM dt, (SELECT DISTINCT size FROM bw) WHERE len(t) >= size),
+dw AS (SELECT kind, doc_id, size, p, array_to_string(t[p + 1:p + size], ' ') AS k FROM dw0),
+runs AS (SELECT kind, doc_id, item_id, n, size, dw.p - bw.p AS shift, count(DISTINCT bw.p) AS m, min(bw.p) AS lo, max(bw.p) AS hi FROM dw JOIN bw USING (kind, k, size) GROUP BY ALL),
 good AS (SELECT *, least(m + size - 1, n) AS matched FROM runs WHERE least(m + size - 1, n) >= least(n, greatest({WORDS}, ceil(n * {SHARE})))),
-each_word AS (SELECT g.doc_id, g.item_id, g.n, g.matched, g.shift, it.r AS ir, it.t AS t, dt.r AS dr, unnest(range(lo, hi + g.size)) AS k FROM good g JOIN dt USING (doc_id) JOIN it USING (item_id)),
-slots AS (SELECT doc_id, item_id, n, matched, shift, ir[k + 1] AS a, dr[k + shift + 1] AS b, t[k + 1] IN {_SLOTS} AS slot FROM each_word),
-met AS (SELECT doc_id, item_id, n AS item_words, matched, shift, count(*) FILTER (slot) AS n_slots, count(*) FILTER (slot AND a <> b) AS n_changed, count(DISTINCT a) FILTER (slot) = count(DISTINCT a || chr(0) || b) FILTER (slot) AS consistent FROM slots GROUP BY ALL)
-SELECT doc_id, item_id, matched::BIGINT AS matched_words, item_words::BIGINT AS item_words, n_slots, n_changed, consistent FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, n_changed, shift) AS nth FROM met WHERE consistent OR n_changed * 10 <= n_slots) WHERE nth = 1"""
+each_word AS (SELECT g.kind, g.doc_id, g.item_id, g.n, g.matched, g.shift, it.r AS ir, it.t AS t, dt.r AS dr, unnest(range(lo, hi + g.size)) AS k FROM good g JOIN dt USING (kind, doc_id) JOIN it ON it.kind = g.kind AND it.item_id = g.item_id),
+slots AS (SELECT kind, doc_id, item_id, n, matched, shift, ir[k + 1] AS a, dr[k + shift + 1] AS b, t[k + 1] IN {_SLOTS} AS slot FROM each_word),
+met AS (SELECT kind, doc_id, item_id, n AS item_words, matched, shift, count(*) FILTER (slot) AS n_slots, count(*) FILTER (slot AND a <> b) AS n_changed, count(DISTINCT a) FILTER (slot) = count(DISTINCT a || chr(0) || b) FILTER (slot) AS consistent FROM slots GROUP BY ALL)
+SELECT doc_id, item_id, matched::BIGINT AS matched_words, item_words::BIGINT AS item_words, n_slots, n_changed, consistent FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, kind, n_changed, shift) AS nth FROM met WHERE consistent OR n_changed * 10 <= n_slots) WHERE nth = 1"""
 
 
 def _values(rows) -> str:

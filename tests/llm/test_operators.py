@@ -400,11 +400,12 @@ def test_mod97_and_luhn(spark):
 def test_decontamination(spark, docs, empty):
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     q = "Alice Brown bought 12 apples and walked 5 miles before lunch so how many apples does Alice Brown have left"
-    items = spark.createDataFrame([(900, q), (901, None), (902, "short item here"), (None, "a b c d e f g h i j"), (903, "")], "item_id long, text string")
+    who = "{} bought red apples then {} sold green pears before {} ate ripe plums while {} drank cold water"
+    items = spark.createDataFrame([(904, who.format(*["Alice"] * 4)), (900, q), (901, None), (902, "short item here"), (None, "a b c d e f g h i j"), (903, "")], "item_id long, text string")
     bench = bench.unionByName(items)
     changed = q.replace("Alice Brown", "Carol Green").replace("12", "34").replace("5", "7")
     mixed = "Dora Grey bought 12 apples and walked 5 miles before lunch so how many apples does Erik Black have left"
-    planted = spark.createDataFrame([(3_000_000, f"junk words first {changed} and more"), (3_000_001, f"x {mixed} y"), (3_000_002, "a short item here b"), (3_000_003, "apples and miles before lunch"), (3_000_004, q.lower()[:40])], "doc_id long, text string")
+    planted = spark.createDataFrame([(3_000_000, f"junk words first {changed} and more"), (3_000_001, f"x {mixed} y"), (3_000_002, "a short item here b"), (3_000_003, "apples and miles before lunch"), (3_000_004, q.lower()[:40]), (3_000_005, "and " + q.upper().replace("12", "13") + " end"), (3_000_006, "so " + who.format(*["Carol"] * 4)), (3_000_007, who.format("Carol", "Dora", "Erik", "Fred") + " too")], "doc_id long, text string")
     both = docs.unionByName(planted, allowMissingColumns=True)
     got = {(r.doc_id, r.item_id): r for r in decontam.contamination(both, bench).collect()}
     texts = {r.item_id: r.text for r in bench.where("item_id is not null and item_id < 900").collect()}
@@ -412,7 +413,10 @@ def test_decontamination(spark, docs, empty):
         for i, t in texts.items():
             if t in x:
                 assert (d, i) in got and got[d, i].n_changed == 0
-    assert {d for d, i in got if i == 900} == {3_000_000} and got[3_000_000, 900].n_changed > 3
+    # names exchanged one for one are a leak; exchanged at random they are not
+    assert {d for d, i in got if i == 904} == {3_000_006}
+    # 3_000_001 shares 15 words of 20 as they are
+    assert {d for d, i in got if i == 900} == {3_000_000, 3_000_001, 3_000_005} and got[3_000_000, 900].n_changed > 3 and got[3_000_005, 900].n_changed == 1
     assert (3_000_002, 902) in got
     assert all(d is not None for d, _ in got)
     clean = {d for d, x in texts_of(both)} - {d for d, _ in got}
