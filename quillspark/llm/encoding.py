@@ -15,7 +15,7 @@ import re
 from array import array
 
 #: Words kept by a worker process. The memo starts anew when it is full.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 700_000
 
 _SPACE = re.compile(r"(?<=\S)(?= )")
 #: White space other than U+0020 that may stand before a space; then the slow cut is needed.
