@@ -416,7 +416,7 @@ def test_decontamination(spark, docs, empty):
     # names exchanged one for one are a leak; exchanged at random they are not
     assert {d for d, i in got if i == 904} == {3_000_006}
     # 3_000_001 shares 15 words of 20 as they are
-    assert {d for d, i in got if i == 900} == {3_000_000, 3_000_001, 3_000_005} and got[3_000_000, 900].n_changed > 3 and got[3_000_005, 900].n_changed == 1
+    assert {d for d, i in got if i == 900} == {3_000_000, 3_000_001, 3_000_005} and got[3_000_000, 900].n_changed > 3 and got[3_000_005, 900].n_changed == 2  # the number, and the unit in capitals
     assert (3_000_002, 902) in got
     assert all(d is not None for d, _ in got)
     clean = {d for d, x in texts_of(both)} - {d for d, _ in got}
