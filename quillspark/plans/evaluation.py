@@ -13,7 +13,7 @@ from ..operators import validate as V
 from ..sources import files
 from ..storage import shared_folder, staged
 from .registry import query, table
-from .retrieval import DENSE, bm25_sql, doc_chunks, points, text_queries, vector_queries
+from .retrieval import DENSE, RAG, bm25_sql, doc_chunks, points, text_queries, vector_queries
 from .statutes import CHUNKS, statute_chunks, strip_sql, with_sql
 
 
@@ -102,13 +102,21 @@ def vector_questions(spark, sf_dir):
     return hybrid_inputs(spark, sf_dir)
 
 
-@query("M10_rag_records")
+RECORDS = f"""{RAG},
+wide AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY list_cosine_similarity(vq.embedding::DOUBLE[], vp.embedding::DOUBLE[]) DESC, chunk_id) AS rank FROM vq, vp),
+records AS (SELECT rag.qid, query, rag.qid AS expected_chunk_id, rank IS NOT NULL AS retrieval_hit, rank::INT AS retrieval_rank, answer, sources,
+  len(list_filter(string_split(sources, '|'), lambda s: s <> '' AND contains(answer, string_split(s, ' ')[1]) AND contains(answer, string_split(s, ' ')[2]))) > 0 OR regexp_matches(answer, '제\\d+조') AS answer_has_source,
+  len(list_filter(regexp_extract_all(answer, '제\\d+조'), lambda c: NOT list_contains(regexp_extract_all(sources, '제\\d+조'), c))) > 0 AS flag
+  FROM rag LEFT JOIN wide ON wide.qid = rag.qid AND wide.chunk_id = rag.qid AND rank <= 5 WHERE mode = 'dense')"""
+
+
+@query("M10_rag_records", f"WITH {RECORDS} SELECT qid, query, expected_chunk_id, retrieval_hit, retrieval_rank, answer_has_source, flag, answer FROM records")
 def rag_records(spark, sf_dir):
     out = _records(spark, sf_dir)
     return out.select("qid", "query", "expected_chunk_id", "retrieval_hit", "retrieval_rank", "answer_has_source", F.col("hallucination.flag").alias("flag"), "answer")
 
 
-@query("M11_M15_rag_summary")
+@query("M11_M15_rag_summary", f"WITH {RECORDS} SELECT 'dense' AS mode, count(*) AS n, count(*) FILTER (retrieval_hit) AS hits, avg(retrieval_hit::INT) * 100 AS hit_rate, count(*) FILTER (answer_has_source) AS with_source, avg(answer_has_source::INT) * 100 AS source_rate, count(*) FILTER (flag) AS flagged, avg(flag::INT) * 100 AS flagged_rate FROM records")
 def rag_summary(spark, sf_dir):
     return M.rag_summary(_records(spark, sf_dir), "mode")
 

@@ -219,7 +219,16 @@ def marked_texts(spark, sf_dir):
     return docs.select("doc_id", F.array_join(sentences, ". ").alias("text"))
 
 
-@query("P12_structural_units")
+UNITS = _FLAT + rf""",
+marked AS (SELECT doc_id, array_to_string(list_transform(string_split(text, '. '), lambda x, i: CASE WHEN i = 1 THEN x WHEN i % 2 = 0 THEN substr('{CIRCLED}', (i - 1) % 20 + 1, 1) || ' ' || x ELSE ((i - 1) % 9 + 1) || '. ' || x END), '. ') AS text FROM flat),
+pars AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([{CIRCLED}])', chr(2) || '\1', 'g'), chr(2))) AS p, generate_subscripts(string_split(regexp_replace(text, '([{CIRCLED}])', chr(2) || '\1', 'g'), chr(2)), 1) AS pi FROM marked WHERE regexp_matches(text, '[{CIRCLED}]')),
+cut AS (SELECT *, instr('{CIRCLED}', left(p, 1)) AS no, string_split(CASE WHEN instr('{CIRCLED}', left(p, 1)) > 0 THEN regexp_replace(regexp_replace(p, '(^|\s)(\d+\.\s)', '\1' || chr(1) || '\2', 'g'), '(^|\s)(\d+\.\s)', '\1' || chr(1) || '\2', 'g') ELSE p END, chr(1)) AS xs FROM pars WHERE {strip_sql("p")} <> ''),
+items AS (SELECT doc_id, pi, no, unnest(xs) AS x, generate_subscripts(xs, 1) AS ii FROM cut),
+units AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pi, ii) - 1)::INT AS k, CASE WHEN no > 0 THEN '제' || no || '항' END AS paragraph,
+  CASE WHEN no > 0 AND regexp_matches(x, '^\d+\.\s') THEN '제' || regexp_extract(x, '^(\d+)\.\s', 1) || '호' END AS item, {strip_sql("x")} AS text FROM items WHERE {strip_sql("x")} <> '')"""
+
+
+@query("P12_structural_units", with_sql(UNITS, "SELECT doc_id, k, paragraph, item, text FROM units"))
 def structural_units(spark, sf_dir):
     units = marked_texts(spark, sf_dir).select("doc_id", F.posexplode(P.structural_units(F.col("text"))).alias("k", "u"))
     return units.select("doc_id", "k", "u.paragraph", "u.item", "u.text")
