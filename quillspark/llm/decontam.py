@@ -6,6 +6,10 @@ question whose names and numbers were exchanged still matches. A second template
 without names, finds passages whose case was changed. Matches on one diagonal are
 added up; then the slots are compared: each benchmark value must stand for one document
 value throughout, or nearly all slots must be unchanged.
+
+Any other pair that shares a window is aligned: runs of one placeholder become one word, and the
+template words that agree on the diagonals nearby are counted, so copies with words replaced or
+slots of another width (12 and 1,200) count for what is left of them.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ LITERALS = 4
 SHARE, WORDS = 0.5, 13
 #: Windows of the benchmark that are broadcast at most (about 24 bytes each); beyond, Spark shuffles.
 BROADCAST_WINDOWS = 500_000
+#: Diagonals on either side of a shared window on which further words are looked for.
+BAND = 16
 NAME, NUMBER, UNIT = "<name>", "<number>", "<unit>"
 UNITS = ("km", "cm", "mm", "kg", "mg", "lb", "lbs", "oz", "ml", "mph", "kmh", "hz", "kw", "kwh", "meters", "metres", "miles", "feet", "inches", "grams", "kilograms", "pounds", "ounces", "litres", "liters", "gallons", "seconds", "minutes", "hours", "days", "weeks", "months", "years", "percent", "dollars", "euros", "cents", "usd", "eur", "degrees")
 
@@ -47,6 +53,26 @@ def is_slot(word: Column) -> Column:
     return word.isin(NAME, NUMBER, UNIT)
 
 
+def _starts(template: str) -> Column:
+    """Positions where a word of the collapsed template starts: runs of one placeholder are one word."""
+    t = F.col(template)
+    return F.filter(F.transform(t, lambda w, i: F.when(~is_slot(w) | ~w.eqNullSafe(F.get(t, i - 1)), i)), lambda i: i.isNotNull())
+
+
+def _wide_windows(size: str) -> Column:
+    """(pos, h) of the windows of ``size`` collapsed words that hold a run; null where a text has none."""
+    t, starts, width = F.col("template"), F.col("starts"), F.col(size)
+    n = F.size(starts) - width + 1
+
+    def window(c):
+        at = F.get(starts, c)
+        end = F.coalesce(F.get(starts, c + width), F.size(t))
+        return F.when(end - at > width, F.struct(at.alias("pos"), F.xxhash64(F.transform(F.slice(starts, c + 1, width), lambda i: F.get(t, i))).alias("h")))
+
+    found = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), window), lambda w: w.isNotNull())
+    return F.when((n > 0) & (width > 0) & (F.size(starts) < F.size(t)), found)
+
+
 def _windows(template: str, size: str) -> Column:
     """Hashes of all windows of ``size`` template words; none if there are fewer words."""
     n = F.size(template) - F.col(size) + 1
@@ -57,20 +83,28 @@ def _templates(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Two rows a text: kind 0 is the template with names, kind 1 that in lower case."""
     raw = rows.select(F.col(id_col).cast("long").alias(id_col), words(text_or_empty(text_col)).alias("raw"))
     both = F.array(F.transform("raw", canonical), F.transform("raw", canonical_lower))
-    return raw.select(id_col, F.size("raw").alias("n_words"), F.posexplode(both).alias("kind", "template"))
+    rows = raw.select(id_col, F.size("raw").alias("n_words"), F.posexplode(both).alias("kind", "template"))
+    return rows.withColumn("starts", _starts("template"))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(kind, h, item_id, item_pos, size, n_item): every window of every item's templates.
+    """(kind, h, item_id, item_pos, size, n_item, wide): every window of every item's templates.
 
     An item shorter than a window is one window of all its words. Windows of mostly
-    placeholders are left out, but for an item's only one.
+    placeholders are left out, but for an item's only one. ``wide`` ones are windows of the
+    collapsed template that hold a run.
     """
     items = _templates(benchmark, "item_id", "text").where("item_id is not null and n_words > 0")
     items = items.withColumnRenamed("n_words", "n_item").withColumn("size", F.least("n_item", F.lit(window)))
     rows = items.select("item_id", "n_item", "size", "kind", "template", F.posexplode(_windows("template", "size")).alias("item_pos", "h"))
     literal = F.size(F.filter(F.slice("template", F.col("item_pos") + 1, F.col("size")), lambda w: ~is_slot(w)))
-    return rows.where((literal >= F.least(F.lit(LITERALS), F.col("size"))) | (F.col("n_item") <= F.col("size"))).select("kind", "h", "item_id", "item_pos", "size", "n_item")
+    plain = rows.where((literal >= F.least(F.lit(LITERALS), F.col("size"))) | (F.col("n_item") <= F.col("size")))
+    wide = items.withColumn("size", F.least(F.size("starts"), F.lit(window)))
+    wide = wide.select("item_id", "n_item", "size", "kind", "template", "starts", F.explode(_wide_windows("size")).alias("w")).withColumn("item_pos", F.col("w.pos"))
+    inside = F.slice(F.filter("starts", lambda s: s >= F.col("item_pos")), 1, F.col("size"))
+    wide = wide.where(F.size(F.filter(inside, lambda s: ~is_slot(F.get("template", s)))) >= LITERALS)
+    names = ["kind", "h", "item_id", "item_pos", "size", "n_item"]
+    return plain.select(*names, F.lit(False).alias("wide")).unionByName(wide.withColumn("h", F.col("w.h")).select(*names, F.lit(True).alias("wide")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -84,32 +118,102 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     bench = staged(benchmark_windows(benchmark, window), "bench-windows")
     n = bench.count()
     sizes = [r[0] for r in bench.select("size").distinct().collect()]  # at most ``window`` values
-    texts = _templates(docs, "doc_id", "text").where("doc_id is not null").select("doc_id", "kind", "template")
+    texts = _templates(docs, "doc_id", "text").where("doc_id is not null").select("doc_id", "kind", "template", "starts")
     side = F.broadcast(bench) if n <= BROADCAST_WINDOWS else bench
     hits = None
     for size in sorted(sizes):
-        found = texts.withColumn("size", F.lit(size)).select("doc_id", "kind", F.posexplode(_windows("template", "size")).alias("doc_pos", "h"))
-        found = found.join(side.where(F.col("size") == size), ["kind", "h"]).select("kind", "doc_id", "item_id", "size", "n_item", "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("shift"))
+        plain = F.transform(_windows("template", "size"), lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.lit(False).alias("run")))
+        wide = F.transform(_wide_windows("size"), lambda w: F.struct(w["pos"].alias("pos"), w["h"].alias("h"), F.lit(True).alias("run")))
+        none = F.array().cast("array<struct<pos:int,h:bigint,run:boolean>>")
+        found = texts.withColumn("size", F.lit(size)).select("doc_id", "kind", F.explode(F.concat(F.coalesce(plain, none), F.coalesce(wide, none))).alias("w"))
+        found = found.select("doc_id", "kind", F.col("w.pos").alias("doc_pos"), "w.h", "w.run").join(side.where(F.col("size") == size), ["kind", "h"])
+        found = found.select("kind", "doc_id", "item_id", "size", "n_item", (F.col("wide") | F.col("run")).alias("wide"), "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("shift"))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        hits = docs.sparkSession.createDataFrame([], "kind int, doc_id long, item_id long, size int, n_item int, item_pos int, shift int")
-    runs = hits.groupBy("kind", "doc_id", "item_id", "n_item", "size", "shift").agg(F.count_distinct("item_pos").alias("n"), F.min("item_pos").alias("lo"), F.max("item_pos").alias("hi"))
-    runs = runs.withColumn("matched", F.least(F.col("n") + F.col("size") - 1, "n_item"))
-    runs = staged(runs.where(F.col("matched") >= F.least("n_item", F.greatest(F.lit(WORDS), F.ceil(F.col("n_item") * SHARE)))), "bench-runs")
-    return _checked(runs, docs, benchmark)
+        hits = docs.sparkSession.createDataFrame([], "kind int, doc_id long, item_id long, size int, n_item int, wide boolean, item_pos int, shift int")
+    runs = hits.groupBy("kind", "doc_id", "item_id", "n_item", "size", "wide", "shift").agg(F.count_distinct("item_pos").alias("n"), F.min("item_pos").alias("lo"), F.max("item_pos").alias("hi"))
+    runs = staged(runs.withColumn("matched", F.least(F.col("n") + F.col("size") - 1, "n_item")), "bench-runs")
+    whole = runs.where(~F.col("wide") & (F.col("matched") >= _needed("n_item")))
+    first = staged(_checked(whole, docs, benchmark), "bench-leaks")
+    rest = runs.join(first.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti")
+    return first.unionByName(_aligned(rest, docs, benchmark))
 
 
-def _checked(runs: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Compare the slots of each run with the benchmark's; keep consistent ones, the best of each pair."""
+def _needed(size) -> Column:
+    """Words that must agree of ``size``."""
+    return F.least(size, F.greatest(F.lit(WORDS), F.ceil((F.col(size) if isinstance(size, str) else size) * SHARE)))
+
+
+def _texts_of(runs: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``runs`` with the words of their documents (dw) and items (iw)."""
     doc_words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     doc_words = doc_words.join(runs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("dw"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(text_or_empty()).alias("iw")).where("item_id is not null").dropDuplicates(["item_id"])
-    met = runs.join(doc_words, "doc_id").join(items, "item_id")
+    return runs.join(doc_words, "doc_id").join(items, "item_id")
+
+
+def _aligned(runs: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Leaks among pairs that share a window, by the words of the collapsed templates that agree.
+
+    A word agrees if it stands on one of the diagonals around the window and a neighbour agrees there too;
+    the nearest diagonal counts. An unchanged slot counts all its words, a changed one 1; half
+    of the item's words must agree, or half of its collapsed words. The first and last slot may
+    run on into the words around, so their values aren't compared.
+    """
+    anchors = runs.groupBy("kind", "doc_id", "item_id", "n_item", F.floor(F.col("shift") / BAND).alias("band")).agg(F.max(F.struct("n", "lo", "shift")).alias("a"))
+    met = _texts_of(anchors.select("kind", "doc_id", "item_id", "n_item", "a.lo", "a.shift"), docs, benchmark)
+    margin = F.col("n_item") + BAND
+    met = met.withColumn("cut", F.greatest(F.lit(0), F.col("shift") - margin)).withColumn("dw", F.slice("dw", F.col("cut") + 1, F.col("n_item") + 2 * margin))
+    for side in "id":
+        template = F.when(F.col("kind") == 0, F.transform(f"{side}w", canonical)).otherwise(F.transform(f"{side}w", canonical_lower))
+        met = met.withColumn(f"{side}t", template)
+    # staged between the steps, or the optimizer writes each array's expression into every use of it
+    met = staged(met, "bench-near").withColumns({"is": _starts("it"), "ds": _starts("dt")})
+    met = staged(met, "bench-near").withColumns({"ic": _collapsed("i"), "dc": _collapsed("d")})
+    met = met.withColumn("base", F.size(F.filter("ds", lambda s: s <= F.col("lo") + F.col("shift") - F.col("cut"))) - F.size(F.filter("is", lambda s: s <= F.col("lo"))))
+    met = staged(met.select("kind", "doc_id", "item_id", "n_item", "ic", "dc", "base", "shift"), "bench-near")
+
+    def agrees(p, q):
+        return F.get("ic", p)["w"] == F.get("dc", q)["w"]
+
+    def partner(p):
+        def at(b):
+            q = p + F.col("base") + b
+            return F.when(agrees(p, q) & (F.coalesce(agrees(p - 1, q - 1), F.lit(False)) | F.coalesce(agrees(p + 1, q + 1), F.lit(False))), F.struct(F.abs(b).alias("far"), q.alias("q")))
+
+        return F.array_min(F.filter(F.transform(F.sequence(F.lit(-BAND), F.lit(BAND)), at), lambda x: x.isNotNull()))["q"]
+
+    both = F.transform("ic", lambda x, p: F.struct(x["w"].alias("w"), x["v"].alias("i"), x["width"].alias("width"), F.get("dc", partner(p))["v"].alias("d"), ((p > 0) & (p < F.size("ic") - 1)).alias("inner")))
+    met = staged(met.withColumn("both", both), "bench-near").withColumn("pairs", F.filter("both", lambda x: x["d"].isNotNull()))
+    same = F.aggregate("pairs", F.lit(0), lambda n, x: n + F.when(is_slot(x["w"]) & (x["i"] == x["d"]), x["width"]).otherwise(1))
+    met = staged(met, "bench-near").withColumns({"same": same, "slots": F.transform(F.filter("pairs", lambda x: is_slot(x["w"]) & x["inner"]), lambda x: F.struct(x["i"].alias("i"), x["d"].alias("d")))})
+    met = staged(met, "bench-near").where((F.col("same") >= _needed("n_item")) | (F.size("pairs") >= _needed(F.size("ic"))))
+    return _best(met.withColumn("matched", F.col("same")))
+
+
+def _collapsed(side: str) -> Column:
+    """array<struct<w, v, width>>: words of the collapsed template, what they stand for and how many words that is."""
+    starts, raw = F.col(f"{side}s"), F.col(f"{side}w")
+
+    def word(s, k):
+        width = F.coalesce(F.get(starts, k + 1), F.size(raw)) - s
+        return F.struct(F.get(f"{side}t", s).alias("w"), F.array_join(F.slice(raw, s + 1, width), " ").alias("v"), width.alias("width"))
+
+    return F.transform(starts, word)
+
+
+def _checked(runs: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Compare the slots of each run with the benchmark's; keep consistent ones, the best of each pair."""
+    met = _texts_of(runs, docs, benchmark)
     span = F.col("hi") - F.col("lo") + F.col("size")
     met = met.withColumn("iw", F.slice("iw", F.col("lo") + 1, span)).withColumn("dw", F.slice("dw", F.col("lo") + F.col("shift") + 1, span))
     pairs = F.zip_with("iw", "dw", lambda i, d: F.struct(i.alias("i"), d.alias("d")))
     slots = F.filter(pairs, lambda s: is_slot(F.when(F.col("kind") == 0, canonical(s["i"])).otherwise(canonical_lower(s["i"]))))
-    met = met.withColumn("slots", slots)
+    return _best(met.withColumn("slots", slots))
+
+
+def _best(met: DataFrame) -> DataFrame:
+    """The rows whose ``slots`` (pairs i, d) are consistent or hardly changed, the best of each pair."""
     changed = F.size(F.filter("slots", lambda s: ~s["i"].eqNullSafe(s["d"])))
     one_to_one = F.size(F.array_distinct(F.transform("slots", lambda s: s["i"]))) == F.size(F.array_distinct("slots"))
     met = met.select("doc_id", "item_id", F.col("matched").cast("long").alias("matched_words"), F.col("n_item").cast("long").alias("item_words"), F.size("slots").cast("long").alias("n_slots"), changed.cast("long").alias("n_changed"), one_to_one.alias("consistent"), "shift", "kind")

@@ -424,6 +424,22 @@ def test_decontamination(spark, docs, empty):
     assert decontam.contamination(empty, bench).count() == 0 and decontam.contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_edited_copies(spark):
+    plain = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(38)]
+    edited = ["other" if k in (8, 18, 28) else w for k, w in enumerate(plain)]
+    wide = "a farmer from {a} bought {n} old sheep and then sold them again near the river before winter came so that {b} people who lived in {a} had wool and meat for many cold nights of snow and the rest was kept"
+    item, copy = wide.format(a="Paris", n="12", b="7"), wide.format(a="New York", n="1,200", b="3.5")
+    mixed = copy.replace("New York", "Oslo", 1)
+    unrelated = " ".join(plain[:9] + [f"z{w}" for w in plain[9:]])
+    bench = spark.createDataFrame([(1, " ".join(plain)), (2, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "some text " + " ".join(edited) + " more"), (2, "it says that " + copy + " too"), (3, unrelated), (4, mixed), (5, "x " + item.upper())], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.contamination(docs, bench).collect()}
+    # (4, 2) is no one-to-one exchange, but nearly all words stand there as they are
+    assert got.keys() == {(1, 1), (2, 2), (4, 2), (5, 2)}
+    assert got[1, 1].matched_words == 35 and got[2, 2].n_changed == 4 and got[2, 2].consistent
+    assert [r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()] == [3]
+
+
 # op10
 
 
