@@ -9,7 +9,8 @@ value throughout, or nearly all slots must be unchanged.
 
 Any other pair that shares a window is aligned: runs of one placeholder become one word, and the
 template words that agree on the diagonals nearby are counted, so copies with words replaced or
-slots of another width (12 and 1,200) count for what is left of them.
+slots of another width (12 and 1,200) count for what is left of them. Windows of mostly numbers
+and units say little as templates; they are matched by their words as written (kind 2).
 """
 
 from __future__ import annotations
@@ -73,6 +74,25 @@ def _wide_windows(size: str) -> Column:
     return F.when((n > 0) & (width > 0) & (F.size(starts) < F.size(t)), found)
 
 
+def _exact_windows(size: str) -> Column:
+    """(pos, h) of the windows of fewer than LITERALS literal words, hashed as written.
+
+    A window of so many slots spans the k-th slot and the one ``need`` - 1 on, so only stretches dense in slots are visited.
+    """
+    width, n = F.col(size), F.size("template") - F.col(size) + 1
+    need = width - LITERALS + 1
+    slots = F.col("slots")
+
+    def around(at, k):
+        last = F.get(slots, k + need - 1)
+        low, high = F.greatest(last - width + 1, F.lit(0)), F.least(at, n - 1)
+        return F.when((last - at < width) & (low <= high), F.sequence(low, F.greatest(low, high)))
+
+    at = F.array_distinct(F.flatten(F.filter(F.transform(slots, around), lambda x: x.isNotNull())))
+    found = F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("raw", i + 1, width)).alias("h")))
+    return F.when((F.col("kind") == 1) & (n > 0) & (need > 0) & (F.size(slots) >= need), found)
+
+
 def _windows(template: str, size: str) -> Column:
     """Hashes of all windows of ``size`` template words; none if there are fewer words."""
     n = F.size(template) - F.col(size) + 1
@@ -83,8 +103,9 @@ def _templates(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Two rows a text: kind 0 is the template with names, kind 1 that in lower case."""
     raw = rows.select(F.col(id_col).cast("long").alias(id_col), words(text_or_empty(text_col)).alias("raw"))
     both = F.array(F.transform("raw", canonical), F.transform("raw", canonical_lower))
-    rows = raw.select(id_col, F.size("raw").alias("n_words"), F.posexplode(both).alias("kind", "template"))
-    return rows.withColumn("starts", _starts("template"))
+    rows = raw.select(id_col, "raw", F.size("raw").alias("n_words"), F.posexplode(both).alias("kind", "template"))
+    slots = F.filter(F.transform("template", lambda w, i: F.when(is_slot(w), i)), lambda i: i.isNotNull())
+    return rows.withColumns({"starts": _starts("template"), "slots": slots})
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -92,7 +113,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
     An item shorter than a window is one window of all its words. Windows of mostly
     placeholders are left out, but for an item's only one. ``wide`` ones are windows of the
-    collapsed template that hold a run.
+    collapsed template that hold a run. Those left out of kind 1 come as kind 2, as written.
     """
     items = _templates(benchmark, "item_id", "text").where("item_id is not null and n_words > 0")
     items = items.withColumnRenamed("n_words", "n_item").withColumn("size", F.least("n_item", F.lit(window)))
@@ -104,7 +125,9 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     inside = F.slice(F.filter("starts", lambda s: s >= F.col("item_pos")), 1, F.col("size"))
     wide = wide.where(F.size(F.filter(inside, lambda s: ~is_slot(F.get("template", s)))) >= LITERALS)
     names = ["kind", "h", "item_id", "item_pos", "size", "n_item"]
-    return plain.select(*names, F.lit(False).alias("wide")).unionByName(wide.withColumn("h", F.col("w.h")).select(*names, F.lit(True).alias("wide")))
+    exact = items.where(F.col("n_item") > F.col("size")).select("item_id", "n_item", "size", F.lit(2).alias("kind"), F.explode(_exact_windows("size")).alias("w"))
+    exact = exact.select("kind", F.col("w.h").alias("h"), "item_id", F.col("w.pos").alias("item_pos"), "size", "n_item", F.lit(False).alias("wide"))
+    return plain.select(*names, F.lit(False).alias("wide")).unionByName(exact).unionByName(wide.withColumn("h", F.col("w.h")).select(*names, F.lit(True).alias("wide")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -118,15 +141,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     bench = staged(benchmark_windows(benchmark, window), "bench-windows")
     n = bench.count()
     sizes = [r[0] for r in bench.select("size").distinct().collect()]  # at most ``window`` values
-    texts = _templates(docs, "doc_id", "text").where("doc_id is not null").select("doc_id", "kind", "template", "starts")
+    texts = _templates(docs, "doc_id", "text").where("doc_id is not null").select("doc_id", "kind", "raw", "template", "starts", "slots")
     side = F.broadcast(bench) if n <= BROADCAST_WINDOWS else bench
     hits = None
     for size in sorted(sizes):
-        plain = F.transform(_windows("template", "size"), lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.lit(False).alias("run")))
-        wide = F.transform(_wide_windows("size"), lambda w: F.struct(w["pos"].alias("pos"), w["h"].alias("h"), F.lit(True).alias("run")))
-        none = F.array().cast("array<struct<pos:int,h:bigint,run:boolean>>")
-        found = texts.withColumn("size", F.lit(size)).select("doc_id", "kind", F.explode(F.concat(F.coalesce(plain, none), F.coalesce(wide, none))).alias("w"))
-        found = found.select("doc_id", "kind", F.col("w.pos").alias("doc_pos"), "w.h", "w.run").join(side.where(F.col("size") == size), ["kind", "h"])
+        plain = F.transform(_windows("template", "size"), lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.lit(False).alias("run"), F.col("kind").alias("kind")))
+        wide = F.transform(_wide_windows("size"), lambda w: F.struct(w["pos"].alias("pos"), w["h"].alias("h"), F.lit(True).alias("run"), F.col("kind").alias("kind")))
+        exact = F.transform(_exact_windows("size"), lambda w: F.struct(w["pos"].alias("pos"), w["h"].alias("h"), F.lit(False).alias("run"), F.lit(2).alias("kind")))
+        none = F.array().cast("array<struct<pos:int,h:bigint,run:boolean,kind:int>>")
+        found = texts.withColumn("size", F.lit(size)).select("doc_id", F.explode(F.concat(*(F.coalesce(x, none) for x in (plain, wide, exact)))).alias("w"))
+        found = found.select("doc_id", "w.kind", F.col("w.pos").alias("doc_pos"), "w.h", "w.run").join(side.where(F.col("size") == size), ["kind", "h"])
         found = found.select("kind", "doc_id", "item_id", "size", "n_item", (F.col("wide") | F.col("run")).alias("wide"), "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("shift"))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:

@@ -440,6 +440,14 @@ def test_decontamination_of_edited_copies(spark):
     assert [r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()] == [3]
 
 
+def test_decontamination_of_numeric_items(spark):
+    numbers, table = "1 2 3 5 8 13 21 34 what is next", "12 km 5 km 40 km 7 km 19 km 23 km 31 km 3 km which is best"
+    bench = spark.createDataFrame([(1, numbers), (2, table)], "item_id long, text string")
+    rows = [(1, f"so {numbers} he said"), (2, f"see {table} here"), (3, "2 4 6 8 10 12 14 16 what is next"), (4, table.replace("1", "6").replace("3", "8")), (5, "1 2 3 5 8 13 21 34 and so on")]
+    got = {(r.doc_id, r.item_id): r for r in decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got.keys() == {(1, 1), (2, 2)} and all(r.n_changed == 0 for r in got.values())
+
+
 # op10
 
 
