@@ -21,9 +21,12 @@ KINDS = {
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", "ip|host|server|address|adresse|login", 0.6),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", None, "card|visa|master|amex|credit|debit|carte|tarjeta|karte", 0.7),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+", "phone|tel|call|mobile|fax|cell|telefon|appel", 0.6),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", None, "iban|bank|account|konto|compte|cuenta", 0.9),
+    # only the start: what follows may be another account number, so _ibans tries every end
+    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})", None, "iban|bank|account|konto|compte|cuenta", 0.9),
 }
 BASE = ("email", "ip", "card", "phone")
+#: Characters of an IBAN by country; among ends that pass mod 97 this one wins, then the longest.
+IBAN_SIZES = {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC"}
 CONTEXT = 48
 CONTEXT_BONUS = 0.1
 
@@ -77,6 +80,27 @@ def _located(kind: str) -> Column:
     return F.when(F.size(found) > 0, F.aggregate(pairs, empty, step, lambda acc: acc["out"]))
 
 
+def _ibans(starts: Column) -> Column:
+    """The located starts of IBANs -> those that pass mod 97 at some end of a group, whole; they don't overlap."""
+    sizes = F.create_map(*(F.lit(x) for n, codes in IBAN_SIZES.items() for code in codes.split() for x in (code, n)))
+
+    def whole(p):
+        tail = F.col("text").substr(p["start"] + 1, F.lit(2 * 34))
+        ends = F.transform(F.array(tail), lambda t: F.array(*(F.regexp_extract(t, rf"^[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n}}}(?![A-Za-z0-9])", 0) for n in range(11, 31))))[0]
+        good = F.filter(ends, lambda x: (x != "") & CHECKS["iban"](x))
+        fits = lambda x: F.coalesce(F.length(F.replace(x, F.lit(" "), F.lit(""))) == sizes[F.left(x, F.lit(2))], F.lit(False))
+        best = F.array_max(F.transform(good, lambda x: F.struct(fits(x).alias("fits"), F.length(x).alias("n"), x.alias("text"))))
+        return F.struct(p["start"].alias("start"), best["text"].alias("text"))
+
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
+
+    def step(acc, p):
+        end = p["start"] + F.length(p["text"])
+        return F.when(p["text"].isNull() | (p["start"] < acc["at"]), acc).otherwise(F.struct(end.alias("at"), F.array_append(acc["out"], p).alias("out")))
+
+    return F.when(F.size(starts) > 0, F.aggregate(F.transform(starts, whole), empty, step, lambda acc: acc["out"]))
+
+
 def _passes(kind: str):
     return lambda p: CHECKS[kind](p["text"])
 
@@ -103,7 +127,8 @@ def find_spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, ``keep`` and ``spans``: array<struct<start, kind_no, end, kind, score>>, sorted.
 
     Starts and ends are code points, ends exclusive. Matches of a kind are leftmost and don't
-    overlap; those that fail their check are dropped without another try. Null texts are empty
+    overlap; those of the base kinds that fail their check are dropped without another try, an
+    IBAN is tried at every end of a group. Null texts are empty
     and have no spans; rows are handled one by one, so repeated rows and null ids stay.
     """
     rows = docs.select("doc_id", text_or_empty().alias("text"), *keep)
@@ -112,7 +137,7 @@ def find_spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
         matches.append((F.when(F.contains("text", F.lit(needs)), found) if needs else found).alias(f"m_{kind}"))
     rows = rows.select("*", *matches)
-    rows = rows.select("doc_id", "text", *keep, *(_located(k).alias(f"p_{k}") for k in KINDS))
+    rows = rows.select("doc_id", "text", *keep, *(_located(k).alias(f"p_{k}") for k in KINDS)).withColumn("p_iban", _ibans(F.col("p_iban")))
     none = F.array().cast("array<struct<start:int,kind_no:int,end:int,kind:string,score:double>>")
     spans = [F.coalesce(F.transform(F.filter(f"p_{kind}", _passes(kind)), _scored(no, kind)), none) for no, kind in enumerate(KINDS)]
     return rows.select("doc_id", "text", *keep, F.array_sort(F.concat(*spans)).alias("spans"))

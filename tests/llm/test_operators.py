@@ -389,6 +389,15 @@ def test_pii_redaction(docs):
             assert texts[d] == x
 
 
+def test_iban_among_capitals(spark):
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    texts = [f"pay {de} BIC COBADEFF now", f"{de} {gb}", f"REF AB12 3456 {de} OK", f"é {de} 12 34", f"{de.replace(' ', '')} EUR 500", de[:-1] + "1 BIC COBADEFF", f"x{de}", f"{de} Bank"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("iban")] for r in pii.pii_digest(df).collect()}
+    assert spans == {0: ["iban:4:31"], 1: ["iban:0:27", "iban:28:55"], 2: ["iban:14:41"], 3: ["iban:2:29"], 4: ["iban:0:22"], 5: [], 6: [], 7: ["iban:0:27"]}
+    assert {r.doc_id: r.text for r in pii.redact(df).collect()}[0] == "pay [IBAN] BIC COBADEFF now"
+
+
 def test_mod97_and_luhn(spark):
     df = spark.createDataFrame([("GB82WEST12345698765432", True), ("GB82WEST12345698765431", False), ("DE89370400440532013000", True)], "x string, ok boolean")
     assert all(r.ok == r.got for r in df.select("ok", pii.mod97(F.col("x")).alias("got")).collect())
