@@ -1,16 +1,15 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Words become a template: capitalised words, numbers and units turn into typed placeholders,
-others stay. Windows of template words are hashed and joined with those of the benchmark, so a
-question whose names and numbers were exchanged still matches. A second template in lower case,
-without names, finds passages whose case was changed. Matches on one diagonal are
-added up; then the slots are compared: each benchmark value must stand for one document
-value throughout, or nearly all slots must be unchanged.
-
-Any other pair that shares a window is aligned: runs of one placeholder become one word, and the
-template words that agree on the diagonals nearby are counted, so copies with words replaced or
-slots of another width (12 and 1,200) count for what is left of them. Windows of mostly numbers
-and units say little as templates; they are matched by their words as written (kind 2).
+Words become templates of three kinds. In kind 0 capitalised words, numbers and units are typed
+placeholders; in kind 1 numbers and units are; other words are in lower case. A run of one
+placeholder is one template word, so 12 and 1,200 or Paris and New York agree. Kind 2 is the words
+as written, in lower case: it serves the stretches of the benchmark that are mostly numbers and
+units, which say little as templates.
+
+Windows of template words are hashed and joined with those of the benchmark. They only propose:
+around the diagonal of a shared window the template words that really agree are counted, and
+the slots are compared. Each benchmark value must stand for one document value throughout, or
+nearly all slots must be unchanged.
 """
 
 from __future__ import annotations
@@ -18,234 +17,240 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged, text_or_empty
+from .shared import quoted, staged, text_or_empty
 
 WINDOW = 8
-#: A window of the benchmark counts if at least so many of its words are no placeholders.
+#: A window is matched as a template if at least so many of its words are no placeholders, else as written.
 LITERALS = 4
-#: Matched words that make a leak: half of the item and 13 words, or the whole item.
+#: Words that must agree: half of the item and 13 words, or the whole item.
 SHARE, WORDS = 0.5, 13
-#: Windows of the benchmark that are broadcast at most (about 24 bytes each); beyond, Spark shuffles.
+#: Windows of the benchmark that are broadcast at most (about 40 bytes each); beyond, Spark shuffles.
 BROADCAST_WINDOWS = 500_000
 #: Diagonals on either side of a shared window on which further words are looked for.
 BAND = 16
-NAME, NUMBER, UNIT = "<name>", "<number>", "<unit>"
+#: Placeholders are characters that no text holds after ``plain_text``.
+NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
+#: Kinds of templates: with names, without, as written.
+KINDS = (0, 1, 2)
+#: Words that are a unit after a number.
 UNITS = ("km", "cm", "mm", "kg", "mg", "lb", "lbs", "oz", "ml", "mph", "kmh", "hz", "kw", "kwh", "meters", "metres", "miles", "feet", "inches", "grams", "kilograms", "pounds", "ounces", "litres", "liters", "gallons", "seconds", "minutes", "hours", "days", "weeks", "months", "years", "percent", "dollars", "euros", "cents", "usd", "eur", "degrees")
 
 
-def words(text: Column) -> Column:
-    """Runs of letters and digits, as written."""
-    return F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+_WORD, _GAP = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}\x01-\x03]"
 
 
-def canonical(word: Column) -> Column:
-    """The template's word: a placeholder for names, numbers and units."""
-    head = F.left(word, F.lit(1))
-    return F.when(F.lower(head) != head, NAME).when(head.between("0", "9"), NUMBER).when(word.isin(*UNITS), UNIT).otherwise(word)
+def _runs(head: str) -> str:
+    """Runs of words that begin with ``head``; the head comes first, as it is rarer than what stands before it."""
+    return rf"{head}(?<!{_WORD}{head}){_WORD}*+(?:{_GAP}++{head}{_WORD}*+)*+"
 
 
-def canonical_lower(word: Column) -> Column:
-    """The same in lower case, without names."""
-    low = F.lower(word)
-    return F.when(F.left(word, F.lit(1)).between("0", "9"), NUMBER).when(low.isin(*UNITS), UNIT).otherwise(low)
+_CAPITAL, _DIGIT = r"[\p{Lu}\p{Lt}]", "[0-9]"
+_NAMES, _NUMBERS = _runs(_CAPITAL), _runs(_DIGIT)
+_UNITS = rf"{NUMBER}({_GAP}++)(?i:{'|'.join(UNITS)})(?!{_WORD})"
 
 
-def is_slot(word: Column) -> Column:
-    return word.isin(NAME, NUMBER, UNIT)
+def plain_text(text: Column) -> Column:
+    """The placeholders' characters as blanks; a capital I with a dot would fall apart in lower case."""
+    text, odd = F.coalesce(text, F.lit("")), "\u0130\x01\x02\x03"
+    found = F.contains(text, F.lit(odd[0]))
+    for c in odd[1:]:
+        found = found | F.contains(text, F.lit(c))
+    return F.when(found, F.translate(text, odd, "I   ")).otherwise(text)
 
 
-def _starts(template: str) -> Column:
-    """Positions where a word of the collapsed template starts: runs of one placeholder are one word."""
-    t = F.col(template)
-    return F.filter(F.transform(t, lambda w, i: F.when(~is_slot(w) | ~w.eqNullSafe(F.get(t, i - 1)), i)), lambda i: i.isNotNull())
+def words(text: Column) -> Column:
+    """Runs of letters and digits, as written."""
+    return F.array_remove(F.split(plain_text(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def _wide_windows(size: str) -> Column:
-    """(pos, h) of the windows of ``size`` collapsed words that hold a run; null where a text has none."""
-    t, starts, width = F.col("template"), F.col("starts"), F.col(size)
-    n = F.size(starts) - width + 1
+def template(text: Column, kind: int) -> Column:
+    """array<string>: a text's template. Patterns work on whole texts, so no function runs word by word."""
+    text = plain_text(text)
+    if kind < 2:
+        text = F.regexp_replace(text, _NUMBERS, NUMBER)
+        text = F.when(F.contains(text, F.lit(NUMBER)), F.regexp_replace(text, _UNITS, f"{NUMBER}$1{UNIT}")).otherwise(text)
+    if kind == 0:
+        text = F.regexp_replace(text, _NAMES, NAME)
+    return F.array_remove(F.split(F.lower(text), f"{_GAP}+"), "")
 
-    def window(c):
-        at = F.get(starts, c)
-        end = F.coalesce(F.get(starts, c + width), F.size(t))
-        return F.when(end - at > width, F.struct(at.alias("pos"), F.xxhash64(F.transform(F.slice(starts, c + 1, width), lambda i: F.get(t, i))).alias("h")))
 
-    found = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), window), lambda w: w.isNotNull())
-    return F.when((n > 0) & (width > 0) & (F.size(starts) < F.size(t)), found)
+def _is_slot(word: Column) -> Column:
+    return word.isin(NAME, NUMBER, UNIT)
 
 
-def _exact_windows(size: str) -> Column:
-    """(pos, h) of the windows of fewer than LITERALS literal words, hashed as written.
+def _full(raw: str, kind: int) -> Column:
+    """array<struct<w, v, width>>: the same template, what its words stand for and how many words that is."""
 
-    A window of so many slots spans the k-th slot and the one ``need`` - 1 on, so only stretches dense in slots are visited.
-    """
-    width, n = F.col(size), F.size("template") - F.col(size) + 1
-    need = width - LITERALS + 1
-    slots = F.col("slots")
+    def placeholder(w, before):
+        number = F.when(w.rlike(f"^{_DIGIT}"), NUMBER).when(before.rlike(f"^{_DIGIT}") & F.lower(w).isin(*UNITS), UNIT)
+        return F.lit("") if kind == 2 else (number.when(w.rlike(f"^{_CAPITAL}"), NAME) if kind == 0 else number).otherwise("")
+
+    def of(marks):
+        starts = F.filter(F.transform(marks, lambda m, i: F.when((m == "") | ~m.eqNullSafe(F.get(marks, i - 1)) | (m == UNIT), i)), lambda i: i.isNotNull())
+        return F.transform(F.array(starts), lambda s: F.transform(s, lambda at, k: word(marks, s, at, k)))[0]
+
+    def word(marks, starts, at, k):
+        width = F.coalesce(F.get(starts, k + 1), F.size(marks)) - at
+        mark = F.get(marks, at)
+        return F.struct(F.when(mark != "", mark).otherwise(F.lower(F.get(raw, at))).alias("w"), F.array_join(F.slice(raw, at + 1, width), " ").alias("v"), width.alias("width"))
 
-    def around(at, k):
-        last = F.get(slots, k + need - 1)
-        low, high = F.greatest(last - width + 1, F.lit(0)), F.least(at, n - 1)
-        return F.when((last - at < width) & (low <= high), F.sequence(low, F.greatest(low, high)))
+    marks = F.transform(raw, lambda w, i: placeholder(w, F.coalesce(F.get(raw, i - 1), F.lit(""))))
+    return F.transform(F.array(marks), of)[0]
 
-    at = F.array_distinct(F.flatten(F.filter(F.transform(slots, around), lambda x: x.isNotNull())))
-    found = F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("raw", i + 1, width)).alias("h")))
-    return F.when((F.col("kind") == 1) & (n > 0) & (need > 0) & (F.size(slots) >= need), found)
 
+def _identified(rows: DataFrame, id_col: str) -> DataFrame:
+    """(id, part, text) of distinct rows. ``part`` tells texts apart that share an id; a null text is empty."""
+    part = f"{id_col[:-3]}_part"
+    return rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), F.xxhash64(text_or_empty()).alias(part), text_or_empty().alias("text"))
 
-def _windows(template: str, size: str) -> Column:
-    """Hashes of all windows of ``size`` template words; none if there are fewer words."""
-    n = F.size(template) - F.col(size) + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(F.col(template), i, F.col(size)))))
 
+def _templates_of(rows: DataFrame) -> DataFrame:
+    """One row a text and kind: ``text`` gives way to ``n_raw``, ``kind`` and ``full``."""
+    kept = [c for c in rows.columns if c != "text"]
+    rows = rows.select(*kept, words(F.col("text")).alias("raw"))
+    return rows.select(*kept, F.size("raw").alias("n_raw"), F.posexplode(F.array(*(_full("raw", k) for k in KINDS))).alias("kind", "full"))
 
-def _templates(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Two rows a text: kind 0 is the template with names, kind 1 that in lower case."""
-    raw = rows.select(F.col(id_col).cast("long").alias(id_col), words(text_or_empty(text_col)).alias("raw"))
-    both = F.array(F.transform("raw", canonical), F.transform("raw", canonical_lower))
-    rows = raw.select(id_col, "raw", F.size("raw").alias("n_words"), F.posexplode(both).alias("kind", "template"))
-    slots = F.filter(F.transform("template", lambda w, i: F.when(is_slot(w), i)), lambda i: i.isNotNull())
-    return rows.withColumns({"starts": _starts("template"), "slots": slots})
 
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, item_part, n_item, kind, it): the templates of every distinct item text that has a word."""
+    items = _identified(benchmark, "item_id").dropDuplicates(["item_id", "item_part"])
+    return _templates_of(items).where("n_raw > 0").select("item_id", "item_part", F.col("n_raw").alias("n_item"), "kind", F.col("full").alias("it"))
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(kind, h, item_id, item_pos, size, n_item, wide): every window of every item's templates.
 
-    An item shorter than a window is one window of all its words. Windows of mostly
-    placeholders are left out, but for an item's only one. ``wide`` ones are windows of the
-    collapsed template that hold a run. Those left out of kind 1 come as kind 2, as written.
+def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(key, kind, size, item_id, item_part, item_pos): the windows that documents are searched for.
+
+    Each window of kind 1 with LITERALS plain words, of kind 0 with as many and a name, and of
+    kind 2 with fewer than LITERALS plain words. An item shorter than a window is one
+    window. So every stretch of an item is in some window, as a template or as written.
     """
-    items = _templates(benchmark, "item_id", "text").where("item_id is not null and n_words > 0")
-    items = items.withColumnRenamed("n_words", "n_item").withColumn("size", F.least("n_item", F.lit(window)))
-    rows = items.select("item_id", "n_item", "size", "kind", "template", F.posexplode(_windows("template", "size")).alias("item_pos", "h"))
-    literal = F.size(F.filter(F.slice("template", F.col("item_pos") + 1, F.col("size")), lambda w: ~is_slot(w)))
-    plain = rows.where((literal >= F.least(F.lit(LITERALS), F.col("size"))) | (F.col("n_item") <= F.col("size")))
-    wide = items.withColumn("size", F.least(F.size("starts"), F.lit(window)))
-    wide = wide.select("item_id", "n_item", "size", "kind", "template", "starts", F.explode(_wide_windows("size")).alias("w")).withColumn("item_pos", F.col("w.pos"))
-    inside = F.slice(F.filter("starts", lambda s: s >= F.col("item_pos")), 1, F.col("size"))
-    wide = wide.where(F.size(F.filter(inside, lambda s: ~is_slot(F.get("template", s)))) >= LITERALS)
-    names = ["kind", "h", "item_id", "item_pos", "size", "n_item"]
-    exact = items.where(F.col("n_item") > F.col("size")).select("item_id", "n_item", "size", F.lit(2).alias("kind"), F.explode(_exact_windows("size")).alias("w"))
-    exact = exact.select("kind", F.col("w.h").alias("h"), "item_id", F.col("w.pos").alias("item_pos"), "size", "n_item", F.lit(False).alias("wide"))
-    return plain.select(*names, F.lit(False).alias("wide")).unionByName(exact).unionByName(wide.withColumn("h", F.col("w.h")).select(*names, F.lit(True).alias("wide")))
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    n = F.size("it")
+    rows = items.select("item_id", "item_part", "kind", "it", F.least(n, F.lit(window)).alias("size"), F.explode(F.sequence(F.lit(0), n - F.least(n, F.lit(window)))).alias("item_pos"))
+    rows = rows.withColumn("win", F.slice("it", F.col("item_pos") + 1, F.col("size")))
+    plain = F.size(F.filter("win", lambda x: ~_is_slot(x["w"])))
+    # kind 2 has no placeholders; its plain words are those that kind 1 keeps
+    numeric = F.size(F.filter("win", lambda x: x["w"].rlike("^[0-9]") | x["w"].isin(*UNITS)))
+    named = F.exists("win", lambda x: x["w"] == NAME)
+    template_like = ((F.col("kind") == 1) | ((F.col("kind") == 0) & named)) & (plain >= LITERALS)
+    rows = rows.where(template_like | ((F.col("kind") == 2) & (F.col("size") - numeric < LITERALS)))
+    key = F.lit(None).cast("long")
+    for size in range(1, window + 1):
+        key = F.when(F.col("size") == size, _key(F.col("kind"), size, lambda j: F.get("win", F.lit(j))["w"])).otherwise(key)
+    return rows.select(key.alias("key"), "kind", "size", "item_id", "item_part", "item_pos")
+
+
+def _key(kind: Column, size: int, word_at) -> Column:
+    """Hash of a window: its kind, its size and its template words."""
+    return F.xxhash64(kind.cast("int"), F.lit(size), *(word_at(j) for j in range(size)))
+
+
+def document_windows(docs: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
+    """(doc_id, doc_part, doc_pos, key): every window of the given kinds and sizes."""
+    kinds = sorted({k for k, _ in shapes})
+    rows = _identified(docs, "doc_id")
+    rows = rows.select("doc_id", "doc_part", *(template(F.col("text"), k).alias(f"t{k}") for k in kinds))
+    longest = F.greatest(*(F.size(f"t{k}") for k in kinds), F.lit(0))
+    rows = rows.select("*", F.explode(F.when(longest > 0, F.sequence(F.lit(0), longest - 1))).alias("doc_pos"))
+
+    def key(kind, size):
+        t = F.col(f"t{kind}")
+        return F.when(F.col("doc_pos") + size <= F.size(t), _key(F.lit(kind), size, lambda j: F.get(t, F.col("doc_pos") + j)))
+
+    return rows.select("doc_id", "doc_part", "doc_pos", F.explode(F.array(*(key(*s) for s in shapes))).alias("key")).where("key is not null")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """Leaks: (doc_id, item_id, matched_words, item_words, n_slots, n_changed, consistent).
 
-    One row per document and item, its best match. Null texts are empty; rows with a null
-    doc_id or item_id give nothing; repeated rows of a doc_id count as one document; an empty
-    table or benchmark gives no rows; other columns aren't used. Items of fewer words than
-    a window match as wholes.
+    One row per document and item, its best match; n_slots and n_changed count words of the
+    item. Null texts are empty; rows with a null doc_id or item_id give nothing; equal rows
+    count as one, rows that share an id but not the text are compared one by one and the best
+    counts; an empty table or benchmark gives no rows; other columns aren't used. Items without
+    a word match nothing, those shorter than a window match as wholes.
     """
-    bench = staged(benchmark_windows(benchmark, window), "bench-windows")
-    n = bench.count()
-    sizes = [r[0] for r in bench.select("size").distinct().collect()]  # at most ``window`` values
-    texts = _templates(docs, "doc_id", "text").where("doc_id is not null").select("doc_id", "kind", "raw", "template", "starts", "slots")
-    side = F.broadcast(bench) if n <= BROADCAST_WINDOWS else bench
-    hits = None
-    for size in sorted(sizes):
-        plain = F.transform(_windows("template", "size"), lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.lit(False).alias("run"), F.col("kind").alias("kind")))
-        wide = F.transform(_wide_windows("size"), lambda w: F.struct(w["pos"].alias("pos"), w["h"].alias("h"), F.lit(True).alias("run"), F.col("kind").alias("kind")))
-        exact = F.transform(_exact_windows("size"), lambda w: F.struct(w["pos"].alias("pos"), w["h"].alias("h"), F.lit(False).alias("run"), F.lit(2).alias("kind")))
-        none = F.array().cast("array<struct<pos:int,h:bigint,run:boolean,kind:int>>")
-        found = texts.withColumn("size", F.lit(size)).select("doc_id", F.explode(F.concat(*(F.coalesce(x, none) for x in (plain, wide, exact)))).alias("w"))
-        found = found.select("doc_id", "w.kind", F.col("w.pos").alias("doc_pos"), "w.h", "w.run").join(side.where(F.col("size") == size), ["kind", "h"])
-        found = found.select("kind", "doc_id", "item_id", "size", "n_item", (F.col("wide") | F.col("run")).alias("wide"), "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("shift"))
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        hits = docs.sparkSession.createDataFrame([], "kind int, doc_id long, item_id long, size int, n_item int, wide boolean, item_pos int, shift int")
-    runs = hits.groupBy("kind", "doc_id", "item_id", "n_item", "size", "wide", "shift").agg(F.count_distinct("item_pos").alias("n"), F.min("item_pos").alias("lo"), F.max("item_pos").alias("hi"))
-    runs = staged(runs.withColumn("matched", F.least(F.col("n") + F.col("size") - 1, "n_item")), "bench-runs")
-    whole = runs.where(~F.col("wide") & (F.col("matched") >= _needed("n_item")))
-    first = staged(_checked(whole, docs, benchmark), "bench-leaks")
-    rest = runs.join(first.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti")
-    return first.unionByName(_aligned(rest, docs, benchmark))
-
-
-def _needed(size) -> Column:
+    items = staged(benchmark_items(benchmark), "bench-items")
+    bench = staged(benchmark_windows(items, window), "bench-windows")
+    shapes = sorted(map(tuple, bench.select("kind", "size").distinct().collect()))  # three kinds, at most ``window`` sizes
+    few = bench.count() <= broadcast_windows
+    small = F.broadcast if few else lambda df: df
+    if not shapes:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, matched_words long, item_words long, n_slots long, n_changed long, consistent boolean")
+    hits = document_windows(docs, shapes).join(small(bench), "key")
+    shift = F.col("doc_pos") - F.col("item_pos")
+    runs = hits.groupBy("kind", "doc_id", "doc_part", "item_id", "item_part", shift.alias("shift")).agg(F.count_distinct("item_pos").alias("n"), F.min("item_pos").alias("lo"))
+    band = F.floor(F.col("shift") / BAND).alias("band")
+    anchors = runs.groupBy("kind", "doc_id", "doc_part", "item_id", "item_part", band).agg(F.max(F.struct("n", "lo", "shift")).alias("a"))
+    anchors = staged(anchors.select("kind", "doc_id", "doc_part", "item_id", "item_part", "a.shift"), "bench-anchors")
+    return _best(_aligned(anchors, docs, items, small))
+
+
+def _needed(size: Column) -> Column:
     """Words that must agree of ``size``."""
-    return F.least(size, F.greatest(F.lit(WORDS), F.ceil((F.col(size) if isinstance(size, str) else size) * SHARE)))
+    return F.least(size, F.greatest(F.lit(WORDS), F.ceil(size * SHARE)))
 
 
-def _texts_of(runs: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``runs`` with the words of their documents (dw) and items (iw)."""
-    doc_words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    doc_words = doc_words.join(runs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("dw"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(text_or_empty()).alias("iw")).where("item_id is not null").dropDuplicates(["item_id"])
-    return runs.join(doc_words, "doc_id").join(items, "item_id")
+def _let(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once: the optimizer doesn't copy expressions through a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
-def _aligned(runs: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Leaks among pairs that share a window, by the words of the collapsed templates that agree.
+def _aligned(anchors: DataFrame, docs: DataFrame, items: DataFrame, small) -> DataFrame:
+    """Anchors with ``matched`` and ``slots``, of pairs whose template words agree in number.
 
-    A word agrees if it stands on one of the diagonals around the window and a neighbour agrees there too;
-    the nearest diagonal counts. An unchanged slot counts all its words, a changed one 1; half
-    of the item's words must agree, or half of its collapsed words. The first and last slot may
-    run on into the words around, so their values aren't compared.
+    A word agrees if it stands on one of the diagonals around the anchor and a neighbour agrees
+    there too; the nearest diagonal counts. An unchanged slot counts all its words, a changed one
+    1; of the item's words enough must agree, or of its template's. The first and last
+    slot may run on into the words around, so their values aren't compared.
     """
-    anchors = runs.groupBy("kind", "doc_id", "item_id", "n_item", F.floor(F.col("shift") / BAND).alias("band")).agg(F.max(F.struct("n", "lo", "shift")).alias("a"))
-    met = _texts_of(anchors.select("kind", "doc_id", "item_id", "n_item", "a.lo", "a.shift"), docs, benchmark)
-    margin = F.col("n_item") + BAND
-    met = met.withColumn("cut", F.greatest(F.lit(0), F.col("shift") - margin)).withColumn("dw", F.slice("dw", F.col("cut") + 1, F.col("n_item") + 2 * margin))
-    for side in "id":
-        template = F.when(F.col("kind") == 0, F.transform(f"{side}w", canonical)).otherwise(F.transform(f"{side}w", canonical_lower))
-        met = met.withColumn(f"{side}t", template)
-    # staged between the steps, or the optimizer writes each array's expression into every use of it
-    met = staged(met, "bench-near").withColumns({"is": _starts("it"), "ds": _starts("dt")})
-    met = staged(met, "bench-near").withColumns({"ic": _collapsed("i"), "dc": _collapsed("d")})
-    met = met.withColumn("base", F.size(F.filter("ds", lambda s: s <= F.col("lo") + F.col("shift") - F.col("cut"))) - F.size(F.filter("is", lambda s: s <= F.col("lo"))))
-    met = staged(met.select("kind", "doc_id", "item_id", "n_item", "ic", "dc", "base", "shift"), "bench-near")
+    near = _identified(docs, "doc_id").join(anchors.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "doc_part"])
+    near = _templates_of(near).withColumnRenamed("full", "dt").drop("n_raw")
+    met = anchors.join(small(items), ["kind", "item_id", "item_part"]).join(near, ["kind", "doc_id", "doc_part"])
+    cut = F.greatest(F.lit(0), F.col("shift") - BAND - 1)
+    met = met.select("kind", "doc_id", "item_id", "n_item", "it", "shift", (F.col("shift") - cut).alias("base"), F.slice("dt", cut + 1, F.size("it") + 2 * BAND + 3).alias("dt"))
+    met = _let(met, iw=F.col("it.w"), dw=F.col("dt.w"), n=F.size("it"))
+
+    def bigrams(c):
+        return F.when(F.size(c) > 1, F.transform(F.slice(c, 1, F.size(c) - 1), lambda x, i: F.xxhash64(x, F.get(c, i + 1)))).otherwise(F.array().cast("array<long>"))
+
+    # a cheap bound first: words whose bigram is anywhere near
+    met = _let(met, ib=bigrams(F.col("iw")), db=bigrams(F.col("dw")))
+    met = _let(met, common=F.array_intersect("ib", "db"))
+    held = F.filter("it", lambda x, p: (F.col("n") == 1) | F.coalesce(F.array_contains("common", F.get("ib", p)), F.lit(False)) | F.coalesce(F.array_contains("common", F.get("ib", p - 1)), F.lit(False)))
+    met = _let(met, held=held)
+    width = F.aggregate("held", F.lit(0), lambda s, x: s + x["width"])
+    met = _let(met, hopeful=(width >= _needed(F.col("n_item"))) | (F.size("held") >= _needed(F.col("n")))).where("hopeful")
 
     def agrees(p, q):
-        return F.get("ic", p)["w"] == F.get("dc", q)["w"]
+        return F.coalesce(F.get("iw", p) == F.get("dw", q), F.lit(False))
 
     def partner(p):
         def at(b):
             q = p + F.col("base") + b
-            return F.when(agrees(p, q) & (F.coalesce(agrees(p - 1, q - 1), F.lit(False)) | F.coalesce(agrees(p + 1, q + 1), F.lit(False))), F.struct(F.abs(b).alias("far"), q.alias("q")))
+            return F.when(agrees(p, q) & ((F.col("n") == 1) | agrees(p - 1, q - 1) | agrees(p + 1, q + 1)), F.struct(F.abs(b).alias("far"), q.alias("q")))
 
         return F.array_min(F.filter(F.transform(F.sequence(F.lit(-BAND), F.lit(BAND)), at), lambda x: x.isNotNull()))["q"]
 
-    both = F.transform("ic", lambda x, p: F.struct(x["w"].alias("w"), x["v"].alias("i"), x["width"].alias("width"), F.get("dc", partner(p))["v"].alias("d"), ((p > 0) & (p < F.size("ic") - 1)).alias("inner")))
-    met = staged(met.withColumn("both", both), "bench-near").withColumn("pairs", F.filter("both", lambda x: x["d"].isNotNull()))
-    same = F.aggregate("pairs", F.lit(0), lambda n, x: n + F.when(is_slot(x["w"]) & (x["i"] == x["d"]), x["width"]).otherwise(1))
-    met = staged(met, "bench-near").withColumns({"same": same, "slots": F.transform(F.filter("pairs", lambda x: is_slot(x["w"]) & x["inner"]), lambda x: F.struct(x["i"].alias("i"), x["d"].alias("d")))})
-    met = staged(met, "bench-near").where((F.col("same") >= _needed("n_item")) | (F.size("pairs") >= _needed(F.size("ic"))))
-    return _best(met.withColumn("matched", F.col("same")))
-
-
-def _collapsed(side: str) -> Column:
-    """array<struct<w, v, width>>: words of the collapsed template, what they stand for and how many words that is."""
-    starts, raw = F.col(f"{side}s"), F.col(f"{side}w")
-
-    def word(s, k):
-        width = F.coalesce(F.get(starts, k + 1), F.size(raw)) - s
-        return F.struct(F.get(f"{side}t", s).alias("w"), F.array_join(F.slice(raw, s + 1, width), " ").alias("v"), width.alias("width"))
-
-    return F.transform(starts, word)
-
-
-def _checked(runs: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Compare the slots of each run with the benchmark's; keep consistent ones, the best of each pair."""
-    met = _texts_of(runs, docs, benchmark)
-    span = F.col("hi") - F.col("lo") + F.col("size")
-    met = met.withColumn("iw", F.slice("iw", F.col("lo") + 1, span)).withColumn("dw", F.slice("dw", F.col("lo") + F.col("shift") + 1, span))
-    pairs = F.zip_with("iw", "dw", lambda i, d: F.struct(i.alias("i"), d.alias("d")))
-    slots = F.filter(pairs, lambda s: is_slot(F.when(F.col("kind") == 0, canonical(s["i"])).otherwise(canonical_lower(s["i"]))))
-    return _best(met.withColumn("slots", slots))
+    both = F.transform("it", lambda x, p: F.struct(_is_slot(x["w"]).alias("slot"), x["v"].alias("i"), x["width"].alias("width"), F.get("dt", partner(p))["v"].alias("d"), ((p > 0) & (p < F.col("n") - 1)).alias("inner")))
+    met = _let(met, pairs=F.filter(both, lambda x: x["d"].isNotNull()))
+    same = F.aggregate("pairs", F.lit(0), lambda s, x: s + F.when(x["slot"] & (x["i"] == x["d"]), x["width"]).otherwise(1))
+    met = _let(met, matched=same, slots=F.filter("pairs", lambda x: x["slot"] & x["inner"]))
+    return met.where((F.col("matched") >= _needed(F.col("n_item"))) | (F.size("pairs") >= _needed(F.col("n"))))
 
 
 def _best(met: DataFrame) -> DataFrame:
-    """The rows whose ``slots`` (pairs i, d) are consistent or hardly changed, the best of each pair."""
-    changed = F.size(F.filter("slots", lambda s: ~s["i"].eqNullSafe(s["d"])))
-    one_to_one = F.size(F.array_distinct(F.transform("slots", lambda s: s["i"]))) == F.size(F.array_distinct("slots"))
-    met = met.select("doc_id", "item_id", F.col("matched").cast("long").alias("matched_words"), F.col("n_item").cast("long").alias("item_words"), F.size("slots").cast("long").alias("n_slots"), changed.cast("long").alias("n_changed"), one_to_one.alias("consistent"), "shift", "kind")
+    """The rows whose ``slots`` are consistent or hardly changed, the best of each document and item."""
+    wide = lambda keep: F.aggregate(F.filter("slots", keep), F.lit(0), lambda s, x: s + x["width"])
+    changed, every = wide(lambda x: x["i"] != x["d"]), wide(lambda x: F.lit(True))
+    one_to_one = F.size(F.array_distinct(F.transform("slots", lambda s: s["i"]))) == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["i"], s["d"]))))
+    met = met.select("doc_id", "item_id", F.col("matched").cast("long").alias("matched_words"), F.col("n_item").cast("long").alias("item_words"), every.cast("long").alias("n_slots"), changed.cast("long").alias("n_changed"), one_to_one.alias("consistent"), "shift", "kind")
     good = met.where(F.col("consistent") | (F.col("n_changed") * 10 <= F.col("n_slots")))
-    best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("matched_words"), -F.col("kind"), -F.col("n_changed"), -F.col("shift"), F.struct("item_words", "n_slots", "n_changed", "consistent").alias("rest"))).alias("b"))
+    best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("matched_words"), F.col("kind"), -F.col("n_changed"), -F.col("shift"), F.struct("item_words", "n_slots", "n_changed", "consistent").alias("rest"))).alias("b"))
     return best.select("doc_id", "item_id", "b.matched_words", "b.rest.item_words", "b.rest.n_slots", "b.rest.n_changed", "b.rest.consistent")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item or half of one; null doc_ids stay."""
-    return docs.join(contamination(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the documents that hold a benchmark item or half of one; null doc_ids stay.
+
+    Rows that share a doc_id go together; null texts hold nothing; an empty benchmark drops nothing.
+    """
+    return docs.join(contamination(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*quoted(docs.columns))

@@ -72,3 +72,8 @@ def batches_of(it, max_rows: int = 512):
 
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by name, whatever dots or backticks the names hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]

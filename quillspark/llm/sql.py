@@ -4,7 +4,7 @@ The others (token files, packing, 64-bit SimHash, learnt scores, patterns with l
 are held against brute force in the tests.
 """
 
-from .decontam import LITERALS, NAME, NUMBER, SHARE, UNIT, UNITS, WINDOW, WORDS
+from .decontam import BAND, LITERALS, SHARE, UNITS, WINDOW, WORDS
 from .licences import AGREE, BASE, STOP, TEMPLATES, TOP_WORDS
 
 _PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -28,24 +28,30 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b
 degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
 SELECT r.a AS vec_id, coalesce(any_value(d.n), 0) AS n_links, min(r.b) AS component_id, r.a = min(r.b) AS kept FROM reach r LEFT JOIN degree d ON d.a = r.a GROUP BY r.a"""
 
-_CANON = f"CASE WHEN lower(left(w, 1)) <> left(w, 1) THEN '{NAME}' WHEN left(w, 1) BETWEEN '0' AND '9' THEN '{NUMBER}' WHEN w IN ({', '.join(repr(u) for u in UNITS)}) THEN '{UNIT}' ELSE w END"
-_LOWER = f"CASE WHEN left(w, 1) BETWEEN '0' AND '9' THEN '{NUMBER}' WHEN lower(w) IN ({', '.join(repr(u) for u in UNITS)}) THEN '{UNIT}' ELSE lower(w) END"
-_SLOTS = f"('{NAME}', '{NUMBER}', '{UNIT}')"
+_NEEDED = "least({0}, greatest(" + str(WORDS) + ", ceil({0} * " + str(SHARE) + ")))"
+_RAW = r"list_filter(string_split_regex(translate(coalesce(text, ''), chr(304) || chr(1) || chr(2) || chr(3), 'I   '), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
 OP9 = rf"""
-WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS r FROM documents WHERE doc_id IS NOT NULL),
-dt AS (SELECT 0 AS kind, doc_id, r, list_transform(r, lambda w: {_CANON}) AS t FROM d UNION ALL SELECT 1, doc_id, r, list_transform(r, lambda w: {_LOWER}) FROM d),
-i AS (SELECT item_id, list_filter(string_split_regex(coalesce(text, ''), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS r FROM benchmark WHERE item_id IS NOT NULL),
-it AS (SELECT kind, item_id, r, CASE WHEN kind = 0 THEN list_transform(r, lambda w: {_CANON}) ELSE list_transform(r, lambda w: {_LOWER}) END AS t, len(r) AS n, least(len(r), {WINDOW}) AS size FROM i, (VALUES (0), (1)) k(kind) WHERE len(r) > 0),
-bw0 AS (SELECT kind, item_id, n, size, t, unnest(range(0, n - size + 1)) AS p FROM it),
-bw AS (SELECT kind, item_id, n, size, p, array_to_string(t[p + 1:p + size], ' ') AS k FROM bw0 WHERE len(list_filter(t[p + 1:p + size], lambda w: w NOT IN {_SLOTS})) >= least({LITERALS}, size) OR n <= size),
-dw0 AS (SELECT kind, doc_id, size, t, unnest(range(0, len(t) - size + 1)) AS p FROM dt, (SELECT DISTINCT size FROM bw) WHERE len(t) >= size),
-dw AS (SELECT kind, doc_id, size, p, array_to_string(t[p + 1:p + size], ' ') AS k FROM dw0),
-runs AS (SELECT kind, doc_id, item_id, n, size, dw.p - bw.p AS shift, count(DISTINCT bw.p) AS m, min(bw.p) AS lo, max(bw.p) AS hi FROM dw JOIN bw USING (kind, k, size) GROUP BY ALL),
-good AS (SELECT *, least(m + size - 1, n) AS matched FROM runs WHERE least(m + size - 1, n) >= least(n, greatest({WORDS}, ceil(n * {SHARE})))),
-each_word AS (SELECT g.kind, g.doc_id, g.item_id, g.n, g.matched, g.shift, it.r AS ir, it.t AS t, dt.r AS dr, unnest(range(lo, hi + g.size)) AS k FROM good g JOIN dt USING (kind, doc_id) JOIN it ON it.kind = g.kind AND it.item_id = g.item_id),
-slots AS (SELECT kind, doc_id, item_id, n, matched, shift, ir[k + 1] AS a, dr[k + shift + 1] AS b, t[k + 1] IN {_SLOTS} AS slot FROM each_word),
-met AS (SELECT kind, doc_id, item_id, n AS item_words, matched, shift, count(*) FILTER (slot) AS n_slots, count(*) FILTER (slot AND a <> b) AS n_changed, count(DISTINCT a) FILTER (slot) = count(DISTINCT a || chr(0) || b) FILTER (slot) AS consistent FROM slots GROUP BY ALL)
-SELECT doc_id, item_id, matched::BIGINT AS matched_words, item_words::BIGINT AS item_words, n_slots, n_changed, consistent FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, kind, n_changed, shift) AS nth FROM met WHERE consistent OR n_changed * 10 <= n_slots) WHERE nth = 1"""
+WITH src AS (SELECT 'd' AS side, doc_id AS id, {_RAW} AS r FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT 'i', item_id, {_RAW} FROM benchmark WHERE item_id IS NOT NULL),
+marked AS (SELECT *, list_transform(range(1, len(r) + 1), lambda i: CASE WHEN kind = 2 THEN '' WHEN regexp_matches(r[i], '^[0-9]') THEN chr(2) WHEN i > 1 AND regexp_matches(r[i - 1], '^[0-9]') AND lower(r[i]) IN ({', '.join(repr(u) for u in UNITS)}) THEN chr(3) WHEN kind = 0 AND regexp_matches(r[i], '^[\p{{Lu}}\p{{Lt}}]') THEN chr(1) ELSE '' END) AS m FROM src, (VALUES (0), (1), (2)) k(kind) WHERE len(r) > 0),
+started AS (SELECT *, list_filter(range(1, len(r) + 1), lambda i: m[i] IN ('', chr(3)) OR i = 1 OR m[i - 1] <> m[i]) AS s FROM marked),
+tpl AS (SELECT side, id, kind, len(r) AS n_raw, len(s) AS n, list_transform(s, lambda i: CASE WHEN m[i] <> '' THEN m[i] ELSE lower(r[i]) END) AS t,
+  list_transform(range(1, len(s) + 1), lambda k: array_to_string(r[s[k]:coalesce(s[k + 1], len(r) + 1) - 1], ' ')) AS v, list_transform(range(1, len(s) + 1), lambda k: coalesce(s[k + 1], len(r) + 1) - s[k]) AS width FROM started),
+it AS (SELECT *, least(n, {WINDOW}) AS size FROM tpl WHERE side = 'i'),
+bw0 AS (SELECT kind, id AS item_id, size, p, t[p + 1:p + size] AS win FROM (SELECT *, unnest(range(0, n - size + 1)) AS p FROM it)),
+bw AS (SELECT kind, item_id, size, p, array_to_string(win, ' ') AS k FROM bw0 WHERE CASE WHEN kind = 2 THEN len(list_filter(win, lambda w: NOT regexp_matches(w, '^[0-9]') AND w NOT IN ({', '.join(repr(u) for u in UNITS)}))) < {LITERALS}
+  ELSE len(list_filter(win, lambda w: w NOT IN (chr(1), chr(2), chr(3)))) >= {LITERALS} AND (kind = 1 OR list_contains(win, chr(1))) END),
+dw AS (SELECT kind, id AS doc_id, size, p, array_to_string(t[p + 1:p + size], ' ') AS k FROM (SELECT *, unnest(range(0, n - size + 1)) AS p FROM tpl JOIN (SELECT DISTINCT kind, size FROM bw) USING (kind) WHERE side = 'd' AND n >= size)),
+runs AS (SELECT kind, doc_id, item_id, dw.p - bw.p AS shift, count(DISTINCT bw.p) AS m, min(bw.p) AS lo FROM dw JOIN bw USING (kind, k, size) GROUP BY ALL),
+anchors AS (SELECT kind, doc_id, item_id, shift FROM (SELECT *, row_number() OVER (PARTITION BY kind, doc_id, item_id, floor(shift / {BAND}.0) ORDER BY m DESC, lo DESC, shift DESC) AS nth FROM runs) WHERE nth = 1),
+each_word AS (SELECT a.*, unnest(range(0, it.n)) AS p FROM anchors a JOIN it ON it.kind = a.kind AND it.id = a.item_id),
+near AS (SELECT *, unnest(range(p + shift - {BAND}, p + shift + {BAND} + 1)) AS q FROM each_word),
+agreed AS (SELECT near.kind, doc_id, item_id, shift, p, it.n_raw AS n_item, it.n, it.t[p + 1] IN (chr(1), chr(2), chr(3)) AS slot, it.v[p + 1] AS i, dt.v[q + 1] AS d, it.width[p + 1] AS width, p > 0 AND p < it.n - 1 AS inside,
+  row_number() OVER (PARTITION BY near.kind, doc_id, item_id, shift, p ORDER BY abs(q - p - shift), q) AS nth
+  FROM near JOIN it ON it.kind = near.kind AND it.id = item_id JOIN tpl dt ON dt.side = 'd' AND dt.kind = near.kind AND dt.id = doc_id WHERE q >= 0 AND it.t[p + 1] = dt.t[q + 1] AND (it.n = 1 OR (p > 0 AND q > 0 AND it.t[p] = dt.t[q]) OR it.t[p + 2] = dt.t[q + 2])),
+met AS (SELECT kind, doc_id, item_id, shift, n_item, n, count(*) AS n_pairs, sum(CASE WHEN slot AND i = d THEN width ELSE 1 END) AS matched, coalesce(sum(width) FILTER (slot AND inside), 0) AS n_slots, coalesce(sum(width) FILTER (slot AND inside AND i <> d), 0) AS n_changed,
+  count(DISTINCT i) FILTER (slot AND inside) = count(DISTINCT i || chr(0) || d) FILTER (slot AND inside) AS consistent FROM agreed WHERE nth = 1 GROUP BY ALL),
+good AS (SELECT * FROM met WHERE (matched >= {_NEEDED.format("n_item")} OR n_pairs >= {_NEEDED.format("n")}) AND (consistent OR n_changed * 10 <= n_slots))
+SELECT doc_id, item_id, matched::BIGINT AS matched_words, n_item::BIGINT AS item_words, n_slots::BIGINT AS n_slots, n_changed::BIGINT AS n_changed, consistent FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, kind DESC, n_changed, shift) AS nth FROM good) WHERE nth = 1"""
 
 
 def _values(rows) -> str:

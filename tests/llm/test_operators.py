@@ -457,6 +457,29 @@ def test_decontamination_of_numeric_items(spark):
     assert got.keys() == {(1, 1), (2, 2)} and all(r.n_changed == 0 for r in got.values())
 
 
+def test_decontamination_of_odd_rows(spark):
+    long = " ".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(30))
+    other = " ".join(f"z{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(30))
+    bench = spark.createDataFrame([(1, long), (1, other), (1, long), (2, None), (3, " .,"), (4, "word"), (5, "7 8 9")], "item_id long, text string")
+    rows = [(1, "a " + long, 0), (1, "nothing", 0), (2, "b " + other, 0), (3, "x " * 30_000 + long, 0), (3, "x " * 30_000 + long, 0), (4, "one word", 0), (5, "6 7 8 9", 0), (6, "5 6 7 8", 0), (7, None, 0), (None, long, 0), (8, long.upper().replace("W", "\u0130"), 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int")
+    want = {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)}
+    for limit in (decontam.BROADCAST_WINDOWS, 0):  # both ways to join
+        got = decontam.contamination(docs, bench, broadcast_windows=limit).collect()
+        assert len(got) == len(want) and {(r.doc_id, r.item_id) for r in got} == want
+    kept = decontam.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 6, 7, 8]
+
+
+def test_templates_agree(spark, docs):
+    """The pattern form and the word-by-word form of a template are the same."""
+    odd = spark.createDataFrame([(1, "12 13 km km Km 5 Km Paris New York 7km \u01c5x \u0130x \x01\x02 A\x03b 4,000.5 MILES 3 Miles"), (2, "\u0663 km 1e5 Éa ßb 'S 5 km 6")], "doc_id long, text string")
+    both = docs.select("text").unionByName(odd.select("text")).select(decontam.words(F.col("text")).alias("raw"), *(decontam.template(F.col("text"), k).alias(f"t{k}") for k in decontam.KINDS))
+    for k in decontam.KINDS:
+        rows = both.select(f"t{k}", decontam._full("raw", k)["w"].alias("w")).collect()
+        assert all(r[0] == r[1] for r in rows)
+
+
 # op10
 
 
