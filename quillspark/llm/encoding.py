@@ -5,17 +5,26 @@ non-space character: the byte-level one starts a new piece there and the word-le
 white space. So a text is cut at those places, each distinct part is encoded once by the
 library and the ids are joined. A text with a special token's string in it is encoded whole.
 A part of plain Latin letters is one piece for either vocabulary and goes straight to the
-library's merge model; marks after the letters are the next piece.
+library's merge model; marks after the letters are the next piece. A vocabulary that splits
+texts in any other way is used on whole texts, without cuts and memo.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 
-#: Words kept by a worker process. The memo starts anew when it is full.
-MEMO_WORDS = 700_000
+#: Bytes that a memo of a worker process may take, by estimate. It starts anew when it is full.
+MEMO_BYTES = 80 << 20
+#: Longer parts aren't kept: texts without spaces would fill the memo.
+MEMO_PART = 64
+#: How the two known vocabularies normalise and split texts.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_WORD_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_WORD_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+KNOWN = ((None, _BYTE_LEVEL), (_WORD_NORMAL, {"type": "Sequence", "pretokenizers": [_WORD_SPLIT, _BYTE_LEVEL | {"use_regex": False}]}))
 
 _SPACE = re.compile(r"(?<=\S)(?= )")
 #: White space other than U+0020 that may stand before a space; then the slow cut is needed.
@@ -44,13 +53,16 @@ class _Memo(dict):
 
     def __init__(self, ids):
         super().__init__()
-        self.make = ids
+        self.make, self.size = ids, 0
 
     def __missing__(self, part: str) -> bytes:
         ids = self.make(part)
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[part] = ids
+        if len(part) <= MEMO_PART:
+            self.size += len(part) + len(ids) + 200
+            if self.size > MEMO_BYTES:
+                self.clear()
+                self.size = len(part) + len(ids) + 200
+            self[part] = ids
         return ids
 
 
@@ -62,6 +74,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            described = json.load(f)
+        self.known = (described["normalizer"], described["pre_tokenizer"]) in KNOWN
         self.model = self.tokenizer.model
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
@@ -97,7 +112,7 @@ class Encoder:
         return self._encode(" " + word)
 
     def ids(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if not self.known or any(s in text for s in self.special):
             return self._encode(text)
         if not any(x in text for x in (_ODD_ASCII if text.isascii() else _ODD)):
             words = text.split(" ")

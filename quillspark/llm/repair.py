@@ -30,12 +30,12 @@ from .shared import batches_of, scratch, split_uri, staged, text_or_empty, write
 MAGIC = b"RPR1"
 #: Ids in a shard file at most, but for one longer document.
 SHARD_IDS = 4_000_000
-ROUNDS = 6
-#: Pairs replaced in one round at most, and times that a pair must occur.
-PAIRS_A_ROUND = 1024
-MIN_COUNT = 64
+#: Bytes that a rule takes in the file; a pair is replaced if its occurrences save more.
+RULE_BYTES = 12
+#: A round that leaves more than this share of the symbols is the last.
+LAST_ROUND = 0.99
 #: Expansion lengths stay below this, so that decoding any symbol is bounded work.
-MAX_EXPANSION = 256
+MAX_EXPANSION = 1024
 
 
 @dataclass
@@ -49,64 +49,94 @@ class Grammar:
 
 
 def compress(ids: np.ndarray, sizes: np.ndarray, vocab: int) -> Grammar:
-    """Replace frequent pairs until none is frequent or the rounds are over.
+    """Replace frequent pairs, round after round, until a round saves less than a hundredth.
 
-    A round takes the most frequent pairs such that no symbol is both a left and a right one
-    among them; then no two occurrences overlap and all are replaced at once. Pairs don't
-    cross documents.
+    A round takes pairs from the most frequent down, to a count that falls from round to round
+    as far as a rule pays for itself. No symbol is both a left and a right one among them, so
+    no two occurrences overlap and all are replaced at once; a pair of equal symbols is taken
+    alone and from the left. Pairs don't cross documents. Symbols of two bytes end where
+    rules would make them four.
     """
-    narrow = vocab + ROUNDS * PAIRS_A_ROUND <= 1 << 16
+    narrow = vocab < 1 << 16
     seq = ids.astype(np.uint16 if narrow else np.uint32)
     shift, wide = (np.uint32(16), np.uint32) if narrow else (np.uint64(32), np.uint64)
+    least = RULE_BYTES // seq.itemsize + 1
     first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     left, right, length = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)], np.ones(vocab, np.uint32)
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    floor = max(least, len(seq) >> 11)
+    while len(seq) > 1:
         keys = (seq[:-1].astype(wide) << shift) | seq[1:]
         inner = np.ones(len(keys), bool)
         cuts = first[1:-1]
         inner[cuts[(cuts > 0) & (cuts <= len(keys))] - 1] = False
-        pairs, counts = _frequent(keys[inner])
+        pairs, counts = _frequent(keys, inner, floor)
         a, b = (pairs >> shift).astype(np.int64), (pairs & wide((1 << int(shift)) - 1)).astype(np.int64)
-        fits = length[a] + length[b] <= MAX_EXPANSION
-        side, chosen = np.zeros(len(length), np.int8), []
-        for k in np.nonzero(fits)[0].tolist():
-            x, y = a[k], b[k]
-            if x != y and side[x] != 2 and side[y] != 1:
-                side[x], side[y] = 1, 2
-                chosen.append(k)
-                if len(chosen) == PAIRS_A_ROUND:
-                    break
-        if not chosen:
-            break
-        order = np.argsort(pairs[chosen])
-        picked = np.array(chosen)[order]
+        room = (1 << 16) - len(length) if narrow else len(pairs)
+        chosen = _compatible(a, b, length[a] + length[b] <= MAX_EXPANSION, len(length))[:room]
+        if not len(chosen):
+            if floor == least or not room:
+                break
+            floor = max(least, floor >> 2)
+            continue
+        picked = chosen[np.argsort(pairs[chosen])]
+        side = np.zeros(len(length), np.int8)
+        side[a[picked]] |= 1
+        side[b[picked]] |= 2
         new = len(length)
-        at = np.nonzero((side[seq[:-1]] == 1) & (side[seq[1:]] == 2) & inner)[0]
+        at = np.nonzero(((side[seq] & 1)[:-1] != 0) & ((side[seq] & 2)[1:] != 0) & inner)[0]
         slot = np.searchsorted(pairs[picked], keys[at])
         slot[slot == len(picked)] = 0
         hit = pairs[picked][slot] == keys[at]
         at, slot = at[hit], slot[hit]
+        if (a[picked] == b[picked]).any():
+            twice = (a[picked] == b[picked])[slot]
+            # in a run of one symbol every second place begins a pair
+            begins = np.append(True, (np.diff(at) > 1) | (slot[1:] != slot[:-1]))
+            since = np.arange(len(at)) - np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
+            at, slot = at[~twice | (since % 2 == 0)], slot[~twice | (since % 2 == 0)]
         seq[at] = (new + slot).astype(seq.dtype)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         # a document's first symbol moves back by the symbols dropped before it
         first = first - np.searchsorted(at + 1, first)
-        seq = seq[keep]
+        before, seq = len(seq), seq[keep]
         left.append(a[picked].astype(np.uint32))
         right.append(b[picked].astype(np.uint32))
         length = np.concatenate([length, length[a[picked]] + length[b[picked]]])
+        if floor == least and len(seq) > LAST_ROUND * before:
+            break
+        floor = max(least, floor >> 2)
     return Grammar(vocab, np.concatenate(left), np.concatenate(right), length[vocab:], seq, first.astype(np.uint32))
 
 
-def _frequent(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that occur MIN_COUNT times or more, most frequent first."""
-    keys = np.sort(keys)
-    # a key that occurs often enough is equal MIN_COUNT - 1 places on
-    ahead = keys[MIN_COUNT - 1 :] == keys[: len(keys) - MIN_COUNT + 1]
-    pairs = np.unique(keys[: len(ahead)][ahead])
-    counts = np.searchsorted(keys, pairs, "right") - np.searchsorted(keys, pairs, "left")
+def _compatible(a: np.ndarray, b: np.ndarray, fits: np.ndarray, symbols: int) -> np.ndarray:
+    """Places of pairs, most frequent first, such that no symbol is on both sides but in a pair of its own."""
+    side, chosen = bytearray(symbols), []
+    for k, x, y in zip(np.nonzero(fits)[0].tolist(), a[fits].tolist(), b[fits].tolist()):
+        if x == y:
+            if not side[x]:
+                side[x] = 3
+                chosen.append(k)
+        elif side[x] < 2 and side[y] in (0, 2):
+            side[x], side[y] = 1, 2
+            chosen.append(k)
+    return np.array(chosen, np.int64)
+
+
+def _frequent(keys: np.ndarray, inner: np.ndarray, floor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that occur ``floor`` times or more, most frequent first.
+
+    Keys are counted by hash first: only those in a bucket with enough of them are sorted.
+    """
+    mixed = keys * keys.dtype.type(0x9E3779B1)
+    bucket = (mixed >> keys.dtype.type(8 * keys.itemsize - 20)).astype(np.int32)
+    heavy = np.bincount(bucket, minlength=1 << 20) >= floor
+    keys = np.sort(keys[heavy[bucket] & inner])
+    if len(keys) < floor:
+        return keys[:0], np.empty(0, np.int64)
+    heads = np.nonzero(np.append(True, keys[1:] != keys[:-1]))[0]
+    counts = np.diff(np.append(heads, len(keys)))
+    pairs, counts = keys[heads][counts >= floor], counts[counts >= floor]
     order = np.lexsort((pairs, -counts))
     return pairs[order], counts[order]
 
