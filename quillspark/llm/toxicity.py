@@ -2,8 +2,9 @@
 
 Features are hashed n-grams of lower-cased code points, presence only. Each is scaled by its
 log-count ratio r = log((p + a) / |p|_1) - log((q + a) / |q|_1), p and q being the numbers of
-toxic and clean training texts with the n-gram; a logistic regression is fitted on the
-features of largest ratio. Whole texts are counted and scored, never prefixes.
+toxic and clean training texts with the n-gram. A ratio is drawn towards zero by SIGMAS of its
+standard errors, so an n-gram seen too seldom to tell the classes apart has none; all others
+are features. Whole texts are counted and scored, never prefixes.
 """
 
 from collections.abc import Iterator
@@ -19,11 +20,11 @@ from .shared import batches_of, staged, text_or_empty
 
 BITS = 18
 ORDERS = (3, 4, 5, 6)
-#: At most this many labelled rows are learnt from, those with the least hash of their doc_id.
+#: At most this many labelled rows are learnt from, those with the least hash of doc_id and text.
 MAX_TRAIN_ROWS = 8000
-#: At most this many n-gram bins get a weight.
-MAX_FEATURES = 4096
 SMOOTHING = 1.0
+#: Standard errors by which a log-count ratio is drawn towards zero.
+SIGMAS = 3.0
 HELD_OUT_OF = 5
 
 
@@ -65,14 +66,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_
     """(text, toxic) of labelled rows that aren't held out, at most ``max_rows``.
 
     Rows with a null id or label are left out. Of several labels of an id the greatest
-    counts. The chosen ids are at most ``max_rows``, so they are broadcast.
+    counts; equal rows count once, texts that share an id are rows of their own. The chosen
+    keys are at most ``max_rows``, so they are broadcast.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     marks = marks.where(~F.coalesce(held_out(), F.lit(True))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    marks = marks.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return texts.join(F.broadcast(marks), "doc_id").select("text", "toxic")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("part", F.xxhash64("text"))
+    chosen = texts.select("doc_id", "part").join(marks, "doc_id").distinct().orderBy(F.xxhash64("doc_id", "part"), "doc_id", "part").limit(max_rows)
+    return texts.join(F.broadcast(chosen), ["doc_id", "part"]).dropDuplicates(["doc_id", "part"]).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model:
@@ -95,8 +96,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> M
         return Model(weights, 20.0 if n_pos else -20.0)
     total = counts.agg(F.sum("pos"), F.sum("neg")).first()
     ratio = F.log((F.col("pos") + SMOOTHING) / F.lit(float(total[0] + SMOOTHING))) - F.log((F.col("neg") + SMOOTHING) / F.lit(float(total[1] + SMOOTHING)))
-    # the strength of a ratio: it must be large and seen often enough not to be chance
-    best = counts.withColumn("r", ratio).orderBy(F.desc(F.abs("r") * F.sqrt(F.col("pos") + F.col("neg"))), "bin").limit(MAX_FEATURES).toPandas()
+    error = F.sqrt(1 / (F.col("pos") + SMOOTHING) + 1 / (F.col("neg") + SMOOTHING))
+    drawn = F.signum("r") * F.greatest(F.abs("r") - SIGMAS * F.col("error"), F.lit(0.0))
+    # every bin with a ratio: 2 ** BITS rows at most
+    best = counts.select("bin", ratio.alias("r"), error.alias("error")).select("bin", drawn.alias("r")).where("r <> 0").toPandas()
     wanted, ratios = np.zeros(1 << BITS, bool), np.zeros(1 << BITS)
     wanted[best["bin"]] = True
     ratios[best["bin"]] = best["r"]
@@ -106,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> M
             sets = [present(t, wanted).astype("<u4").tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), batch.column(1).cast(pa.int32())], names=["bins", "toxic"])
 
-    # at most max_rows sets of at most MAX_FEATURES bins
+    # at most max_rows sets, each of the bins that have a ratio
     sets = rows.mapInArrow(encode, "bins binary, toxic int").toPandas()
     coef, bias = _logistic(sets, ratios)
     weights[:] = ratios * coef
