@@ -1,8 +1,9 @@
 """Licence scans with a positional index of rare licence words, in DataFrame functions only.
 
-Per text: the licence words of highest inverse document frequency are looked up in the
-templates' postings; postings that agree on one relative position make a candidate, and the
-template's key phrase must stand there word by word. Fixed base phrases are found besides.
+Per text and template: the licence words of highest inverse document frequency are looked up in
+the template's postings; postings that agree on one relative position make a candidate, and the
+template's key phrase must stand there, every word of it. The words looked up are the rarest
+of the key phrase, so no text that holds it is missed, however many notices it holds. Fixed base phrases are found besides.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ TEMPLATES = (
     ("mit", "this project is licensed under the terms of the mit license", "licensed under the terms of the mit license"),
     ("mit", "released under the mit license", "under the mit license"),
     ("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
-    ("apache-2", "distributed on an as is basis without warranties or conditions of any kind either express or implied", "as is basis without warranties or conditions of any kind"),
+    ("apache-2", "distributed on an as is basis without warranties or conditions of any kind either express or implied", "basis without warranties or conditions of any kind"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
     ("gpl-2", "this work is licensed under the gnu general public license version 2", "gnu general public license version 2"),
     ("gpl-3", "it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", "gnu general public license as published by the free software foundation either version 3"),
@@ -39,8 +40,8 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain"),
 )
 STOP = frozenset("a all an and any are as by for in is it of on or that the this to use was with".split())
-#: Rare words of a text that are looked up, and how many of them must agree on a position.
-TOP_WORDS, AGREE = 12, 2
+#: Rarest words of a key phrase that are looked up; all must agree on a position.
+AGREE = 2
 
 _SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -51,9 +52,20 @@ def words(text: Column) -> Column:
     return F.filter(F.split(low, _SEPARATOR), lambda w: w != "")
 
 
-def postings() -> list[tuple[int, str, int]]:
-    """(template, word, position) of every word that isn't too common."""
-    return [(t, w, p) for t, (_, notice, _) in enumerate(TEMPLATES) for p, w in enumerate(notice.split()) if w not in STOP]
+def key_places(template: int) -> list[tuple[int, str]]:
+    """(position in the notice, word) of every word of the template's key phrase."""
+    _, notice, key = TEMPLATES[template]
+    first = len(notice[: f" {notice} ".index(f" {key} ")].split())
+    return [(first + k, w) for k, w in enumerate(key.split())]
+
+
+def notice_places(template: int) -> list[tuple[int, str]]:
+    """(position, word) of the notice's words that aren't too common."""
+    return [(p, w) for p, w in enumerate(TEMPLATES[template][1].split()) if w not in STOP]
+
+
+#: Common words in a row within a key phrase, at most; a text's common words further from a licence word aren't kept.
+_REACH = 1 + max(len(run.split()) for _, _, key in TEMPLATES for run in " ".join(w if w in STOP else "|" for w in key.split()).split("|"))
 
 
 def _anchor(phrase: str) -> tuple[int, list[str]]:
@@ -70,39 +82,47 @@ def _base_starts(phrase: str) -> Column:
 
 
 def licence_hits(docs: DataFrame) -> DataFrame:
-    """Every row with a row_id: n_words, hits (licence words and their positions), base phrase starts."""
-    vocab = sorted({w for _, w, _ in postings()} | {_anchor(p)[1][_anchor(p)[0]] for p in BASE})
+    """Every row with a row_id: n_words, hits (licence words, common words close to them and their positions), base phrase starts."""
+    every = range(len(TEMPLATES))
+    vocab = {w for t in every for _, w in notice_places(t)} | {_anchor(p)[1][_anchor(p)[0]] for p in BASE}
+    common = {w for t in every for _, w in key_places(t)} & STOP
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id"), words(text_or_empty()).alias("words"))
-    found = F.filter(F.transform("words", lambda w, i: F.when(w.isin(*vocab), F.struct(i.alias("pos"), w.alias("word")))), lambda h: h.isNotNull())
-    rows = rows.select("*", found.alias("hits"))
+    found = F.filter(F.transform("words", lambda w, i: F.when(w.isin(*sorted(vocab | common)), F.struct(i.alias("pos"), w.alias("word")))), lambda h: h.isNotNull())
+
+    def near(h, i):
+        """A licence word, or a common word close to one."""
+        keep = ~h["word"].isin(*sorted(STOP))
+        for k in (*range(-_REACH, 0), *range(1, _REACH + 1)):
+            other = F.get("found", i + k)
+            keep = keep | F.coalesce(~other["word"].isin(*sorted(STOP)) & (F.abs(other["pos"] - h["pos"]) <= _REACH), F.lit(False))
+        return keep
+
+    rows = rows.select("*", found.alias("found"))
+    rows = rows.select("row_id", "doc_id", "words", F.filter("found", near).alias("hits"))
     return rows.select("row_id", "doc_id", F.size("words").cast("long").alias("n_words"), "hits", *(_base_starts(p).alias(f"base_{k}") for k, p in enumerate(BASE)))
 
 
 def _notices(rows: DataFrame) -> DataFrame:
     """(row_id, method_labels array, method_score): templates whose words and key phrase agree."""
     spark = rows.sparkSession
-    total = rows.count()
-    seen = rows.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["word"]))).alias("word")).groupBy("word").count().collect()  # a row for each licence word at most
-    idf = {r["word"]: log((1 + total) / (1 + r["count"])) for r in seen}
     some = rows.where(F.size("hits") >= AGREE).select("row_id", "hits")
-    if not idf:
-        return some.select("row_id", F.array().cast("array<string>").alias("method_labels"), F.lit(0.0).alias("method_score")).limit(0)
-    weight = F.create_map(*(F.lit(x) for w in sorted(idf) for x in (w, -idf[w])))
-    ranked = F.array_sort(F.transform(F.array_distinct(F.transform("hits", lambda h: h["word"])), lambda w: F.struct(weight[w].alias("rank"), w.alias("word"))))
-    some = some.withColumn("top", F.transform(F.slice(ranked, 1, TOP_WORDS), lambda r: r["word"]))
-    rare = some.select("row_id", F.explode(F.filter("hits", lambda h: F.array_contains("top", h["word"]))).alias("h")).select("row_id", "h.pos", "h.word")
-    index = spark.createDataFrame(postings(), "template int, word string, place int")  # fixed and small
-    near = rare.join(F.broadcast(index), "word").groupBy("row_id", "template", (F.col("pos") - F.col("place")).alias("shift")).agg(F.count_distinct("place").alias("n")).where(F.col("n") >= AGREE)
-    keys = []
-    for t, (label, notice, key) in enumerate(TEMPLATES):
-        at = f" {notice} ".index(f" {key} ")
-        first = len(notice[:at].split())
-        keys.append((t, label, len([w for w in notice.split() if w not in STOP]), [(first + k, w) for k, w in enumerate(key.split()) if w not in STOP]))
-    keys = spark.createDataFrame(keys, "template int, label string, size int, key array<struct<pos:int,word:string>>")
-    met = near.join(F.broadcast(keys), "template").join(some.select("row_id", "hits"), "row_id")
+    seen = some.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["word"]))).alias("word")).groupBy("word").count().collect()  # a row for each licence word at most
+    frequency = {r["word"]: r["count"] for r in seen}
+    index, keys = [], []
+    for t, (label, _, _) in enumerate(TEMPLATES):
+        # fewest texts first: the highest inverse document frequency
+        rare = sorted((frequency.get(w, 0), p, w) for p, w in key_places(t) if w not in STOP)[:AGREE]
+        index += [(t, w, p) for _, p, w in rare]
+        keys.append((t, label, key_places(t), notice_places(t)))
+    index = spark.createDataFrame(index, "template int, word string, place int")  # fixed and small
+    looked_up = some.select("row_id", F.explode("hits").alias("h")).select("row_id", "h.pos", "h.word")
+    near = looked_up.join(F.broadcast(index), "word").groupBy("row_id", "template", (F.col("pos") - F.col("place")).alias("shift")).agg(F.count_distinct("place").alias("n")).where(F.col("n") >= AGREE)
+    keys = spark.createDataFrame(keys, "template int, label string, key array<struct<pos:int,word:string>>, notice array<struct<pos:int,word:string>>")
+    met = near.join(F.broadcast(keys), "template").join(some, "row_id")
     placed = lambda column: F.transform(column, lambda k: F.struct((k["pos"] + F.col("shift")).alias("pos"), k["word"].alias("word")))
     sure = met.where(F.size(F.array_except(placed("key"), "hits")) == 0)
-    return sure.groupBy("row_id").agg(F.collect_set("label").alias("method_labels"), F.max(F.least(F.lit(1.0), F.col("n") / F.col("size"))).alias("method_score"))
+    share = F.size(F.array_intersect(placed("notice"), "hits")) / F.size("notice")
+    return sure.groupBy("row_id").agg(F.collect_set("label").alias("method_labels"), F.max(share).alias("method_score"))
 
 
 def licence_scan(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ are held against brute force in the tests.
 """
 
 from .decontam import BAND, LITERALS, SHARE, UNITS, WINDOW, WORDS
-from .licences import AGREE, BASE, STOP, TEMPLATES, TOP_WORDS
+from .licences import AGREE, BASE, STOP, TEMPLATES, key_places, notice_places
 
 _PROBE = "<|im_end|><|im_start|>assistant ok"
 
@@ -58,23 +58,22 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows)
 
 
-_NOTICES = [(t, label, p, w) for t, (label, notice, _) in enumerate(TEMPLATES) for p, w in enumerate(notice.split()) if w not in STOP]
-_KEYS = []
-for _t, (_label, _notice, _key) in enumerate(TEMPLATES):
-    _first = len(_notice[: f" {_notice} ".index(f" {_key} ")].split())
-    _KEYS += [(_t, _first + k, w) for k, w in enumerate(_key.split()) if w not in STOP]
+_NOTICES = [(t, label, p, w) for t, (label, _, _) in enumerate(TEMPLATES) for p, w in notice_places(t)]
+_KEYS = [(t, p, w, w in STOP) for t in range(len(TEMPLATES)) for p, w in key_places(t)]
 _PHRASES = [(label, p.split()) for p, label in BASE.items()]
 OP10 = rf"""
-WITH notice(template, label, place, word) AS (VALUES {_values(_NOTICES)}), key(template, place, word) AS (VALUES {_values(_KEYS)}),
+WITH notice(template, label, place, word) AS (VALUES {_values(_NOTICES)}), key(template, place, word, common) AS (VALUES {_values(_KEYS)}),
 d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
 base AS ({" UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, k FROM (SELECT doc_id, ws, unnest(range(0, len(ws))) AS k FROM d WHERE list_contains(ws, '{p[0]}')) WHERE ws[k + 1:k + {len(p)}] = {p}" for label, p in _PHRASES)}),
 bases AS (SELECT doc_id, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word, array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM base GROUP BY doc_id),
 hit AS (SELECT doc_id, pos, ws[pos + 1] AS word FROM (SELECT doc_id, ws, unnest(range(0, len(ws))) AS pos FROM d) WHERE ws[pos + 1] IN (SELECT word FROM notice)),
-df AS (SELECT word, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(DISTINCT doc_id))) AS idf FROM hit GROUP BY word),
-top AS (SELECT doc_id, word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, word) AS r FROM (SELECT DISTINCT doc_id, word FROM hit) JOIN df USING (word)) WHERE r <= {TOP_WORDS}),
-near AS (SELECT doc_id, template, label, pos - place AS shift, count(DISTINCT place) AS n FROM hit JOIN top USING (doc_id, word) JOIN notice USING (word) GROUP BY ALL HAVING count(DISTINCT place) >= {AGREE}),
-sure AS (SELECT n.doc_id, n.label, n.n / (SELECT count(*) FROM notice x WHERE x.template = n.template) AS share FROM near n WHERE NOT EXISTS (SELECT 1 FROM key k WHERE k.template = n.template AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.doc_id = n.doc_id AND h.pos = k.place + n.shift AND h.word = k.word))),
-method AS (SELECT doc_id, list(DISTINCT label) AS labels, max(least(1, share)) AS score FROM sure GROUP BY doc_id),
+some AS (SELECT doc_id FROM (SELECT doc_id, unnest(range(0, len(ws))) AS pos, ws FROM d) WHERE list_contains([{", ".join(repr(w) for w in sorted({w for _, _, _, w in _NOTICES} | {w for _, _, w, _ in _KEYS}))}], ws[pos + 1]) GROUP BY doc_id HAVING count(*) >= 2),
+df AS (SELECT word, count(DISTINCT doc_id) AS n FROM hit JOIN some USING (doc_id) GROUP BY word),
+lookup AS (SELECT template, place, word FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY coalesce(n, 0), place) AS r FROM key LEFT JOIN df USING (word) WHERE NOT common) WHERE r <= {AGREE}),
+near AS (SELECT doc_id, template, pos - place AS shift FROM hit JOIN lookup USING (word) GROUP BY ALL HAVING count(DISTINCT place) >= {AGREE}),
+sure AS (SELECT n.doc_id, n.template, n.shift FROM near n JOIN d USING (doc_id) JOIN key k USING (template) GROUP BY ALL HAVING bool_and(coalesce(ws[k.place + n.shift + 1] = k.word, false) AND k.place + n.shift >= 0)),
+shares AS (SELECT s.doc_id, x.label, s.shift, count(*) FILTER (x.place + s.shift >= 0 AND ws[x.place + s.shift + 1] = x.word) / count(*) AS share FROM sure s JOIN d USING (doc_id) JOIN notice x USING (template) GROUP BY s.doc_id, x.label, s.shift, s.template),
+method AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS score FROM shares GROUP BY doc_id),
 own AS (SELECT doc_id, list(DISTINCT label) AS labels FROM base GROUP BY doc_id)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(o.labels, []::VARCHAR[]), coalesce(m.labels, []::VARCHAR[])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(m.score, 0) END::DOUBLE AS score
