@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import quoted, text_or_empty
 
 _LOCAL, _HOST = r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9-]++"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -162,7 +162,7 @@ def redact(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     anew where the text changed; null texts stay null.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = find_spans(docs.select("doc_id", "text", F.struct("text", *others).alias("row")), keep=("row",))
+    found = find_spans(docs.select("doc_id", "text", F.struct("text", *quoted(others)).alias("row")), keep=("row",))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, s):
@@ -178,5 +178,5 @@ def redact(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
         if c == "n_chars":
             columns.append(F.when(F.col("text").eqNullSafe(F.col("row.text")), F.col("row.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType).alias(c))
         else:
-            columns.append(F.col(c) if c in ("doc_id", "text") else F.col(f"row.`{c}`").alias(c))
+            columns.append(F.col(c) if c in ("doc_id", "text") else F.col("row")[c].alias(c))
     return out.select(*columns)
