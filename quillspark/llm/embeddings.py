@@ -7,8 +7,10 @@ probability, so the count that all but MISS of such pairs reach follows from the
 distribution. Pairs that reach it are verified by cosine in double precision.
 
 Equal vectors are one class with a number of members. A label's classes are dealt into blocks;
-a task takes two blocks, sorts the projections and counts window collisions. It gives each
-class's number of links and a spanning forest, never the pairs.
+a task takes two blocks and sorts them on the first projection. A stretch of one block meets only
+the other's values within a wide window on it, which all but MISS of the links keep; on the
+projections that follow a pair is dropped as soon as its collisions can't reach the count any
+more. A task gives each class's number of links and a spanning forest, never the pairs.
 """
 
 from __future__ import annotations
@@ -26,11 +28,13 @@ from .shared import staged
 THRESHOLD = 0.98
 PROJECTIONS = 24
 #: Half a window in standard deviations of a threshold pair's distance on one projection.
-WIDTH_SD = 2.25
+WIDTH_SD = 3.0
 #: Share of threshold pairs that may fall short of the count.
 MISS = 1e-7
 #: Vectors in a block; a task meets two blocks at a time.
 BLOCK = 2048
+#: Vectors of a block that are searched for at once, and projections counted on all of their pairs at once.
+STRETCH, FIRST_PROJECTIONS = 64, 6
 
 
 def calibrate(threshold: float = THRESHOLD, projections: int = PROJECTIONS, miss: float = MISS) -> tuple[float, int]:
@@ -46,6 +50,14 @@ def calibrate(threshold: float = THRESHOLD, projections: int = PROJECTIONS, miss
     return width, need
 
 
+def wide_window(threshold: float = THRESHOLD, miss: float = MISS) -> float:
+    """Half a window on one projection that all but ``miss`` of the pairs at the threshold share."""
+    sd = 0.0
+    while 1 - erf(sd / sqrt(2)) > miss:
+        sd += 0.01
+    return sd * sqrt(2 - 2 * threshold)
+
+
 def directions(dim: int, projections: int = PROJECTIONS) -> np.ndarray:
     return np.random.default_rng(7).standard_normal((dim, projections))
 
@@ -80,49 +92,57 @@ def _pair_blocks(reps: DataFrame, block: int) -> DataFrame:
     return keyed.select("label", "dim", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "members", F.transform("embedding", lambda x: x.cast("float")).alias("v"))
 
 
+def candidates(px: np.ndarray, py: np.ndarray, width: float, need: int, wide: float):
+    """Pairs of rows of two sets of projections (vectors x projections) that collide ``need`` times, in batches (rows, columns).
+
+    Both are sorted on the first projection already.
+    """
+    projections = px.shape[1]
+    for at in range(0, len(px), STRETCH):
+        x = px[at : at + STRETCH]
+        lo, hi = np.searchsorted(py[:, 0], x[0, 0] - wide, "left"), np.searchsorted(py[:, 0], x[-1, 0] + wide, "right")
+        if lo == hi:
+            continue
+        y = py[lo:hi]
+        # collisions missed so far; a pair may miss projections - need
+        missed = np.zeros((len(x), len(y)), np.int8)
+        for k in range(min(FIRST_PROJECTIONS, projections)):
+            missed += np.abs(x[:, k, None] - y[None, :, k]) > width
+        rows, cols = np.nonzero(missed <= projections - need)
+        missed = missed[rows, cols]
+        for k in range(FIRST_PROJECTIONS, projections):
+            missed += np.abs(x[rows, k] - y[cols, k]) > width
+            alive = missed <= projections - need
+            rows, cols, missed = rows[alive], cols[alive], missed[alive]
+        if len(rows):
+            yield at + rows, lo + cols
+
+
 def _links(threshold: float, projections: int, width: float, need: int):
     """Group function: rows (a, b, n): a's links with other classes' members, or b set for an edge of the forest."""
+    wide = wide_window(threshold)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep")
         lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-        left, right = pdf[pdf["own"] == lo], pdf[pdf["own"] == hi]
-        x, y = (np.stack(p["v"].to_numpy()).astype(np.float64) if len(p) else np.empty((0, int(pdf["dim"].iloc[0]))) for p in (left, right))
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        y /= np.linalg.norm(y, axis=1, keepdims=True)
-        d = directions(x.shape[1], projections)
-        px, py = x @ d, y @ d
-        # each projection sorted; a window is a range of ranks
-        order = np.argsort(py, axis=0)
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.arange(len(y))[:, None], axis=0)
-        rank = rank.astype(np.int32).T
-        line = np.take_along_axis(py, order, axis=0)
-        first = np.stack([np.searchsorted(line[:, k], px[:, k] - width, "left") for k in range(projections)]).astype(np.int32)
-        size = np.stack([np.searchsorted(line[:, k], px[:, k] + width, "right") for k in range(projections)]).astype(np.int32) - first
-        mx, my = left["members"].to_numpy(), right["members"].to_numpy()
-        nx, ny = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
-        ids = np.concatenate([left["rep"].to_numpy(), right["rep"].to_numpy()]) if lo != hi else left["rep"].to_numpy()
-        shift = len(x) if lo != hi else 0
-        forest = Forest(len(ids))
-        for at in range(0, len(x), 256):
-            to = min(at + 256, len(x))
-            count = np.zeros((to - at, len(y)), np.uint8)
-            for k in range(projections):
-                off = (rank[k][None, :] - first[k, at:to, None]).view(np.uint32)
-                count += off < size[k, at:to, None].view(np.uint32)
-            near = count >= need
+        v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        p = (v @ directions(v.shape[1], projections)).astype(np.float32)
+        order = np.lexsort((pdf["rep"].to_numpy(), p[:, 0]))
+        own, ids, members, v, p = pdf["own"].to_numpy()[order], pdf["rep"].to_numpy()[order], pdf["members"].to_numpy()[order], v[order], p[order]
+        left, right = np.nonzero(own == lo)[0], np.nonzero(own == hi)[0]
+        total, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
+        # projections in single precision: the windows are wider by its error
+        for rows, cols in candidates(p[left], p[right], width + 1e-4, need, wide + 1e-4):
+            rows, cols = left[rows], right[cols]
             if lo == hi:
-                near &= np.arange(at, to)[:, None] < np.arange(len(y))[None, :]
-            rows, cols = np.nonzero(near.any(axis=1))[0], np.nonzero(near.any(axis=0))[0]
-            if not len(rows):
-                continue
-            sure = near[np.ix_(rows, cols)] & (x[at + rows] @ y[cols].T >= threshold)
-            nx[at + rows] += sure @ my[cols]
-            ny[cols] += mx[at + rows] @ sure
-            for r in np.nonzero(sure.any(axis=1))[0]:
-                forest.star(int(at + rows[r]), shift + cols[sure[r]])
-        total = np.concatenate([nx, ny]) if lo != hi else nx + ny
+                rows, cols = rows[rows < cols], cols[rows < cols]
+            sure = np.concatenate([np.einsum("ij,ij->i", v[rows[k : k + 65536]], v[cols[k : k + 65536]]) >= threshold for k in range(0, len(rows), 65536)] or [np.empty(0, bool)])
+            rows, cols = rows[sure], cols[sure]
+            np.add.at(total, rows, members[cols])
+            np.add.at(total, cols, members[rows])
+            heads = np.nonzero(np.append(True, rows[1:] != rows[:-1]))[0] if len(rows) else []
+            for s, e in zip(heads, [*heads[1:], len(rows)]):
+                forest.star(int(rows[s]), cols[s:e])
         some = np.nonzero(total)[0]
         edges = np.array(forest.edges, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": np.concatenate([ids[some], ids[edges[:, 0]]]), "b": pd.array([None] * len(some) + ids[edges[:, 1]].tolist(), "Int64"), "n": np.concatenate([total[some], np.zeros(len(edges), np.int64)])})
@@ -147,6 +167,9 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, projectio
     linked = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     known = reps.join(linked, "rep", "left").join(roots, reps.rep == roots.node, "left")
     known = known.select("label", F.col("embedding").alias("plain"), (F.coalesce("others", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    mine = rows.withColumn("plain", F.when(F.col("label").isNotNull() & _usable(F.col("embedding")), _plain(F.col("embedding")))).drop("embedding")
+    # rows that link with nothing have no class: they don't go through the join
+    usable = F.coalesce(F.col("label").isNotNull() & _usable(F.col("embedding")), F.lit(False))
+    mine = rows.where(usable).select("vec_id", "label", _plain(F.col("embedding")).alias("plain"))
     out = mine.join(known, ["label", "plain"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    out = out.unionByName(rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
