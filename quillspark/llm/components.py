@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 from .shared import staged
 
 
+#: Parts that the neighbours of a node are dealt to, so that no task gets all of a hub's.
+PARTS = 8
+
+
 def _least_neighbour(pairs: DataFrame) -> DataFrame:
     """(u, v) -> (u, v, m): m is the least of u and its neighbours. Partial sums come first."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return pairs.join(least.withColumn("m", F.least("m", "u")), "u")
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("p"))
+    return pairs.withColumn("p", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int")).join(least, ["u", "p"]).drop("p")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

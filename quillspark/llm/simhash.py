@@ -2,40 +2,44 @@
 
 Method: a BK-tree keeps each fingerprint's children keyed by their integer Hamming distance
 to it; a search for everything within ``radius`` of q follows only edges e with
-|e - d(q, node)| <= radius. Trees are sharded by equal blocks of bits: two fingerprints that
-differ in at most r bits agree on at least b - r of b blocks, so every link is inside some
-shard keyed by b - r blocks. The shards' trees are built where the shuffle puts their
-fingerprints, not broadcast from the driver: fingerprints grow with the corpus.
+|e - d(q, node)| <= radius. Trees are sharded: two fingerprints that differ in at most r bits
+agree on one of r + 1 blocks of bits, so every link is inside a shard keyed by the first bits of
+some block, as many as make shards of about SHARD fingerprints. A shard far above that is dealt
+anew by a second block. The trees are built and searched where the shuffle puts a shard: to
+broadcast them would gather all fingerprints in the driver.
 A shard gives a spanning forest of its links, never all pairs of a group.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from math import acos, ceil, log, pi, sqrt
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import Forest, connected_components
-from .shared import batches_of, staged, text_or_empty
+from .shared import batches_of, quoted, staged, text_or_empty
 
 SEED = 42
-SMALL = 48
+#: Fingerprints in a shard, about; and the number above which a shard is dealt by a second block.
+SHARD, HOT_SHARD = 2048, 1 << 17
+#: A subtree of so many fingerprints is a leaf of the tree: its members are compared one by one.
+LEAF = 128
 
 
-def fingerprint(text: str, width: int = 3) -> int:
-    """64-bit SimHash of a whole text, as a signed integer.
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """XXH64 of every shingle of ``width`` words of a whole text, repeats included.
 
-    ASCII letters are lower-cased; words end at ASCII white space; shingles of ``width``
-    words count as often as they occur. Fewer words: one shingle of them all. None: 0.
+    ASCII letters are lower-cased; words end at ASCII white space. Fewer words: one shingle of
+    them all. None: no shingle.
     """
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     n = max(1, len(words) - width + 1)
     line = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -43,12 +47,17 @@ def fingerprint(text: str, width: int = 3) -> int:
     starts = (ends + 1 - sizes)[:n].tolist()
     ends = ends[min(width, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[s:e], SEED) for s, e in zip(starts, ends)], dtype=np.uint64)
-    ones = np.zeros(64, dtype=np.int64)
+    return np.array([digest(line[s:e], SEED) for s, e in zip(starts, ends)], dtype=np.uint64)
+
+
+def fingerprint(text: str, width: int = 3) -> int:
+    """64-bit SimHash of a whole text, as a signed integer; 0 for a text without words."""
+    hashes = shingle_hashes(text, width)
+    n, ones = len(hashes), np.zeros(64, dtype=np.int64)
     for at in range(0, n, 4096):
         bits = np.unpackbits(hashes[at : at + 4096].view(np.uint8), bitorder="little").reshape(-1, 64)
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0]) if n else 0
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,63 +72,61 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def block_count(n: int, radius: int) -> int:
-    """Least number of blocks whose shard keys have about as many values as there are fingerprints."""
-    need = max(16, n.bit_length() - 2)
-    b = radius + 1
-    while b < 16 and 64 * (b - radius) // b < need:
-        b += 1
-    return b
+def _blocks(bits: list[int], radius: int, width: int) -> list[int]:
+    """Masks of the first ``width`` bits of each of radius + 1 equal blocks of ``bits``."""
+    edges = [len(bits) * i // (radius + 1) for i in range(radius + 2)]
+    return [sum(1 << b for b in bits[s : min(e, s + width)]) for s, e in zip(edges, edges[1:])]
+
+
+def key_bits(n: int, shard: int = SHARD) -> int:
+    """Bits of a shard key: the shards of a block have about ``shard`` of ``n`` fingerprints each."""
+    return max(0, (n // shard).bit_length() - 1)
+
+
+def _part(mask: int) -> Column:
+    return F.col("fp").bitwiseAND(F.lit(mask - ((mask >> 63) << 64)).cast("long"))
 
 
-def _keys(blocks: int, radius: int) -> list:
-    """One key column for each choice of blocks - radius blocks: the bits of those blocks, in place."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    out = []
-    for no, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        mask = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen)
-        mask -= (mask >> 63) << 64
-        out.append(F.struct(F.lit(no).alias("no"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("part")))
+def _dealt(reps: DataFrame, radius: int, shard: int, hot: int) -> DataFrame:
+    """(no, part, fp, rep): a row for each shard of a fingerprint."""
+    n = reps.count()
+    width = key_bits(n, shard)
+    masks = _blocks(list(range(64)), radius, width)
+    keys = F.explode(F.array(*(F.struct(F.lit(no).alias("no"), _part(m).alias("part")) for no, m in enumerate(masks))))
+    keyed = reps.select("fp", "rep", keys.alias("k")).select("k.no", "k.part", "fp", "rep")
+    if n <= hot:  # then no shard can be above it
+        return keyed
+    large = keyed.groupBy("no", "part").count().where(F.col("count") > hot).select("no", "part", F.lit(True).alias("large"))
+    keyed = keyed.join(large, ["no", "part"], "left")
+    out = keyed.where("large is null").drop("large")
+    for no, mask in enumerate(masks):
+        # the bits outside the first key differ in at most radius places too
+        rest = _blocks([b for b in range(64) if not mask >> b & 1], radius, 16)
+        second = F.explode(F.array(*(F.struct(F.lit((no + 1) * 1000 + k).alias("no"), _part(mask | m).alias("part")) for k, m in enumerate(rest))))
+        out = out.unionByName(keyed.where((F.col("no") == no) & F.col("large")).select("fp", "rep", second.alias("k")).select("k.no", "k.part", "fp", "rep"))
     return out
 
 
-def _search_small(fps: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links of a small shard: each fingerprint searches the tree of its predecessors, then joins it."""
-    nodes: list[dict[int, int]] = [{}]
-    forest = Forest(len(fps))
-    for i in range(1, len(fps)):
-        fp, todo = fps[i], [0]
-        while todo:
-            at = todo.pop()
-            d = ((fp ^ fps[at]) & 0xFFFFFFFFFFFFFFFF).bit_count()
-            if d <= radius and (a := forest.root(at)) != (b := forest.root(i)):
-                forest.up[b] = a
-                forest.edges.append((at, i))
-            kids = nodes[at]
-            if kids:
-                todo += [kids[e] for e in range(max(0, d - radius), d + radius + 1) if e in kids]
-        at = 0
-        while True:
-            d = ((fp ^ fps[at]) & 0xFFFFFFFFFFFFFFFF).bit_count()
-            if d not in nodes[at]:
-                nodes[at][d] = i
-                break
-            at = nodes[at][d]
-        nodes.append({})
-    return forest.edges
+def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints, each a row of 64-bit words."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16)
 
 
-def _search_large(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """The same links for a large shard, a level of the tree at a time.
+def tree_links(fps: np.ndarray, radius: int, groups: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Positions (i, j) of a spanning forest of all links of the distinct fingerprints of a shard.
 
-    A node's pivot splits members and searchers by distance; a child at edge e meets the
-    searchers at distances e - radius to e + radius. What is already in one component is
+    ``fps`` has a row of 64-bit words each. Those of one of ``groups`` count as linked already.
+
+    The tree is walked a node at a time for all searchers at once: a node's first fingerprint is
+    the parent, its other members hang below it by their distance, and the searchers at
+    distance d go down the edges d - radius to d + radius. What is already in one component is
     not searched again, so a dense cluster costs little more than its tree.
     """
-    bits = fps.view(np.uint64)
+    bits = fps.view(np.uint64).reshape(len(fps), -1)
     forest = Forest(len(fps))
-    own = np.arange(len(fps))
-    todo: list[tuple[np.ndarray, np.ndarray | None]] = [(own, None)]
+    if groups is not None:
+        forest.up = np.unique(groups, return_index=True)[1][np.unique(groups, return_inverse=True)[1]]
+    todo: list[tuple[np.ndarray, np.ndarray | None]] = [(np.arange(len(fps)), None)]  # None: the members search each other
     while todo:
         members, seekers = todo.pop()
         if len(members) == 0 or (seekers is not None and len(seekers) == 0):
@@ -128,45 +135,49 @@ def _search_large(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
         rs = forest.roots(everyone)
         if (rs == rs[0]).all():
             continue
-        if len(members) * len(everyone) <= 1 << 14:
+        if len(members) <= LEAF:
             other = members if seekers is None else seekers
-            near = np.bitwise_count(bits[members][:, None] ^ bits[other][None, :]) <= radius
+            near = _distance(bits[members][:, None], bits[other][None, :]) <= radius
             for k in np.nonzero(near.any(axis=1))[0]:
                 forest.star(int(members[k]), other[near[k]])
             continue
-        pivot, rest = int(members[0]), members[1:]
-        dm = np.bitwise_count(bits[rest] ^ bits[pivot]).astype(np.int16)
+        parent, rest = int(members[0]), members[1:]
+        edge = _distance(bits[rest], bits[parent])
+        order = np.argsort(edge, kind="stable")
+        rest, edge = rest[order], edge[order]
+        labels, starts = np.unique(edge, return_index=True)
+        ends = np.append(starts[1:], len(rest))
         if seekers is None:
-            forest.star(pivot, np.append(rest[dm <= radius], pivot))
-            kids = {int(e): rest[dm == e] for e in np.unique(dm)}
-            for e, kid in kids.items():
-                todo.append((kid, None))
-                todo += [(kid, kids[f]) for f in range(e + 1, e + radius + 1) if f in kids]
+            forest.star(parent, np.append(rest[edge <= radius], parent))
+            reach = np.searchsorted(edge, labels + radius, "right")
+            for s, e, r in zip(starts, ends, reach):
+                todo += [(rest[s:e], None), (rest[s:e], rest[e:r])]
         else:
-            ds = np.bitwise_count(bits[seekers] ^ bits[pivot]).astype(np.int16)
-            forest.star(pivot, np.append(seekers[ds <= radius], pivot))
-            for e in np.unique(dm):
-                todo.append((rest[dm == e], seekers[np.abs(ds - e) <= radius]))
+            far = _distance(bits[seekers], bits[parent])
+            forest.star(parent, np.append(seekers[far <= radius], parent))
+            todo += [(rest[s:e], seekers[np.abs(far - d) <= radius]) for s, e, d in zip(starts, ends, labels)]
     return forest.edges
 
 
-def shard_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Positions (i, j) of a spanning forest of all links of distinct fingerprints of a shard."""
-    if len(fps) <= SMALL:
-        return _search_small(fps.tolist(), radius)
-    return _search_large(fps, radius)
-
-
-def fingerprint_links(reps: DataFrame, radius: int = 3) -> DataFrame:
+def fingerprint_links(reps: DataFrame, radius: int = 3, shard: int = SHARD, hot: int = HOT_SHARD) -> DataFrame:
     """(fp long, rep long) of distinct fingerprints -> edges (a, b) between reps.
 
     The edges span the same components as all links at ``radius`` or fewer bits.
     Rows are dealt by shard key and sorted, so a task sees each shard in one run of rows
     and holds one shard's fingerprints (16 bytes each) at a time.
     """
-    blocks = block_count(reps.count(), radius)
-    keyed = reps.where("rep is not null").select("fp", "rep", F.explode(F.array(*_keys(blocks, radius))).alias("k"))
-    keyed = keyed.select("k.no", "k.part", "fp", "rep").repartition("no", "part").sortWithinPartitions("no", "part", "fp")
+    keyed = _dealt(reps.where("rep is not null"), radius, shard, hot)
+    keyed = keyed.select("no", "part", "fp", "rep").repartition("no", "part").sortWithinPartitions("no", "part", "fp")
+
+    def links(no, part, fp, rep):
+        edges = tree_links(fp, radius)
+        return rep[np.array(edges)] if edges else None
+
+    return _by_shard(keyed, links)
+
+
+def _by_shard(keyed: DataFrame, links) -> DataFrame:
+    """Edges (a, b) that ``links`` (arrays of one shard's columns -> pairs or None) gives for each run of equal (no, part)."""
 
     def run(it):
         held: list[pd.DataFrame] = []
@@ -182,25 +193,18 @@ def fingerprint_links(reps: DataFrame, radius: int = 3) -> DataFrame:
             last = ((whole.no == whole.no.iloc[-1]) & (whole.part == whole.part.iloc[-1])).to_numpy()
             cut = int(np.argmax(last))
             held = [whole.iloc[cut:]]
-            yield from links(whole.iloc[:cut])
+            yield from shards(whole.iloc[:cut])
         if held:
-            yield from links(pd.concat(held, ignore_index=True))
+            yield from shards(pd.concat(held, ignore_index=True))
 
-    def links(pdf: pd.DataFrame):
+    def shards(pdf: pd.DataFrame):
         if len(pdf) < 2:
             return
-        no, part, fp, rep = (pdf[c].to_numpy() for c in ("no", "part", "fp", "rep"))
+        columns = [pdf[c].to_numpy() for c in pdf.columns]
+        no, part = columns[:2]
         starts = np.append(np.nonzero(np.append(True, (no[1:] != no[:-1]) | (part[1:] != part[:-1])))[0], len(pdf))
-        found: list[np.ndarray] = []
-        for at in np.nonzero(np.diff(starts) > 1)[0]:
-            s, e = starts[at], starts[at + 1]
-            if e - s == 2:
-                if int(np.bitwise_count((fp[s] ^ fp[s + 1]).view(np.uint64))) <= radius:
-                    found.append(np.array([[rep[s], rep[s + 1]]]))
-                continue
-            edges = shard_links(np.ascontiguousarray(fp[s:e]), radius)
-            if edges:
-                found.append(rep[s:e][np.array(edges)])
+        found = [links(*(c[s:e] for c in columns)) for s, e in zip(starts, starts[1:]) if e - s > 1]
+        found = [f for f in found if f is not None]
         if found:
             pairs = np.concatenate(found)
             yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -227,11 +231,125 @@ def fingerprint_hex(col: str = "fp"):
     return F.lpad(F.lower(F.hex(col)), 16, "0")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """``docs`` with one document of each group: that with the least doc_id.
+# near-duplicates by similarity: fingerprints propose, shingle sets decide
+
+#: Words of the long fingerprint: two are compared, the others give shard keys of 16 bits at most.
+LONG, COMPARED = 10, 2
+#: Share of links at the threshold that the shards of all tables may miss.
+MISS = 1e-3
+#: A link's fingerprints differ in at most its mean plus so many standard deviations.
+SIGMAS = 2.75
+SET_SHARD = 512
+MAX_ROUNDS = 3
+_ODD = np.random.default_rng(11).integers(1, 1 << 63, LONG, dtype=np.uint64) | np.uint64(1)
+
+
+def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """LONG words of SimHash bits of a set of hashes, each word from hashes mixed in its own way."""
+    ones, n = np.zeros(64 * LONG, dtype=np.int64), len(hashes)
+    for at in range(0, n, 2048):
+        h = hashes[at : at + 2048, None] * _ODD[None, :]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        ones += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > n, bitorder="little").view("<i8")
+
+
+def bit_odds(similarity: float) -> float:
+    """Chance that a bit differs between two sets of one size and this Jaccard similarity."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def tables_for(bits: int, similarity: float) -> int:
+    """Tables of ``bits``-bit keys that all but MISS of the links at ``similarity`` agree on somewhere, as far as there are tables."""
+    one = (1 - bit_odds(similarity)) ** bits
+    return 1 if one == 1 else min((LONG - COMPARED) * 4, ceil(log(MISS) / log(1 - one)))
+
+
+def _set_prints(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, sig, fp array<long>, hashes array<long>) of every row; sig is a digest of the set."""
+
+    def run(it):
+        for batch in batches_of(it, 128):
+            sets = [np.unique(shingle_hashes(t, width)) for t in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([long_fingerprint(x) for x in sets], pa.list_(pa.int64())), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sig", "fp", "hashes"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return rows.mapInArrow(run, "doc_id long, sig binary, fp array<long>, hashes array<long>")
+
+
+def _proposed(reps: DataFrame, n: int, similarity: float, turn: int) -> DataFrame:
+    """(rep, fp, group) -> edges (a, b): a forest over the groups of what the fingerprints propose."""
+    bits = min(16, key_bits(n, SET_SHARD))
+    odds = bit_odds(similarity)
+    radius = int(64 * COMPARED * odds + SIGMAS * sqrt(64 * COMPARED * odds * (1 - odds)))
+    keys = [F.struct(F.lit(t).alias("no"), F.shiftrightunsigned(F.get("fp", F.lit(COMPARED + t // 4)), 16 * (t % 4)).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("part")) for t in range(tables_for(bits, similarity))]
+    compared = F.array(*(F.get("fp", F.lit(k)) for k in range(COMPARED)))
+    keyed = reps.select("rep", "group", compared.alias("fp"), F.explode(F.array(*keys)).alias("k"))
+    # every table takes a shard's members in an order of its own, so the forests differ
+    keyed = keyed.select("k.no", "k.part", "fp", "rep", "group", F.xxhash64(F.lit(turn), "k.no", "rep").alias("turn")).repartition("no", "part").sortWithinPartitions("no", "part", "turn")
+
+    def links(no, part, fp, rep, group, order):
+        edges = tree_links(np.stack(fp), radius, group)
+        return rep[np.array(edges)] if edges else None
+
+    return _by_shard(keyed, links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of every row of ``docs``: groups of documents of like shingle sets.
+
+    Two documents are linked if the Jaccard similarity of their sets of ``width``-word
+    shingles is ``similarity`` or more; sets that are equal are linked, also empty ones. Pairs
+    are proposed by SimHash: BK-trees over COMPARED words, in shards keyed by other bits; a
+    proposal is a link only if the whole sets bear it out. Trees give forests, so where a proposal
+    fails its neighbourhood is searched anew in another order, from the groups found
+    so far, until that finds nothing more.
+    Null texts are empty; rows without doc_id give no group its id and their component_id is
+    that of equal sets, or null; an empty table gives an empty one; other columns aren't used.
+    """
+    spark = docs.sparkSession
+    prints = staged(_set_prints(docs, width), "set-prints")
+    reps = staged(prints.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")), "set-reps")
+    known = reps.where("rep is not null")
+    todo = known.select("rep", "fp", F.col("rep").alias("group"))
+    good, roots = spark.createDataFrame([], "a long, b long"), None
+    for turn in range(MAX_ROUNDS):
+        pairs = staged(_proposed(todo, todo.count(), similarity, turn), "set-pairs")
+        checked = staged(_similar(pairs, prints, known, similarity), "set-checked")
+        sure, failed = checked.where("good"), checked.where("not good")
+        good = good.unionByName(sure.select("a", "b"))
+        if turn and sure.isEmpty():
+            break
+        roots = None
+        if failed.isEmpty() or turn == MAX_ROUNDS - 1:
+            break
+        # only what a failed proposal may have hidden is searched again
+        doubtful = checked.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        roots = connected_components(good)
+        todo = staged(known.join(doubtful, "rep", "left_semi").join(roots, F.col("rep") == F.col("node"), "left").select("rep", "fp", F.coalesce("root", "rep").alias("group")), "set-doubtful")
+    roots = connected_components(good) if roots is None else roots
+    groups = reps.join(roots, reps.rep == roots.node, "left").select("sig", F.coalesce("root", "rep").alias("component_id"))
+    return prints.select("doc_id", "sig").join(groups, "sig").select("doc_id", "component_id")
+
+
+def _similar(pairs: DataFrame, prints: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` with ``good``: whether the sets' similarity is high enough."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    own = known.select("rep", F.col("sig").alias("s")).join(wanted, "rep", "left_semi")
+    sets = prints.join(own, (F.col("doc_id") == F.col("rep")) & (F.col("sig") == F.col("s"))).select("rep", "hashes").dropDuplicates(["rep"])
+    met = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return met.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), both.alias("both")).select("a", "b", (F.col("both") >= similarity * (F.col("nx") + F.col("ny") - F.col("both"))).alias("good"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of ``near_duplicate_groups``: that with the least doc_id.
 
     Rows without doc_id stay. Rows that share a doc_id are one document: they stay or go together.
     """
-    groups = simhash_groups(docs, width, radius)
+    groups = near_duplicate_groups(docs, width, similarity)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*quoted(docs.columns))

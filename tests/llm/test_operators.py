@@ -54,7 +54,7 @@ def texts_of(docs):
 
 
 def test_chat_round_trip(spark):
-    odd = [(7, 0, None, None), (7, 1, "assistant", "<|im_end|>\\n\\|x\\"), (7, 1, "assistant", "<|im_end|>\\n\\|x\\"), (None, 1, "user", "<\\|"), (8, None, "assistant", ""), (9, 3, "a\nb\\n\r", "\\\\<|<|")]
+    odd = [(7, 0, None, None), (7, 1, "assistant", "<|im_end|>\\n\\|x\\"), (7, 1, "assistant", "<|im_end|>\\n\\|x\\"), (None, 1, "user", "<\\|"), (8, None, "assistant", ""), (9, 3, "a\nb\\n\r", "\\\\<|<|"), (9, 4, "\x00a\\e\\\\n\x00<|<\\|", "\x00\\")]
     base = spark.read.parquet(f"{SMALL}/conversations.parquet").withColumn("start", F.lit(1))
     conv = base.unionByName(spark.createDataFrame(odd, "conv_id long, turn long, role string, text string"), allowMissingColumns=True)
     got = {r.conv_id: r for r in chat.format_conversations(conv).collect()}
@@ -75,10 +75,40 @@ def test_chat_examples(spark):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", "<|a"), (1, 2, "user", "r"), (1, 3, "assistant", "b"), (1, 4, "user", "end")]
     folder = shared.scratch(spark, "t")
     chat.write_examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), folder)
-    first, second = sorted(chat.materialise(spark, folder).collect(), key=lambda r: r.target)
-    assert first.text == "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\n<\\|a<|im_end|>\n"
-    assert second.text == first.text + "<|im_start|>user\nr<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n"
-    assert [r.text[r.loss_start : r.loss_end] for r in (first, second)] == ["<\\|a", "b"]
+    parts = defaultdict(dict)
+    for r in chat.materialise(spark, folder).collect():
+        parts[r.target][r.part] = r
+    text = {t: "".join(p[k].text for k in sorted(p)) for t, p in parts.items()}
+    assert text[1] == "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\n<\\|a<|im_end|>\n"
+    assert text[3] == text[1] + "<|im_start|>user\nr<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n"
+    assert [[r.text[r.loss_start : r.loss_end] for r in p.values() if r.loss_end is not None] for _, p in sorted(parts.items())] == [["<\\|a"], ["b"]] and sorted(parts) == [1, 3]
+
+
+def test_chat_long_conversations(spark):
+    """Conversations over many ranges and batches: every place and every example is right, nothing is left out."""
+    rows = [(c, t, "assistant" if t % 2 else "user", "x" * ((t * 7 + (c or 0)) % 50)) for c in (None, 1, 2) for t in range(400 if c == 1 else 30)] + [(3, 0, "assistant", "y" * 2_000_000), (3, 1, "assistant", "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        folder = shared.scratch(spark, "t")
+        chat.write_examples(df, folder)
+        got = defaultdict(list)
+        for r in chat.turns(spark, folder).collect():
+            got[r.conv_id].append(r)
+        assert spark.read.parquet(f"{folder}/offsets").count() > 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for c in (None, 1, 2, 3):
+        at = 0
+        for k, r in enumerate(sorted(got[c], key=lambda r: r.position)):
+            assert (r.position, r.start) == (k, at)
+            at += len(r.formatted)
+        assert len(got[c]) == sum(x[0] == c for x in rows)
+    full = chat.materialise(spark, folder).groupBy("conv_id", "target").agg(F.sum(F.length("text")).alias("n"), F.count("*").alias("parts")).collect()
+    assert len(full) == sum(r[2] == "assistant" for r in rows) and all(r.parts == r.target + 1 for r in full)
+    assert {r.n for r in full if r.conv_id == 3 and r.target == 1} == {sum(len(r.formatted) for r in got[3])}
 
 
 def test_chat_empty(spark):
@@ -184,6 +214,11 @@ def naive_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else 0
 
 
+def naive_shingles(text, width=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return {" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} or {" ".join(words)} - {""}
+
+
 def naive_components(n, linked):
     up = list(range(n))
 
@@ -207,8 +242,6 @@ def test_simhash(docs, empty):
     want = sorted((repr(d), f"{f:016x}", rows[r][0]) for (d, _), f, r in zip(rows, fps, roots))
     assert sorted((repr(r.doc_id), r.f, r.component_id) for r in got) == want
     assert simhash.simhash_groups(empty).count() == 0
-    kept = simhash.drop_near_duplicates(docs.where("doc_id < 1000000"))
-    assert {r.doc_id for r in kept.collect()} == {rows[r][0] for (d, _), r in zip(rows, roots) if d is not None and d < 1_000_000}
 
 
 def test_bk_trees_small_and_large(monkeypatch):
@@ -222,22 +255,47 @@ def test_bk_trees_small_and_large(monkeypatch):
                 fps.add(f)
         fps = [f - (1 << 64 if f >> 63 else 0) for f in fps]
         want = naive_components(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() <= radius])
-        for edges in (simhash._search_small(fps, radius), simhash._search_large(np.array(fps, np.int64), radius)):
+        for leaf in (1, 16, 10_000):
+            monkeypatch.setattr(simhash, "LEAF", leaf)
+            edges = simhash.tree_links(np.array(fps, np.int64), radius)
             assert naive_components(len(fps), edges) == want and len(edges) == len(fps) - len(set(want))
+        groups = np.arange(len(fps)) // 2
+        linked = [(i, i + 1) for i in range(0, len(fps) - 1, 2)]
+        assert naive_components(len(fps), linked + simhash.tree_links(np.array(fps, np.int64), radius, groups)) == naive_components(len(fps), linked + [(want[i], i) for i in range(len(fps))])
 
 
-def test_simhash_block_counts(spark):
-    for n in (10, 10**6, 10**9, 10**12):
-        b = simhash.block_count(n, 3)
-        assert b >= 4 and 64 * (b - 3) // b >= min(16, n.bit_length() - 2)
+def test_simhash_shards(spark):
+    """Every link lies in some shard, also where all shards are dealt anew."""
     rng = random.Random(1)
-    fps = [rng.getrandbits(63) for _ in range(200)]
-    fps += [f ^ 1 ^ (1 << 40) ^ (1 << 62) for f in fps[:50]]
+    fps = [rng.getrandbits(63) for _ in range(300)]
+    flips = [(0, 40, 62), (1, 2, 3), (15, 16, 17), (63, 0, 31), (20, 33, 47)]
+    fps += [f ^ sum(1 << b for b in flips[i % 5]) for i, f in enumerate(fps[:100])]
+    fps = [f - (1 << 64 if f >> 63 else 0) for f in fps]
     df = spark.createDataFrame(list(zip(fps, range(len(fps)))), "fp long, rep long")
-    for n in (250, 10**9):
-        edges = [(r.a, r.b) for r in simhash.fingerprint_links(df, 3).collect()] if n == 250 else None
-        if edges is not None:
-            assert {tuple(sorted(e)) for e in edges} == {(i, 200 + i) for i in range(50)}
+    for shard, hot in ((simhash.SHARD, simhash.HOT_SHARD), (4, 10_000), (4, 2)):
+        edges = {tuple(sorted((r.a, r.b))) for r in simhash.fingerprint_links(df, 3, shard, hot).collect()}
+        assert edges == {(i, 300 + i) for i in range(100)}
+
+
+def test_near_duplicates_by_similarity(spark, docs, empty):
+    base = "the quick brown fox jumps over the lazy dog while seven wise men sail a small boat".split()
+    long = [f"{w}{k}" for k in range(12) for w in base]
+    edit = lambda at: " ".join("changed" if k in at else w for k, w in enumerate(long))
+    extra = [(4_000_000, " ".join(long)), (4_000_001, edit({50})), (4_000_002, edit({20, 90, 150})), (4_000_003, edit(set(range(0, 192, 9)))), (4_000_004, " ".join(long).upper()), (4_000_005, " ".join(base)), (None, " ".join(long))]
+    both = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"), allowMissingColumns=True)
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.component_id) for r in simhash.near_duplicate_groups(both).collect()), key=repr)
+    rows = sorted(texts_of(both), key=lambda r: (r[0] is None, r[0] or 0))
+    sets = [naive_shingles(x) for _, x in rows]
+    like = lambda x, y: x == y or (x and y and len(x & y) >= 0.8 * len(x | y))
+    roots = naive_components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if like(sets[i], sets[j])])
+    want = sorted(((d is None, d or 0, rows[r][0]) for (d, _), r in zip(rows, roots)), key=repr)
+    assert got == want
+    by_id = {r[1]: r[2] for r in got if not r[0]}
+    assert by_id[4_000_001] == by_id[4_000_002] == by_id[4_000_004] == 4_000_000 and by_id[4_000_003] == 4_000_003
+    assert simhash.near_duplicate_groups(empty).count() == 0
+    dotted = spark.createDataFrame([(1, "a b", 1), (2, "a b", 2)], "doc_id long, text string, `a.b` int")
+    kept = simhash.drop_near_duplicates(dotted)
+    assert kept.columns == dotted.columns and [r.doc_id for r in kept.collect()] == [1]
 
 
 def test_components(spark):
@@ -311,6 +369,23 @@ def test_embeddings(spark, monkeypatch):
     assert embeddings.embedding_groups(df.limit(0)).count() == 0
 
 
+def test_collision_candidates():
+    """Far fewer pairs than all reach the count, every link among them."""
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((1500, 64))
+    v = np.concatenate([v, v[:300] + 0.1 * rng.standard_normal((300, 64)), v[:300] + 0.17 * rng.standard_normal((300, 64))])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    p = v @ embeddings.directions(64)
+    order = np.argsort(p[:, 0])
+    v, p = v[order], p[order]
+    width, need = embeddings.calibrate()
+    got = [np.stack(c) for c in embeddings.candidates(p, p, width, need, embeddings.wide_window())]
+    got = {(a, b) for a, b in np.concatenate(got, axis=1).T.tolist() if a < b}
+    a, b = np.nonzero(np.triu(v @ v.T >= embeddings.THRESHOLD, 1))
+    assert 300 < len(a) and set(zip(a.tolist(), b.tolist())) <= got
+    assert len(got) < len(v) ** 2 / 500
+
+
 # op7
 
 
@@ -502,3 +577,16 @@ def test_licences(docs, empty):
     assert got[1_000_015][0].labels == "gpl-3" and got[1_000_015][0].n_base == 0
     assert got[1_000_016][0].base_labels == "cc-by-nc" and len(got[1_000_005]) == 2
     assert licences.licence_scan(empty).count() == 0
+
+
+def test_licence_notices_of_every_kind(spark):
+    """One text with all notices has every label; every word of a key phrase must stand there."""
+    every = ". Filler words here. ".join(n for _, n, _ in licences.TEMPLATES)
+    rows = [(1, every.upper()), (2, "permission was hereby granted free in charge, to any person obtaining a copy"), (3, "permission is hereby granted, free of charge"), (4, "as published " * 2000 + licences.TEMPLATES[16][1]), *[(10 + k, n) for k, (_, n, _) in enumerate(licences.TEMPLATES)]]
+    rows += [(100 + i, licences.TEMPLATES[16][1]) for i in range(40)]  # a hot notice
+    got = {r.doc_id: r for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].labels == ",".join(sorted({label for label, _, _ in licences.TEMPLATES}))
+    assert got[2].labels == "" and got[2].score == 0 and got[3].labels == "mit" and 0 < got[3].score < 1 and got[4].labels == "cc0"
+    for k, (label, notice, key) in enumerate(licences.TEMPLATES):
+        assert label in got[10 + k].labels.split(",") and got[10 + k].score == 1 and f" {key} " in f" {notice} "
+        assert key.split()[0] not in licences.STOP and key.split()[-1] not in licences.STOP

@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import corpus_pipeline
 from pyspark.sql import functions as F
-from test_operators import PII_KINDS, luhn, naive_components, naive_fingerprint
+from test_operators import PII_KINDS, luhn, naive_components, naive_shingles
 
 from quillspark.llm import encoding, toxicity
 from quillspark.llm.shared import staged
@@ -48,8 +48,8 @@ def test_stages(spark):
     rows = [r for r in rows if model.score(r.text) < 0.5]
     assert {r.doc_id for r in kept["toxicity"]} == {r.doc_id for r in rows}
 
-    fps = [naive_fingerprint(r.text) for r in rows]
-    roots = naive_components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
+    sets = [naive_shingles(r.text) for r in rows]
+    roots = naive_components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
     rows = [r for k, r in enumerate(rows) if roots[k] == k]
     assert {r.doc_id for r in kept["simhash_near_dedup"]} == {r.doc_id for r in rows}
 
