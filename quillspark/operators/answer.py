@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,11 +12,13 @@ from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from ..functions.tokens import tokenize
+from ..storage import staged
 from .dense import dense_top_k
 
-#: Fixed values of the prompt and the context.
+#: What stands for a missing context, and the refusal.
 NO_CONTEXT = "검색된 관련 조문이 없습니다."
 REFUSAL = "제공된 조문에서 해당 내용을 확인할 수 없습니다."
+#: A template of its own; any with {context} and {question} can be given.
 PROMPT = "[규칙]\n- 아래 조문만 근거로 답합니다.\n- 근거가 없으면 '" + REFUSAL + "'라고 답합니다.\n\n[조문]\n{context}\n\n[질문]\n{question}\n\n[답변]\n"
 
 
@@ -68,16 +71,42 @@ def extractive_answer(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(lambda p: p.split("[조문]\n", 1)[1].split("\n\n[질문]", 1)[0].partition("\n")[2][:200].strip() or REFUSAL)
 
 
-def run_rag(questions: DataFrame, points: DataFrame, chunks: DataFrame, use_reranker: bool = False, top_k: int = 5, candidates: int = 20, scorer=overlap_scorer, model=extractive_answer) -> DataFrame:
-    """questions (qid, law, query, embedding) -> (qid, query, law, mode, context, sources, n_docs, answer).
+def retrieve(questions: DataFrame, points: DataFrame, chunks: DataFrame, use_reranker: bool = False, top_k: int = 5, candidates: int = 20, scorer=overlap_scorer) -> DataFrame:
+    """Passages of each question (qid, law, query, embedding), rank from 1: dense within the question's law where it has one.
 
-    Dense top k within the question's law where it has one; with ``use_reranker`` the best of
-    ``candidates`` after re-scoring.
+    With ``use_reranker`` the best ``top_k`` of ``candidates`` after re-scoring. ``dense_rank``
+    stays; ``rerank_score`` is null without a reranker.
     """
-    hits = dense_top_k(questions, points, candidates if use_reranker else top_k).withColumnRenamed("dense_rank", "rank")
+    hits = dense_top_k(questions, points, candidates if use_reranker else top_k)
     hits = attach_texts(hits, chunks).join(questions.select("qid", "query"), "qid")
     if use_reranker:
-        hits = rerank(hits, top_k, scorer).withColumn("rank", F.col("rerank_rank"))
-    context = build_context(hits, questions).join(questions.select("qid", "query", "law"), "qid")
+        return rerank(hits, top_k, scorer, "dense_rank").withColumnsRenamed({"rerank_rank": "rank", "previous_rank": "dense_rank"})
+    return hits.withColumns({"rank": F.col("dense_rank"), "rerank_score": F.lit(None).cast("double")})
+
+
+def answer_questions(hits: DataFrame, questions: DataFrame, mode: str, model=extractive_answer, chars: int = 200) -> DataFrame:
+    """hits of ``retrieve`` -> (qid, query, law, mode, docs, context, sources, n_docs, answer).
+
+    docs: array<struct<rank, chunk_id, law, article, score, rerank_score, dense_rank, text>> in order of rank.
+    """
+    doc = F.struct("rank", "chunk_id", "law", "article", "score", "rerank_score", "dense_rank", F.left("text", F.lit(chars)).alias("text"))
+    docs = hits.groupBy("qid").agg(F.array_sort(F.collect_list(doc)).alias("docs"))
+    context = build_context(hits, questions).join(questions.select("qid", "query", "law"), "qid").join(docs, "qid", "left")
     answer = T.strip(model(prompt(F.col("context"), F.col("query"))))
-    return context.select("qid", "query", "law", F.lit("reranker" if use_reranker else "dense").alias("mode"), "context", "sources", "n_docs", answer.alias("answer"))
+    return context.select("qid", "query", "law", F.lit(mode).alias("mode"), F.coalesce("docs", F.array().cast(docs.schema["docs"].dataType)).alias("docs"), "context", "sources", "n_docs", answer.alias("answer"))
+
+
+def run_rag(questions: DataFrame, points: DataFrame, chunks: DataFrame, use_reranker: bool = False, top_k: int = 5, candidates: int = 20, scorer=overlap_scorer, model=extractive_answer) -> DataFrame:
+    """Retrieval and answers of a table of questions: see ``retrieve`` and ``answer_questions``."""
+    hits = retrieve(questions, points, chunks, use_reranker, top_k, candidates, scorer)
+    return answer_questions(hits, questions, "reranker" if use_reranker else "dense", model)
+
+
+def timed_rag(questions: DataFrame, points: DataFrame, chunks: DataFrame, use_reranker: bool = False, **more) -> DataFrame:
+    """``run_rag`` with retrieval_sec and llm_sec: seconds of the two steps, each staged, by the number of questions."""
+    n, began = max(1, questions.count()), time.perf_counter()
+    model = more.pop("model", extractive_answer)
+    hits = staged(retrieve(questions, points, chunks, use_reranker, **more), "rag-hits")
+    found = time.perf_counter()
+    out = staged(answer_questions(hits, questions, "reranker" if use_reranker else "dense", model), "rag-answers")
+    return out.withColumns({"retrieval_sec": F.lit((found - began) / n), "llm_sec": F.lit((time.perf_counter() - found) / n)})

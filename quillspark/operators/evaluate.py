@@ -70,19 +70,32 @@ def unsupported_citations(answer: Column, sources: Column, strict: bool = False)
     return F.struct((F.size(loose) > 0).alias("flag"), cited.alias("answer_articles"), given.alias("source_articles"), loose.alias("unsupported"))
 
 
-def rag_records(results: DataFrame, queries: DataFrame, hits: DataFrame, rank: str = "rank") -> DataFrame:
-    """run_rag's rows with retrieval_hit, retrieval_rank, answer_has_source and hallucination."""
-    ranked = first_rank(queries.select("qid", "expected_chunk_id"), hits, rank).select("qid", "expected_chunk_id", F.col("correct_rank").alias("retrieval_rank"))
-    out = results.join(ranked, "qid").withColumn("retrieval_hit", F.col("retrieval_rank").isNotNull())
+def rag_records(results: DataFrame, queries: DataFrame) -> DataFrame:
+    """run_rag's rows, graded on their own docs: retrieval_rank and retrieval_hit of the expected chunk, answer_has_source, hallucination."""
+    out = results.join(queries.select("qid", "expected_chunk_id"), "qid")
+    own = F.filter("docs", lambda d: d["chunk_id"] == F.col("expected_chunk_id"))
+    out = out.withColumn("retrieval_rank", F.array_min(F.transform(own, lambda d: d["rank"]))).withColumn("retrieval_hit", F.col("retrieval_rank").isNotNull())
     return out.withColumn("answer_has_source", has_source(F.col("answer"), F.col("sources"))).withColumn("hallucination", unsupported_citations(F.col("answer"), F.col("sources")))
 
 
 def rag_summary(records: DataFrame, *keys: str) -> DataFrame:
-    """Counts and percentages of hits, of answers with a source and of flagged answers."""
-    rate = lambda c: F.avg(F.col(c).cast("double")) * 100
-    return records.withColumn("flagged", F.col("hallucination.flag")).groupBy(*keys).agg(
-        F.count("*").alias("n"), F.count_if("retrieval_hit").alias("hits"), rate("retrieval_hit").alias("hit_rate"), F.count_if("answer_has_source").alias("with_source"), rate("answer_has_source").alias("source_rate"), F.count_if("flagged").alias("flagged"), rate("flagged").alias("flagged_rate")
-    )
+    """Counts and percentages (one decimal) of hits, of hits at 1, 3 and 5, of answers with a source and of flagged answers.
+
+    Mean seconds (two decimals) where the records have them.
+    """
+    rate = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("double")) * 100, 1)
+    rank, flag = F.col("retrieval_rank"), F.col("hallucination.flag")
+    hit, source = F.col("retrieval_hit"), F.col("answer_has_source")
+    sums = [F.count("*").alias("total_questions"), F.count_if(hit).alias("retrieval_hit"), rate(hit).alias("retrieval_hit_rate")]
+    sums += [rate(rank <= k).alias(f"top{k}_rate") for k in (1, 3, 5)]
+    sums += [F.count_if(source).alias("answer_has_source"), rate(source).alias("source_rate"), F.count_if(flag).alias("hallucination_count"), rate(flag).alias("hallucination_rate")]
+    sums += [F.round(F.avg(c), 2).alias(f"avg_{c}") for c in ("retrieval_sec", "llm_sec") if c in records.columns]
+    return records.groupBy(*keys).agg(*sums)
+
+
+def flagged(records: DataFrame) -> DataFrame:
+    """Records whose answer cites what no source has."""
+    return records.where("hallucination.flag")
 
 
 def failures(ranked: DataFrame) -> DataFrame:

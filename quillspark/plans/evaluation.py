@@ -6,62 +6,110 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import answer as A
-from ..operators import dense, evalset
+from ..operators import dense, evalset, fusion, lexical
 from ..operators import evaluate as M
-from ..operators import lexical
 from ..operators import validate as V
 from ..sources import files
 from ..storage import shared_folder, staged
 from .registry import query, table
-from .retrieval import DENSE, RAG, bm25_sql, doc_chunks, points, text_queries, vector_queries
+from .retrieval import DENSE, RAG_STEPS, bm25_sql, doc_chunks, hybrid_inputs, listed, points, text_queries, vector_queries
 from .statutes import CHUNKS, statute_chunks, strip_sql, with_sql
+from .texts import TOKENS
 
 
 def self_retrieval(spark, sf_dir):
-    """(queries, hits of dense, hits of dense within the law); expected: the nearest other vector of the label."""
+    """(queries, dense hits); expected: the nearest other vector of the label."""
     q, p = vector_queries(spark, sf_dir), points(spark, sf_dir)
     every = staged(dense.dense_top_k(q, p, 20, by_law=False, exclude_self=True).withColumnRenamed("dense_rank", "rank"), "dense")
-    own = staged(dense.dense_top_k(q, p, 20, by_law=True, exclude_self=True).withColumnRenamed("dense_rank", "rank"), "dense-law")
-    expected = own.where("rank = 1").select("qid", F.col("chunk_id").alias("expected_chunk_id"))
-    return q.select("qid", "law").join(expected, "qid"), every.where("rank <= 5"), own.where("rank <= 5"), every
+    own = dense.dense_top_k(q, p, 1, by_law=True, exclude_self=True)
+    expected = own.select("qid", F.col("chunk_id").alias("expected_chunk_id"))
+    return q.select("qid", "law").join(expected, "qid"), every.where("rank <= 5")
 
 
 SELF = f"""WITH {DENSE.format("AND q.vec_id <> p.vec_id", 20)},
 own_all AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM dense_all WHERE law = q_law),
 expected AS (SELECT qid, chunk_id AS expected, law FROM own_all WHERE rank = 1),
-ranked AS (SELECT 'dense' AS mode, e.qid, e.law, e.expected, min(dense_rank) AS r FROM expected e LEFT JOIN dense d ON d.qid = e.qid AND d.chunk_id = e.expected AND dense_rank <= 5 GROUP BY ALL
-  UNION ALL SELECT 'filter', qid, law, expected, 1 FROM expected),
-summary AS (SELECT mode, count(*) AS total_questions, count(*) FILTER (r <= 1) AS top1_correct, avg((coalesce(r, 99) <= 1)::INT) AS top1_accuracy, count(*) FILTER (r <= 3) AS top3_correct, avg((coalesce(r, 99) <= 3)::INT) AS top3_accuracy,
-  count(*) FILTER (r <= 5) AS top5_correct, avg((coalesce(r, 99) <= 5)::INT) AS top5_accuracy, round(avg(coalesce(1.0 / r, 0)), 9) AS mrr FROM ranked GROUP BY mode)"""
+ranked AS (SELECT 'dense' AS mode, e.qid, e.law, e.expected, min(dense_rank) AS r FROM expected e LEFT JOIN dense d ON d.qid = e.qid AND d.chunk_id = e.expected AND dense_rank <= 5 GROUP BY ALL)"""
 
 
 @query("M01_M02_M04_first_rank", SELF + " SELECT qid, expected AS expected_chunk_id, r::INT AS correct_rank, round(coalesce(1.0 / r, 0), 9)::DOUBLE AS reciprocal_rank, coalesce(r <= 1, false) AS top1, coalesce(r <= 3, false) AS top3, coalesce(r <= 5, false) AS top5 FROM ranked WHERE mode = 'dense'")
 def first_rank(spark, sf_dir):
-    q, every, _, _ = self_retrieval(spark, sf_dir)
+    q, every = self_retrieval(spark, sf_dir)
     return M.first_rank(q, every).drop("law").withColumn("reciprocal_rank", F.round("reciprocal_rank", 9))
 
 
+def graded_questions(spark, sf_dir):
+    """(questions, points, chunks): benchmark items that a document holds, each with the vector of its number.
+
+    Expected are the first such document and its law, whatever any way of searching says.
+    """
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").where("text <> ''")
+    held = docs.join(F.broadcast(items.select(F.col("item_id").alias("qid"), F.col("text").alias("query"))), F.contains("text", "query"))
+    first = held.groupBy("qid", "query").agg(F.min(F.struct("doc_id", "source")).alias("d")).select("qid", "query", F.col("d.source").alias("law"), F.col("d.doc_id").alias("expected_chunk_id"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), "embedding")
+    return staged(first.join(vectors, "qid"), "questions"), hybrid_inputs(spark, sf_dir)[1], doc_chunks(spark, sf_dir)
+
+
+GRADED = """expq AS (SELECT item_id AS qid, min(doc_id) AS expected FROM benchmark b JOIN documents d ON b.text <> '' AND contains(d.text, b.text) GROUP BY 1),
+q AS (SELECT qid, d.source AS law, b.text, expected FROM expq JOIN benchmark b ON item_id = qid JOIN documents d ON d.doc_id = expected WHERE qid IN (SELECT vec_id FROM embeddings)),"""
+GRADED_VECTORS = "vq AS (SELECT qid, law AS q_law, text AS query, expected, embedding FROM q JOIN embeddings ON qid = vec_id)"
+MODES = f"""WITH {GRADED}
+{bm25_sql(True, 50, True).strip().replace("q AS (SELECT item_id AS qid, 'src' || (item_id % 20) AS law, text FROM benchmark),", "")},
+{GRADED_VECTORS},
+vp AS (SELECT vec_id AS chunk_id, source AS law, embedding FROM embeddings JOIN documents ON vec_id = doc_id),
+dall AS (SELECT qid, chunk_id, vp.law, q_law, list_cosine_similarity(vq.embedding::DOUBLE[], vp.embedding::DOUBLE[]) AS score FROM vq, vp),
+free AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM dall),
+dns AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS dense_rank FROM dall WHERE law = q_law) WHERE dense_rank <= 50),
+fused AS (SELECT coalesce(d.qid, l.qid) AS qid, coalesce(d.chunk_id, l.chunk_id) AS chunk_id, coalesce(1.0 / (5 + dense_rank), 0) + coalesce(1.0 / (5 + rank), 0) AS rrf, dense_rank, rank AS bm25_rank FROM dns d FULL OUTER JOIN lex l ON d.qid = l.qid AND d.chunk_id = l.chunk_id),
+hyb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 12) DESC, dense_rank NULLS LAST, bm25_rank NULLS LAST) AS rank FROM fused) WHERE rank <= 20),
+pairs AS (SELECT hyb.qid, hyb.rank, chunk_id, {TOKENS.format("coalesce(q.text, chr(32))")} AS qs, {TOKENS.format("'제' || (doc_id % 97 + 1) || '조 ' || left(string_split(coalesce(d.text, ''), chr(10))[1], 20) || ' ' || coalesce(d.text, '')")} AS ps FROM hyb JOIN q USING (qid) JOIN documents d ON d.doc_id = chunk_id),
+rer AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY len(list_intersect(qs, ps)) / len(qs) DESC, rank) AS rank FROM pairs),
+hits AS (SELECT 'dense' AS mode, qid, chunk_id, rank FROM free UNION ALL SELECT 'filter', qid, chunk_id, dense_rank FROM dns UNION ALL SELECT 'hybrid', qid, chunk_id, rank FROM hyb UNION ALL SELECT 'reranker', qid, chunk_id, rank FROM rer),
+ranked AS (SELECT m.mode, q.qid, expected, min(h.rank) AS r FROM q CROSS JOIN (VALUES ('dense'), ('filter'), ('hybrid'), ('reranker')) m(mode) LEFT JOIN hits h ON h.mode = m.mode AND h.qid = q.qid AND h.chunk_id = expected AND h.rank <= 5 GROUP BY ALL),
+recall AS (SELECT count(*) AS top20_recall, count(*) / (SELECT count(*) FROM q) AS top20_recall_rate FROM q JOIN hyb ON hyb.qid = q.qid AND hyb.chunk_id = expected),
+summary AS (SELECT mode, count(*) AS total_questions, count(*) FILTER (r <= 1) AS top1_correct, count(*) FILTER (r <= 3) AS top3_correct, count(*) FILTER (r <= 5) AS top5_correct, round(avg((coalesce(r, 99) <= 1)::INT), 4) AS top1_accuracy, round(avg((coalesce(r, 99) <= 3)::INT), 4) AS top3_accuracy, round(avg((coalesce(r, 99) <= 5)::INT), 4) AS top5_accuracy, round(avg(coalesce(1.0::DOUBLE / r, 0)), 4) AS mrr FROM ranked GROUP BY mode)"""
+
+
+def mode_hits(spark, sf_dir):
+    """(questions, hits of each of the four modes, hybrid candidates): what is compared."""
+    q, p, chunks = graded_questions(spark, sf_dir)
+    wide = staged(fusion.hybrid_search(q, p, chunks, 20, by_law=True), "hybrid")
+    again = A.rerank(A.attach_texts(wide.select("qid", "rank", "chunk_id", "law"), chunks).join(q.select("qid", "query"), "qid"))
+    modes = {
+        "dense": dense.dense_top_k(q, p, 5, by_law=False).withColumnRenamed("dense_rank", "rank"),
+        "filter": dense.dense_top_k(q, p, 5, by_law=True).withColumnRenamed("dense_rank", "rank"),
+        "hybrid": wide.where("rank <= 5"),
+        "reranker": again.select("qid", F.col("rerank_rank").alias("rank"), "chunk_id"),
+    }
+    return q.select("qid", "expected_chunk_id"), modes, wide
+
+
+ACCURACIES = ("top1_accuracy", "top3_accuracy", "top5_accuracy", "mrr")
+
+
 def _summary(spark, sf_dir):
-    q, every, own, _ = self_retrieval(spark, sf_dir)
-    return M.evaluate_modes(q, {"dense": every, "filter": own})
+    """A row a mode, rates to four decimals; the recall of the hybrid candidates is the reranker's."""
+    q, modes, wide = mode_hits(spark, sf_dir)
+    recall = M.candidate_recall(q, wide, 20).select(F.lit("reranker").alias("mode"), "top20_recall", F.round("top20_recall_rate", 4).alias("top20_recall_rate"))
+    summary = M.evaluate_modes(q, modes).withColumns({c: F.round(c, 4) for c in ACCURACIES})
+    return summary.join(recall, "mode", "left")
 
 
-@query("M03_M06_evaluate_modes", SELF + " SELECT mode, total_questions, top1_correct, round(top1_accuracy, 9) AS top1_accuracy, top3_correct, round(top3_accuracy, 9) AS top3_accuracy, top5_correct, round(top5_accuracy, 9) AS top5_accuracy, mrr::DOUBLE AS mrr FROM summary")
+@query("M03_M06_evaluate_modes", MODES + " SELECT mode, total_questions, top1_correct, top1_accuracy, top3_correct, top3_accuracy, top5_correct, top5_accuracy, mrr, CASE WHEN mode = 'reranker' THEN top20_recall END AS top20_recall, CASE WHEN mode = 'reranker' THEN round(top20_recall_rate, 4) END AS top20_recall_rate FROM summary, recall")
 def evaluate_modes(spark, sf_dir):
-    return _summary(spark, sf_dir).withColumns({c: F.round(c, 9) for c in ("top1_accuracy", "top3_accuracy", "top5_accuracy", "mrr")})
+    return _summary(spark, sf_dir)
 
 
-@query("M05_candidate_recall", SELF + " SELECT count(*) AS total_questions, count(d.qid) AS top20_recall, round(count(d.qid) / count(*), 9) AS top20_recall_rate FROM expected e LEFT JOIN dense d ON d.qid = e.qid AND d.chunk_id = e.expected")
+@query("M05_candidate_recall", MODES + " SELECT (SELECT count(*) FROM q) AS total_questions, top20_recall, round(top20_recall_rate, 9) AS top20_recall_rate FROM recall")
 def candidate_recall(spark, sf_dir):
-    q, _, _, wide = self_retrieval(spark, sf_dir)
+    q, _, wide = mode_hits(spark, sf_dir)
     return M.candidate_recall(q, wide, 20).withColumn("top20_recall_rate", F.round("top20_recall_rate", 9))
 
 
-@query("M07_M12_compare_modes", SELF + """ SELECT metric, round(max(v) FILTER (mode = 'dense'), 9)::DOUBLE AS dense, round(max(v) FILTER (mode = 'filter'), 9)::DOUBLE AS filter, round(max(v) FILTER (mode = 'filter') - max(v) FILTER (mode = 'dense'), 9)::DOUBLE AS difference
-FROM (UNPIVOT (SELECT mode, top1_accuracy::DOUBLE AS top1_accuracy, top3_accuracy::DOUBLE AS top3_accuracy, top5_accuracy::DOUBLE AS top5_accuracy, mrr::DOUBLE AS mrr FROM summary) ON top1_accuracy, top3_accuracy, top5_accuracy, mrr INTO NAME metric VALUE v) GROUP BY metric""")
+@query("M07_compare_modes", MODES + """ SELECT metric, max(v) FILTER (mode = 'dense') AS dense, max(v) FILTER (mode = 'filter') AS filter, max(v) FILTER (mode = 'hybrid') AS hybrid, max(v) FILTER (mode = 'reranker') AS reranker
+FROM (UNPIVOT (SELECT mode, top1_accuracy, top3_accuracy, top5_accuracy, mrr FROM summary) ON top1_accuracy, top3_accuracy, top5_accuracy, mrr INTO NAME metric VALUE v) GROUP BY metric""")
 def compare_modes(spark, sf_dir):
-    wide = M.mode_differences(_summary(spark, sf_dir), "dense", "filter", ("top1_accuracy", "top3_accuracy", "top5_accuracy", "mrr"))
-    return wide.withColumns({c: F.round(c, 9) for c in ("dense", "filter", "difference")})
+    return M.compare_modes(_summary(spark, sf_dir), ["dense", "filter", "hybrid", "reranker"], ACCURACIES)
 
 
 def cited(spark, sf_dir):
@@ -88,39 +136,58 @@ def unsupported(spark, sf_dir):
     return rows.select("doc_id", *(F.array_join(f"h.{c}", ",").alias(c) for c in ("answer_articles", "source_articles", "unsupported")), "h.flag")
 
 
-def _records(spark, sf_dir):
-    q, p = vector_questions(spark, sf_dir)
-    chunks = doc_chunks(spark, sf_dir)
-    hits = dense.dense_top_k(q, p, 5, by_law=False).withColumnRenamed("dense_rank", "rank")
-    expected = q.withColumn("expected_chunk_id", F.col("qid"))
-    return M.rag_records(A.run_rag(q, p, chunks), expected, hits)
-
-
-def vector_questions(spark, sf_dir):
-    from .retrieval import hybrid_inputs
+def _records(spark, sf_dir, timed=False):
+    """Graded answers in both modes, each on its own documents; the search is within the expected law."""
+    q, p, chunks = graded_questions(spark, sf_dir)
+    answer = A.timed_rag if timed else A.run_rag
+    return M.rag_records(answer(q, p, chunks).unionByName(answer(q, p, chunks, use_reranker=True)), q)
 
-    return hybrid_inputs(spark, sf_dir)
 
-
-RECORDS = f"""{RAG},
-wide AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY list_cosine_similarity(vq.embedding::DOUBLE[], vp.embedding::DOUBLE[]) DESC, chunk_id) AS rank FROM vq, vp),
-records AS (SELECT rag.qid, query, rag.qid AS expected_chunk_id, rank IS NOT NULL AS retrieval_hit, rank::INT AS retrieval_rank, answer, sources,
+RECORDS = f"""{GRADED}
+{GRADED_VECTORS},
+{RAG_STEPS},
+graded AS (SELECT rag.*, q.expected, nullif(list_position(doc_ids, q.expected), 0) AS retrieval_rank FROM rag JOIN q USING (qid)),
+records AS (SELECT qid, query, expected AS expected_chunk_id, mode, docs, retrieval_rank IS NOT NULL AS retrieval_hit, retrieval_rank::INT AS retrieval_rank, answer, sources,
   len(list_filter(string_split(sources, '|'), lambda s: s <> '' AND contains(answer, string_split(s, ' ')[1]) AND contains(answer, string_split(s, ' ')[2]))) > 0 OR regexp_matches(answer, '제\\d+조') AS answer_has_source,
-  len(list_filter(regexp_extract_all(answer, '제\\d+조'), lambda c: NOT list_contains(regexp_extract_all(sources, '제\\d+조'), c))) > 0 AS flag
-  FROM rag LEFT JOIN wide ON wide.qid = rag.qid AND wide.chunk_id = rag.qid AND rank <= 5 WHERE mode = 'dense')"""
+  len(list_filter(regexp_extract_all(answer, '제\\d+조'), lambda c: NOT list_contains(regexp_extract_all(sources, '제\\d+조'), c))) > 0 AS flag FROM graded),
+rsum AS (SELECT mode, count(*) AS total_questions, count(*) FILTER (retrieval_hit) AS retrieval_hit, round(avg(retrieval_hit::INT) * 100, 1) AS retrieval_hit_rate, round(avg(coalesce(retrieval_rank <= 1, false)::INT) * 100, 1) AS top1_rate, round(avg(coalesce(retrieval_rank <= 3, false)::INT) * 100, 1) AS top3_rate, round(avg(coalesce(retrieval_rank <= 5, false)::INT) * 100, 1) AS top5_rate,
+  count(*) FILTER (answer_has_source) AS answer_has_source, round(avg(answer_has_source::INT) * 100, 1) AS source_rate, count(*) FILTER (flag) AS hallucination_count, round(avg(flag::INT) * 100, 1) AS hallucination_rate FROM records GROUP BY mode)"""
 
 
-@query("M10_rag_records", f"WITH {RECORDS} SELECT qid, query, expected_chunk_id, retrieval_hit, retrieval_rank, answer_has_source, flag, answer FROM records")
+@query("M10_rag_records", f"WITH {RECORDS} SELECT qid, query, expected_chunk_id, mode, docs AS retrieved_chunks, retrieval_hit, retrieval_rank, answer_has_source, flag, answer FROM records")
 def rag_records(spark, sf_dir):
     out = _records(spark, sf_dir)
-    return out.select("qid", "query", "expected_chunk_id", "retrieval_hit", "retrieval_rank", "answer_has_source", F.col("hallucination.flag").alias("flag"), "answer")
+    return out.select("qid", "query", "expected_chunk_id", "mode", listed(F.col("docs")).alias("retrieved_chunks"), "retrieval_hit", "retrieval_rank", "answer_has_source", F.col("hallucination.flag").alias("flag"), "answer")
 
 
-@query("M11_M15_rag_summary", f"WITH {RECORDS} SELECT 'dense' AS mode, count(*) AS n, count(*) FILTER (retrieval_hit) AS hits, avg(retrieval_hit::INT) * 100 AS hit_rate, count(*) FILTER (answer_has_source) AS with_source, avg(answer_has_source::INT) * 100 AS source_rate, count(*) FILTER (flag) AS flagged, avg(flag::INT) * 100 AS flagged_rate FROM records")
+@query("M11_rag_summary", f"WITH {RECORDS} SELECT * FROM rsum")
 def rag_summary(spark, sf_dir):
     return M.rag_summary(_records(spark, sf_dir), "mode")
 
 
+DIFFERENCES = ("retrieval_hit_rate", "top1_rate", "top3_rate", "hallucination_rate")
+
+
+@query("M12_rag_differences", f"WITH {RECORDS} SELECT metric, dense, reranker, round(reranker - dense, 1) AS difference FROM (SELECT metric, max(v) FILTER (mode = 'dense') AS dense, max(v) FILTER (mode = 'reranker') AS reranker FROM (UNPIVOT (SELECT mode, {', '.join(DIFFERENCES)} FROM rsum) ON {', '.join(DIFFERENCES)} INTO NAME metric VALUE v) GROUP BY metric)")
+def rag_differences(spark, sf_dir):
+    wide = M.mode_differences(M.rag_summary(_records(spark, sf_dir), "mode"), "dense", "reranker", DIFFERENCES)
+    return wide.withColumn("difference", F.round("difference", 1))
+
+
+@query("M15_rag_times")
+def rag_times(spark, sf_dir):
+    """Mean seconds a question in both modes, and the difference; measured, so SQL can't give them."""
+    summary = M.rag_summary(_records(spark, sf_dir, timed=True), "mode")
+    wide = M.mode_differences(summary, "dense", "reranker", ("avg_retrieval_sec", "avg_llm_sec"))
+    return wide.withColumn("difference", F.round("difference", 2))
+
+
+@query("F06_flagged_answers", f"WITH {CITED}, asked AS (SELECT doc_id, len(list_filter(given, lambda x: NOT list_contains(known, x))) > 0 AS flag FROM cites) SELECT doc_id FROM asked WHERE flag")
+def flagged_answers(spark, sf_dir):
+    rows = cited(spark, sf_dir).select("doc_id", M.unsupported_citations(F.col("answer"), F.col("sources")).alias("hallucination"))
+    return M.flagged(rows).select("doc_id")
+
+
 def ranked_texts(spark, sf_dir):
     """Benchmark questions ranked by BM25; the expected document is the one of the question's number."""
     q = text_queries(spark, sf_dir).withColumn("expected_chunk_id", F.col("qid"))
@@ -267,7 +334,7 @@ def query_files(spark, sf_dir):
 
 @query("S09_K07_result_files", SELF + " SELECT qid, r::INT AS correct_rank, round(coalesce(1.0 / r, 0), 9)::DOUBLE AS reciprocal_rank FROM ranked WHERE mode = 'dense'")
 def result_files(spark, sf_dir):
-    q, every, _, _ = self_retrieval(spark, sf_dir)
+    q, every = self_retrieval(spark, sf_dir)
     ranked = staged(M.first_rank(q, every), "ranked")
     folder = shared_folder(spark, "results")
     files.write_results(ranked, M.search_summary(ranked), folder)

@@ -200,21 +200,30 @@ def prompt(spark, sf_dir):
 
 
 _PASSAGE = "'제' || (doc_id % 97 + 1) || '조 ' || article_title || ' ' || text"
-RAG = f"""vq AS (SELECT item_id AS qid, 'src' || (item_id % 20) AS q_law, b.text AS query, embedding FROM benchmark b JOIN embeddings ON item_id = vec_id),
-vp AS (SELECT vec_id AS chunk_id, source AS law, embedding FROM embeddings JOIN documents ON vec_id = doc_id),
+RAG_QUESTIONS = "vq AS (SELECT item_id AS qid, 'src' || (item_id % 20) AS q_law, b.text AS query, embedding FROM benchmark b JOIN embeddings ON item_id = vec_id)"
+RAG_STEPS = f"""vp AS (SELECT vec_id AS chunk_id, source AS law, embedding FROM embeddings JOIN documents ON vec_id = doc_id),
 rall AS (SELECT qid, chunk_id, law, query, row_number() OVER (PARTITION BY qid ORDER BY list_cosine_similarity(vq.embedding::DOUBLE[], vp.embedding::DOUBLE[]) DESC, chunk_id) AS rank FROM vq JOIN vp ON law = q_law),
 r20 AS (SELECT rall.*, doc_id, left(string_split(coalesce(text, ''), chr(10))[1], 20) AS article_title, coalesce(text, '') AS text FROM rall JOIN documents ON doc_id = chunk_id WHERE rank <= 20),
 rsc AS (SELECT *, {TOKENS.format("coalesce(query, chr(32))")} AS qs, {TOKENS.format(_PASSAGE)} AS ps FROM r20),
 rrr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY len(list_intersect(qs, ps)) / len(qs) DESC, rank) AS rerank_rank FROM rsc),
 picks AS (SELECT 'dense' AS mode, rank AS r, * FROM rrr WHERE rank <= 5 UNION ALL SELECT 'reranker', rerank_rank, * FROM rrr WHERE rerank_rank <= 5),
 ctx AS (SELECT mode, qid, string_agg('[' || r || '] ' || law || ' 제' || (doc_id % 97 + 1) || '조' || CASE WHEN article_title <> '' THEN '(' || article_title || ')' ELSE '' END || chr(10) || text, chr(10) || chr(10) ORDER BY r) AS context,
-  string_agg(law || ' 제' || (doc_id % 97 + 1) || '조', '|' ORDER BY r) AS sources, count(*)::INT AS n_docs FROM picks GROUP BY mode, qid),
-rag AS (SELECT vq.qid, query, q_law AS law, m.mode, coalesce(context, '{A.NO_CONTEXT}') AS context, coalesce(sources, '') AS sources, coalesce(n_docs, 0)::INT AS n_docs,
+  string_agg(law || ' 제' || (doc_id % 97 + 1) || '조', '|' ORDER BY r) AS sources, string_agg(r || ':' || doc_id || ':' || rank, '|' ORDER BY r) AS docs, list(doc_id ORDER BY r) AS doc_ids, count(*)::INT AS n_docs FROM picks GROUP BY mode, qid),
+rag AS (SELECT vq.qid, query, q_law AS law, m.mode, coalesce(docs, '') AS docs, doc_ids, coalesce(context, '{A.NO_CONTEXT}') AS context, coalesce(sources, '') AS sources, coalesce(n_docs, 0)::INT AS n_docs,
   coalesce(nullif({strip_sql("left(substr(context, instr(context, chr(10)) + 1), 200)")}, ''), '{A.REFUSAL}') AS answer FROM vq CROSS JOIN (VALUES ('dense'), ('reranker')) m(mode) LEFT JOIN ctx ON ctx.qid = vq.qid AND ctx.mode = m.mode)"""
 
 
-@query("A05_A06_A07_run_rag", f"WITH {RAG} SELECT * FROM rag")
+RAG = RAG_QUESTIONS + ",\n" + RAG_STEPS
+
+
+def listed(docs):
+    """rank:chunk_id:dense_rank of each document of an answer."""
+    return F.array_join(F.transform(docs, lambda d: F.concat_ws(":", d["rank"], d["chunk_id"], d["dense_rank"])), "|")
+
+
+@query("A05_A06_A07_run_rag", f"WITH {RAG} SELECT * EXCLUDE (doc_ids) FROM rag")
 def run_rag(spark, sf_dir):
     q, p = rag_questions(spark, sf_dir)
     chunks = doc_chunks(spark, sf_dir)
-    return A.run_rag(q, p, chunks).unionByName(A.run_rag(q, p, chunks, use_reranker=True)).withColumn("sources", F.array_join("sources", "|"))
+    out = A.run_rag(q, p, chunks).unionByName(A.run_rag(q, p, chunks, use_reranker=True))
+    return out.withColumns({"sources": F.array_join("sources", "|"), "docs": listed(F.col("docs"))})

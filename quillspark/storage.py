@@ -14,6 +14,8 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``; below a temporary folder only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         root = _own.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-")
         _own[app] = root

@@ -21,5 +21,5 @@ def test_runs(spark, name):
 def test_entry_has_rows(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).count() == 2
+    assert entry.entry(spark).count() == 4
     assert set(entry.oracle_sql()) <= set(entry.queries())
