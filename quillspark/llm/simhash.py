@@ -315,10 +315,11 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
     reps = staged(prints.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")), "set-reps")
     known = reps.where("rep is not null")
     todo = known.select("rep", "fp", F.col("rep").alias("group"))
-    good, roots = spark.createDataFrame([], "a long, b long"), None
+    good, roots, sets = spark.createDataFrame([], "a long, b long"), None, None
     for turn in range(MAX_ROUNDS):
         pairs = staged(_proposed(todo, todo.count(), similarity, turn), "set-pairs")
-        checked = staged(_similar(pairs, prints, known, similarity), "set-checked")
+        sets = sets if turn else _sets_of(pairs, prints, known)  # later turns search among the same documents
+        checked = staged(_similar(pairs, sets, similarity), "set-checked")
         sure, failed = checked.where("good"), checked.where("not good")
         good = good.unionByName(sure.select("a", "b"))
         if turn and sure.isEmpty():
@@ -335,11 +336,15 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
     return prints.select("doc_id", "sig").join(groups, "sig").select("doc_id", "component_id")
 
 
-def _similar(pairs: DataFrame, prints: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """``pairs`` with ``good``: whether the sets' similarity is high enough."""
+def _sets_of(pairs: DataFrame, prints: DataFrame, known: DataFrame) -> DataFrame:
+    """(rep, hashes) of the documents in ``pairs``, staged. Their keys are staged first: few as they are, they go to the sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    own = known.select("rep", F.col("sig").alias("s")).join(wanted, "rep", "left_semi")
-    sets = prints.join(own, (F.col("doc_id") == F.col("rep")) & (F.col("sig") == F.col("s"))).select("rep", "hashes").dropDuplicates(["rep"])
+    own = staged(known.select("rep", F.col("sig").alias("s")).join(wanted, "rep", "left_semi"), "set-keys")
+    return staged(prints.join(own, (F.col("doc_id") == F.col("rep")) & (F.col("sig") == F.col("s"))).select("rep", "hashes").dropDuplicates(["rep"]), "set-proposed")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` with ``good``: whether the sets' similarity is high enough."""
     met = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     return met.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), both.alias("both")).select("a", "b", (F.col("both") >= similarity * (F.col("nx") + F.col("ny") - F.col("both"))).alias("good"))
