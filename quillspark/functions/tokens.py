@@ -30,5 +30,7 @@ def tokenize(text: Column, dedup: bool = True) -> Column:
         stem = F.left(w, F.length(w) - F.length(F.regexp_extract(w, verb, 1)))
         return F.when(korean(w) & w.rlike(f"^..+?{verb}") & (F.length(stem) >= 2), F.array(w, stem)).otherwise(F.array(w))
 
-    out = F.flatten(F.transform(F.transform(raw_words(text), bare), with_stem))
+    plain = raw_words(text)
+    # a text without Hangul is its words: no function runs word by word
+    out = F.when(text.rlike("[가-힣]"), F.flatten(F.transform(F.transform(plain, bare), with_stem))).otherwise(plain)
     return F.array_distinct(out) if dedup else out

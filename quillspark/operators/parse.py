@@ -22,7 +22,16 @@ def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def clean_lines(lines: DataFrame, nfkc: bool = True) -> DataFrame:
     """Lines cleaned, without blank and noise lines."""
-    return lines.withColumn("line", T.clean_line(F.col("line"), nfkc)).where(~T.is_noise_line(F.col("line")))
+    return once(lines, line=T.clean_line(F.col("line"), nfkc)).where(~T.is_noise_line(F.col("line")))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once, whatever filters and columns come after.
+
+    The optimizer copies the expression of a plain column into every use of it, but not through a generator.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
 def _number_and_title(h: H.Heading) -> Column:
@@ -93,7 +102,7 @@ def article_text(arts: DataFrame, nfkc: bool = True) -> DataFrame:
     """Adds ``text``: heading and lines in one, cleaned; and the page range."""
     header = F.concat(F.col("article"), F.when(F.col("title").isNotNull(), F.concat(F.lit("("), F.col("title"), F.lit(")"))).otherwise(F.lit("")))
     body = F.filter(F.transform("lines", T.strip), lambda x: x != "")
-    return arts.withColumn("text", T.clean_text(F.concat_ws(" ", header, F.array_join(body, " ")), nfkc)).withColumns({"page_start": F.array_min("pages"), "page_end": F.array_max("pages")})
+    return once(arts, text=T.clean_text(F.concat_ws(" ", header, F.array_join(body, " ")), nfkc)).withColumns({"page_start": F.array_min("pages"), "page_end": F.array_max("pages")})
 
 
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"

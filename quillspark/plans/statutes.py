@@ -153,16 +153,41 @@ def article_headings(spark, sf_dir):
     return page_lines(spark, sf_dir).where(h.is_one).select("document", "page", "line_no", h.number.alias("article"), h.title.alias("title"), h.content.alias("content"))
 
 
-@query("P05_article_headings_old", with_sql(LINES, rf"""SELECT document, page, line_no, regexp_extract(line, '^(제\d+조)', 1) AS article, nullif({strip_sql(r"regexp_extract(line, '^제\d+조\s*\(([^)]*)\)', 1)")}, '') AS title, {strip_sql(r"regexp_extract(line, '^제\d+조(?:\s*\([^)]*\))?(?:\s+|$)(.*)$', 1)")} AS content FROM kept WHERE regexp_matches(line, '^(제\d+조)(?:\s*\(([^)]*)\))?(?:\s+|$)(.*)$')"""))
+def old_lines(spark, sf_dir):
+    """Lines in the older form too: doubled article numbers, ranges, supplements with a note after them."""
+    lines = page_lines(spark, sf_dir)
+    n, line = F.length("line") % 9, F.col("line")
+    art = F.regexp_extract(line, r"^(제\d+조)", 1)
+    form = F.when((art != "") & (n == 1), F.concat(art, line)).when((art != "") & (n == 2), F.concat(art, F.lit("부터 "), art, F.lit("까지 "), F.length("line").cast("string")))
+    form = form.when(n == 3, F.concat(F.lit("<법률 제"), F.length("line").cast("string"), F.lit("호>"))).when(n == 4, F.concat(F.lit("부칙 <"), line, F.lit(">")))
+    return lines.withColumn("line", form.otherwise(line))
+
+
+OLD_LINES = LINES + r""",
+olds AS (SELECT document, page, line_no, CASE WHEN regexp_matches(line, '^제\d+조') AND length(line) % 9 = 1 THEN regexp_extract(line, '^(제\d+조)', 1) || line
+  WHEN regexp_matches(line, '^제\d+조') AND length(line) % 9 = 2 THEN regexp_extract(line, '^(제\d+조)', 1) || '부터 ' || regexp_extract(line, '^(제\d+조)', 1) || '까지 ' || length(line)
+  WHEN length(line) % 9 = 3 THEN '<법률 제' || length(line) || '호>' WHEN length(line) % 9 = 4 THEN '부칙 <' || line || '>' ELSE line END AS line FROM kept)"""
+
+
+_OLD_DOUBLED, _OLD_PLAIN, _OLD_SPAN = (f"'{p}'" for p in (r"^(제\d+조)(제\d+조)(?:\s*\(([^)]*)\))?(?:\s+|$)(.*)$", r"^(제\d+조)(?:\s*\(([^)]*)\))?(?:\s+|$)(.*)$", r"^(제\d+조부터\s+제\d+조까지)(?:\s+(.+))?$"))
+
+
+def _old_sql(doubled: int, plain: int, span: int) -> str:
+    group = lambda p, k: strip_sql(f"regexp_extract(line, {p}, {k})") if k else "''"
+    return f"CASE WHEN doubled THEN {group(_OLD_DOUBLED, doubled)} WHEN plain THEN {group(_OLD_PLAIN, plain)} ELSE {group(_OLD_SPAN, span)} END"
+
+
+@query("P05_article_headings_old", with_sql(OLD_LINES, f""", kinds AS (SELECT *, regexp_matches(line, {_OLD_DOUBLED}) AND regexp_extract(line, {_OLD_DOUBLED}, 1) = regexp_extract(line, {_OLD_DOUBLED}, 2) AS doubled, regexp_matches(line, {_OLD_PLAIN}) AS plain, regexp_matches(line, {_OLD_SPAN}) AS span FROM olds)
+SELECT document, page, line_no, nullif({_old_sql(1, 1, 1)}, '') AS article, nullif({_old_sql(3, 2, 0)}, '') AS title, {_old_sql(4, 3, 2)} AS content, doubled FROM kinds WHERE doubled OR plain OR span"""))
 def article_headings_old(spark, sf_dir):
-    h, _ = H.article_old(F.col("line"))
-    return page_lines(spark, sf_dir).where(h.is_one).select("document", "page", "line_no", h.number.alias("article"), h.title.alias("title"), h.content.alias("content"))
+    h, doubled = H.article_old(F.col("line"))
+    return old_lines(spark, sf_dir).where(h.is_one).select("document", "page", "line_no", h.number.alias("article"), h.title.alias("title"), h.content.alias("content"), doubled.alias("doubled"))
 
 
-@query("P06_supplement_lines_old", with_sql(LINES, r"SELECT document, page, line_no, false AS is_note FROM kept WHERE regexp_matches(line, '^부칙\s*(?:<.*>)?$') OR regexp_matches(line, '^부칙\s+')"))
+@query("P06_supplement_lines_old", with_sql(OLD_LINES, r"SELECT document, page, line_no, regexp_matches(line, '^<.*(법률|대통령령|총리령|부령|시행령|시행규칙).*?>$') AS is_note FROM olds WHERE regexp_matches(line, '^부칙\s*(?:<.*>)?$') OR regexp_matches(line, '^부칙\s+') OR regexp_matches(line, '^<.*(법률|대통령령|총리령|부령|시행령|시행규칙).*?>$')"))
 def supplement_lines_old(spark, sf_dir):
     line = F.col("line")
-    return page_lines(spark, sf_dir).where(H.supplementary_old(line) | H.supplementary_note(line)).select("document", "page", "line_no", H.supplementary_note(line).alias("is_note"))
+    return old_lines(spark, sf_dir).where(H.supplementary_old(line) | H.supplementary_note(line)).select("document", "page", "line_no", H.supplementary_note(line).alias("is_note"))
 
 
 @query("P07_P09_W05_articles", with_sql(ARTICLES, "SELECT document, pos, section, chapter, chapter_title, subsection, article, title, array_to_string(lines, chr(10)) AS body, array_to_string(pages, ',') AS pages FROM arts"))
@@ -266,38 +291,70 @@ def chunk_statistics(spark, sf_dir):
     return stats(statute_chunks(spark, sf_dir), "law_name")
 
 
-OFFENCES = "SELECT document, '{}' AS \"check\", id AS offending_id FROM chunks WHERE {}"
+def faulty_chunks(spark, sf_dir):
+    """The chunks with planted faults, by page and chunk number: each check has rows that offend it."""
+    n = F.col("page_start") * 7 + F.col("chunk_index") * 3 + F.length("text")
+    rows = statute_chunks(spark, sf_dir).select("document", "id", "text", "section", "chapter", "chunk_type", "paragraph", "item", "parent_id", "page_start", "page_end", "article", n.alias("n"))
+    kind = F.when(F.col("n") % 11 == 3, "paragraph").when(F.col("n") % 11 == 4, "item").when(F.col("n") % 11 == 5, "clause").otherwise(F.col("chunk_type"))
+    rows = rows.withColumns({
+        "id": F.when(F.col("n") % 7 == 0, F.concat("document", "section")).otherwise(F.col("id")), "text": F.when(F.col("n") % 13 == 1, F.left("text", F.lit(12))).otherwise(F.col("text")),
+        "section": F.when(F.col("n") % 17 == 2, "별표").otherwise(F.col("section")), "chunk_type": kind, "paragraph": F.when(F.col("n") % 5 == 0, "제1항"), "item": F.when(F.col("n") % 9 == 0, "제1호"),
+        "parent_id": F.when(F.col("n") % 4 == 1, F.col("id")).when(F.col("n") % 4 == 2, F.concat("id", F.lit("_lost"))), "page_end": F.when(F.col("n") % 19 == 6, F.lit(0)).otherwise(F.col("page_end")),
+    })
+    return rows.drop("n")
+
+
+FAULTY = CHUNKS + """,
+numbered AS (SELECT *, page_start * 7 + chunk_index * 3 + length(text) AS n FROM chunks),
+faulty AS (SELECT document, CASE WHEN n % 7 = 0 THEN document || section ELSE id END AS id, CASE WHEN n % 13 = 1 THEN left(text, 12) ELSE text END AS text, CASE WHEN n % 17 = 2 THEN '별표' ELSE section END AS section, chapter,
+  CASE n % 11 WHEN 3 THEN 'paragraph' WHEN 4 THEN 'item' WHEN 5 THEN 'clause' ELSE chunk_type END AS chunk_type, CASE WHEN n % 5 = 0 THEN '제1항' END AS paragraph, CASE WHEN n % 9 = 0 THEN '제1호' END AS item,
+  CASE n % 4 WHEN 1 THEN id WHEN 2 THEN id || '_lost' END AS parent_id, page_start, CASE WHEN n % 19 = 6 THEN 0 ELSE page_end END AS page_end, article FROM numbered)"""
+OFFENCES = "SELECT document, '{}' AS \"check\", id AS offending_id FROM faulty WHERE {}"
 
 
 def offences(name: str, bad: str) -> str:
-    return with_sql(CHUNKS, OFFENCES.format(name, bad))
+    return with_sql(FAULTY, OFFENCES.format(name, bad))
 
 
 def _only(name: str):
     def plan(spark, sf_dir):
-        return V.row_checks(statute_chunks(spark, sf_dir), F.lit(2)).where(F.col("check") == name)
+        return V.row_checks(faulty_chunks(spark, sf_dir), F.lit(2)).where(F.col("check") == name)
 
     return plan
 
 
-for _name, _bad in {"V02": "section = '본문' AND chapter IS NULL", "V04": "page_start < 1 OR page_end < page_start OR page_end > 2", "V05": "length(text) < 20", "V06": "section NOT IN ('본문', '부칙')", "V07": "chunk_type NOT IN ('article', 'paragraph', 'item')", "V09": "paragraph IS NOT NULL OR item IS NOT NULL"}.items():
+_ROW_CHECKS = {
+    "V02": "section = '본문' AND chapter IS NULL",
+    "V04": "page_start < 1 OR page_end < page_start OR page_end > 2",
+    "V05": "length(text) < 20",
+    "V06": "section NOT IN ('본문', '부칙')",
+    "V07": "chunk_type NOT IN ('article', 'paragraph', 'item')",
+    "V08a": "(chunk_type = 'article') <> (parent_id IS NULL)",
+    "V09": "CASE chunk_type WHEN 'article' THEN paragraph IS NOT NULL OR item IS NOT NULL WHEN 'paragraph' THEN paragraph IS NULL OR item IS NOT NULL ELSE item IS NULL END",
+}
+for _name, _bad in _ROW_CHECKS.items():
     query(f"{_name}_row_check", offences(_name, _bad))(_only(_name))
 
 
-@query("V01_duplicate_ids", with_sql(CHUNKS, "SELECT document, 'V01' AS \"check\", id AS offending_id FROM chunks GROUP BY document, id HAVING count(*) > 1"))
+@query("V01_duplicate_ids", with_sql(FAULTY, "SELECT document, 'V01' AS \"check\", id AS offending_id FROM faulty GROUP BY document, id HAVING count(*) > 1"))
 def duplicate_ids(spark, sf_dir):
-    return V.duplicates(statute_chunks(spark, sf_dir), ["document", "id"], "V01")
+    return V.duplicates(faulty_chunks(spark, sf_dir), ["document", "id"], "V01")
+
+
+@query("V12_duplicate_articles", with_sql(FAULTY, "SELECT document, 'V12' AS \"check\", section || '|' || article AS offending_id FROM faulty GROUP BY document, section, article HAVING count(*) > 1"))
+def duplicate_articles(spark, sf_dir):
+    return V.duplicates(faulty_chunks(spark, sf_dir), ["document", "section", "article"], "V12")
 
 
-@query("V03_missing_keys", "SELECT DISTINCT '법' || doc_id || '_법률_제' || doc_id || '호_2024' || lpad(((doc_id % 12) + 1)::VARCHAR, 2, '0') || '15' AS document, 'V03' AS \"check\", k AS offending_id FROM documents, (VALUES ('chunk_type'), ('parent_id')) v(k)")
+@query("V03_missing_keys", with_sql(CHUNKS, "SELECT DISTINCT document, 'V03' AS \"check\", k AS offending_id FROM chunks, (VALUES ('chunk_count'), ('law_name')) v(k)"))
 def missing_keys(spark, sf_dir):
-    lines = statute_lines(spark, sf_dir)
-    return V.missing_keys(lines, ("document", "page", "chunk_type", "parent_id"))
+    """Two of the required columns are left out of the chunks."""
+    return V.missing_keys(statute_chunks(spark, sf_dir).drop("law_name", "chunk_count"))
 
 
-@query("V08_J08_orphans", "SELECT conv_id::VARCHAR AS document, 'V08' AS \"check\", turn::VARCHAR AS offending_id FROM conversations c WHERE turn > 0 AND NOT EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1)")
+@query("V08_J08_orphans", with_sql(FAULTY, "SELECT document, 'V08' AS \"check\", id AS offending_id FROM faulty c WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM faulty p WHERE p.document = c.document AND p.id = c.parent_id)"))
 def orphans(spark, sf_dir):
-    return V.orphans(turn_tree(spark, sf_dir))
+    return V.orphans(faulty_chunks(spark, sf_dir))
 
 
 @query("V10_parents_of_kind", "SELECT conv_id::VARCHAR AS document, 'V10' AS \"check\", turn::VARCHAR AS offending_id FROM conversations c WHERE turn > 0 AND NOT EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1 AND p.role = 'user')")

@@ -124,8 +124,9 @@ def valid_queries(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where((F.col("role") == "user") & valid_query(F.col("text"))).select("conv_id", "turn")
 
 
-@query("F04_missing_fields", "SELECT conv_id * 1000 + turn AS id, 'text' AS field FROM conversations WHERE text IS NULL OR text = '' UNION ALL SELECT conv_id * 1000 + turn, 'role' FROM conversations WHERE role IS NULL OR role = ''")
+@query("F04_missing_fields", "SELECT doc_id AS id, f AS field FROM (SELECT doc_id, unnest(['text', 'lang', 'mark']) AS f, unnest([text, CASE WHEN doc_id % 7 <> 3 THEN lang END, CASE WHEN doc_id % 5 = 1 THEN '' ELSE source END]) AS v FROM documents) WHERE v IS NULL OR v = ''")
 def missing_fields(spark, sf_dir):
     from ..operators.validate import missing_fields as lacking
 
-    return lacking(table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), ("text", "role"))
+    rows = docs(spark, sf_dir, "text", F.when(F.col("doc_id") % 7 != 3, F.col("lang")).alias("lang"), F.when(F.col("doc_id") % 5 == 1, "").otherwise(F.col("source")).alias("mark"))
+    return lacking(rows.withColumnRenamed("doc_id", "id"), ("text", "lang", "mark"))
