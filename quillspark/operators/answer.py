@@ -66,9 +66,15 @@ def prompt(context: Column, question: Column, template: str = PROMPT) -> Column:
 
 @F.pandas_udf(StringType())
 def extractive_answer(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The deterministic stand-in for a language model: the first passage's first 200 characters, or the refusal."""
+    """The deterministic stand-in for a language model: the first passage's first 200 characters and its head, or the refusal."""
+
+    def answer(p: str) -> str:
+        head, _, body = p.split("[조문]\n", 1)[1].split("\n\n[질문]", 1)[0].partition("\n")
+        said = body[:200].strip()
+        return f"{said} ({head})" if said else REFUSAL
+
     for part in prompts:
-        yield part.map(lambda p: p.split("[조문]\n", 1)[1].split("\n\n[질문]", 1)[0].partition("\n")[2][:200].strip() or REFUSAL)
+        yield part.map(answer)
 
 
 def retrieve(questions: DataFrame, points: DataFrame, chunks: DataFrame, use_reranker: bool = False, top_k: int = 5, candidates: int = 20, scorer=overlap_scorer) -> DataFrame:

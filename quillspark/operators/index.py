@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import staged
 
 
 def flatten_payload(chunks: DataFrame) -> DataFrame:
@@ -46,6 +47,19 @@ def incremental_load(load: DataFrame, points: DataFrame, embedder) -> DataFrame:
     return upsert(points, with_point_id(fresh.withColumn("embedding", embedder(F.col("text")))))
 
 
+def embed_and_upsert(existing: DataFrame, load: DataFrame, embedder, dim: int) -> DataFrame:
+    """Embed all of ``load``, check the vectors, then upsert: a load with a missing or misshapen vector changes nothing.
+
+    The vectors are staged, so the check and the upsert read one computation.
+    """
+    points = staged(with_point_id(load.withColumn("embedding", embedder(F.col("text")))), "embedded")
+    seen = points.agg(F.count("*").alias("n"), F.count_if(F.col("embedding").isNull() | (F.size("embedding") != dim)).alias("bad")).first()
+    expected = load.count()
+    if seen.n != expected or seen.bad:
+        raise ValueError(f"{seen.n} vectors for {expected} chunks, {seen.bad} of them not of {dim} dimensions")
+    return upsert(existing, points)
+
+
 def counts_by_law(points: DataFrame) -> DataFrame:
     return points.groupBy(F.coalesce("law", F.lit("MISSING")).alias("law")).agg(F.count("*").alias("n"))
 

@@ -86,6 +86,12 @@ def bad_embeddings(points: DataFrame, dim: int) -> DataFrame:
     return _report(points.where(bad), "V15", "chunk_id")
 
 
+def missing_expected(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """V13: queries whose expected chunk isn't there, or that name none."""
+    lost = queries.join(chunks.select(F.col("chunk_id").cast("string").alias("expected_chunk_id")).distinct(), "expected_chunk_id", "left_anti")
+    return lost.select(F.lit(None).cast("string").alias("document"), F.lit("V13").alias("check"), F.col("id").cast("string").alias("offending_id"))
+
+
 def missing_fields(queries: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """(id, field) of required fields that are null or empty."""
     lacking = F.array_compact(F.array(*(F.when(F.col(f).isNull() | (F.col(f).cast("string") == ""), F.lit(f)) for f in fields)))

@@ -13,7 +13,7 @@ from ..sources import files
 from ..storage import shared_folder, staged
 from .registry import query, table
 from .retrieval import DENSE, RAG_STEPS, bm25_sql, doc_chunks, hybrid_inputs, listed, points, text_queries, vector_queries
-from .statutes import CHUNKS, statute_chunks, strip_sql, with_sql
+from .statutes import strip_sql
 from .texts import TOKENS
 
 
@@ -342,9 +342,40 @@ def result_files(spark, sf_dir):
     return back.withColumn("reciprocal_rank", F.round("reciprocal_rank", 9))
 
 
-@query("S07_X01_chunks_by_law", with_sql(CHUNKS, "SELECT law_name AS law, count(*) AS chunks, min(id) AS first_id FROM chunks GROUP BY law_name"))
+def _chunk_files(spark, sf_dir, faulty: bool) -> str:
+    """Documents as chunk files, a folder for each law; with ``faulty`` some ids and texts are missing or repeated."""
+    no, docs = F.col("doc_id"), table(spark, sf_dir, "documents")
+    own = no.cast("string")
+    ident = F.when(no % 9 == 0, "").when(no % 8 == 0, F.concat(F.lit("x"), F.floor(no / 16).cast("string"))).otherwise(own) if faulty else own
+    text = F.when(no % 7 == 0, " ").otherwise(F.col("text")) if faulty else F.col("text")
+    folder = shared_folder(spark, "law-files")
+    docs.select(ident.alias("id"), text.alias("text"), F.struct(F.col("source").alias("law_name")).alias("metadata"), F.col("source").alias("part")).write.partitionBy("part").json(folder)
+    return folder
+
+
+@query("S07_X01_chunks_by_law", "SELECT source AS law, count(*) AS chunks, min(doc_id::VARCHAR) AS first_id FROM documents WHERE source IS NOT NULL GROUP BY source")
 def chunks_by_law(spark, sf_dir):
-    own = statute_chunks(spark, sf_dir).select(F.col("law_name").alias("law"), "id", F.xxhash64("document") % 2 == 0)
-    own = own.toDF("law", "id", "even")
-    parts = [own.where("even"), own.where("not even")]
-    return parts[0].unionByName(parts[1]).groupBy("law").agg(F.count("*").alias("chunks"), F.min("id").alias("first_id"))
+    folder = _chunk_files(spark, sf_dir, False)
+    laws = [r.source for r in table(spark, sf_dir, "documents").select("source").where("source is not null").distinct().collect()]  # the sources: some tens
+    every = files.read_law_chunks(spark, {law: f"{folder}/part={law}" for law in laws})
+    return every.groupBy("law").agg(F.count("*").alias("chunks"), F.min("id").alias("first_id"))
+
+
+_FAULTY_FILES = "f AS (SELECT CASE WHEN doc_id % 9 = 0 THEN '' WHEN doc_id % 8 = 0 THEN 'x' || (doc_id // 16) ELSE doc_id::VARCHAR END AS id, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE coalesce(text, '') END AS text FROM documents)"
+
+
+@query("S06_chunk_file_faults", f"WITH {_FAULTY_FILES} SELECT 'no id' AS fault, '' AS id, count(*) AS n FROM f WHERE id = '' HAVING count(*) > 0 UNION ALL SELECT 'no text', id, count(*) FROM f WHERE {strip_sql('text')} = '' GROUP BY id UNION ALL SELECT 'repeated id', id, count(*) FROM f WHERE id <> '' GROUP BY id HAVING count(*) > 1")
+def chunk_file_faults(spark, sf_dir):
+    return files.chunk_file_faults(files.read_chunks(spark, _chunk_files(spark, sf_dir, True)))
+
+
+@query("S08_V13_query_file_faults", f"WITH {OLD} SELECT id::VARCHAR AS id, 'V13' AS fault FROM old WHERE id % 5 = 0 OR NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id::VARCHAR = expected_chunk_id) UNION ALL SELECT id::VARCHAR, 'expected_chunk_id' FROM old WHERE id % 5 = 0 UNION ALL SELECT id::VARCHAR, 'query' FROM old WHERE id % 7 = 0 OR query = ''")
+def query_file_faults(spark, sf_dir):
+    """A query set with planted faults, written, read and checked: required fields, and expected chunks that exist."""
+    folder = shared_folder(spark, "queries")
+    rows = old_queries(spark, sf_dir).withColumns({"query": F.when(F.col("id") % 7 == 0, "").otherwise(F.col("query")), "expected_chunk_id": F.when(F.col("id") % 5 != 0, F.col("expected_chunk_id"))})
+    rows.write.json(folder)
+    back = files.read_queries(spark, folder)
+    fields = V.missing_fields(back, ("query", "expected_law", "expected_article", "expected_chunk_id")).select(F.col("id").cast("string").alias("id"), F.col("field").alias("fault"))
+    lost = V.missing_expected(back, doc_chunks(spark, sf_dir)).select(F.col("offending_id").alias("id"), F.col("check").alias("fault"))
+    return fields.unionByName(lost)

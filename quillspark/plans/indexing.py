@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import URL_NAMESPACE
 from ..operators import chunk as C
 from ..operators import index as I
 from ..operators import validate as V
 from ..storage import shared_folder, staged
 from .registry import query, table
 from .statutes import CHUNKS, statute_chunks, with_sql
+from .texts import _UUID5
 
 
 def load(spark, sf_dir):
@@ -57,7 +59,9 @@ def create_collection(spark, sf_dir):
     I.create_collection(spark, name)
     fresh = I.with_point_id(indexed(spark, sf_dir)).select("id", "chunk_id", "law", F.lit("").alias("text"), "embedding")
     fresh.write.insertInto(name)
-    return spark.table(name).select("chunk_id")
+    out = staged(spark.table(name).select("chunk_id"), "collection")
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 UPSERT = "SELECT vec_id::VARCHAR AS chunk_id, label::VARCHAR AS law, CASE WHEN vec_id % 5 = 0 THEN 2 ELSE 1 END::INT AS load_seq, round((CASE WHEN vec_id % 5 = 0 THEN 2 ELSE 1 END) * embedding[1]::DOUBLE, 5) AS first FROM embeddings"
@@ -69,12 +73,22 @@ def upsert(spark, sf_dir):
     return out.select("chunk_id", "law", "load_seq", F.round(F.element_at("embedding", 1).cast("double"), 5).alias("first"))
 
 
+@query("K04_embed_and_upsert", f"SELECT {_UUID5} AS id, doc_id::VARCHAR AS chunk_id, 64::INT AS dim, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE 'old' END AS law FROM (SELECT doc_id, sha1(unhex('{URL_NAMESPACE}') || encode(doc_id::VARCHAR)) AS h FROM documents WHERE doc_id % 4 = 0 OR doc_id % 3 = 0)")
+def embed_and_upsert(spark, sf_dir):
+    from .retrieval import doc_chunks, hashed_embedding
+
+    chunks = doc_chunks(spark, sf_dir).select(F.col("chunk_id").cast("string").alias("chunk_id"), "text", F.col("chunk_id").alias("load_seq"))
+    old = staged(I.with_point_id(chunks.where("load_seq % 3 = 0").withColumns({"law": F.lit("old"), "embedding": hashed_embedding("text")})), "points")
+    out = I.embed_and_upsert(old, chunks.where("load_seq % 4 = 0").withColumn("law", F.lit("new")), hashed_embedding, 64)
+    return out.select("id", "chunk_id", F.size("embedding").alias("dim"), "law")
+
+
 @query("F02_K06_new_only", "SELECT vec_id::VARCHAR AS chunk_id FROM embeddings WHERE vec_id % 3 <> 0")
 def new_only(spark, sf_dir):
     return I.new_only(load(spark, sf_dir), indexed(spark, sf_dir)).select("chunk_id").distinct()
 
 
-@query("K05_K06_incremental_load")
+@query("K05_K06_incremental_load", f"SELECT {_UUID5} AS id, doc_id::VARCHAR AS chunk_id, source AS law, 64::INT AS dim FROM (SELECT doc_id, source, sha1(unhex('{URL_NAMESPACE}') || encode(doc_id::VARCHAR)) AS h FROM documents)")
 def incremental_load(spark, sf_dir):
     from .retrieval import doc_chunks, hashed_embedding
 

@@ -156,7 +156,7 @@ def hashed_embedding(texts: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@query("R12_embed")
+@query("R12_embed", r"SELECT doc_id AS chunk_id, 64::INT AS dim, CASE WHEN regexp_matches(coalesce(text, ''), '\S') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents")
 def embed(spark, sf_dir):
     vectors = dense.embed(doc_chunks(spark, sf_dir).select("chunk_id", "text"), hashed_embedding)
     return vectors.select("chunk_id", F.size("embedding").alias("dim"), F.round(dense.norm(F.col("embedding")), 4).alias("norm"))
@@ -210,7 +210,7 @@ picks AS (SELECT 'dense' AS mode, rank AS r, * FROM rrr WHERE rank <= 5 UNION AL
 ctx AS (SELECT mode, qid, string_agg('[' || r || '] ' || law || ' 제' || (doc_id % 97 + 1) || '조' || CASE WHEN article_title <> '' THEN '(' || article_title || ')' ELSE '' END || chr(10) || text, chr(10) || chr(10) ORDER BY r) AS context,
   string_agg(law || ' 제' || (doc_id % 97 + 1) || '조', '|' ORDER BY r) AS sources, string_agg(r || ':' || doc_id || ':' || rank, '|' ORDER BY r) AS docs, list(doc_id ORDER BY r) AS doc_ids, count(*)::INT AS n_docs FROM picks GROUP BY mode, qid),
 rag AS (SELECT vq.qid, query, q_law AS law, m.mode, coalesce(docs, '') AS docs, doc_ids, coalesce(context, '{A.NO_CONTEXT}') AS context, coalesce(sources, '') AS sources, coalesce(n_docs, 0)::INT AS n_docs,
-  coalesce(nullif({strip_sql("left(substr(context, instr(context, chr(10)) + 1), 200)")}, ''), '{A.REFUSAL}') AS answer FROM vq CROSS JOIN (VALUES ('dense'), ('reranker')) m(mode) LEFT JOIN ctx ON ctx.qid = vq.qid AND ctx.mode = m.mode)"""
+  CASE WHEN context IS NOT NULL AND {strip_sql("left(substr(context, instr(context, chr(10)) + 1), 200)")} <> '' THEN {strip_sql("left(substr(context, instr(context, chr(10)) + 1), 200)")} || ' (' || left(context, instr(context, chr(10)) - 1) || ')' ELSE '{A.REFUSAL}' END AS answer FROM vq CROSS JOIN (VALUES ('dense'), ('reranker')) m(mode) LEFT JOIN ctx ON ctx.qid = vq.qid AND ctx.mode = m.mode)"""
 
 
 RAG = RAG_QUESTIONS + ",\n" + RAG_STEPS

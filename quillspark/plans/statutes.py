@@ -298,7 +298,7 @@ def faulty_chunks(spark, sf_dir):
     kind = F.when(F.col("n") % 11 == 3, "paragraph").when(F.col("n") % 11 == 4, "item").when(F.col("n") % 11 == 5, "clause").otherwise(F.col("chunk_type"))
     rows = rows.withColumns({
         "id": F.when(F.col("n") % 7 == 0, F.concat("document", "section")).otherwise(F.col("id")), "text": F.when(F.col("n") % 13 == 1, F.left("text", F.lit(12))).otherwise(F.col("text")),
-        "section": F.when(F.col("n") % 17 == 2, "별표").otherwise(F.col("section")), "chunk_type": kind, "paragraph": F.when(F.col("n") % 5 == 0, "제1항"), "item": F.when(F.col("n") % 9 == 0, "제1호"),
+        "section": F.when(F.col("n") % 17 == 2, "별표").otherwise(F.col("section")), "chapter": F.when(F.col("n") % 23 != 3, F.col("chapter")), "chunk_type": kind, "paragraph": F.when(F.col("n") % 5 == 0, "제1항"), "item": F.when(F.col("n") % 9 == 0, "제1호"),
         "parent_id": F.when(F.col("n") % 4 == 1, F.col("id")).when(F.col("n") % 4 == 2, F.concat("id", F.lit("_lost"))), "page_end": F.when(F.col("n") % 19 == 6, F.lit(0)).otherwise(F.col("page_end")),
     })
     return rows.drop("n")
@@ -306,7 +306,7 @@ def faulty_chunks(spark, sf_dir):
 
 FAULTY = CHUNKS + """,
 numbered AS (SELECT *, page_start * 7 + chunk_index * 3 + length(text) AS n FROM chunks),
-faulty AS (SELECT document, CASE WHEN n % 7 = 0 THEN document || section ELSE id END AS id, CASE WHEN n % 13 = 1 THEN left(text, 12) ELSE text END AS text, CASE WHEN n % 17 = 2 THEN '별표' ELSE section END AS section, chapter,
+faulty AS (SELECT document, CASE WHEN n % 7 = 0 THEN document || section ELSE id END AS id, CASE WHEN n % 13 = 1 THEN left(text, 12) ELSE text END AS text, CASE WHEN n % 17 = 2 THEN '별표' ELSE section END AS section, CASE WHEN n % 23 <> 3 THEN chapter END AS chapter,
   CASE n % 11 WHEN 3 THEN 'paragraph' WHEN 4 THEN 'item' WHEN 5 THEN 'clause' ELSE chunk_type END AS chunk_type, CASE WHEN n % 5 = 0 THEN '제1항' END AS paragraph, CASE WHEN n % 9 = 0 THEN '제1호' END AS item,
   CASE n % 4 WHEN 1 THEN id WHEN 2 THEN id || '_lost' END AS parent_id, page_start, CASE WHEN n % 19 = 6 THEN 0 ELSE page_end END AS page_end, article FROM numbered)"""
 OFFENCES = "SELECT document, '{}' AS \"check\", id AS offending_id FROM faulty WHERE {}"

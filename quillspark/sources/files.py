@@ -46,6 +46,24 @@ def read_chunks(spark: SparkSession, *paths: str, multi_line: bool = False) -> D
     return spark.read.schema(schemas.CHUNKS).option("multiLine", multi_line).json(list(paths)).withColumn("law", T.short_law_name(F.col("metadata.law_name")))
 
 
+def read_law_chunks(spark: SparkSession, paths: dict[str, str], multi_line: bool = False) -> DataFrame:
+    """Chunk files of several laws, each from its own path and with the law it is read for: one union."""
+    every = None
+    for law, path in paths.items():
+        own = spark.read.schema(schemas.CHUNKS).option("multiLine", multi_line).json(path).withColumn("law", F.lit(law))
+        every = own if every is None else every.unionByName(own)
+    return every
+
+
+def read_checked_chunks(spark: SparkSession, *paths: str) -> DataFrame:
+    """``read_chunks``, but an error where an id or a text is missing or an id is repeated."""
+    chunks = read_chunks(spark, *paths)
+    faults = chunk_file_faults(chunks).limit(5).collect()
+    if faults:
+        raise ValueError(f"chunk files with faults: {[tuple(f) for f in faults]}")
+    return chunks
+
+
 def chunk_file_faults(chunks: DataFrame) -> DataFrame:
     """(fault, id, n): ids that are missing or repeated, texts that are missing or empty."""
     no_id = chunks.where(F.coalesce("id", F.lit("")) == "").select(F.lit("no id").alias("fault"), F.lit("").alias("id"))
