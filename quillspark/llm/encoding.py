@@ -17,7 +17,7 @@ import re
 from array import array
 
 #: Bytes that a memo of a worker process may take, by estimate. It starts anew when it is full.
-MEMO_BYTES = 80 << 20
+MEMO_BYTES = 120 << 20
 #: Longer parts aren't kept: texts without spaces would fill the memo.
 MEMO_PART = 64
 #: How the two known vocabularies normalise and split texts.
@@ -31,6 +31,9 @@ _SPACE = re.compile(r"(?<=\S)(?= )")
 _ODD = tuple(chr(c) + " " for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 _ODD_ASCII = tuple(x for x in _ODD if x.isascii())
 
+#: Fixed value: the space in the byte-level alphabet.
+SPACE = "\u0120"
+
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -77,7 +80,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
         self.known = (described["normalizer"], described["pre_tokenizer"]) in KNOWN
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.letters = _byte_letters()
@@ -91,13 +94,20 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of a word after a space."""
+        if word.isascii() and word.isalpha():
+            # ASCII letters stand for themselves in the byte-level alphabet
+            if self.fold:
+                if not word.islower():
+                    return self.rest[word.lower()]
+                return array("I", [t.id for t in self.tokenize(word)]).tobytes()
+            return array("I", [t.id for t in self.tokenize(SPACE + word)]).tobytes()
         if word.isalpha() and _LATIN(word):
             if self.fold:
                 if (low := word.lower()) != word:
                     return self.rest[low]
             else:
                 word = " " + word
-            return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            return array("I", [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
         if m := _WORDS(word):
             # letters, marks and perhaps a line end before another word
             first, marks, second, more = m.groups()

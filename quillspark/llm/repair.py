@@ -64,7 +64,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray, vocab: int) -> Grammar:
     first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     left, right, length = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)], np.ones(vocab, np.uint32)
     floor = max(least, len(seq) >> 11)
-    while len(seq) > 1:
+    while len(seq) > 1 and not (narrow and len(length) == 1 << 16):
         keys = (seq[:-1].astype(wide) << shift) | seq[1:]
         inner = np.ones(len(keys), bool)
         cuts = first[1:-1]
@@ -74,9 +74,9 @@ def compress(ids: np.ndarray, sizes: np.ndarray, vocab: int) -> Grammar:
         room = (1 << 16) - len(length) if narrow else len(pairs)
         chosen = _compatible(a, b, length[a] + length[b] <= MAX_EXPANSION, len(length))[:room]
         if not len(chosen):
-            if floor == least or not room:
+            if floor == least:
                 break
-            floor = max(least, floor >> 2)
+            floor = max(least, floor >> 3)
             continue
         picked = chosen[np.argsort(pairs[chosen])]
         side = np.zeros(len(length), np.int8)
@@ -105,7 +105,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray, vocab: int) -> Grammar:
         length = np.concatenate([length, length[a[picked]] + length[b[picked]]])
         if floor == least and len(seq) > LAST_ROUND * before:
             break
-        floor = max(least, floor >> 2)
+        floor = max(least, floor >> 3)
     return Grammar(vocab, np.concatenate(left), np.concatenate(right), length[vocab:], seq, first.astype(np.uint32))
 
 
