@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import discard, staged
 
 
 #: Parts that the neighbours of a node are dealt to, so that no task gets all of a hub's.
@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     ``root`` is the least node that can be reached; it has no row of its own. Null ends,
     loops and repeated edges are ignored; an empty table gives an empty one. Each round is
-    written to the shared folder, so lineage stays short and lost executors cost one round.
+    written to the shared folder, so lineage stays short and lost executors cost one round; the
+    round before it is deleted then.
     Rounds grow with the logarithm of the largest component.
     """
     spark = edges.sparkSession
@@ -50,7 +51,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if (seen.n, seen.h) == mark or seen.n == 0:
             break
         mark = (seen.n, seen.h)
-        now = staged(_small_star(_large_star(now)).distinct(), "edges")
+        last, now = now, staged(_small_star(_large_star(now)).distinct(), "edges")
+        discard(last)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return spark.createDataFrame([], "node long, root long") if mark is None else now.select(F.col("b").alias("node"), F.col("a").alias("root"))

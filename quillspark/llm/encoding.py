@@ -31,6 +31,8 @@ _SPACE = re.compile(r"(?<=\S)(?= )")
 _ODD = tuple(chr(c) + " " for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 _ODD_ASCII = tuple(x for x in _ODD if x.isascii())
 
+#: Marks that end a word most often, and the length up to which words with one are kept.
+STOPS, SHORT = (".", ","), 6
 #: Fixed value: the space in the byte-level alphabet.
 SPACE = "\u0120"
 
@@ -60,14 +62,33 @@ class _Memo(dict):
 
     def __missing__(self, part: str) -> bytes:
         ids = self.make(part)
-        if len(part) <= MEMO_PART:
-            self.size += len(part) + len(ids) + 200
-            if self.size > MEMO_BYTES:
-                self.clear()
-                self.size = len(part) + len(ids) + 200
-            self[part] = ids
+        if len(part) <= MEMO_PART and "\n" not in part[1:]:  # the words around a line end seldom meet again
+            self.keep(part, ids)
         return ids
 
+    def keep(self, part: str, ids: bytes) -> None:
+        self.size += len(part) + len(ids) + 200
+        if self.size > MEMO_BYTES:
+            self.clear()
+            self.size = len(part) + len(ids) + 200
+        self[part] = ids
+
+
+class _Words(_Memo):
+    """The memo of words after a space. A word with a stop or comma is put together anew; only short ones, which recur, are kept."""
+
+    def __init__(self, ids, marks: _Memo):
+        super().__init__(ids)
+        self.marks = marks
+
+    def __missing__(self, part: str) -> bytes:
+        if part[-1:] in STOPS and part.isascii() and part[:-1].isalpha():
+            ids = self[part[:-1]] + self.marks[part[-1]]
+            if len(part) <= SHORT:
+                self.keep(part, ids)
+            return ids
+        return super().__missing__(part)
+
 
 class Encoder:
     """``ids(text)`` are the ids as little-endian unsigned 32-bit integers, in bytes."""
@@ -87,7 +108,8 @@ class Encoder:
         # a word-level vocabulary gives the same ids with and without the space, and in lower case
         self.fold = self._encode("A b") == self._encode("a") + self._encode("b")
         self.lead = "" if self.fold else " "
-        self.first, self.rest = _Memo(self._encode), _Memo(self._word)
+        self.first = _Memo(self._encode)
+        self.rest = _Words(self._word, self.first)
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()

@@ -82,8 +82,8 @@ def compress(ids: np.ndarray, sizes: np.ndarray, vocab: int) -> Grammar:
         side = np.zeros(len(length), np.int8)
         side[a[picked]] |= 1
         side[b[picked]] |= 2
-        new = len(length)
-        at = np.nonzero(((side[seq] & 1)[:-1] != 0) & ((side[seq] & 2)[1:] != 0) & inner)[0]
+        new, sides = len(length), side[seq]
+        at = np.nonzero((sides[:-1] & (sides[1:] >> 1) & 1).astype(bool) & inner)[0]
         slot = np.searchsorted(pairs[picked], keys[at])
         slot[slot == len(picked)] = 0
         hit = pairs[picked][slot] == keys[at]
@@ -236,8 +236,9 @@ def write_shards(docs: DataFrame, vocabulary_path: str, end_id: int, folder: str
         if held:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # the second key deals rows of one doc_id, or without any, to several ranges
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.monotonically_increasing_id().alias("nth"))
+    ordered = rows.repartitionByRange("doc_id", "nth").sortWithinPartitions("doc_id", "nth").drop("nth")
     return staged(ordered.mapInArrow(run, "part int, shard int, path string, n_docs long, n_ids long"), "manifest")
 
 

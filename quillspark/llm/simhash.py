@@ -289,7 +289,8 @@ def _proposed(reps: DataFrame, n: int, similarity: float, turn: int) -> DataFram
     compared = F.array(*(F.get("fp", F.lit(k)) for k in range(COMPARED)))
     keyed = reps.select("rep", "group", compared.alias("fp"), F.explode(F.array(*keys)).alias("k"))
     # every table takes a shard's members in an order of its own, so the forests differ
-    keyed = keyed.select("k.no", "k.part", "fp", "rep", "group", F.xxhash64(F.lit(turn), "k.no", "rep").alias("turn")).repartition("no", "part").sortWithinPartitions("no", "part", "turn")
+    keyed = _split(keyed.select("k.no", "k.part", "fp", "rep", "group", F.xxhash64(F.lit(turn), "k.no", "rep").alias("turn")), n)
+    keyed = keyed.repartition("no", "part").sortWithinPartitions("no", "part", "turn")
 
     def links(no, part, fp, rep, group, order):
         edges = tree_links(np.stack(fp), radius, group)
@@ -298,6 +299,17 @@ def _proposed(reps: DataFrame, n: int, similarity: float, turn: int) -> DataFram
     return _by_shard(keyed, links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _split(keyed: DataFrame, n: int) -> DataFrame:
+    """Shards above HOT_SHARD of ``n`` fingerprints in equal parts: each two of them are a shard, so every pair still meets."""
+    if n <= HOT_SHARD:
+        return keyed
+    large = keyed.groupBy("no", "part").count().where(F.col("count") > HOT_SHARD).select("no", "part", F.ceil(F.col("count") / HOT_SHARD).cast("int").alias("parts"))
+    marked = keyed.join(large, ["no", "part"], "left")
+    hot = marked.where("parts is not null").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    hot = hot.withColumn("part", F.xxhash64("part", F.least("own", "other"), F.greatest("own", "other")))
+    return marked.where("parts is null").select(*keyed.columns).unionByName(hot.select(*keyed.columns))
+
+
 def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of every row of ``docs``: groups of documents of like shingle sets.
 

@@ -1,11 +1,12 @@
 """DuckDB SQL for the queries that SQL can express.
 
-The others (token files, packing, 64-bit SimHash, learnt scores, patterns with look-behind)
-are held against brute force in the tests.
+The others (token files, packing, 64-bit SimHash, learnt scores) are held against brute force in
+the tests.
 """
 
 from .decontam import BAND, LITERALS, SHARE, UNITS, WINDOW, WORDS
 from .licences import AGREE, BASE, STOP, TEMPLATES, key_places, notice_places
+from .pii import _OCTET, CONTEXT, CONTEXT_BONUS, IBAN_SIZES, KINDS
 
 _PROBE = "<|im_end|><|im_start|>assistant ok"
 
@@ -79,10 +80,33 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_ba
   array_to_string(list_sort(list_distinct(list_concat(coalesce(o.labels, []::VARCHAR[]), coalesce(m.labels, []::VARCHAR[])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(m.score, 0) END::DOUBLE AS score
 FROM d LEFT JOIN bases USING (doc_id) LEFT JOIN method m USING (doc_id) LEFT JOIN own o USING (doc_id)"""
 
+_PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+_LETTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+OP8 = rf"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+{", ".join(rf"found{no} AS (SELECT rid, {no} AS no, '{k}' AS kind, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS gs FROM t)" for no, (k, p) in enumerate(_PATTERNS.items()))},
+each AS (SELECT rid, no, kind, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS gap, unnest(range(len(ms))) AS k FROM (SELECT * FROM found0 UNION ALL SELECT * FROM found1 UNION ALL SELECT * FROM found2 UNION ALL SELECT * FROM found3) WHERE len(ms) > 0),
+placed AS (SELECT *, (sum(length(gap) + length(m)) OVER (PARTITION BY rid, no ORDER BY k) - length(m))::BIGINT AS s, regexp_replace(m, '[^0-9]', '', 'g') AS digits FROM each),
+base AS (SELECT rid, no, kind, s, s + length(m) AS e FROM placed WHERE CASE kind WHEN 'email' THEN true WHEN 'ip' THEN regexp_matches(m, '^{_OCTET}(?:\.{_OCTET}){{3}}$')
+  WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15 ELSE length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN (length(digits) - i) % 2 = 0 THEN substr(digits, i, 1)::INT ELSE 2 * substr(digits, i, 1)::INT // 10 + 2 * substr(digits, i, 1)::INT % 10 END)) % 10 = 0 END),
+spot AS (SELECT rid, text, unnest(range(1, length(text) - 13)) AS i FROM t WHERE regexp_matches(text, '[A-Z]{{2}}[0-9]{{2}}')),
+head AS (SELECT rid, i - 1 AS s, substr(text, i, 68) AS tail FROM spot WHERE regexp_matches(substr(text, i, 68), '^[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11}}') AND (i = 1 OR NOT regexp_matches(substr(text, i - 1, 1), '[A-Za-z0-9]'))),
+ends AS (SELECT rid, s, unnest([{", ".join(rf"regexp_extract(tail, '^([A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n}}})(?:[^A-Za-z0-9]|$)', 1)" for n in range(11, 31))}]) AS x FROM head),
+valid AS (SELECT rid, s, x, replace(x, ' ', '') AS y FROM ends WHERE x <> '' AND list_reduce(list_prepend(0, list_transform(string_split(substr(replace(x, ' ', ''), 5) || left(replace(x, ' ', ''), 4), ''), lambda c: instr('{_LETTERS}', c) - 1)), lambda a, b: (a * CASE WHEN b > 9 THEN 100 ELSE 10 END + b) % 97) = 1),
+sized AS (SELECT v.*, coalesce(length(y) = n, false) AS fits FROM valid v LEFT JOIN (VALUES {", ".join(f"('{c}', {n})" for n, codes in IBAN_SIZES.items() for c in codes.split())}) z(code, n) ON code = left(y, 2)),
+best AS (SELECT rid, s, s + length(x) AS e FROM (SELECT *, row_number() OVER (PARTITION BY rid, s ORDER BY fits DESC, length(x) DESC) AS nth FROM sized) WHERE nth = 1),
+iban AS (SELECT rid, 4 AS no, 'iban' AS kind, s, e FROM (SELECT *, max(e) OVER (PARTITION BY rid ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM best) WHERE s >= coalesce(before, 0)),
+hint(kind, score, p) AS (VALUES {", ".join(rf"('{k}', {score}, '(^|[^\p{{L}}\p{{N}}_])(?:{hints})')" for k, (_, _, hints, score) in KINDS.items())}),
+spans AS (SELECT x.*, h.score + CASE WHEN regexp_matches(lower(substr(text, greatest(s - {CONTEXT}, 0) + 1, s - greatest(s - {CONTEXT}, 0)) || ' ' || substr(text, e + 1, {CONTEXT})), h.p) THEN {CONTEXT_BONUS} ELSE 0 END AS total FROM (SELECT * FROM base UNION ALL SELECT * FROM iban) x JOIN t USING (rid) JOIN hint h USING (kind)),
+joined AS (SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) FILTER (no < 4) AS base,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) AS spans, string_agg(printf('%.2f', total), ',' ORDER BY s, no) AS scores FROM spans GROUP BY rid)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM t LEFT JOIN joined USING (rid)"""
+
 SQL: dict[str, str] = {
     "op1_chat_prefix_targets": OP1,
     "op5_warc_seekable_zstd": OP5,
     "op6_collision_projections": OP6,
+    "op8_pii_checksums": OP8,
     "op9_template_decontamination": OP9,
     "op10_licence_positions": OP10,
 }

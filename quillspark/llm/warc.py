@@ -28,6 +28,8 @@ SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 64 << 20
 LEVEL = 3
+#: Parts that the copies of one payload are dealt to.
+PARTS = 16
 #: Payloads below this many bytes are always stored in full.
 MIN_REVISIT = 100
 DATE = "1970-01-01T00:00:00Z"
@@ -42,7 +44,10 @@ def decisions(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("payload_digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n"))
     narrow = narrow.where((F.col("n") >= min_bytes) & F.col("page_id").isNotNull())
     first = narrow.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    return narrow.join(first, "payload_digest").where("page_id <> refers_to").select("page_id", "payload_digest", "refers_to").distinct()
+    # a payload's copies are dealt to PARTS, so that no task gets all of a hot one's
+    first = first.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    narrow = narrow.withColumn("p", F.pmod(F.xxhash64("page_id"), F.lit(PARTS)).cast("int"))
+    return narrow.join(first, ["payload_digest", "p"]).where("page_id <> refers_to").select("page_id", "payload_digest", "refers_to").distinct()
 
 
 def _uri(page_id) -> str:

@@ -195,3 +195,26 @@ def test_long_and_repeated_texts_score(spark):
     labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
     rows = toxicity.toxicity(docs, labels).agg(F.count("*").alias("n"), F.min("score").alias("a"), F.max("score").alias("b")).first()
     assert rows.n == 3 and 0 <= rows.a <= rows.b <= 1
+
+
+def test_pii_sql_on_odd_rows(spark):
+    """The SQL of op8 on account numbers, edges and odd characters, which the driver's texts lack."""
+    import duckdb
+    import pandas as pd
+    from oracle import rows_of
+
+    from quillspark.llm.sql import OP8
+
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    texts = [None, "", f"pay {de} BIC COBADEFF now", f"{de} {gb}", f"REF AB12 3456 {de} OK", f"bank é {de} 12 34", f"iban {de.replace(' ', '')} EUR 500", de[:-1] + "1 BIC", f"x{de}", f"{de}"]
+    texts += ["mail a.b@x.example.com_c@y.org, +49 (30) 123-45678. Card 4111 1111 1111 1111; 1.2.3.4.5.6.7.8 and 300.1.1.1", "\U0001f600 a@b.cc éé +123456789 000.0.0.0255 x", "@ @@ a@b a@b.c-d.e.", "4111111111111111 " * 400]
+    rng = random.Random(12)
+    parts = ["a", "b.c", "@", "@x.y", "_", "-", ".", " ", "1", "22", "255", "256", "+", "+4", "(3)", "4111111111111111", "é", "\U0001f600", de, "DE", gb, "79927398713", "10.0.0.1", "card ", "tel"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(600)]
+    rows = list(enumerate(texts))
+    got = pii.pii_digest(spark.createDataFrame(rows, "doc_id long, text string"))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    cur = con.execute(OP8)
+    a, b = rows_of(got.columns, got.collect()), rows_of([d[0] for d in cur.description], cur.fetchall())
+    assert a[0] == b[0] and [x for x in a[1] if x not in set(b[1])] == [] and len(a[1]) == len(b[1])

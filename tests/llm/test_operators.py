@@ -277,7 +277,9 @@ def test_simhash_shards(spark):
         assert edges == {(i, 300 + i) for i in range(100)}
 
 
-def test_near_duplicates_by_similarity(spark, docs, empty):
+@pytest.mark.parametrize("hot", [simhash.HOT_SHARD, 40])
+def test_near_duplicates_by_similarity(spark, docs, empty, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_SHARD", hot)
     base = "the quick brown fox jumps over the lazy dog while seven wise men sail a small boat".split()
     long = [f"{w}{k}" for k in range(12) for w in base]
     edit = lambda at: " ".join("changed" if k in at else w for k, w in enumerate(long))
