@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that are broadcast at most: their vectors are the small side of the product.
+#: Queries that are broadcast at once, about: their vectors are the small side of the product.
 BROADCAST_QUERIES = 20_000
 
 
@@ -36,12 +38,15 @@ def dense_top_k(queries: DataFrame, points: DataFrame, k: int = 5, by_law: bool
     """
     q = queries.select("qid", F.col("law").alias("q_law"), F.transform("embedding", lambda x: x.cast("double")).alias("qv")).withColumn("qn", norm(F.col("qv")))
     p = points.select("chunk_id", "law", F.transform("embedding", lambda x: x.cast("double")).alias("pv")).withColumn("pn", norm(F.col("pv")))
-    if q.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        q = F.broadcast(q)
     same = F.col("q_law") == F.col("law")
     on = same if by_law else F.lit(True) if by_law is False else F.col("q_law").isNull() | same
     if exclude_self:
         on = on & (F.col("qid") != F.col("chunk_id"))
-    hits = p.join(q, on).select("qid", "chunk_id", "law", (dot(F.col("qv"), F.col("pv")) / (F.col("qn") * F.col("pn"))).alias("score"))
+    # more queries than can be broadcast are dealt to groups that can
+    groups, hits = ceil(q.count() / BROADCAST_QUERIES) or 1, None
+    for g in range(groups):
+        own = q if groups == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(groups)) == g)
+        met = p.join(F.broadcast(own), on).select("qid", "chunk_id", "law", (dot(F.col("qv"), F.col("pv")) / (F.col("qn") * F.col("pn"))).alias("score"))
+        hits = met if hits is None else hits.unionByName(met)
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
     return hits.withColumn("dense_rank", F.row_number().over(best)).where(F.col("dense_rank") <= k).select("qid", "dense_rank", "chunk_id", "law", "score")

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -203,3 +204,33 @@ def test_corrections_and_templates(spark):
 def test_fingerprint_ignores_white_space(spark):
     a, b = [r.f for r in spark.createDataFrame([("a b　c",), ("abc",)], "x string").select(T.fingerprint(F.col("x")).alias("f")).collect()]
     assert a == b
+
+
+def test_dense_search_in_groups(spark, monkeypatch):
+    """More queries than are broadcast at once give the same hits."""
+    from quillspark.operators import dense
+
+    rows = [(i, i % 3, [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
+    points = spark.createDataFrame(rows, "chunk_id int, law int, embedding array<float>")
+    queries = points.where("chunk_id < 9").withColumnRenamed("chunk_id", "qid")
+    want = sorted(map(tuple, dense.dense_top_k(queries, points, 4).collect()))
+    monkeypatch.setattr(dense, "BROADCAST_QUERIES", 2)
+    assert sorted(map(tuple, dense.dense_top_k(queries, points, 4).collect())) == want and len(want) == 36
+
+
+def test_chunk_files_are_checked(spark, tmp_path):
+    from quillspark.operators import index
+    from quillspark.plans.retrieval import hashed_embedding
+    from quillspark.sources import files
+
+    good = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, text string")
+    good.write.json(f"{tmp_path}/good")
+    assert files.read_checked_chunks(spark, f"{tmp_path}/good").count() == 2
+    good.unionByName(good).write.json(f"{tmp_path}/bad")
+    with pytest.raises(ValueError, match="repeated id"):
+        files.read_checked_chunks(spark, f"{tmp_path}/bad")
+    load = spark.createDataFrame([("a", "x", 1)], "chunk_id string, text string, load_seq int")
+    old = index.with_point_id(load.withColumn("embedding", hashed_embedding("text")))
+    assert index.embed_and_upsert(old, load, hashed_embedding, 64).count() == 1
+    with pytest.raises(ValueError, match="of 32 dimensions"):
+        index.embed_and_upsert(old, load, hashed_embedding, 32)
