@@ -240,7 +240,7 @@ MISS = 1e-3
 #: A link's fingerprints differ in at most its mean plus so many standard deviations.
 SIGMAS = 2.75
 SET_SHARD = 512
-MAX_ROUNDS = 3
+MAX_ROUNDS = 2
 _ODD = np.random.default_rng(11).integers(1, 1 << 63, LONG, dtype=np.uint64) | np.uint64(1)
 
 
@@ -268,16 +268,16 @@ def tables_for(bits: int, similarity: float) -> int:
 
 
 def _set_prints(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, sig, fp array<long>, hashes array<long>) of every row; sig is a digest of the set."""
+    """(doc_id, nth, sig, fp array<long>, hashes array<int>) of every row: sig is a digest of the set, hashes are its 32 low bits."""
 
     def run(it):
         for batch in batches_of(it, 128):
             sets = [np.unique(shingle_hashes(t, width)) for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([long_fingerprint(x) for x in sets], pa.list_(pa.int64())), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sig", "fp", "hashes"])
+            columns = [batch.column(0), batch.column(2), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([long_fingerprint(x) for x in sets], pa.list_(pa.int64())), pa.array([np.unique(x.astype(np.uint32)).view(np.int32) for x in sets], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "nth", "sig", "fp", "hashes"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, sig binary, fp array<long>, hashes array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.monotonically_increasing_id().alias("nth"))
+    return rows.mapInArrow(run, "doc_id long, nth long, sig binary, fp array<long>, hashes array<int>")
 
 
 def _proposed(reps: DataFrame, n: int, similarity: float, turn: int) -> DataFrame:
@@ -324,14 +324,17 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
     """
     spark = docs.sparkSession
     prints = staged(_set_prints(docs, width), "set-prints")
-    reps = staged(prints.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")), "set-reps")
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "nth")))
+    reps = prints.groupBy("sig").agg(least.alias("least"), F.first("fp").alias("fp")).select("sig", F.col("least.doc_id").alias("rep"), F.col("least.nth").alias("nth"), "fp")
+    reps = staged(reps, "set-reps")
     known = reps.where("rep is not null")
     todo = known.select("rep", "fp", F.col("rep").alias("group"))
     good, roots, sets = spark.createDataFrame([], "a long, b long"), None, None
     for turn in range(MAX_ROUNDS):
         pairs = staged(_proposed(todo, todo.count(), similarity, turn), "set-pairs")
         sets = sets if turn else _sets_of(pairs, prints, known)  # later turns search among the same documents
-        checked = staged(_similar(pairs, sets, similarity), "set-checked")
+        met = staged(_likely(pairs, known, similarity), "set-likely")
+        checked = staged(_similar(met.where("likely"), sets, similarity).unionByName(met.where("not likely").select("a", "b", F.lit(False).alias("good"))), "set-checked")
         sure, failed = checked.where("good"), checked.where("not good")
         good = good.unionByName(sure.select("a", "b"))
         if turn and sure.isEmpty():
@@ -351,8 +354,17 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
 def _sets_of(pairs: DataFrame, prints: DataFrame, known: DataFrame) -> DataFrame:
     """(rep, hashes) of the documents in ``pairs``, staged. Their keys are staged first: few as they are, they go to the sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    own = staged(known.select("rep", F.col("sig").alias("s")).join(wanted, "rep", "left_semi"), "set-keys")
-    return staged(prints.join(own, (F.col("doc_id") == F.col("rep")) & (F.col("sig") == F.col("s"))).select("rep", "hashes").dropDuplicates(["rep"]), "set-proposed")
+    own = staged(known.select("rep", "nth").join(wanted, "rep", "left_semi"), "set-keys")
+    return staged(prints.select("nth", "hashes").join(own, "nth").select("rep", "hashes"), "set-proposed")
+
+
+def _likely(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` with ``likely``: whether the whole fingerprints are as near as those of a link are, all but one in some thousands."""
+    odds, bits = bit_odds(similarity), 64 * LONG
+    limit = int(bits * odds + 3.5 * sqrt(bits * odds * (1 - odds)))
+    met = pairs.join(known.select(F.col("rep").alias("a"), F.col("fp").alias("x")), "a").join(known.select(F.col("rep").alias("b"), F.col("fp").alias("y")), "b")
+    far = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
+    return met.select("a", "b", (far <= limit).alias("likely"))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
