@@ -68,8 +68,8 @@ d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, '')
 base AS ({" UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, k FROM (SELECT doc_id, ws, unnest(range(0, len(ws))) AS k FROM d WHERE list_contains(ws, '{p[0]}')) WHERE ws[k + 1:k + {len(p)}] = {p}" for label, p in _PHRASES)}),
 bases AS (SELECT doc_id, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word, array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM base GROUP BY doc_id),
 hit AS (SELECT doc_id, pos, ws[pos + 1] AS word FROM (SELECT doc_id, ws, unnest(range(0, len(ws))) AS pos FROM d) WHERE ws[pos + 1] IN (SELECT word FROM notice)),
-some AS (SELECT doc_id FROM (SELECT doc_id, unnest(range(0, len(ws))) AS pos, ws FROM d) WHERE list_contains([{", ".join(repr(w) for w in sorted({w for _, _, _, w in _NOTICES} | {w for _, _, w, _ in _KEYS}))}], ws[pos + 1]) GROUP BY doc_id HAVING count(*) >= 2),
-df AS (SELECT word, count(DISTINCT doc_id) AS n FROM hit JOIN some USING (doc_id) GROUP BY word),
+enough AS (SELECT doc_id FROM (SELECT doc_id, unnest(range(0, len(ws))) AS pos, ws FROM d) WHERE list_contains([{", ".join(repr(w) for w in sorted({w for _, _, _, w in _NOTICES} | {w for _, _, w, _ in _KEYS}))}], ws[pos + 1]) GROUP BY doc_id HAVING count(*) >= 2),
+df AS (SELECT word, count(DISTINCT doc_id) AS n FROM hit JOIN enough USING (doc_id) GROUP BY word),
 lookup AS (SELECT template, place, word FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY coalesce(n, 0), place) AS r FROM key LEFT JOIN df USING (word) WHERE NOT common) WHERE r <= {AGREE}),
 near AS (SELECT doc_id, template, pos - place AS shift FROM hit JOIN lookup USING (word) GROUP BY ALL HAVING count(DISTINCT place) >= {AGREE}),
 sure AS (SELECT n.doc_id, n.template, n.shift FROM near n JOIN d USING (doc_id) JOIN key k USING (template) GROUP BY ALL HAVING bool_and(coalesce(ws[k.place + n.shift + 1] = k.word, false) AND k.place + n.shift >= 0)),
