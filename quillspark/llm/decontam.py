@@ -253,4 +253,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Rows that share a doc_id go together; null texts hold nothing; an empty benchmark drops nothing.
     """
-    return docs.join(contamination(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*quoted(docs.columns))
+    # staged, its size is known, and where it is small the documents aren't shuffled
+    leaks = staged(contamination(docs, benchmark).select("doc_id").distinct(), "bench-leaks")
+    return docs.join(leaks, "doc_id", "left_anti").select(*quoted(docs.columns))

@@ -380,5 +380,6 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     Rows without doc_id stay. Rows that share a doc_id are one document: they stay or go together.
     """
     groups = near_duplicate_groups(docs, width, similarity)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    # staged, its size is known, and where it is small the documents aren't shuffled
+    gone = staged(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*quoted(docs.columns))
