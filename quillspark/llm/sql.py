@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express.
 
-The others (token files, packing, 64-bit SimHash, learnt scores) are held against brute force in
+The others (token files, packing, 64-bit SimHash, learnt scores, eigenvectors) are held against brute force in
 the tests.
 """
 
@@ -102,6 +102,18 @@ joined AS (SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FIL
   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) AS spans, string_agg(printf('%.2f', total), ',' ORDER BY s, no) AS scores FROM spans GROUP BY rid)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM t LEFT JOIN joined USING (rid)"""
 
+_WHOLE = "SELECT vec_id, label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"
+OP11 = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, x FROM ({_WHOLE}) WHERE label IS NOT NULL),
+met AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE a.vec_id % 100 = 0),
+pos AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS nth FROM met WHERE same) WHERE nth <= 5),
+neg AS (SELECT p.anchor_id, p.other AS positive_id, n.other AS negative_id, p.score AS positive_score, n.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY n.score DESC, n.other) AS rank
+  FROM pos p JOIN met n ON n.anchor_id = p.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 10"""
+OP13 = f"""
+WITH v AS ({_WHOLE}), met AS (SELECT q.vec_id AS query_id, p.vec_id, list_inner_product(q.x, p.x)::BIGINT AS score FROM v q JOIN v p ON q.vec_id <> p.vec_id AND len(q.x) = len(p.x) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM met) WHERE rank <= 5"""
+
 SQL: dict[str, str] = {
     "op1_chat_prefix_targets": OP1,
     "op5_warc_seekable_zstd": OP5,
@@ -109,4 +121,6 @@ SQL: dict[str, str] = {
     "op8_pii_checksums": OP8,
     "op9_template_decontamination": OP9,
     "op10_licence_positions": OP10,
+    "op11_inverted_multi_index": OP11,
+    "op13_segment_top_k": OP13,
 }
