@@ -18,6 +18,7 @@ from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from .shared import discard, staged
 from .vectors import SCALE, usable
@@ -39,11 +40,18 @@ def numbered(df: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, centre: list[float], n: int) -> BlockMatrix:
-    """(index, x) -> blocks of centred rows, all columns in one block."""
+    """(index, x) -> blocks of centred rows, all columns in one block.
+
+    Kept while products read them several times; parts that get lost are made again.
+    """
     mean = F.array(*(F.lit(c) for c in centre))
     centred = F.zip_with(F.col("x"), mean, lambda x, m: x.cast("double") - m)
     frame = MLUtils.convertVectorColumnsFromML(rows.select("index", array_to_vector(centred).alias("vector")), "vector")
-    return IndexedRowMatrix(frame, n, len(centre)).toBlockMatrix(BLOCK_ROWS, len(centre))
+    return IndexedRowMatrix(frame, n, len(centre)).toBlockMatrix(BLOCK_ROWS, len(centre)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _release(blocks: BlockMatrix) -> None:
+    blocks._java_matrix_wrapper._java_model.blocks().unpersist(False)
 
 
 def _scatter(blocks: BlockMatrix) -> np.ndarray:
@@ -114,17 +122,21 @@ def whiten(vectors: DataFrame, components: int = 4) -> DataFrame:
     cross = F.aggregate(F.zip_with("x", s, lambda v, t: (v.cast(wide) * t).cast(wide)), F.lit(0).cast(wide), lambda a, v: (a + v).cast(wide))
     out = rows.select("index", "vec_id", own.alias("own"), cross.alias("cross"))
     deviation = F.expr(f"try_cast(try_add(try_subtract(try_multiply(own, cast({n * n} as decimal(38,0))), try_multiply(cross, cast({2 * n} as decimal(38,0)))), cast({sum(t * t for t in total)} as decimal(38,0))) as long)")
-    error = None
+    error = every = None
     if alive:
         w = u[:, alive] / np.sqrt(e[alive])
         error = float(np.abs(_scatter(_times(spark, fitted, w)) / n - np.eye(len(alive))).max())
-        z = _indexed(_times(spark, _blocks(rows, centre, rows.count()), w))
+        every = _blocks(rows, centre, rows.count())
+        z = _indexed(_times(spark, every, w))
         out = out.join(z, "index")
     else:
         out = out.withColumn("z", F.array().cast("array<double>"))
     each = F.explode(F.array(*(F.struct(F.lit(c + 1).alias("component"), (F.get("z", F.lit(alive.index(c))) if c in alive else F.lit(None).cast("double")).alias("whitened"), F.lit(explained[c]).alias("explained")) for c in range(k))))
     out = out.select("vec_id", deviation.alias("deviation"), each.alias("c")).select("vec_id", "c.component", F.lit(n).cast("long").alias("n"), "deviation", "c.whitened", "c.explained", F.lit(error).cast("double").alias("identity_error"))
     out = staged(out, "whitened")
+    for kept in (fitted, every):
+        if kept is not None:
+            _release(kept)
     for used in (rows, fit):
         discard(used)
     return out
