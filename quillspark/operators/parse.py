@@ -72,7 +72,11 @@ def articles(lines: DataFrame, allow_ui: bool = False, flush_at_chapters: bool =
     so_far = Window.partitionBy("document").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     state = _latches(lines, allow_ui)
     ends = F.col("is_supp") | F.col("is_art") | (F.col("is_chap") | F.col("is_sub") if flush_at_chapters else F.lit(False))
-    state = state.withColumn("seg", F.sum(ends.cast("int")).over(so_far))
+    return gather_articles(state.withColumn("seg", F.sum(ends.cast("int")).over(so_far)), flush_at_chapters)
+
+
+def gather_articles(state: DataFrame, flush_at_chapters: bool = True) -> DataFrame:
+    """Articles of lines that know their state: section, chapter, subsection, pos, seg and kind of heading."""
     art = H.article(F.col("line"))
     heading = F.col("is_chap") | F.col("is_sub") | F.col("is_supp")
     body = F.when(F.col("is_art"), F.when(art.content != "", art.content)).when(~heading, F.col("line"))

@@ -14,6 +14,7 @@ from ..functions import headings as H
 from ..functions import text as T
 from ..operators import chunk as C
 from ..operators import parse as P
+from ..operators import ranges as R
 from ..operators import validate as V
 from ..sources import files
 from ..storage import shared_folder
@@ -195,6 +196,25 @@ def articles(spark, sf_dir):
     return statute_articles(spark, sf_dir).select("document", F.col("pos").cast("long").alias("pos"), "section", F.col("chapter.number").alias("chapter"), F.col("chapter.title").alias("chapter_title"), F.col("subsection.number").alias("subsection"), "article", "title", F.array_join("lines", "\n").alias("body"), F.array_join("pages", ",").alias("pages"))
 
 
+def long_lines(spark, sf_dir):
+    """Every third document's lines one after another in a single document: a third of all lines. Its supplement starts late."""
+    lines = statute_lines(spark, sf_dir).withColumn("no", F.regexp_extract("document", r"^법(\d+)_", 1).cast("int"))
+    long = F.col("no") % 3 == 0
+    return lines.select(F.when(long, F.lit("법0_법률_제0호_20240115")).otherwise(F.col("document")).alias("document"), F.when(long, F.col("no") * 10_000 + F.col("page")).otherwise(F.col("page")).alias("page"), "line_no", F.when(long & (F.col("no") < 300) & (F.col("line") == "부칙"), "").otherwise(F.col("line")).alias("line"))
+
+
+LONG_LINES = LINES.replace("\nclean AS", r"""
+longer AS (SELECT CASE WHEN n % 3 = 0 THEN '법0_법률_제0호_20240115' ELSE document END AS document, CASE WHEN n % 3 = 0 THEN n * 10000 + page ELSE page END AS page, line_no, CASE WHEN n % 3 = 0 AND n < 300 AND line = '부칙' THEN '' ELSE line END AS line FROM (SELECT *, regexp_extract(document, '^법(\d+)_', 1)::INT AS n FROM lines)),
+clean AS""").replace("line FROM lines)", "line FROM longer)")
+
+
+@query("P07_W05_long_document", with_sql(ARTICLES.replace(LINES, LONG_LINES), "SELECT document, pos, section, chapter, chapter_title, subsection, article, title, array_to_string(lines, chr(10)) AS body, array_to_string(pages, ',') AS pages FROM arts"))
+def long_document(spark, sf_dir):
+    """The heading machine in parts of a thousand lines, over a document that holds a third of all lines."""
+    arts = R.articles_of_ranges(P.clean_lines(long_lines(spark, sf_dir), nfkc=False), part_lines=1000)
+    return arts.select("document", F.col("pos").cast("long").alias("pos"), "section", F.col("chapter.number").alias("chapter"), F.col("chapter.title").alias("chapter_title"), F.col("subsection.number").alias("subsection"), "article", "title", F.array_join("lines", "\n").alias("body"), F.array_join("pages", ",").alias("pages"))
+
+
 @query("P08_articles_old", with_sql(STATE, """, old AS (SELECT *, sum((is_supp OR is_art)::INT) OVER (PARTITION BY document ORDER BY pos ROWS UNBOUNDED PRECEDING) AS oseg, CASE WHEN is_art THEN nullif(content, '') WHEN NOT (is_chap OR is_sub OR is_supp) THEN line END AS body FROM state)
 SELECT document, min(pos) AS pos, count(body) AS n_lines FROM old GROUP BY document, oseg HAVING bool_or(is_art)"""))
 def articles_old(spark, sf_dir):
