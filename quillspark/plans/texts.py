@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import tokens
-from ..sources import files
 from .registry import query, table
 from .statutes import STRIP, strip_sql
 
@@ -19,11 +18,6 @@ def text():
     return F.coalesce(F.col("text"), F.lit(""))
 
 
-@query("S01_S02_list_files")
-def list_files(spark, sf_dir):
-    return files.list_files(spark, sf_dir, "*.parquet").select("document", "length").orderBy("document")
-
-
 @query("T01_normalize_unicode")
 def normalize_unicode(spark, sf_dir):
     return docs(spark, sf_dir, T.normalize_unicode(text()).alias("text"))
