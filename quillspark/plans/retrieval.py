@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from ..operators import answer as A
-from ..operators import dense, fusion, lexical
+from ..operators import dense, fusion, lexical, segments
+from ..storage import shared_folder
 from .registry import query, table
 from .statutes import strip_sql
 from .texts import TOKENS
@@ -88,6 +89,24 @@ def bm25_by_law(spark, sf_dir):
     return rounded(lexical.bm25_top_k(text_queries(spark, sf_dir), doc_chunks(spark, sf_dir), 20, by_law=True), "bm25_score")
 
 
+def stored_index(spark, sf_dir, parts: int = 3):
+    """The documents as a stored index of three segments, appended one after another."""
+    path, chunks = shared_folder(spark, "segments"), doc_chunks(spark, sf_dir)
+    for k in range(parts):
+        index = segments.append(spark, path, chunks.where(F.col("chunk_id") % parts == k))
+    return index
+
+
+@query("R06_R07_stored_segments", bm25_sql(False, 20))
+def stored_segments(spark, sf_dir):
+    return rounded(segments.search(spark, stored_index(spark, sf_dir), text_queries(spark, sf_dir), 20), "bm25_score")
+
+
+@query("R06_R07_stored_segments_by_law", bm25_sql(True, 20))
+def stored_segments_by_law(spark, sf_dir):
+    return rounded(segments.search(spark, stored_index(spark, sf_dir), text_queries(spark, sf_dir), 20, by_law=True), "bm25_score")
+
+
 @query("R06_term_weights", f"WITH {bm25_sql(False, 1, True).strip()} SELECT term, round(idf, 6) AS idf FROM weights")
 def term_weights(spark, sf_dir):
     chunks = doc_chunks(spark, sf_dir)
