@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from ..functions.text import URL_NAMESPACE
 from ..operators import chunk as C
+from ..operators import collection as K
 from ..operators import index as I
 from ..operators import validate as V
 from ..storage import shared_folder, staged
@@ -73,6 +76,63 @@ def upsert(spark, sf_dir):
     return out.select("chunk_id", "law", "load_seq", F.round(F.element_at("embedding", 1).cast("double"), 5).alias("first"))
 
 
+@contextmanager
+def own_collection(spark, dim=64, buckets=8):
+    """A collection of its own, dropped at the end."""
+    folder = shared_folder(spark, "collection")
+    name = "points_" + folder.rsplit("-", 1)[1]
+    K.create(spark, name, dim, buckets, "id string, chunk_id string, law string, embedding array<float>, load_seq int, batch long", folder)
+    try:
+        yield name
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+@query("U01_K02_collection_upsert", UPSERT.replace("AS load_seq", "AS load_seq, 1::BIGINT AS batch"))
+def collection_upsert(spark, sf_dir):
+    """A first load, then one with repeated ids over it, in a table of eight buckets."""
+    with own_collection(spark) as name:
+        K.upsert_into(spark, name, indexed(spark, sf_dir), 0)
+        K.upsert_into(spark, name, load(spark, sf_dir), 1)
+        out = staged(K.points(spark, name), "points")
+    return out.select("chunk_id", "law", "load_seq", "batch", F.round(F.element_at("embedding", 1).cast("double"), 5).alias("first"))
+
+
+@query("K02_rejected_load", "SELECT vec_id::VARCHAR AS chunk_id, 'old' AS law, 0::BIGINT AS batch, true AS rejected FROM embeddings WHERE vec_id % 3 = 0")
+def rejected_load(spark, sf_dir):
+    """A load in which every seventh vector lacks an entry: refused, and the collection is as before."""
+    with own_collection(spark) as name:
+        K.upsert_into(spark, name, indexed(spark, sf_dir), 0)
+        short = load(spark, sf_dir).withColumn("embedding", F.when(F.col("n") % 7 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")))
+        try:
+            K.upsert_into(spark, name, short, 1)
+            rejected = False
+        except ValueError:
+            rejected = True
+        out = staged(K.points(spark, name), "points")
+    return out.select("chunk_id", "law", "batch", F.lit(rejected).alias("rejected"))
+
+
+@query("K05_K06_stream_batches", f"SELECT {_UUID5} AS id, doc_id::VARCHAR AS chunk_id, source AS law, 64::INT AS dim FROM (SELECT doc_id, source, sha1(unhex('{URL_NAMESPACE}') || encode(doc_id::VARCHAR)) AS h FROM documents)")
+def stream_batches(spark, sf_dir):
+    """Documents as a stream of files, in which every fourth comes again; the last batch is run twice."""
+    from ..streaming.incremental import collection_stream
+    from .retrieval import doc_chunks, hashed_embedding
+
+    chunks = doc_chunks(spark, sf_dir).select(F.col("chunk_id").cast("string").alias("chunk_id"), "law", "text", F.col("chunk_id").cast("int").alias("load_seq"))
+    folder, memory = shared_folder(spark, "stream"), shared_folder(spark, "stream-state")
+    chunks.where("load_seq % 2 = 0").write.parquet(folder)
+    with own_collection(spark) as name:
+        for part in ("load_seq % 2 = 1", "load_seq % 4 = 0"):
+            source = spark.readStream.schema(chunks.schema).parquet(folder)
+            collection_stream(source, name, memory, hashed_embedding).trigger(availableNow=True).start().awaitTermination()
+            chunks.where(part).write.mode("append").parquet(folder)
+        K.add_new(spark, name, chunks, hashed_embedding, 1)
+        K.add_new(spark, name, chunks, hashed_embedding, 1)
+        out = staged(K.points(spark, name), "points")
+    return out.select("id", "chunk_id", "law", F.size("embedding").alias("dim"))
+
+
 @query("K04_embed_and_upsert", f"SELECT {_UUID5} AS id, doc_id::VARCHAR AS chunk_id, 64::INT AS dim, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE 'old' END AS law FROM (SELECT doc_id, sha1(unhex('{URL_NAMESPACE}') || encode(doc_id::VARCHAR)) AS h FROM documents WHERE doc_id % 4 = 0 OR doc_id % 3 = 0)")
 def embed_and_upsert(spark, sf_dir):
     from .retrieval import doc_chunks, hashed_embedding

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from ..operators import collection as K
 from ..operators.index import new_only, with_point_id
 
 
@@ -25,3 +27,21 @@ def index_stream(chunks: DataFrame, index_path: str, checkpoint: str, embedder)
         with_point_id(fresh.withColumn("embedding", embedder("text"))).write.mode("append").parquet(index_path)
 
     return chunks.writeStream.option("checkpointLocation", checkpoint).foreachBatch(add)
+
+
+def collection_stream(chunks: DataFrame, table: str, checkpoint: str, embedder, order: str = "load_seq", replace: bool = False) -> DataStreamWriter:
+    """A writer of a chunk stream (chunk_id, text, ...) to a stored collection, each row once.
+
+    A batch's number is committed with its rows and it reads only its own buckets. A batch
+    that was killed after it wrote is run again by the stream: its rows are found and it adds
+    none. With ``replace`` known ids get the batch's rows instead.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if replace:
+            K.upsert_into(spark, table, batch.withColumn("embedding", embedder(F.col("text"))), number, order)
+        else:
+            K.add_new(spark, table, batch, embedder, number, order)
+
+    return chunks.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
