@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..functions.tokens import tokenize
 from ..storage import staged
 from .dense import dense_top_k
+from .models import timed_text
 
 #: What stands for a missing context, and the refusal.
 NO_CONTEXT = "검색된 관련 조문이 없습니다."
@@ -64,17 +65,18 @@ def prompt(context: Column, question: Column, template: str = PROMPT) -> Column:
     return F.replace(F.replace(F.lit(template), F.lit("{context}"), context), F.lit("{question}"), question)
 
 
-@F.pandas_udf(StringType())
-def extractive_answer(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def answer_of(prompt: str) -> str:
     """The deterministic stand-in for a language model: the first passage's first 200 characters and its head, or the refusal."""
+    head, _, body = prompt.split("[조문]\n", 1)[1].split("\n\n[질문]", 1)[0].partition("\n")
+    said = body[:200].strip()
+    return f"{said} ({head})" if said else REFUSAL
 
-    def answer(p: str) -> str:
-        head, _, body = p.split("[조문]\n", 1)[1].split("\n\n[질문]", 1)[0].partition("\n")
-        said = body[:200].strip()
-        return f"{said} ({head})" if said else REFUSAL
 
+@F.pandas_udf(StringType())
+def extractive_answer(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """``answer_of`` each prompt."""
     for part in prompts:
-        yield part.map(answer)
+        yield part.map(answer_of)
 
 
 def retrieve(questions: DataFrame, points: DataFrame, chunks: DataFrame, use_reranker: bool = False, top_k: int = 5, candidates: int = 20, scorer=overlap_scorer) -> DataFrame:
@@ -98,21 +100,36 @@ def answer_questions(hits: DataFrame, questions: DataFrame, mode: str, model=ext
     doc = F.struct("rank", "chunk_id", "law", "article", "score", "rerank_score", "dense_rank", F.left("text", F.lit(chars)).alias("text"))
     docs = hits.groupBy("qid").agg(F.array_sort(F.collect_list(doc)).alias("docs"))
     context = build_context(hits, questions).join(questions.select("qid", "query", "law"), "qid").join(docs, "qid", "left")
-    answer = T.strip(model(prompt(F.col("context"), F.col("query"))))
+    answer = model(prompt(F.col("context"), F.col("query")))
     return context.select("qid", "query", "law", F.lit(mode).alias("mode"), F.coalesce("docs", F.array().cast(docs.schema["docs"].dataType)).alias("docs"), "context", "sources", "n_docs", answer.alias("answer"))
 
 
 def run_rag(questions: DataFrame, points: DataFrame, chunks: DataFrame, use_reranker: bool = False, top_k: int = 5, candidates: int = 20, scorer=overlap_scorer, model=extractive_answer) -> DataFrame:
     """Retrieval and answers of a table of questions: see ``retrieve`` and ``answer_questions``."""
     hits = retrieve(questions, points, chunks, use_reranker, top_k, candidates, scorer)
-    return answer_questions(hits, questions, "reranker" if use_reranker else "dense", model)
+    return answer_questions(hits, questions, "reranker" if use_reranker else "dense", lambda p: T.strip(model(p)))
 
 
-def timed_rag(questions: DataFrame, points: DataFrame, chunks: DataFrame, use_reranker: bool = False, **more) -> DataFrame:
-    """``run_rag`` with retrieval_sec and llm_sec: seconds of the two steps, each staged, by the number of questions."""
+def timed_rag(questions: DataFrame, points: DataFrame, chunks: DataFrame, use_reranker: bool = False, top_k: int = 5, candidates: int = 20, scorer=None, answer=answer_of) -> DataFrame:
+    """``run_rag`` with retrieval_sec and llm_sec of each question.
+
+    The times of scoring a question's pairs and of its answer are taken where they are
+    computed. The search serves all questions at once: each has an equal share of its time.
+    ``scorer``: (query, passage) -> struct<score, seconds>, such as ``models.timed_scorer``;
+    ``answer``: prompt -> text.
+    """
     n, began = max(1, questions.count()), time.perf_counter()
-    model = more.pop("model", extractive_answer)
-    hits = staged(retrieve(questions, points, chunks, use_reranker, **more), "rag-hits")
-    found = time.perf_counter()
-    out = staged(answer_questions(hits, questions, "reranker" if use_reranker else "dense", model), "rag-answers")
-    return out.withColumns({"retrieval_sec": F.lit((found - began) / n), "llm_sec": F.lit((time.perf_counter() - found) / n)})
+    hits = staged(retrieve(questions, points, chunks, False, candidates if use_reranker else top_k), "rag-hits")
+    share = (time.perf_counter() - began) / n
+    if use_reranker:
+        scored = scorer or (lambda q, p: F.struct(overlap_scorer(q, p).alias("score"), F.lit(0.0).alias("seconds")))
+        pairs = staged(hits.withColumn("s", scored(F.col("query"), F.col("passage"))), "rag-pairs")
+        again = rerank(pairs.drop("rank", "rerank_score"), top_k, lambda q, p: F.col("s.score"), "dense_rank")
+        spent = pairs.groupBy("qid").agg(F.sum("s.seconds").alias("scoring"))
+        hits = again.withColumnsRenamed({"rerank_rank": "rank", "previous_rank": "dense_rank"}).join(spent, "qid")
+    else:
+        spent = questions.select("qid", F.lit(0.0).alias("scoring"))
+    timed = timed_text(answer)
+    out = answer_questions(hits, questions, "reranker" if use_reranker else "dense", timed)
+    out = staged(out.withColumns({"llm_sec": F.col("answer.seconds"), "answer": T.strip(F.col("answer.text"))}), "rag-answers")
+    return out.join(spent, "qid", "left").withColumn("retrieval_sec", F.lit(share) + F.coalesce("scoring", F.lit(0.0))).drop("scoring")

@@ -6,13 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import answer as A
-from ..operators import dense, evalset, fusion, lexical
+from ..operators import dense, evalset, fusion, lexical, models
 from ..operators import evaluate as M
 from ..operators import validate as V
 from ..sources import files
 from ..storage import shared_folder, staged
 from .registry import query, table
-from .retrieval import DENSE, RAG_STEPS, bm25_sql, doc_chunks, hybrid_inputs, listed, points, text_queries, vector_queries
+from .retrieval import DENSE, RAG_STEPS, bm25_sql, doc_chunks, hybrid_inputs, listed, pair_scorer, points, text_queries, vector_queries
 from .statutes import strip_sql
 from .texts import TOKENS
 
@@ -139,8 +139,10 @@ def unsupported(spark, sf_dir):
 def _records(spark, sf_dir, timed=False):
     """Graded answers in both modes, each on its own documents; the search is within the expected law."""
     q, p, chunks = graded_questions(spark, sf_dir)
-    answer = A.timed_rag if timed else A.run_rag
-    return M.rag_records(answer(q, p, chunks).unionByName(answer(q, p, chunks, use_reranker=True)), q)
+    if timed:
+        scorer = models.timed_scorer(*pair_scorer(spark))
+        return M.rag_records(A.timed_rag(q, p, chunks).unionByName(A.timed_rag(q, p, chunks, use_reranker=True, scorer=scorer)), q)
+    return M.rag_records(A.run_rag(q, p, chunks).unionByName(A.run_rag(q, p, chunks, use_reranker=True)), q)
 
 
 RECORDS = f"""{GRADED}
@@ -182,6 +184,12 @@ def rag_times(spark, sf_dir):
     return wide.withColumn("difference", F.round("difference", 2))
 
 
+@query("M15_times_by_question", f"WITH {GRADED} m AS (SELECT unnest(['dense', 'reranker']) AS mode) SELECT qid, mode, true AS searched, true AS answered FROM q, m")
+def times_by_question(spark, sf_dir):
+    """Each question's own times, as far as they don't change from run to run: that they are there."""
+    return _records(spark, sf_dir, timed=True).select("qid", "mode", (F.col("retrieval_sec") > 0).alias("searched"), (F.col("llm_sec") > 0).alias("answered"))
+
+
 @query("F06_flagged_answers", f"WITH {CITED}, asked AS (SELECT doc_id, len(list_filter(given, lambda x: NOT list_contains(known, x))) > 0 AS flag FROM cites) SELECT doc_id FROM asked WHERE flag")
 def flagged_answers(spark, sf_dir):
     rows = cited(spark, sf_dir).select("doc_id", M.unsupported_citations(F.col("answer"), F.col("sources")).alias("hallucination"))

@@ -5,6 +5,7 @@ Query set of the dense plans: every vector whose id is divisible by 100, against
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from ..operators import answer as A
-from ..operators import dense, fusion, lexical, segments
+from ..operators import cells, dense, fusion, lexical, segments
+from ..operators import models as M
 from ..storage import shared_folder
 from .registry import query, table
 from .statutes import strip_sql
@@ -63,6 +65,23 @@ def dense_by_law(spark, sf_dir):
     return rounded(dense.dense_top_k(vector_queries(spark, sf_dir), points(spark, sf_dir), 5, by_law=True, exclude_self=True), "score")
 
 
+def stored_cells(spark, sf_dir, n: int = 16):
+    return cells.build(spark, shared_folder(spark, "cells"), points(spark, sf_dir), n)
+
+
+@query("R01_R04_stored_cells", dense_sql("", 5))
+def stored_cells_search(spark, sf_dir):
+    """Probes until no cell left can hold a hit: the rows of the exact search."""
+    found = cells.search(spark, stored_cells(spark, sf_dir), vector_queries(spark, sf_dir), 5, by_law=False, certified=True)
+    return rounded(found.hits, "score")
+
+
+@query("R02_F01_S10_stored_cells_by_law", dense_sql("AND q.label = p.label AND q.vec_id <> p.vec_id", 5))
+def stored_cells_by_law(spark, sf_dir):
+    found = cells.search(spark, stored_cells(spark, sf_dir), vector_queries(spark, sf_dir), 5, by_law=True, certified=True, exclude_self=True)
+    return rounded(found.hits, "score")
+
+
 def bm25_sql(by_law: bool, k: int, ctes_only: bool = False) -> str:
     scope, same = ("law", "AND q.law = c.law") if by_law else ("'*'", "")
     ctes = f"""
@@ -175,6 +194,32 @@ def hashed_embedding(texts: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+MODEL = {"words": 0.75, "pairs": 0.25}
+
+
+def pair_scorer(spark):
+    """The stand-in model, shipped to the workers."""
+    folder = shared_folder(spark, "model")
+    name = M.ship(spark, folder, folder.rsplit("/", 1)[1] + ".json", json.dumps(MODEL).encode())
+    return name, M.OverlapModel.load
+
+
+_WORDS = "regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')"
+_PAIRS = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+MODEL_RERANK = f"""texts AS (SELECT lex.qid, lex.rank, lex.chunk_id, {_WORDS.format("q.text")} AS qw, {_WORDS.format("'[제' || (doc_id % 97 + 1) || '조' || CASE WHEN left(string_split(coalesce(d.text, ''), chr(10))[1], 20) <> '' THEN ' ' || left(string_split(d.text, chr(10))[1], 20) ELSE '' END || '] ' || coalesce(d.text, '')")} AS pw FROM lex JOIN q USING (qid) JOIN documents d ON d.doc_id = lex.chunk_id),
+shares AS (SELECT *, CASE WHEN len(qw) > 0 THEN len(list_intersect(list_distinct(qw), pw)) / len(list_distinct(qw)) ELSE 0 END AS words, CASE WHEN len(qw) > 1 THEN len(list_intersect({_PAIRS.format("qw")}, {_PAIRS.format("pw")})) / len({_PAIRS.format("qw")}) ELSE 0 END AS pairs FROM texts),
+again AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {MODEL["words"]}::DOUBLE * words + {MODEL["pairs"]}::DOUBLE * pairs DESC, rank) AS rerank_rank FROM shares)"""
+
+
+@query("R11_A07_model_rerank", f"WITH {bm25_sql(False, 20, True).strip()},\n{MODEL_RERANK} SELECT qid, rank::INT AS previous_rank, chunk_id, round({MODEL['words']}::DOUBLE * words + {MODEL['pairs']}::DOUBLE * pairs, 6) AS rerank_score, rerank_rank::INT AS rerank_rank FROM again WHERE rerank_rank <= 5")
+def model_rerank(spark, sf_dir):
+    """The candidates scored by a model in the workers."""
+    queries, chunks = text_queries(spark, sf_dir), doc_chunks(spark, sf_dir)
+    hits = A.attach_texts(lexical.bm25_top_k(queries, chunks, 20).select("qid", "rank", "chunk_id", "law"), chunks)
+    out = A.rerank(hits.join(queries.select("qid", "query"), "qid"), 5, M.scorer(*pair_scorer(spark)))
+    return rounded(out.select("qid", "previous_rank", "chunk_id", "rerank_score", "rerank_rank"), "rerank_score")
+
+
 @query("R12_embed", r"SELECT doc_id AS chunk_id, 64::INT AS dim, CASE WHEN regexp_matches(coalesce(text, ''), '\S') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents")
 def embed(spark, sf_dir):
     vectors = dense.embed(doc_chunks(spark, sf_dir).select("chunk_id", "text"), hashed_embedding)
