@@ -78,6 +78,34 @@ def rag_records(results: DataFrame, queries: DataFrame) -> DataFrame:
     return out.withColumn("answer_has_source", has_source(F.col("answer"), F.col("sources"))).withColumn("hallucination", unsupported_citations(F.col("answer"), F.col("sources")))
 
 
+def texts_that_hold(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(doc_id, qid, ...): texts (doc_id, text, ...) that hold a whole phrase (qid, phrase) somewhere.
+
+    A phrase's parts between spaces, its first and last aside, are parts of the text too: the
+    longest is the key of a hash join, and what it proposes is verified. Phrases of one or two
+    parts have no such key and are looked for in every text; null and empty phrases are held
+    by none.
+    """
+    known = phrases.where(F.col("phrase") != "")
+    parts = F.split("phrase", " ", -1)
+    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    known = known.withColumn("key_", F.when(F.size(parts) >= 3, longest))
+    places = texts.where(F.col("text").isNotNull()).select("doc_id", F.explode(F.array_distinct(F.split("text", " ", -1))).alias("key_"))
+    met = places.join(known.where("key_ IS NOT NULL").select("qid", "key_"), "key_").select("doc_id", "qid")
+    short = known.where("key_ IS NULL").select("qid")
+    if short.limit(1).count():
+        met = met.unionByName(texts.select("doc_id").crossJoin(F.broadcast(short.limit(SHORT_PHRASES))))
+        if short.limit(SHORT_PHRASES + 1).count() > SHORT_PHRASES:
+            raise ValueError(f"more than {SHORT_PHRASES} phrases of one or two words")
+    whole = met.join(texts, "doc_id").join(known.drop("key_"), "qid")
+    return whole.where(F.contains("text", "phrase"))
+
+
+#: Phrases of one or two words that are looked for in every text.
+SHORT_PHRASES = 1000
+
+
 def rag_summary(records: DataFrame, *keys: str) -> DataFrame:
     """Counts and percentages (one decimal) of hits, of hits at 1, 3 and 5, of answers with a source and of flagged answers.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dense import dense_top_k
-from .lexical import bm25_top_k
+from .lexical import Index, build_index, search
 
 RRF_K = 5
 
@@ -27,7 +27,13 @@ def reciprocal_rank_fusion(dense: DataFrame, lexical: DataFrame, top_k: int = 5,
     return ranked.select("qid", "rank", "rrf_score", "chunk_id", "law", "dense_score", "bm25_score", "dense_rank", "bm25_rank")
 
 
-def hybrid_search(queries: DataFrame, points: DataFrame, chunks: DataFrame, top_k: int = 5, candidates: int = 50, k: int = RRF_K, by_law: bool = False) -> DataFrame:
-    """Dense and lexical candidates, fused. ``queries``: qid, law, query, embedding."""
+def hybrid_search(queries: DataFrame, points: DataFrame, chunks: DataFrame | Index, top_k: int = 5, candidates: int = 50, k: int = RRF_K, by_law: bool = False) -> DataFrame:
+    """Dense and lexical candidates, fused. ``queries``: qid, law, query, embedding.
+
+    ``chunks``: chunks, or an index of them (of ``by_law``'s kind) that several searches share.
+    """
+    index = chunks if isinstance(chunks, Index) else build_index(chunks, by_law)
+    if index.by_law != by_law:
+        raise ValueError("the index has the statistics of another kind of search")
     dense = dense_top_k(queries, points, candidates, by_law=by_law)
-    return reciprocal_rank_fusion(dense, bm25_top_k(queries, chunks, candidates, by_law=by_law), top_k, k)
+    return reciprocal_rank_fusion(dense, search(index, queries, candidates), top_k, k)

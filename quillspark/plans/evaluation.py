@@ -44,7 +44,7 @@ def graded_questions(spark, sf_dir):
     Expected are the first such document and its law, whatever any way of searching says.
     """
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").where("text <> ''")
-    held = docs.join(F.broadcast(items.select(F.col("item_id").alias("qid"), F.col("text").alias("query"))), F.contains("text", "query"))
+    held = M.texts_that_hold(docs.select("doc_id", "source", "text"), items.select(F.col("item_id").alias("qid"), F.col("text").alias("phrase"))).withColumnRenamed("phrase", "query")
     first = held.groupBy("qid", "query").agg(F.min(F.struct("doc_id", "source")).alias("d")).select("qid", "query", F.col("d.source").alias("law"), F.col("d.doc_id").alias("expected_chunk_id"))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), "embedding")
     return staged(first.join(vectors, "qid"), "questions"), hybrid_inputs(spark, sf_dir)[1], doc_chunks(spark, sf_dir)

@@ -63,3 +63,20 @@ def test_names(spark):
         assert one(spark, x, T.uuid5) == str(uuid.uuid5(uuid.NAMESPACE_URL, x))
     assert one(spark, "a \t b \n\n\n\n c", lambda c: T.clean_text(c)) == "a b\n\nc"
     assert one(spark, " a\n \n b ", lambda c: T.clean_text_flat(c)) == "a\nb"
+
+
+def test_texts_that_hold_phrases(spark):
+    import random
+
+    from quillspark.operators.evaluate import texts_that_hold
+
+    rng = random.Random(4)
+    texts = [(k, " ".join(rng.choice(["a", "b", "c", "ab", "", "a\nb"]) for _ in range(rng.randrange(12)))) for k in range(60)] + [(60, None), (61, ""), (62, "x")]
+    phrases = [(k, " ".join(rng.choice(["a", "b", "c", "", "b a"]) for _ in range(rng.randrange(8)))) for k in range(60)] + [(60, None), (61, ""), (62, "a"), (63, "b c")]
+    held = texts_that_hold(spark.createDataFrame(texts, "doc_id int, text string"), spark.createDataFrame(phrases, "qid int, phrase string"))
+    got = sorted((r.doc_id, r.qid) for r in held.select("doc_id", "qid").collect())
+    want = sorted((d, q) for d, t in texts for q, p in phrases if p and t is not None and p in t)
+    assert len(want) > 100 and got == want
+    long = spark.createDataFrame([(1, "one two three four five six")], "qid int, phrase string")
+    plan = texts_that_hold(spark.createDataFrame(texts, "doc_id int, text string"), long)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
