@@ -12,7 +12,7 @@ A shard gives a spanning forest of its links, never all pairs of a group.
 
 from __future__ import annotations
 
-from math import acos, ceil, log, pi, sqrt
+from math import acos, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -233,70 +233,125 @@ def fingerprint_hex(col: str = "fp"):
 
 # near-duplicates by similarity: fingerprints propose, shingle sets decide
 
-#: Words of the long fingerprint: two are compared, the others give shard keys of 16 bits at most.
-LONG, COMPARED = 10, 2
-#: Share of links at the threshold that the shards of all tables may miss.
-MISS = 1e-3
-#: A link's fingerprints differ in at most its mean plus so many standard deviations.
-SIGMAS = 2.75
-SET_SHARD = 512
-MAX_ROUNDS = 2
-_ODD = np.random.default_rng(11).integers(1, 1 << 63, LONG, dtype=np.uint64) | np.uint64(1)
+#: Words of the long fingerprint, all compared by the trees.
+LONG = 4
+#: Shard keys of a set: each of the least values of so many hash functions.
+KEYS, KEY_MINIMA = 16, 4
+#: A link's fingerprints differ in at most its mean plus so many standard deviations; surely like ones in its mean less as many.
+SIGMAS = 3.5
+#: Partners that a set is tried with at a time, where trees' proposals failed.
+MORE = 8
+#: Pairs of one set that a task verifies.
+HUB = 500
+_ODD = np.random.default_rng(11).integers(1, 1 << 63, max(LONG, KEYS * KEY_MINIMA), dtype=np.uint64) | np.uint64(1)
+
+
+def _mixed(hashes: np.ndarray, ways: int) -> np.ndarray:
+    """Hashes x ways: each hash mixed in several ways."""
+    h = hashes[:, None] * _ODD[None, :ways]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
     """LONG words of SimHash bits of a set of hashes, each word from hashes mixed in its own way."""
     ones, n = np.zeros(64 * LONG, dtype=np.int64), len(hashes)
     for at in range(0, n, 2048):
-        h = hashes[at : at + 2048, None] * _ODD[None, :]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
+        h = _mixed(hashes[at : at + 2048], LONG)
         ones += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(ones * 2 > n, bitorder="little").view("<i8")
 
 
+def shard_keys(hashes: np.ndarray) -> np.ndarray:
+    """KEYS keys of a set. Two sets of similarity s agree on one with a chance of s ** KEY_MINIMA, whatever the table's size."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    least = np.full(KEYS * KEY_MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        least = np.minimum(least, _mixed(hashes[at : at + 1024], KEYS * KEY_MINIMA).min(axis=0))
+    rows = least.reshape(KEYS, KEY_MINIMA)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
 def bit_odds(similarity: float) -> float:
-    """Chance that a bit differs between two sets of one size and this Jaccard similarity."""
+    """Chance that a bit differs between two large sets of one size and this Jaccard similarity."""
     return acos(2 * similarity / (1 + similarity)) / pi
 
 
-def tables_for(bits: int, similarity: float) -> int:
-    """Tables of ``bits``-bit keys that all but MISS of the links at ``similarity`` agree on somewhere, as far as there are tables."""
-    one = (1 - bit_odds(similarity)) ** bits
-    return 1 if one == 1 else min((LONG - COMPARED) * 4, ceil(log(MISS) / log(1 - one)))
+def radius_for(n: int, similarity: float) -> int:
+    """Bits in which the fingerprints of a link differ, all but one in some thousands; ``n``: elements of the smaller set.
+
+    In small sets many bits are near a tie, which one element more decides.
+    """
+    bits, odds = 64 * LONG, min(0.5, bit_odds(similarity) + 0.4 / sqrt(max(n, 1)))
+    return min(bits, int(bits * odds + SIGMAS * sqrt(bits * odds * (1 - odds))))
+
+
+def sure_radius(similarity: float) -> int:
+    """Bits below which nearly all pairs of large sets are links."""
+    bits, odds = 64 * LONG, bit_odds(similarity)
+    return max(0, int(bits * odds - SIGMAS * sqrt(bits * odds * (1 - odds))))
 
 
 def _set_prints(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, nth, sig, fp array<long>, hashes array<int>) of every row: sig is a digest of the set, hashes are its 32 low bits."""
+    """(doc_id, nth, sig, n, fp, keys, hashes) of every row: sig is a digest of the set, hashes are its 32 low bits."""
 
     def run(it):
         for batch in batches_of(it, 128):
             sets = [np.unique(shingle_hashes(t, width)) for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), batch.column(2), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([long_fingerprint(x) for x in sets], pa.list_(pa.int64())), pa.array([np.unique(x.astype(np.uint32)).view(np.int32) for x in sets], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "nth", "sig", "fp", "hashes"])
+            longs = lambda f: pa.array([f(x) for x in sets], pa.list_(pa.int64()))
+            columns = [batch.column(0), batch.column(2), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), longs(long_fingerprint), longs(shard_keys), pa.array([np.unique(x.astype(np.uint32)).view(np.int32) for x in sets], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "nth", "sig", "n", "fp", "keys", "hashes"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.monotonically_increasing_id().alias("nth"))
-    return rows.mapInArrow(run, "doc_id long, nth long, sig binary, fp array<long>, hashes array<int>")
-
-
-def _proposed(reps: DataFrame, n: int, similarity: float, turn: int) -> DataFrame:
-    """(rep, fp, group) -> edges (a, b): a forest over the groups of what the fingerprints propose."""
-    bits = min(16, key_bits(n, SET_SHARD))
-    odds = bit_odds(similarity)
-    radius = int(64 * COMPARED * odds + SIGMAS * sqrt(64 * COMPARED * odds * (1 - odds)))
-    keys = [F.struct(F.lit(t).alias("no"), F.shiftrightunsigned(F.get("fp", F.lit(COMPARED + t // 4)), 16 * (t % 4)).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("part")) for t in range(tables_for(bits, similarity))]
-    compared = F.array(*(F.get("fp", F.lit(k)) for k in range(COMPARED)))
-    keyed = reps.select("rep", "group", compared.alias("fp"), F.explode(F.array(*keys)).alias("k"))
-    # every table takes a shard's members in an order of its own, so the forests differ
-    keyed = _split(keyed.select("k.no", "k.part", "fp", "rep", "group", F.xxhash64(F.lit(turn), "k.no", "rep").alias("turn")), n)
-    keyed = keyed.repartition("no", "part").sortWithinPartitions("no", "part", "turn")
-
-    def links(no, part, fp, rep, group, order):
-        edges = tree_links(np.stack(fp), radius, group)
+    return rows.mapInArrow(run, "doc_id long, nth long, sig binary, n int, fp array<long>, keys array<long>, hashes array<int>")
+
+
+def _ordered(edges: DataFrame) -> DataFrame:
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _shards(members: DataFrame, n: int, *columns: str) -> DataFrame:
+    """``members`` (key, rep, ...) by shard: rows of one key follow each other in a task."""
+    keyed = _split(members.select(F.lit(0).alias("no"), F.col("key").alias("part"), "rep", *columns), n)
+    return keyed.repartition("no", "part").sortWithinPartitions("no", "part", "rep")
+
+
+def _forests(members: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Edges (a, b): in each shard a spanning forest of what its tree finds, of surely like sets as far as these reach."""
+    sure = sure_radius(similarity)
+
+    def links(no, part, rep, size, fp):
+        bits = np.stack(fp)
+        edges = tree_links(bits, sure)
+        forest = Forest(len(bits))
+        for i, j in edges:
+            forest.star(i, np.array([j]))
+        edges = edges + tree_links(bits, radius_for(int(size.min()), similarity), forest.roots(np.arange(len(bits))))
         return rep[np.array(edges)] if edges else None
 
-    return _by_shard(keyed, links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _ordered(_by_shard(_shards(members, n, "n", "fp"), links))
+
+
+def _further(members: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Edges (a, b) between sets of different groups that are near enough and haven't failed: up to MORE for each set and shard."""
+
+    def links(no, part, rep, size, fp, group, failed):
+        bits, out = np.stack(fp), []
+        radius = radius_for(int(size.min()), similarity)
+        for at in range(0, len(bits), LEAF):
+            near = (_distance(bits[at : at + LEAF, None], bits[None, :]) <= radius) & (group[at : at + LEAF, None] != group[None, :])
+            for i in np.nonzero(near.any(axis=1))[0]:
+                others = np.nonzero(near[i])[0]
+                known = failed[at + i]
+                if known is not None and len(known):
+                    others = others[~np.isin(rep[others], known)]
+                out += [(at + i, j) for j in others[:MORE]]
+        return rep[np.array(out)] if out else None
+
+    return _ordered(_by_shard(_shards(members, n, "n", "fp", "group", "failed"), links))
 
 
 def _split(keyed: DataFrame, n: int) -> DataFrame:
@@ -314,39 +369,46 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
     """(doc_id, component_id) of every row of ``docs``: groups of documents of like shingle sets.
 
     Two documents are linked if the Jaccard similarity of their sets of ``width``-word
-    shingles is ``similarity`` or more; sets that are equal are linked, also empty ones. Pairs
-    are proposed by SimHash: BK-trees over COMPARED words, in shards keyed by other bits; a
-    proposal is a link only if the whole sets bear it out. Trees give forests, so where a proposal
-    fails its neighbourhood is searched anew in another order, from the groups found
-    so far, until that finds nothing more.
+    shingles is ``similarity`` or more; sets that are equal are linked, also empty ones. Sets
+    meet in shards keyed by least hashes; there BK-trees over whole SimHash fingerprints
+    propose, and a proposal is a link only if the sets bear it out. A tree gives a forest, so
+    sets of a forest in which a proposal failed are compared again, without the pairs that
+    failed, until nothing near is left between two groups.
     Null texts are empty; rows without doc_id give no group its id and their component_id is
     that of equal sets, or null; an empty table gives an empty one; other columns aren't used.
     """
-    spark = docs.sparkSession
     prints = staged(_set_prints(docs, width), "set-prints")
     least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "nth")))
-    reps = prints.groupBy("sig").agg(least.alias("least"), F.first("fp").alias("fp")).select("sig", F.col("least.doc_id").alias("rep"), F.col("least.nth").alias("nth"), "fp")
-    reps = staged(reps, "set-reps")
+    heads = prints.groupBy("sig").agg(least.alias("least"))
+    reps = staged(heads.select("sig", F.col("least.doc_id").alias("rep"), F.col("least.nth").alias("nth")), "set-reps")
     known = reps.where("rep is not null")
-    todo = known.select("rep", "fp", F.col("rep").alias("group"))
-    good, roots, sets = spark.createDataFrame([], "a long, b long"), None, None
-    for turn in range(MAX_ROUNDS):
-        pairs = staged(_proposed(todo, todo.count(), similarity, turn), "set-pairs")
-        sets = sets if turn else _sets_of(pairs, prints, known)  # later turns search among the same documents
-        met = staged(_likely(pairs, known, similarity), "set-likely")
-        checked = staged(_similar(met.where("likely"), sets, similarity).unionByName(met.where("not likely").select("a", "b", F.lit(False).alias("good"))), "set-checked")
-        sure, failed = checked.where("good"), checked.where("not good")
-        good = good.unionByName(sure.select("a", "b"))
-        if turn and sure.isEmpty():
-            break
-        roots = None
-        if failed.isEmpty() or turn == MAX_ROUNDS - 1:
-            break
-        # only what a failed proposal may have hidden is searched again
-        doubtful = checked.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        roots = connected_components(good)
-        todo = staged(known.join(doubtful, "rep", "left_semi").join(roots, F.col("rep") == F.col("node"), "left").select("rep", "fp", F.coalesce("root", "rep").alias("group")), "set-doubtful")
-    roots = connected_components(good) if roots is None else roots
+    # a set's own row has its keys: the first passes carry keys alone, and fingerprints follow to those that meet
+    own = prints.join(known.select("nth", "rep"), "nth").select("rep", "n", "fp", "keys")
+    keyed = staged(own.select("rep", F.explode("keys").alias("key")), "set-keys")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    meeting = keyed.join(shared, "key", "left_semi")
+    members = staged(meeting.join(own.select("rep", "n", "fp"), "rep"), "set-members")
+    n = members.count()
+    pairs = staged(_forests(members, n, similarity), "set-pairs")
+    sets = _sets_of(pairs, prints, known)
+    checked = staged(_verified(pairs, sets, similarity), "set-checked")
+    good, bad = checked.where("good").select("a", "b"), checked.where("not good").select("a", "b")
+    roots = connected_components(good)
+    if not bad.isEmpty():
+        every = connected_components(checked.select("a", "b"))
+        lost = every.join(every.join(bad.select(F.col("a").alias("node")), "node", "left_semi").select("root").distinct(), "root", "left_semi")
+        # a root has no row of its own
+        doubtful = lost.select(F.col("node").alias("rep")).union(lost.select("root")).union(bad.select("a")).distinct()
+        doubtful = staged(members.join(doubtful, "rep", "left_semi"), "set-doubtful")
+        while True:
+            grouped = doubtful.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "fp", F.coalesce("root", "rep").alias("group"))
+            ends = bad.select(F.col("a").alias("rep"), F.col("b").alias("o")).union(bad.select("b", "a"))
+            pairs = staged(_further(grouped.join(ends.groupBy("rep").agg(F.collect_set("o").alias("failed")), "rep", "left"), n, similarity), "set-pairs")
+            if pairs.isEmpty():
+                break
+            checked = staged(_verified(pairs, sets, similarity), "set-checked")
+            good, bad = good.unionByName(checked.where("good").select("a", "b")), bad.unionByName(checked.where("not good").select("a", "b"))
+            roots = connected_components(good)
     groups = reps.join(roots, reps.rep == roots.node, "left").select("sig", F.coalesce("root", "rep").alias("component_id"))
     return prints.select("doc_id", "sig").join(groups, "sig").select("doc_id", "component_id")
 
@@ -354,24 +416,24 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
 def _sets_of(pairs: DataFrame, prints: DataFrame, known: DataFrame) -> DataFrame:
     """(rep, hashes) of the documents in ``pairs``, staged. Their keys are staged first: few as they are, they go to the sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    own = staged(known.select("rep", "nth").join(wanted, "rep", "left_semi"), "set-keys")
+    own = staged(known.select("rep", "nth").join(wanted, "rep", "left_semi"), "set-places")
     return staged(prints.select("nth", "hashes").join(own, "nth").select("rep", "hashes"), "set-proposed")
 
 
-def _likely(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """``pairs`` with ``likely``: whether the whole fingerprints are as near as those of a link are, all but one in some thousands."""
-    odds, bits = bit_odds(similarity), 64 * LONG
-    limit = int(bits * odds + 3.5 * sqrt(bits * odds * (1 - odds)))
-    met = pairs.join(known.select(F.col("rep").alias("a"), F.col("fp").alias("x")), "a").join(known.select(F.col("rep").alias("b"), F.col("fp").alias("y")), "b")
-    far = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
-    return met.select("a", "b", (far <= limit).alias("likely"))
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` with ``good``: whether the sets' similarity is high enough. A set of many pairs goes to several tasks."""
 
+    def dealt(df: DataFrame, end: str, other: str, side: str) -> DataFrame:
+        parts = pairs.groupBy(F.col(end).alias("rep")).agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts"))
+        own = sets.join(parts, "rep").select(F.col("rep").alias(end), F.col("hashes").alias(side), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("at"))
+        many = df.join(parts.withColumnRenamed("rep", end), end).withColumn("at", F.pmod(F.xxhash64(other), F.col("parts")).cast("int")).drop("parts")
+        return many.join(own.drop("parts"), [end, "at"]).drop("at")
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``pairs`` with ``good``: whether the sets' similarity is high enough."""
-    met = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b")
+    met = dealt(dealt(pairs, "a", "b", "x"), "b", "a", "y")
     both = F.size(F.array_intersect("x", "y"))
-    return met.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), both.alias("both")).select("a", "b", (F.col("both") >= similarity * (F.col("nx") + F.col("ny") - F.col("both"))).alias("good"))
+    met = met.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), both.alias("both"))
+    good = F.col("both") >= similarity * (F.col("nx") + F.col("ny") - F.col("both"))
+    return met.groupBy("a", "b").agg(F.max(good).alias("good"))  # rows that share a doc_id have several sets
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
