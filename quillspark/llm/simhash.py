@@ -236,7 +236,7 @@ def fingerprint_hex(col: str = "fp"):
 #: Words of the long fingerprint, all compared by the trees.
 LONG = 4
 #: Shard keys of a set: each of the least values of so many hash functions.
-KEYS, KEY_MINIMA = 16, 4
+KEYS, KEY_MINIMA = 20, 4
 #: A link's fingerprints differ in at most its mean plus so many standard deviations; surely like ones in its mean less as many.
 SIGMAS = 3.5
 #: Partners that a set is tried with at a time, where trees' proposals failed.
