@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
+#: The headings of a statute.
 CHAPTER, SUBSECTION = r"^(제\d+장)(?:\s+(.+))?$", r"^(제\d+절)(?:\s+(.+))?$"
 CHAPTER_UI, SUBSECTION_UI = r"^(제\d+장(?:의\d+)?)(?:\s+(.+))?$", r"^(제\d+절(?:의\d+)?)(?:\s+(.+))?$"
 ARTICLE = r"^(제\d+조(?:의\d+)?)(?:\(([^)]*)\))?(?:\s+(.*))?$"
@@ -40,8 +41,13 @@ def subsection(line: Column, allow_ui: bool = False) -> Heading:
     return Heading(line.rlike(p), _group(line, p, 1), _group(line, p, 2))
 
 
+#: How supplements begin, in the present and the older form, and the note after the older one.
+SUPPLEMENT = r"^부칙(?:\s+.*)?$"
+OLD_SUPPLEMENT, OLD_NOTE = r"^부칙\s*(?:<.*>)?$|^부칙\s+", r"^<.*(?:법률|대통령령|총리령|부령|시행령|시행규칙).*?>$"
+
+
 def supplementary(line: Column) -> Column:
-    return line.rlike(r"^부칙(?:\s+.*)?$")
+    return line.rlike(SUPPLEMENT)
 
 
 def article(line: Column) -> Heading:
@@ -52,6 +58,7 @@ def article(line: Column) -> Heading:
     return Heading(is_one, _group(line, ARTICLE, 1), F.when(titled, strip(F.regexp_extract(line, ARTICLE, 2))), content)
 
 
+#: The headings that the older parser accepts.
 OLD_DUPLICATED = r"^(제\d+조)(\1)(?:\s*\(([^)]*)\))?(?:\s+|$)(.*)$"
 OLD_ARTICLE = r"^(제\d+조)(?:\s*\(([^)]*)\))?(?:\s+|$)(.*)$"
 OLD_RANGE = r"^(제\d+조부터\s+제\d+조까지)(?:\s+(.+))?$"
@@ -68,9 +75,9 @@ def article_old(line: Column) -> tuple[Heading, Column]:
 
 
 def supplementary_old(line: Column) -> Column:
-    return line.rlike(r"^부칙\s*(?:<.*>)?$") | line.rlike(r"^부칙\s+")
+    return line.rlike(OLD_SUPPLEMENT)
 
 
 def supplementary_note(line: Column) -> Column:
     """The line after a supplementary heading that names the amending law."""
-    return line.rlike(r"^<.*(?:법률|대통령령|총리령|부령|시행령|시행규칙).*?>$")
+    return line.rlike(OLD_NOTE)

@@ -19,8 +19,12 @@ from .models import timed_text
 #: What stands for a missing context, and the refusal.
 NO_CONTEXT = "검색된 관련 조문이 없습니다."
 REFUSAL = "제공된 조문에서 해당 내용을 확인할 수 없습니다."
-#: A template of its own; any with {context} and {question} can be given.
-PROMPT = "[규칙]\n- 아래 조문만 근거로 답합니다.\n- 근거가 없으면 '" + REFUSAL + "'라고 답합니다.\n\n[조문]\n{context}\n\n[질문]\n{question}\n\n[답변]\n"
+#: Templates of their own wording; any with {context} and {question} can be given. The rules: the
+#: articles alone, nothing made up, the refusal, the sources named at the end, short but whole.
+PROMPT = "[규칙]\n- 아래 조문만 근거로 답합니다.\n- 조문에 없는 것은 짐작하거나 지어내지 않습니다.\n- 근거가 없으면 '" + REFUSAL + "'라고 답합니다.\n- 끝에 근거로 쓴 법률 이름과 조문 번호를 적습니다.\n- 짧고 분명하게 쓰되 조문의 요점을 빠뜨리지 않습니다.\n\n[조문]\n{context}\n\n[질문]\n{question}\n\n[답변]\n"
+#: The older forms: without the refusal; and with the articles alone.
+PROMPT_OLD = "[규칙]\n- 아래 조문에 바로 나오는 사실만 씁니다.\n- 조문에 없는 것은 지어내지 않습니다.\n- 끝에 법률 이름과 조문 번호를 적습니다.\n\n[조문]\n{context}\n\n[질문]\n{question}\n\n[답변]\n"
+PROMPT_BARE = "[조문]\n{context}\n\n[질문]\n{question}\n\n[답변]\n"
 
 
 def attach_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:

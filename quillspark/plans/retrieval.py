@@ -257,10 +257,15 @@ def context_old(spark, sf_dir):
     return A.build_context(A.attach_texts(hits, doc_chunks(spark, sf_dir)), q, with_title=False, default_law="관련 법률", top_k=3).select("qid", "context")
 
 
-@query("A04_prompt", "SELECT doc_id, replace(replace('{context} ## {question}', '{context}', coalesce(text, '')), '{question}', source) AS prompt FROM documents")
+_PROMPTS = {"new": A.PROMPT, "old": A.PROMPT_OLD, "bare": A.PROMPT_BARE}
+
+
+@query("A04_prompt", "SELECT doc_id, form, replace(replace(template, '{context}', coalesce(text, '')), '{question}', source) AS prompt FROM documents, (VALUES " + ", ".join(f"('{k}', '" + v.replace("'", "''") + "')" for k, v in _PROMPTS.items()) + ") f(form, template)")
 def prompt(spark, sf_dir):
-    chunks = doc_chunks(spark, sf_dir)
-    return chunks.select(F.col("chunk_id").alias("doc_id"), A.prompt(F.col("text"), F.col("law"), "{context} ## {question}").alias("prompt"))
+    """Each text as the context of each template."""
+    chunks = doc_chunks(spark, sf_dir).select(F.col("chunk_id").alias("doc_id"), "law", "text")
+    prompts = F.array(*(F.struct(F.lit(k).alias("form"), A.prompt(F.col("text"), F.col("law"), v).alias("prompt")) for k, v in _PROMPTS.items()))
+    return chunks.select("doc_id", F.inline(prompts))
 
 
 _PASSAGE = "'제' || (doc_id % 97 + 1) || '조 ' || article_title || ' ' || text"

@@ -59,16 +59,39 @@ def fingerprint_dedup(spark, sf_dir):
     return docs(spark, sf_dir, T.fingerprint(text()).alias("fp")).groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-@query("T09_short_name", "SELECT c_custkey, 'law' || c_custkey || '(act)(' || c_mktsegment || ')' AS name, 'law' || c_custkey AS law FROM customer")
+def forms(k, *branches):
+    """The branch of each row's remainder."""
+    out = F.lit(None).cast("string")
+    for no, b in reversed(list(enumerate(branches))):
+        out = F.when(k % len(branches) == no, b).otherwise(out)
+    return out
+
+
+def forms_sql(k: str, *branches: str) -> str:
+    return f"CASE {k} % {len(branches)} " + " ".join(f"WHEN {no} THEN {b}" for no, b in enumerate(branches)) + " END"
+
+
+_T09 = forms_sql("c_custkey", "NULL", "' law' || c_custkey || chr(12288)", "'(act) ' || c_mktsegment", "'law' || c_custkey || '(act)(' || c_mktsegment || ')'", "''", "' law ' || c_custkey || ' (' || c_name")
+
+
+@query("T09_short_name", f"SELECT c_custkey, name, coalesce(nullif({strip_sql("regexp_extract(name, '^([^(]+)', 1)")}, ''), {strip_sql('name')}, '') AS law FROM (SELECT c_custkey, {_T09} AS name FROM customer)")
 def short_name(spark, sf_dir):
-    name = F.concat(F.lit("law"), F.col("c_custkey").cast("string"), F.lit("(act)("), F.col("c_mktsegment"), F.lit(")"))
+    """Names with and without parentheses, that begin with one, with blanks around, empty and null."""
+    k, key, seg = F.col("c_custkey"), F.col("c_custkey").cast("string"), F.col("c_mktsegment")
+    name = forms(k, F.lit(None), F.concat(F.lit(" law"), key, F.lit("\u3000")), F.concat(F.lit("(act) "), seg), F.concat(F.lit("law"), key, F.lit("(act)("), seg, F.lit(")")), F.lit(""), F.concat(F.lit(" law "), key, F.lit(" ("), F.col("c_name")))
     return table(spark, sf_dir, "customer").select("c_custkey", name.alias("name")).withColumn("law", T.short_law_name(F.col("name")))
 
 
-@query("T10_name_metadata", "SELECT doc_id, '법' || doc_id AS law_name, '법률' AS law_type, '제' || doc_id || '호' AS law_number, '2024-' || lpad(((doc_id % 12) + 1)::VARCHAR, 2, '0') || '-15' AS effective_date FROM documents")
+_T10 = forms_sql("doc_id", "'법' || doc_id || '_법률_제' || doc_id || '호_2024' || lpad(((doc_id % 12) + 1)::VARCHAR, 2, '0') || '15'", "'법' || doc_id || '_시행령_20231231'", "source || '법(법률)(제' || doc_id || '호)'", "'_시행규칙_' || doc_id", "' 법 ' || doc_id || '_법률안_제호_19991231'", "'법률_' || doc_id || '_대통령령'")
+
+
+@query("T10_name_metadata", f"""SELECT doc_id, coalesce(nullif({strip_sql("regexp_extract(name, '^([^_]+)', 1)")}, ''), name) AS law_name, nullif(regexp_extract(name, '(?:^|_)({T.LAW_TYPES})(?:_|$)', 1), '') AS law_type, nullif(regexp_extract(name, '(제\\d+호)', 1), '') AS law_number,
+  CASE WHEN regexp_matches(name, '20\\d{{6}}') THEN regexp_replace(regexp_extract(name, '20\\d{{6}}'), '(....)(..)(..)', '\\1-\\2-\\3') END AS effective_date FROM (SELECT doc_id, {_T10} AS name FROM documents)""")
 def name_metadata(spark, sf_dir):
-    ident = F.col("doc_id").cast("string")
-    name = F.concat(F.lit("법"), ident, F.lit("_법률_제"), ident, F.lit("호_2024"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"), F.lit("15"))
+    """Names with all parts, and with some missing, misplaced or of an unknown kind."""
+    k, ident = F.col("doc_id"), F.col("doc_id").cast("string")
+    full = F.concat(F.lit("법"), ident, F.lit("_법률_제"), ident, F.lit("호_2024"), F.lpad((k % 12 + 1).cast("string"), 2, "0"), F.lit("15"))
+    name = forms(k, full, F.concat(F.lit("법"), ident, F.lit("_시행령_20231231")), F.concat("source", F.lit("법(법률)(제"), ident, F.lit("호)")), F.concat(F.lit("_시행규칙_"), ident), F.concat(F.lit(" 법 "), ident, F.lit("_법률안_제호_19991231")), F.concat(F.lit("법률_"), ident, F.lit("_대통령령")))
     rows = docs(spark, sf_dir, name.alias("name"))
     return rows.select("doc_id", *(c.alias(k) for k, c in T.law_metadata(F.col("name")).items()))
 
@@ -86,20 +109,37 @@ def preview(spark, sf_dir):
     return docs(spark, sf_dir, T.preview(F.col("text"), 200).alias("preview"))
 
 
-@query("T16_after_main_section", "SELECT doc_id, '제' || doc_id || '조' AS short FROM documents")
+_T16 = forms_sql("doc_id", "'법_본문_제' || doc_id || '조'", "'법_부칙_제' || doc_id || '조'", "'법_본문_제1조_본문_제' || doc_id || '조'", "'본문_' || source", "NULL", "'법_본문_'")
+
+
+@query("T16_after_main_section", f"SELECT doc_id, list_extract(string_split(x, '_본문_'), -1) AS short FROM (SELECT doc_id, {_T16} AS x FROM documents)")
 def after_main(spark, sf_dir):
-    return docs(spark, sf_dir, T.after_main_section(F.concat(F.lit("법_본문_제"), F.col("doc_id").cast("string"), F.lit("조"))).alias("short"))
+    """Ids of main and supplementary articles, with the mark twice, at the end or not at all."""
+    k, ident = F.col("doc_id"), F.col("doc_id").cast("string")
+    x = forms(k, F.concat(F.lit("법_본문_제"), ident, F.lit("조")), F.concat(F.lit("법_부칙_제"), ident, F.lit("조")), F.concat(F.lit("법_본문_제1조_본문_제"), ident, F.lit("조")), F.concat(F.lit("본문_"), "source"), F.lit(None), F.lit("법_본문_"))
+    return docs(spark, sf_dir, T.after_main_section(x).alias("short"))
+
 
+_P13 = forms_sql("doc_id", "'제' || doc_id || '조'", "'제 ' || doc_id || ' 조의2'", "'부칙 제' || doc_id || '조, 제3조'", "'제조'", "NULL", "'제' || doc_id || '00000000000조'", "source || doc_id || '조'")
 
-@query("P13_article_number", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 999999 ELSE doc_id::INT END AS number FROM documents")
+
+@query("P13_article_number", f"SELECT doc_id, coalesce(try_cast(nullif(regexp_extract(x, '제\\s*(\\d+)\\s*조', 1), '') AS INT), 999999) AS number FROM (SELECT doc_id, {_P13} AS x FROM documents)")
 def article_number(spark, sf_dir):
-    name = F.when(F.col("doc_id") % 3 == 0, "none").otherwise(F.concat(F.lit("제 "), F.col("doc_id").cast("string"), F.lit(" 조")))
-    return docs(spark, sf_dir, T.article_number(name).alias("number"))
+    """Numbers with blanks, sub-numbers, several in one, none, and one beyond an integer."""
+    k, ident = F.col("doc_id"), F.col("doc_id").cast("string")
+    x = forms(k, F.concat(F.lit("제"), ident, F.lit("조")), F.concat(F.lit("제 "), ident, F.lit(" 조의2")), F.concat(F.lit("부칙 제"), ident, F.lit("조, 제3조")), F.lit("제조"), F.lit(None), F.concat(F.lit("제"), ident, F.lit("00000000000조")), F.concat("source", ident, F.lit("조")))
+    return docs(spark, sf_dir, T.article_number(x).alias("number"))
+
+
+_P14 = forms_sql("doc_id", "'제' || doc_id || '조( ' || source || ' ) x'", "'제' || doc_id || '조의2 (' || source || ') 제1조(목적)'", "'제' || doc_id || '조 본문은 제5조의2(특례)와 같다'", "'제' || doc_id || '(' || source || ')'", "'제' || doc_id || '조 삭제'", "'제 ' || doc_id || ' 조 ()(' || source || ')'", "NULL")
+_TITLE = {"fixed": r"제\s*\d+\s*조(?:의\s*\d+)?\s*\(([^)]+)\)", "compat": r"제\s*\d+(?:조의\d+)?\s*\(([^)]+)\)"}
 
 
-@query("P14_evaluation_title", "SELECT doc_id, source AS fixed, '' AS compat FROM documents")
+@query("P14_evaluation_title", "SELECT doc_id, " + ", ".join(strip_sql(f"regexp_extract(x, '{p}', 1)") + f" AS {name}" for name, p in _TITLE.items()) + f" FROM (SELECT doc_id, {_P14} AS x FROM documents)")
 def evaluation_title(spark, sf_dir):
-    x = F.concat(F.lit("제"), F.col("doc_id").cast("string"), F.lit("조("), F.col("source"), F.lit(") "), F.lit("x"))
+    """Titles after numbers and sub-numbers, in a later reference only, empty, or missing."""
+    k, ident = F.col("doc_id"), F.col("doc_id").cast("string")
+    x = forms(k, F.concat(F.lit("제"), ident, F.lit("조( "), "source", F.lit(" ) x")), F.concat(F.lit("제"), ident, F.lit("조의2 ("), "source", F.lit(") 제1조(목적)")), F.concat(F.lit("제"), ident, F.lit("조 본문은 제5조의2(특례)와 같다")), F.concat(F.lit("제"), ident, F.lit("("), "source", F.lit(")")), F.concat(F.lit("제"), ident, F.lit("조 삭제")), F.concat(F.lit("제 "), ident, F.lit(" 조 ()("), "source", F.lit(")")), F.lit(None))
     return docs(spark, sf_dir, T.evaluation_title(x).alias("fixed"), T.evaluation_title(x, fixed=False).alias("compat"))
 
 

@@ -72,8 +72,19 @@ def chunk_file_faults(chunks: DataFrame) -> DataFrame:
     return no_id.unionByName(no_text).groupBy("fault", "id").agg(F.count("*").alias("n")).unionByName(twice)
 
 
-def read_queries(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    return spark.read.schema(schemas.QUERIES).option("multiLine", multi_line).json(path)
+def read_queries(spark: SparkSession, path: str, multi_line: bool = False, checked: bool = False) -> DataFrame:
+    """A query set; with ``checked`` an error where there is no query or a required field is missing or empty."""
+    rows = spark.read.schema(schemas.QUERIES).option("multiLine", multi_line).json(path)
+    if checked:
+        lacking = F.array_compact(F.array(*(F.when(F.coalesce(F.col(f).cast("string"), F.lit("")) == "", F.lit(f)) for f in QUERY_FIELDS)))
+        faults = rows.select("id", lacking.alias("fields")).where(F.size("fields") > 0).limit(5).collect()
+        if faults or rows.isEmpty():
+            raise ValueError(f"query set with missing fields: {[(r.id, r.fields) for r in faults]}" if faults else "empty query set")
+    return rows
+
+
+#: What each query of a set needs.
+QUERY_FIELDS = ("id", "query", "expected_law", "expected_article", "expected_chunk_id")
 
 
 def write_results(results: DataFrame, summary: DataFrame, folder: str) -> None:
