@@ -18,9 +18,16 @@ def text():
     return F.coalesce(F.col("text"), F.lit(""))
 
 
-@query("T01_normalize_unicode")
+#: Some characters and their compatibility forms.
+PLAIN, WIDE = "e1 ", "\uff45\u2460\u3000"
+_PLANTED = f"translate(replace(replace(replace(coalesce(text, ''), 'fi', chr(64257)), 'é', 'e' || chr(769)), 'a', 'a' || chr(8203)), '{PLAIN}', '{WIDE}')"
+
+
+@query("T01_normalize_unicode", f"SELECT doc_id, nfc_normalize(translate(replace(replace(x, chr(8203), ''), chr(64257), 'fi'), '{WIDE}', '{PLAIN}')) AS text FROM (SELECT doc_id, {_PLANTED} AS x FROM documents)")
 def normalize_unicode(spark, sf_dir):
-    return docs(spark, sf_dir, T.normalize_unicode(text()).alias("text"))
+    """Texts with wide letters and spaces, circled digits, ligatures, split accents and zero-width spaces."""
+    x = F.replace(F.replace(F.replace(text(), F.lit("fi"), F.lit("\ufb01")), F.lit("é"), F.lit("e\u0301")), F.lit("a"), F.lit("a\u200b"))
+    return docs(spark, sf_dir, T.normalize_unicode(F.translate(x, PLAIN, WIDE)).alias("text"))
 
 
 _BLANKS = r"regexp_replace(coalesce({}, ''), '[ \t]+', ' ', 'g')"
