@@ -33,21 +33,28 @@ def split_sentences(text: Column, size: int = MAX_CHARS, least: int = LEAST_CUT,
     kind = "struct<at:int,out:array<string>>"
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc, _):
-        rest = F.length(text) - acc["at"]
-        window = text.substr(acc["at"] + 1, F.lit(size))
+    def pieces(b):
+        def step(acc, _):
+            rest, off = b["n"] - acc["at"], acc["at"] % size
+            # what begins at ``off`` in one block and has ``size`` characters ends in the next
+            near = F.concat(*(F.coalesce(F.get(b["blocks"], (acc["at"] / size).cast("int") + k), F.lit("")) for k in (0, 1)))
 
-        def cut(marker):
-            taken = F.when(marker <= least, size).otherwise(marker + after)
-            return F.struct((acc["at"] + taken).alias("at"), F.array_append(acc["out"], T.strip(text.substr(acc["at"] + 1, taken))).alias("out")).cast(kind)
+            def cut(w):
+                def at_marker(marker):
+                    taken = F.when(rest <= size, rest).when(marker <= least, size).otherwise(marker + after)
+                    return F.struct((acc["at"] + taken).alias("at"), F.array_append(acc["out"], T.strip(w.substr(off + 1, taken))).alias("out")).cast(kind)
 
-        last = F.struct(F.length(text).alias("at"), F.array_append(acc["out"], T.strip(text.substr(acc["at"] + 1, rest))).alias("out")).cast(kind)
-        # a one-element array gives the marker's place a name, so that it is looked for once
-        more = F.element_at(F.transform(F.array(_last_marker(window, size)), cut), 1)
-        return F.when(rest <= 0, acc).when(rest <= size, last).otherwise(more)
+                # one-element arrays give values names, so that they are computed once
+                return F.element_at(F.transform(F.array(_last_marker(w.substr(off + 1, F.lit(size)), size)), at_marker), 1)
 
-    steps = F.sequence(F.lit(0), (F.length(text) / least).cast("int") + 1)
-    return F.filter(F.aggregate(steps, start.cast(kind), step, lambda acc: acc["out"]), lambda x: F.length(x) >= min_chars)
+            return F.when(rest <= 0, acc).otherwise(F.element_at(F.transform(F.array(near), cut), 1))
+
+        steps = F.sequence(F.lit(0), (b["n"] / least).cast("int") + 1)
+        return F.filter(F.aggregate(steps, start.cast(kind), step, lambda acc: acc["out"]), lambda x: F.length(x) >= min_chars)
+
+    # blocks of the text are cut once, in order: a step reads two of them, wherever it stands
+    blocks = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), 0).alias("blocks"), F.length(text).alias("n"))
+    return F.element_at(F.transform(F.array(blocks), pieces), 1)
 
 
 PART = "array<struct<text:string,paragraph:string,item:string,chunk_type:string,part_index:int>>"

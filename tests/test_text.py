@@ -80,3 +80,22 @@ def test_texts_that_hold_phrases(spark):
     long = spark.createDataFrame([(1, "one two three four five six")], "qid int, phrase string")
     plan = texts_that_hold(spark.createDataFrame(texts, "doc_id int, text string"), long)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_sentence_split_is_linear(spark):
+    """The same characters in texts of 10^4 and of 10^6: the long ones don't cost much more."""
+    import time
+
+    from quillspark.operators.chunk import split_sentences
+
+    def seconds(n):
+        text = ("이 법은 직업교육을 정한다. 다음 각 호와 같다 " * (n // 20))[:n]
+        df = spark.createDataFrame([(text,)] * (10**6 // n), "t string").coalesce(1)
+        took = []
+        for _ in range(2):
+            began = time.perf_counter()
+            assert df.select(F.sum(F.size(split_sentences(F.col("t"))))).first()[0] > 0
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert seconds(10**6) < 4 * seconds(10**4) + 1
