@@ -38,7 +38,46 @@ TEMPLATES = (
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "names of its contributors may be used to endorse or promote products derived from this software"),
+    ("bsd", "distributed under the bsd 3 clause license", "bsd 3 clause license"),
+    ("bsd", "distributed under the bsd 2 clause license", "bsd 2 clause license"),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", "authors be held liable for any damages arising from the use of this software"),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("bsl-1", "distributed under the boost software license version 1 0", "boost software license version 1"),
+    ("epl-2", "made available under the terms of the eclipse public license v 2 0", "eclipse public license v 2"),
+    ("epl-2", "made available under the terms of the eclipse public license 2 0", "eclipse public license 2"),
+    ("epl-1", "made available under the terms of the eclipse public license v1 0", "eclipse public license v1"),
+    ("mpl-2", "subject to the mozilla public license version 2 0", "mozilla public license version 2"),
+    ("mpl-1", "subject to the mozilla public license version 1 1", "mozilla public license version 1"),
+    ("lgpl", "under the terms of the gnu library general public license", "gnu library general public license"),
+    ("gfdl", "under the terms of the gnu free documentation license", "gnu free documentation license"),
+    ("cddl", "subject to the terms of the common development and distribution license", "common development and distribution license"),
+    ("artistic-2", "under the terms of the artistic license 2 0", "artistic license 2"),
+    ("eupl", "licensed under the european union public licence", "european union public licence"),
+    ("ofl", "licensed under the sil open font license version 1 1", "sil open font license"),
+    ("psf", "under the python software foundation license", "python software foundation license"),
+    ("ms-pl", "licensed under the microsoft public license", "microsoft public license"),
+    ("ncsa", "university of illinois ncsa open source license", "illinois ncsa open source license"),
+    ("odbl", "made available under the open database license", "open database license"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "without fee and without a written agreement is hereby granted"),
+    ("afl-3", "licensed under the academic free license version 3 0", "academic free license version 3"),
+    ("osl-3", "licensed under the open software license version 3 0", "open software license version 3"),
+    ("sspl", "under the terms of the server side public license", "server side public license"),
+    ("busl", "use of this software is governed by the business source license", "governed by the business source license"),
+    ("elastic-2", "licensed under the elastic license 2 0", "elastic license 2"),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
+    ("cc-by-nd", "licensed under a creative commons attribution noderivatives 4 0 international license", "creative commons attribution noderivatives"),
+    ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4"),
+    ("cc-by", "licensed under a creative commons attribution 3 0 unported license", "creative commons attribution 3"),
+    ("cc0", "dedicated to the public domain under the cc0 1 0 universal public domain dedication", "cc0 1 0 universal"),
 )
+#: The words of a short identifier, after "spdx license identifier", and its label.
+IDENTIFIERS = {
+    "mit": "mit", "apache 2 0": "apache-2", "gpl 2 0": "gpl-2", "gpl 3 0": "gpl-3", "lgpl 2 0": "lgpl", "lgpl 2 1": "lgpl", "lgpl 3 0": "lgpl", "agpl 3 0": "agpl-3", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd", "mpl 1 1": "mpl-1", "mpl 2 0": "mpl-2", "isc": "isc",
+    "unlicense": "unlicense", "cc0 1 0": "cc0", "cc by 4 0": "cc-by", "cc by sa 4 0": "cc-by-sa", "cc by nc 4 0": "cc-by-nc", "zlib": "zlib", "bsl 1 0": "bsl-1", "epl 1 0": "epl-1", "epl 2 0": "epl-2", "artistic 2 0": "artistic-2", "cddl 1 0": "cddl", "ofl 1 1": "ofl", "ncsa": "ncsa", "postgresql": "postgresql", "ms pl": "ms-pl", "wtfpl": "wtfpl",
+}
+TEMPLATES += tuple((label, f"spdx license identifier {words}", f"spdx license identifier {words}") for words, label in IDENTIFIERS.items())
 STOP = frozenset("a all an and any are as by for in is it of on or that the this to use was with".split())
 #: Rarest words of a key phrase that are looked up; all must agree on a position.
 AGREE = 2

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontam, encoding, packing, pii, repair, shared, simhash, toxicity, warc
+from quillspark.llm import decontam, encoding, licences, packing, pii, repair, shared, simhash, toxicity, warc
 
 
 # encoding
@@ -218,3 +218,17 @@ def test_pii_sql_on_odd_rows(spark):
     cur = con.execute(OP8)
     a, b = rows_of(got.columns, got.collect()), rows_of([d[0] for d in cur.description], cur.fetchall())
     assert a[0] == b[0] and [x for x in a[1] if x not in set(b[1])] == [] and len(a[1]) == len(b[1])
+
+
+def test_licence_identifiers_and_names(spark):
+    """Short identifiers and licences by name; words alone or out of order are none."""
+    texts = {
+        "SPDX-License-Identifier: MIT": "mit", "# SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3", "SPDX-License-Identifier: Apache-2.0": "apache-2", "// SPDX-License-Identifier: BSD-3-Clause": "bsd",
+        "under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa", "the Eclipse Public License v. 2.0": "epl-2", "Boost Software License, Version 1.0. (See file)": "bsl-1",
+        "In no event will the authors be held liable for any damages arising from the use of this software.": "zlib", "BSD 3-Clause License": "bsd", "Mozilla Public License, version 2.0": "mpl-2", "the SIL Open Font License, Version 1.1": "ofl",
+        "license identifier spdx mit": "", "SPDX-License-Identifier: unknown": "", "eclipse of the public license": "", None: "", "boost your software": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licences.licence_scan(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == list(texts.values())
+    assert len({label for label, _, _ in licences.TEMPLATES}) >= 30
