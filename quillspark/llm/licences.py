@@ -42,7 +42,7 @@ TEMPLATES = (
     ("bsd", "distributed under the bsd 3 clause license", "bsd 3 clause license"),
     ("bsd", "distributed under the bsd 2 clause license", "bsd 2 clause license"),
     ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", "authors be held liable for any damages arising from the use of this software"),
-    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "person or organization obtaining a copy of the software and accompanying documentation"),
     ("bsl-1", "distributed under the boost software license version 1 0", "boost software license version 1"),
     ("epl-2", "made available under the terms of the eclipse public license v 2 0", "eclipse public license v 2"),
     ("epl-2", "made available under the terms of the eclipse public license 2 0", "eclipse public license 2"),
