@@ -239,8 +239,6 @@ LONG = 4
 KEYS, KEY_MINIMA = 20, 4
 #: A link's fingerprints differ in at most its mean plus so many standard deviations; surely like ones in its mean less as many.
 SIGMAS = 3.5
-#: Partners that a set is tried with at a time, where trees' proposals failed.
-MORE = 8
 #: Pairs of one set that a task verifies.
 HUB = 500
 _ODD = np.random.default_rng(11).integers(1, 1 << 63, max(LONG, KEYS * KEY_MINIMA), dtype=np.uint64) | np.uint64(1)
@@ -335,23 +333,34 @@ def _forests(members: DataFrame, n: int, similarity: float) -> DataFrame:
     return _ordered(_by_shard(_shards(members, n, "n", "fp"), links))
 
 
-def _further(members: DataFrame, n: int, similarity: float) -> DataFrame:
-    """Edges (a, b) between sets of different groups that are near enough and haven't failed: up to MORE for each set and shard."""
+def _settled(members: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Edges (a, b): in each shard a spanning forest of all links between sets of different groups; whole sets decide.
 
-    def links(no, part, rep, size, fp, group, failed):
-        bits, out = np.stack(fp), []
-        radius = radius_for(int(size.min()), similarity)
-        for at in range(0, len(bits), LEAF):
-            near = (_distance(bits[at : at + LEAF, None], bits[None, :]) <= radius) & (group[at : at + LEAF, None] != group[None, :])
-            for i in np.nonzero(near.any(axis=1))[0]:
-                others = np.nonzero(near[i])[0]
-                known = failed[at + i]
-                if known is not None and len(known):
-                    others = others[~np.isin(rep[others], known)]
-                out += [(at + i, j) for j in others[:MORE]]
-        return rep[np.array(out)] if out else None
+    Only sets whose fingerprints are near are compared, and only while they are in different components.
+    """
+
+    def links(no, part, rep, size, fp, group, hashes):
+        bits, radius, m = np.stack(fp), radius_for(int(size.min()), similarity), len(rep)
+        forest = Forest(m)
+        forest.up = np.unique(group, return_index=True)[1][np.unique(group, return_inverse=True)[1]]
+        lengths = np.array([len(h) for h in hashes])
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        ids = np.unique(np.concatenate(hashes), return_inverse=True)[1]
+        marked = np.zeros(int(ids.max()) + 1, np.int32)
+        for i in range(m - 1):
+            roots = forest.roots(np.arange(m))
+            others = i + 1 + np.nonzero(roots[i + 1 :] != roots[i])[0]
+            others = others[_distance(bits[others], bits[i]) <= radius]
+            if not len(others):
+                continue
+            own = ids[starts[i] : starts[i] + lengths[i]]
+            marked[own] = 1
+            both = np.add.reduceat(marked[ids], starts)[others] if len(others) > 8 else np.array([marked[ids[starts[j] : starts[j] + lengths[j]]].sum() for j in others])
+            marked[own] = 0
+            forest.star(i, others[both >= similarity * (lengths[i] + lengths[others] - both)])
+        return rep[np.array(forest.edges)] if forest.edges else None
 
-    return _ordered(_by_shard(_shards(members, n, "n", "fp", "group", "failed"), links))
+    return _ordered(_by_shard(_shards(members, n, "n", "fp", "group", "hashes"), links))
 
 
 def _split(keyed: DataFrame, n: int) -> DataFrame:
@@ -371,9 +380,9 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
     Two documents are linked if the Jaccard similarity of their sets of ``width``-word
     shingles is ``similarity`` or more; sets that are equal are linked, also empty ones. Sets
     meet in shards keyed by least hashes; there BK-trees over whole SimHash fingerprints
-    propose, and a proposal is a link only if the sets bear it out. A tree gives a forest, so
-    sets of a forest in which a proposal failed are compared again, without the pairs that
-    failed, until nothing near is left between two groups.
+    propose, and a proposal is a link only if the sets bear it out. A tree gives a forest; where
+    one of its proposals failed, all its sets are dealt to their shards once more, whole, and
+    each near pair of different groups is compared there.
     Null texts are empty; rows without doc_id give no group its id and their component_id is
     that of equal sets, or null; an empty table gives an empty one; other columns aren't used.
     """
@@ -399,16 +408,9 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
         lost = every.join(every.join(bad.select(F.col("a").alias("node")), "node", "left_semi").select("root").distinct(), "root", "left_semi")
         # a root has no row of its own
         doubtful = lost.select(F.col("node").alias("rep")).union(lost.select("root")).union(bad.select("a")).distinct()
-        doubtful = staged(members.join(doubtful, "rep", "left_semi"), "set-doubtful")
-        while True:
-            grouped = doubtful.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "fp", F.coalesce("root", "rep").alias("group"))
-            ends = bad.select(F.col("a").alias("rep"), F.col("b").alias("o")).union(bad.select("b", "a"))
-            pairs = staged(_further(grouped.join(ends.groupBy("rep").agg(F.collect_set("o").alias("failed")), "rep", "left"), n, similarity), "set-pairs")
-            if pairs.isEmpty():
-                break
-            checked = staged(_verified(pairs, sets, similarity), "set-checked")
-            good, bad = good.unionByName(checked.where("good").select("a", "b")), bad.unionByName(checked.where("not good").select("a", "b"))
-            roots = connected_components(good)
+        doubtful = members.join(doubtful, "rep", "left_semi").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "fp", F.coalesce("root", "rep").alias("group"))
+        more = staged(_settled(doubtful.join(sets, "rep"), n, similarity), "set-more")
+        roots = connected_components(good.unionByName(more))
     groups = reps.join(roots, reps.rep == roots.node, "left").select("sig", F.coalesce("root", "rep").alias("component_id"))
     return prints.select("doc_id", "sig").join(groups, "sig").select("doc_id", "component_id")
 
