@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import Forest, connected_components
-from .shared import batches_of, quoted, staged, text_or_empty
+from .shared import batches_of, discard, quoted, sifted, staged, text_or_empty
 
 SEED = 42
 #: Fingerprints in a shard, about; and the number above which a shard is dealt by a second block.
@@ -394,9 +394,11 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
     # a set's own row has its keys: the first passes carry keys alone, and fingerprints follow to those that meet
     own = prints.join(known.select("nth", "rep"), "nth").select("rep", "n", "fp", "keys")
     keyed = staged(own.select("rep", F.explode("keys").alias("key")), "set-keys")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    meeting = keyed.join(shared, "key", "left_semi")
+    shared = staged(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "set-shared")
+    meeting = sifted(keyed, shared, "key").join(shared, "key", "left_semi")
     members = staged(meeting.join(own.select("rep", "n", "fp"), "rep"), "set-members")
+    discard(keyed)
+    discard(shared)
     n = members.count()
     pairs = staged(_forests(members, n, similarity), "set-pairs")
     sets = _sets_of(pairs, prints, known)
@@ -409,17 +411,27 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
         # a root has no row of its own
         doubtful = lost.select(F.col("node").alias("rep")).union(lost.select("root")).union(bad.select("a")).distinct()
         doubtful = members.join(doubtful, "rep", "left_semi").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "fp", F.coalesce("root", "rep").alias("group"))
-        more = staged(_settled(doubtful.join(sets, "rep"), n, similarity), "set-more")
+        doubtful = staged(doubtful, "set-doubtful")
+        # a shard of one group has nothing to compare: its sets aren't copied there
+        mixed = doubtful.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
+        more = staged(_settled(doubtful.join(mixed, "key", "left_semi").join(sets, "rep"), n, similarity), "set-more")
+        discard(doubtful)
         roots = connected_components(good.unionByName(more))
+        discard(more)
     groups = reps.join(roots, reps.rep == roots.node, "left").select("sig", F.coalesce("root", "rep").alias("component_id"))
-    return prints.select("doc_id", "sig").join(groups, "sig").select("doc_id", "component_id")
+    out = staged(prints.select("doc_id", "sig").join(groups, "sig").select("doc_id", "component_id"), "groups")
+    for done in (prints, reps, members, pairs, sets, checked):
+        discard(done)
+    return out
 
 
 def _sets_of(pairs: DataFrame, prints: DataFrame, known: DataFrame) -> DataFrame:
-    """(rep, hashes) of the documents in ``pairs``, staged. Their keys are staged first: few as they are, they go to the sets."""
+    """(rep, hashes) of the documents in ``pairs``, staged. Their places are staged first: only sets that these may name are shuffled."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     own = staged(known.select("rep", "nth").join(wanted, "rep", "left_semi"), "set-places")
-    return staged(prints.select("nth", "hashes").join(own, "nth").select("rep", "hashes"), "set-proposed")
+    out = staged(sifted(prints.select("nth", "hashes"), own, "nth").join(own, "nth").select("rep", "hashes"), "set-proposed")
+    discard(own)
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -446,4 +458,5 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     groups = near_duplicate_groups(docs, width, similarity)
     # staged, its size is known, and where it is small the documents aren't shuffled
     gone = staged(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    discard(groups)
     return docs.join(gone, "doc_id", "left_anti").select(*quoted(docs.columns))

@@ -1,6 +1,7 @@
 """Every operator against a brute-force version on a small table, with odd rows added."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -300,6 +301,25 @@ def test_near_duplicates_by_similarity(spark, docs, empty, monkeypatch, hot):
     assert kept.columns == dotted.columns and [r.doc_id for r in kept.collect()] == [1]
 
 
+def test_sifted_rows(spark):
+    """All rows whose key is wanted pass, and few others; other columns stay."""
+    rows = spark.range(20_000).select((F.col("id") * 7919 - 5000).alias("key"), F.col("id").alias("a.b"))
+    for n in (0, 1, 500):
+        keys = shared.staged(rows.where("key % 40 = 3").limit(n).select("key"), "keys")
+        got = shared.sifted(rows, keys, "key")
+        assert got.columns == rows.columns
+        assert got.join(keys, "key", "left_semi").count() == keys.count() and got.count() <= 2 * n + 20_000 // 8
+
+
+def test_near_duplicates_leave_no_tables(spark, docs):
+    """What the stage stages is deleted when it is done, but for the list of those that go."""
+    root = shared.shared_root(spark).removeprefix("file://")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    out = simhash.drop_near_duplicates(docs)
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(root)) - before}
+    assert left <= {"gone", "edges"} and out.count() > 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, 3), (3, 7), (9, 3), (5, 5), (None, 4), (200, 100)] + [(1000, 1000 + i) for i in range(300)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
