@@ -2,9 +2,8 @@
 
 Each assistant turn becomes one example: all turns before it are context, only its text is
 under the loss mask. A conversation of n turns has n prefixes; written out they would take the
-square of its length. So the output keeps each formatted turn once (``turns``) and an example
-names its context as the first ``context_chars`` characters of its conversation's stream;
-``materialise`` gives every example in full, as rows of its parts.
+square of its length. So each formatted turn is written once (``turns``) and ``examples`` expands
+every prefix, whole, where it is read: in parts of whole turns, ``materialise`` turn by turn. The query reads them all.
 
 Places come without a task that holds a conversation: turns are dealt by ranges of their order,
 each task counts within its range, and the few conversations that go over a range's
@@ -29,6 +28,8 @@ from .shared import scratch
 
 START, END = "<|im_start|>", "<|im_end|>"
 SLASH = "\\"
+#: Characters of a stream that a part of an example holds, about.
+BLOCK = 1 << 20
 #: Escapes in roles, the backslash first.
 ROLE_ESCAPES = ((SLASH, SLASH + "e"), ("\n", SLASH + "n"), ("\r", SLASH + "r"), ("<|", "<" + SLASH + "|"))
 #: Turns of conversation -1, the same in every output: control strings as plain text.
@@ -118,46 +119,63 @@ def turns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_examples(conversations: DataFrame, folder: str) -> None:
-    """Write ``turns``, ``offsets`` and ``examples`` below ``folder`` as Parquet."""
+    """Write what ``examples`` expands below ``folder`` as Parquet: every formatted turn once."""
     write_turns(conversations, folder)
-    examples(conversations.sparkSession, folder).write.parquet(f"{folder}/examples")
 
 
-def examples(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per assistant turn: its context as a prefix of the stream, its reply and loss span.
+def examples(spark: SparkSession, folder: str, block: int = BLOCK) -> DataFrame:
+    """Every assistant turn's example in full: all turns before it and its reply, in parts of whole turns.
 
-    Columns: conv_id, target (position of the reply), context_turns, context_chars, reply
-    (formatted), loss_start and loss_end (characters of context + reply).
+    Columns: conv_id, target (position of the reply), part (from 0, with gaps after a turn longer than a
+    block), first (position of the part's first turn), text, loss_start and loss_end (characters of the
+    part; only the last part, which ends with the reply, has them), example_chars. The parts of (conv_id, target), joined in order, are
+    the example. A stream is cut into blocks of about ``block`` characters; each is shuffled once and meets
+    the examples that reach it, so no task holds a conversation and no row more than a block and a turn.
     """
-    mine = turns(spark, folder).where(F.startswith("formatted", F.lit(f"{START}assistant\n")))
-    return mine.select("conv_id", F.col("position").alias("target"), F.col("position").alias("context_turns"), F.col("start").alias("context_chars"), F.col("formatted").alias("reply"), "loss_start", "loss_end")
+    every = turns(spark, folder).withColumn("part", F.floor(F.col("start") / block))
+    inside = F.array_sort(F.collect_list(F.struct("position", "start", "formatted")))
+    blocks = every.groupBy("conv_id", "part").agg(inside.alias("t"))
+    blocks = blocks.select("conv_id", "part", F.col("t")[0]["position"].alias("first"), F.col("t")[0]["start"].alias("begin"), F.array_join("t.formatted", "").alias("whole"))
+    mine = every.where(F.startswith("formatted", F.lit(f"{START}assistant\n")))
+    end = F.col("start") + F.length("formatted")
+    mine = mine.select(F.col("conv_id").alias("c"), F.col("position").alias("target"), F.col("part").alias("last"), end.alias("end"), F.col("loss_start").alias("ls"), F.col("loss_end").alias("le"))
+    wanted = mine.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    met = blocks.join(wanted, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
+    text = F.left("whole", F.least(F.col("end") - F.col("begin"), F.length("whole")).cast("int"))
+    own = lambda at: F.when(F.col("part") == F.col("last"), F.col(at) - F.col("begin"))
+    return met.select("conv_id", "target", "part", "first", text.alias("text"), own("ls").alias("loss_start"), own("le").alias("loss_end"), F.col("end").alias("example_chars"))
 
 
 def materialise(spark: SparkSession, folder: str) -> DataFrame:
-    """Every example in full, a row a part: conv_id, target, part, text, loss_start, loss_end.
+    """Every example in full, a row a turn: conv_id, target, part, text, loss_start, loss_end.
 
     The parts of (conv_id, target), joined in order, are the example's text; the last is the
     reply, alone with a loss span, in characters of the part. However long a context is, no row holds more than a turn.
     """
-    wanted = spark.read.parquet(f"{folder}/examples").select(F.col("conv_id").alias("c"), "target")
-    met = turns(spark, folder).join(wanted, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("position") <= F.col("target")))
-    own = F.col("position") == F.col("target")
-    return met.select("conv_id", "target", F.col("position").alias("part"), F.col("formatted").alias("text"), F.when(own, F.col("loss_start") - F.col("start")).alias("loss_start"), F.when(own, F.col("loss_end") - F.col("start")).alias("loss_end"))
+    # texts and roles hold no control string, so a turn's end is the only one
+    pieces = F.split("text", F.lit("\\Q" + END + "\\E\n"))
+    rows = examples(spark, folder).select("conv_id", "target", "first", (F.col("loss_end") - F.col("loss_start")).alias("n"), F.posexplode(F.slice(pieces, 1, F.size(pieces) - 1)).alias("at", "piece"))
+    rows = rows.select("conv_id", "target", (F.col("first") + F.col("at")).alias("part"), F.concat("piece", F.lit(END + "\n")).alias("text"), "n")
+    head = F.when(F.col("part") == F.col("target"), F.instr("text", "\n").cast("long"))
+    return rows.select("conv_id", "target", "part", "text", head.alias("loss_start"), (head + F.col("n")).alias("loss_end"))
 
 
 def read_back(spark: SparkSession, folder: str) -> DataFrame:
     """(conv_id, position, role, text, loss, formatted_chars): turns parsed from the written output.
 
-    ``loss`` is the unescaped text under the loss mask of the turn's example, else null.
+    ``loss`` is the unescaped text under the loss mask of the turn's example, else null. Every
+    example is read whole: one whose parts don't give all its characters is an error.
     """
-    own = spark.read.parquet(f"{folder}/examples").select(F.col("conv_id").alias("c"), F.col("target").alias("p"), "reply", "context_chars", F.col("loss_start").alias("ls"), F.col("loss_end").alias("le"))
+    masked = F.substring(F.col("text"), (F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
+    whole = examples(spark, folder).groupBy("conv_id", "target").agg(F.sum(F.length("text")).alias("chars"), F.max("example_chars").alias("want"), F.max(masked).alias("masked"))
+    loss = F.when(F.col("chars") == F.col("want"), F.col("masked")).otherwise(F.raise_error(F.lit("an example lacks a part of its context")))
+    own = whole.select(F.col("conv_id").alias("c"), F.col("target").alias("p"), loss.alias("loss"))
     met = turns(spark, folder).join(own, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("position") == F.col("p")), "left")
     line = F.col("formatted")
     body_at = F.instr(line, "\n") + 1
     role = line.substr(F.lit(len(START) + 1), body_at - len(START) - 2)
     text = line.substr(body_at, F.length(line) - body_at - len(END))
-    loss = F.col("reply").substr((F.col("ls") - F.col("context_chars") + 1).cast("int"), (F.col("le") - F.col("ls")).cast("int"))
-    return met.select("conv_id", "position", unescape_role(role).alias("role"), unescape(text).alias("text"), unescape(loss).alias("loss"), F.length(line).alias("formatted_chars"))
+    return met.select("conv_id", "position", unescape_role(role).alias("role"), unescape(text).alias("text"), unescape(F.col("loss")).alias("loss"), F.length(line).alias("formatted_chars"))
 
 
 def conversation_digest(read: DataFrame) -> DataFrame:

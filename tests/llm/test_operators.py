@@ -112,6 +112,28 @@ def test_chat_long_conversations(spark):
     assert {r.n for r in full if r.conv_id == 3 and r.target == 1} == {sum(len(r.formatted) for r in got[3])}
 
 
+def test_chat_examples_hold_their_contexts(spark, monkeypatch):
+    """Every example is its whole context and reply, in parts of blocks; the query reads them."""
+    rows = [(c, t, "assistant" if t % 3 else "user", "é<|" * (t * 5 % 17)) for c in (None, 1, 2) for t in range(40)]
+    folder = shared.scratch(spark, "t")
+    chat.write_examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5), folder)
+    lines = {c: [r.formatted for r in sorted(chat.turns(spark, folder).where(F.col("conv_id").eqNullSafe(F.lit(c))).collect(), key=lambda r: r.position)] for c in (None, 1, 2)}
+    parts = defaultdict(list)
+    for r in chat.examples(spark, folder, 200).collect():
+        parts[r.conv_id, r.target].append(r)
+    assert len(parts) == sum(r[2] == "assistant" for r in rows)
+    for (c, target), got in parts.items():
+        got.sort(key=lambda r: r.part)
+        assert "".join(r.text for r in got) == "".join(lines[c][: target + 1])
+        assert [r.loss_end is None for r in got] == [True] * (len(got) - 1) + [False] and (target < 20 or len(got) > 3)
+        assert got[-1].text[got[-1].loss_start : got[-1].loss_end] == "é<\\|" * (target * 5 % 17)
+    assert chat.read_back(spark, folder).where("loss is not null").count() == len(parts)
+    full = chat.examples
+    monkeypatch.setattr(chat, "examples", lambda *a: full(*a).withColumn("text", F.expr("if(target = 38, substr(text, 2), text)")))
+    with pytest.raises(Exception, match="lacks a part of its context"):
+        chat.read_back(spark, folder).collect()
+
+
 def test_chat_empty(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert [r.conv_id for r in chat.format_conversations(none).collect()] == [-1]
