@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -333,6 +334,19 @@ def test_sifted_rows(spark):
         assert got.join(keys, "key", "left_semi").count() == keys.count() and got.count() <= 2 * n + 20_000 // 8
 
 
+def test_staged_batches_are_small(spark):
+    """While a table is staged, a worker gets at most BATCH_ROWS rows at once; the session's setting stays."""
+    key, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "n int"
+    before = spark.conf.get(key)
+
+    def sizes(it):
+        for batch in it:
+            yield batch.from_pydict({"n": [batch.num_rows]}).cast(pa.schema([("n", pa.int32())]))
+
+    assert shared.staged(spark.range(0, 5000, 1, 1).mapInArrow(sizes, size), "t").agg(F.max("n")).first()[0] <= shared.BATCH_ROWS
+    assert spark.conf.get(key) == before
+
+
 def test_near_duplicates_leave_no_tables(spark, docs):
     """What the stage stages is deleted when it is done, but for the list of those that go."""
     root = shared.shared_root(spark).removeprefix("file://")
