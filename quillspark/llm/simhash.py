@@ -334,7 +334,7 @@ def _forests(members: DataFrame, n: int, similarity: float) -> DataFrame:
 
 
 def _settled(members: DataFrame, n: int, similarity: float) -> DataFrame:
-    """Edges (a, b): in each shard a spanning forest of all links between sets of different groups; whole sets decide.
+    """Edges (a, b) between groups: in each shard a spanning forest of all links between sets of different groups; whole sets decide.
 
     Only sets whose fingerprints are near are compared, and only while they are in different components.
     """
@@ -358,7 +358,7 @@ def _settled(members: DataFrame, n: int, similarity: float) -> DataFrame:
             both = np.add.reduceat(marked[ids], starts)[others] if len(others) > 8 else np.array([marked[ids[starts[j] : starts[j] + lengths[j]]].sum() for j in others])
             marked[own] = 0
             forest.star(i, others[both >= similarity * (lengths[i] + lengths[others] - both)])
-        return rep[np.array(forest.edges)] if forest.edges else None
+        return group[np.array(forest.edges)] if forest.edges else None
 
     return _ordered(_by_shard(_shards(members, n, "n", "fp", "group", "hashes"), links))
 
@@ -405,20 +405,21 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
     checked = staged(_verified(pairs, sets, similarity), "set-checked")
     good, bad = checked.where("good").select("a", "b"), checked.where("not good").select("a", "b")
     roots = connected_components(good)
+    groups = reps.join(roots, reps.rep == roots.node, "left").select("sig", F.coalesce("root", "rep").alias("component_id"))
     if not bad.isEmpty():
-        every = connected_components(checked.select("a", "b"))
-        lost = every.join(every.join(bad.select(F.col("a").alias("node")), "node", "left_semi").select("root").distinct(), "root", "left_semi")
+        # failed proposals connect whole groups of good ones: those with an end of one are all that a link may have been lost in
+        ends = bad.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        hit = ends.join(roots, F.col("rep") == F.col("node"), "left").select(F.coalesce("root", "rep").alias("group")).distinct()
         # a root has no row of its own
-        doubtful = lost.select(F.col("node").alias("rep")).union(lost.select("root")).union(bad.select("a")).distinct()
-        doubtful = members.join(doubtful, "rep", "left_semi").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "fp", F.coalesce("root", "rep").alias("group"))
-        doubtful = staged(doubtful, "set-doubtful")
+        lost = roots.join(hit, F.col("root") == F.col("group"), "left_semi").select(F.col("node").alias("rep"), F.col("root").alias("group")).union(hit.select("group", "group"))
+        doubtful = staged(members.join(lost, "rep").select("key", "rep", "n", "fp", "group"), "set-doubtful")
         # a shard of one group has nothing to compare: its sets aren't copied there
         mixed = doubtful.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
         more = staged(_settled(doubtful.join(mixed, "key", "left_semi").join(sets, "rep"), n, similarity), "set-more")
         discard(doubtful)
-        roots = connected_components(good.unionByName(more))
+        merged = connected_components(more).withColumnRenamed("root", "least")
         discard(more)
-    groups = reps.join(roots, reps.rep == roots.node, "left").select("sig", F.coalesce("root", "rep").alias("component_id"))
+        groups = groups.join(merged, F.col("component_id") == F.col("node"), "left").select("sig", F.coalesce("least", "component_id").alias("component_id"))
     out = staged(prints.select("doc_id", "sig").join(groups, "sig").select("doc_id", "component_id"), "groups")
     for done in (prints, reps, members, pairs, sets, checked):
         discard(done)

@@ -23,6 +23,8 @@ ORDERS = (3, 4, 5, 6)
 #: At most this many labelled rows are learnt from, those with the least hash of doc_id and text.
 MAX_TRAIN_ROWS = 8000
 SMOOTHING = 1.0
+#: Bins of training rows that a step of the regression expands at a time, but for one longer row.
+BLOCK = 1 << 19
 #: Standard errors by which a log-count ratio is drawn towards zero.
 SIGMAS = 3.0
 HELD_OUT_OF = 5
@@ -99,10 +101,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> M
     error = F.sqrt(1 / (F.col("pos") + SMOOTHING) + 1 / (F.col("neg") + SMOOTHING))
     drawn = F.signum("r") * F.greatest(F.abs("r") - SIGMAS * F.col("error"), F.lit(0.0))
     # every bin with a ratio: 2 ** BITS rows at most
-    best = counts.select("bin", ratio.alias("r"), error.alias("error")).select("bin", drawn.alias("r")).where("r <> 0").toPandas()
+    best = counts.select("bin", ratio.alias("r"), error.alias("error")).select("bin", drawn.alias("r")).where("r <> 0").toArrow()
     wanted, ratios = np.zeros(1 << BITS, bool), np.zeros(1 << BITS)
-    wanted[best["bin"]] = True
-    ratios[best["bin"]] = best["r"]
+    wanted[best["bin"].to_numpy()] = True
+    ratios[best["bin"].to_numpy()] = best["r"].to_numpy()
 
     def encode(it):
         for batch in batches_of(it):
@@ -110,27 +112,47 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> M
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), batch.column(1).cast(pa.int32())], names=["bins", "toxic"])
 
     # at most max_rows sets, each of the bins that have a ratio
-    sets = rows.mapInArrow(encode, "bins binary, toxic int").toPandas()
-    coef, bias = _logistic(sets, ratios)
+    coef, bias = _logistic(rows.mapInArrow(encode, "bins binary, toxic int").toArrow(), ratios)
     weights[:] = ratios * coef
     return Model(weights, bias)
 
 
-def _logistic(sets: pd.DataFrame, ratios: np.ndarray, rounds: int = 200, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression by Adam on all rows at once; rows are put in the order of their content."""
-    sets = sets.sort_values(["bins", "toxic"])
-    cols = [np.frombuffer(b, "<u4") for b in sets["bins"]]
-    y = (sets["toxic"].to_numpy() != 0).astype(float)
-    row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
-    bins, col = np.unique(np.concatenate(cols) if cols else np.empty(0, np.uint32), return_inverse=True)
+def _logistic(sets: pa.Table, ratios: np.ndarray, rounds: int = 200, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression by Adam on all rows (bins binary, toxic int) at once; rows are put in the order of their content.
+
+    The driver holds the bins once, 4 bytes each; all else is made for some BLOCK of them at a time.
+    """
+    rows = sorted(zip(sets["bins"].to_pylist(), sets["toxic"].to_pylist()))
+    del sets
+    y = (np.array([t for _, t in rows]) != 0).astype(float)
+    ends = np.cumsum([len(b) // 4 for b, _ in rows])
+    cols = np.empty(ends[-1], np.uint32)
+    for k, e in enumerate(ends.tolist()):
+        found = np.frombuffer(rows[k][0], "<u4")
+        cols[e - len(found) : e] = found
+        rows[k] = None
+    used = np.zeros(len(ratios), bool)
+    used[cols] = True
+    bins, place = np.nonzero(used)[0], np.cumsum(used, dtype=np.uint32) - 1
     r = ratios[bins]
-    scale = r[col]
+    sizes, blocks, at = np.diff(ends, prepend=0), [], 0
+    while at < len(ends):
+        start = ends[at] - sizes[at]
+        to = max(at + 1, int(np.searchsorted(ends, start + BLOCK, "right")))
+        cols[start : ends[to - 1]] = place[cols[start : ends[to - 1]]]
+        blocks.append((slice(at, to), slice(start, ends[to - 1])))
+        at = to
     w, b = np.zeros(len(bins)), float(np.log(y.mean() / (1 - y.mean())))
     m, v = np.zeros(len(bins) + 1), np.zeros(len(bins) + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(row, w[col] * scale, len(cols)) + b
-        err = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - y
-        g = np.append(np.bincount(col, err[row] * scale, len(bins)) / len(cols) + decay * w, err.mean())
+        g, total, wr = np.zeros(len(bins)), 0.0, w * r
+        for own, part in blocks:
+            row, col = np.repeat(np.arange(own.stop - own.start), sizes[own]), cols[part]
+            z = np.bincount(row, wr[col], own.stop - own.start) + b
+            err = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[own]
+            g += np.bincount(col, err[row], len(bins))
+            total += err.sum()
+        g = np.append(g * r / len(y) + decay * w, total / len(y))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]

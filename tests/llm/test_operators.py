@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -347,6 +348,28 @@ def test_staged_batches_are_small(spark):
     assert spark.conf.get(key) == before
 
 
+def test_near_duplicates_join_groups_once(spark, docs, monkeypatch):
+    """After the good links only groups are joined: no second graph of all links, which cost the driver its memory in rounds."""
+    graphs, find = [], simhash.connected_components
+
+    def seen(edges):
+        graphs.append({(r.a, r.b) for r in edges.collect()})
+        return find(edges)
+
+    monkeypatch.setattr(simhash, "connected_components", seen)
+    words = [f"w{k}" for k in range(120)]
+    edit = lambda at: " ".join("changed" if k in at else w for k, w in enumerate(words))
+    # a chain, whose ends aren't like each other, and texts that are not quite like its first
+    cuts = [set(range(0, 4 * i, 4)) for i in range(20)] + [{i, i + 30, i + 60, i + 90} for i in range(5, 25)]
+    extra = spark.createDataFrame([(5_000_000 + i, edit(c)) for i, c in enumerate(cuts)], "doc_id long, text string")
+    groups = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(docs.unionByName(extra, allowMissingColumns=True)).collect()}
+    assert len(graphs) == 2
+    ids = sorted({x for e in graphs[0] for x in e})
+    joined = naive_components(len(ids), [(ids.index(a), ids.index(b)) for a, b in graphs[0]])
+    assert all(joined[ids.index(x)] == ids.index(x) for e in graphs[1] for x in e if x in ids)  # groups, by their least
+    assert all(groups[a] == groups[b] for g in graphs for a, b in g)
+
+
 def test_near_duplicates_leave_no_tables(spark, docs):
     """What the stage stages is deleted when it is done, but for the list of those that go."""
     root = shared.shared_root(spark).removeprefix("file://")
@@ -447,6 +470,23 @@ def test_collision_candidates():
 # op7
 
 
+def test_regression_memory(monkeypatch):
+    """The driver holds the bins of the training rows once, not arrays of 8 bytes for each step; blocks don't change the fit."""
+    rng = np.random.default_rng(1)
+    ratios, size = rng.normal(size=1 << toxicity.BITS), 1500
+    bins = [np.sort(rng.choice(30_000, size, False).astype("<u4")) for _ in range(4000)] + [np.empty(0, "<u4")]
+    data = pa.table({"bins": pa.array([x.tobytes() for x in bins], pa.binary()), "toxic": np.arange(len(bins), dtype=np.int32) % 2})
+    tracemalloc.start()
+    toxicity._logistic(data, ratios, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 14 * size * len(bins)
+    coef, bias = toxicity._logistic(data.slice(3950), ratios, 50)
+    monkeypatch.setattr(toxicity, "BLOCK", 1)
+    alone = toxicity._logistic(data.slice(3950), ratios, 50)
+    assert np.abs(coef).max() > 0.1 and np.allclose(coef, alone[0], atol=1e-6) and abs(bias - alone[1]) < 1e-6
+
+
 def test_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     odd = spark.createDataFrame([(90001, None), (90002, ""), (90003, "stupid idiot moron, you worthless scum and pathetic loser " * 3), (None, "x")], "doc_id long, text string")
