@@ -15,6 +15,8 @@ import json
 import os
 import re
 from array import array
+from codecs import charmap_decode
+from operator import attrgetter
 
 #: Bytes that a memo of a worker process may take, by estimate. It starts anew when it is full.
 MEMO_BYTES = 120 << 20
@@ -37,6 +39,7 @@ STOPS, SHORT = (".", ","), 6
 SPACE = "\u0120"
 
 _encoders: dict[str, "Encoder"] = {}
+_id = attrgetter("id")
 
 
 #: Latin-1 letters: letters in every Unicode version, unchanged by NFC, one character in lower case.
@@ -46,11 +49,11 @@ _LATIN = re.compile(_L).fullmatch
 _WORDS = re.compile(f"({_L})({_MARKS})(?:\n({_L})({_MARKS}))?").fullmatch
 
 
-def _byte_letters() -> dict[int, str]:
-    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from U+0100."""
+def _byte_letters() -> str:
+    """The byte-level alphabet by byte: printable Latin-1 stands for itself, other bytes follow from U+0100."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = iter(range(256, 512))
-    return {b: chr(b if b in plain else next(rest)) for b in range(256)}
+    return "".join(chr(b if b in plain else next(rest)) for b in range(256))
 
 
 class _Memo(dict):
@@ -82,8 +85,8 @@ class _Words(_Memo):
         self.marks = marks
 
     def __missing__(self, part: str) -> bytes:
-        if part[-1:] in STOPS and part.isascii() and part[:-1].isalpha():
-            ids = self[part[:-1]] + self.marks[part[-1]]
+        if part[-1:] in STOPS and (word := part[:-1]).isalpha() and (word.isascii() or _LATIN(word)):
+            ids = self[word] + self.marks[part[-1]]
             if len(part) <= SHORT:
                 self.keep(part, ids)
             return ids
@@ -108,12 +111,22 @@ class Encoder:
         # a word-level vocabulary gives the same ids with and without the space, and in lower case
         self.fold = self._encode("A b") == self._encode("a") + self._encode("b")
         self.lead = "" if self.fold else " "
-        self.first = _Memo(self._encode)
+        self.first = _Memo(self._start)
         self.rest = _Words(self._word, self.first)
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
+    def _merged(self, letters: str) -> bytes:
+        """Ids of one piece, in the byte-level alphabet."""
+        return array("I", map(_id, self.tokenize(letters))).tobytes()
+
+    def _start(self, part: str) -> bytes:
+        """Ids of a part without a space before it."""
+        if part.isalpha() and _LATIN(part):
+            return self._merged(charmap_decode((part.lower() if self.fold else part).encode(), "strict", self.letters)[0])
+        return self._encode(part)
+
     def _word(self, word: str) -> bytes:
         """Ids of a word after a space."""
         if word.isascii() and word.isalpha():
@@ -121,15 +134,15 @@ class Encoder:
             if self.fold:
                 if not word.islower():
                     return self.rest[word.lower()]
-                return array("I", [t.id for t in self.tokenize(word)]).tobytes()
-            return array("I", [t.id for t in self.tokenize(SPACE + word)]).tobytes()
+                return self._merged(word)
+            return self._merged(SPACE + word)
         if word.isalpha() and _LATIN(word):
             if self.fold:
                 if (low := word.lower()) != word:
                     return self.rest[low]
             else:
                 word = " " + word
-            return array("I", [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            return self._merged(charmap_decode(word.encode(), "strict", self.letters)[0])
         if m := _WORDS(word):
             # letters, marks and perhaps a line end before another word
             first, marks, second, more = m.groups()

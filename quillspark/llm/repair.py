@@ -126,12 +126,13 @@ def _compatible(a: np.ndarray, b: np.ndarray, fits: np.ndarray, symbols: int) ->
 def _frequent(keys: np.ndarray, inner: np.ndarray, floor: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys that occur ``floor`` times or more, most frequent first.
 
-    Keys are counted by hash first: only those in a bucket with enough of them are sorted.
+    Wide keys are counted by hash first: only those in a bucket with enough of them are sorted.
     """
-    mixed = keys * keys.dtype.type(0x9E3779B1)
-    bucket = (mixed >> keys.dtype.type(8 * keys.itemsize - 20)).astype(np.int32)
-    heavy = np.bincount(bucket, minlength=1 << 20) >= floor
-    keys = np.sort(keys[heavy[bucket] & inner])
+    if keys.itemsize > 4:
+        mixed = keys * keys.dtype.type(0x9E3779B1)
+        bucket = (mixed >> keys.dtype.type(8 * keys.itemsize - 20)).astype(np.int32)
+        inner = (np.bincount(bucket, minlength=1 << 20) >= floor)[bucket] & inner
+    keys = np.sort(keys[inner])
     if len(keys) < floor:
         return keys[:0], np.empty(0, np.int64)
     heads = np.nonzero(np.append(True, keys[1:] != keys[:-1]))[0]

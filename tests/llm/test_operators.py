@@ -166,6 +166,19 @@ def test_encoder(name):
         assert np.frombuffer(enc.ids(x), "<u4").tolist() == ref.encode(x, add_special_tokens=False).ids, x
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_plain_words_are_merged_alone(name, monkeypatch):
+    """Latin words go straight to the merge model, also at the start of a line or text; with a stop they aren't kept beside the word."""
+    enc = encoding.Encoder(encoding.vocabulary(name))
+    enc.ids("\n . , \n.")
+    whole, encode = [], enc._encode
+    monkeypatch.setattr(enc, "_encode", lambda x: whole.append(x) or encode(x))
+    text = "Étonnant commencement\nligne été.\nautre déjàvuencore, élémentaire. Fin"
+    assert enc.ids(text) == encode(text)
+    assert not any(c.isalpha() for x in whole for c in x)
+    assert "déjàvuencore," not in enc.rest and "déjàvuencore" in enc.rest
+
+
 def test_token_files(docs, empty, spark):
     got = pairs(repair.token_digest(repair.token_files(docs, encoding.vocabulary("byte_bpe_50k.json"), 0, shard_ids=20_000)), "start", "doc_id", "n_tokens", "ids_crc32")
     rows = encoded(docs, "byte_bpe_50k.json", 0)
