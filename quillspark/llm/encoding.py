@@ -7,6 +7,10 @@ library and the ids are joined. A text with a special token's string in it is en
 A part of plain Latin letters is one piece for either vocabulary and goes straight to the
 library's merge model; marks after the letters are the next piece. A vocabulary that splits
 texts in any other way is used on whole texts, without cuts and memo.
+
+``many`` takes an Arrow array of texts. For the byte-level vocabulary it cuts all of them at once,
+by pairs of neighbouring bytes, looks up each distinct part once and encodes the new words of all
+texts together.
 """
 
 from __future__ import annotations
@@ -16,10 +20,20 @@ import os
 import re
 from array import array
 from codecs import charmap_decode
+from collections.abc import Iterator
+from itertools import compress
 from operator import attrgetter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Bytes that a memo of a worker process may take, by estimate. It starts anew when it is full.
 MEMO_BYTES = 120 << 20
+#: Bytes of texts that are cut and looked up together, at least (but for one longer text).
+TOGETHER = 4 << 20
+#: New words in one text for the library: a few hundred take the least time a word.
+CALL_WORDS = 200
 #: Longer parts aren't kept: texts without spaces would fill the memo.
 MEMO_PART = 64
 #: How the two known vocabularies normalise and split texts.
@@ -93,12 +107,56 @@ class _Words(_Memo):
         return super().__missing__(part)
 
 
+def _pair_cuts() -> np.ndarray:
+    """Where the byte-level vocabulary always ends a piece between two bytes of a text: [byte before, byte after].
+
+    Letters, digits and marks are ASCII here. A space or line end ends what stands before it. Bytes of
+    other characters and control characters give no cut, but for a space after what is surely no white space.
+    """
+    letter, digit, mark = np.zeros((3, 256), bool)
+    letter[[*range(65, 91), *range(97, 123)]] = digit[48:58] = mark[33:127] = True
+    mark &= ~letter & ~digit
+    cuts = np.zeros((256, 256), bool)
+    for one in (letter, digit, mark):
+        cuts[np.ix_(one, ~one & (letter | digit | mark))] = True
+        cuts[one, 10] = cuts[one, 32] = True
+    cuts[ord("'"), letter] = False  # 's, 't and so on are pieces
+    # last bytes of white space beyond ASCII
+    cuts[sorted({*range(0x80, 0x100)} - {*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF}), 32] = True
+    return cuts.ravel()
+
+
+_CUTS = _pair_cuts()
+#: Bytes of ASCII letters, digits and marks.
+_VISIBLE = np.array([chr(c).isprintable() and c != 32 for c in range(128)] + [False] * 128)
+_SPACED_WORD = re.compile(rb" (?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+
+
+def _parts(data: np.ndarray, starts: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Where the parts of texts begin in their joined bytes. ``starts`` has each text's first byte and the end; texts marked ``whole`` aren't cut."""
+    kind = data.copy()
+    # both bytes of a Latin-1 letter count as a letter
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = ord("a")
+    cut = np.append(True, _CUTS[(kind[:-1].astype(np.uint16) << 8) | kind[1:]])
+    cut[starts[:-1][starts[:-1] < len(data)]] = True
+    # a line end alone is a piece: more white space before it would belong to it
+    line = np.flatnonzero(kind[:-1] == 10)
+    line = line[cut[line] & _VISIBLE[kind[line + 1]]]
+    cut[line + 1] = True
+    for k in np.flatnonzero(whole):
+        cut[starts[k] + 1 : starts[k + 1]] = False
+    return np.flatnonzero(cut)
+
+
 class Encoder:
     """``ids(text)`` are the ids as little-endian unsigned 32-bit integers, in bytes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -113,6 +171,17 @@ class Encoder:
         self.lead = "" if self.fold else " "
         self.first = _Memo(self._start)
         self.rest = _Words(self._word, self.first)
+        if self.known and not self.fold:
+            # the merge model alone, on words in the byte-level alphabet with a space (from byte 0) between them
+            self.merger = Tokenizer(self.tokenizer.model)
+            self.merger.pre_tokenizer = CharDelimiterSplit(" ")
+            self.spaced = " " + self.letters[1:]
+            known = self.tokenizer.get_vocab()
+            self.opens = np.zeros(max(known.values()) + 1, bool)
+            self.opens[[i for t, i in known.items() if t.startswith(SPACE)]] = True
+            self.parts: dict[bytes, bytes] = {}
+            self.again: set[bytes] = set()
+            self.held = 0
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
@@ -166,6 +235,78 @@ class Encoder:
         head = self.first[words[0]] if words[0] else b""
         return head + b"".join(map(self.rest.__getitem__, words[1:]))
 
+    def many(self, texts: pa.Array) -> Iterator[bytes]:
+        """``ids`` of each of an Arrow array of texts without nulls, in order."""
+        if not self.known or self.fold:
+            yield from map(self.ids, texts.to_pylist())
+            return
+        texts = texts.cast(pa.large_string())
+        starts = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        at = 0
+        while at < len(texts):
+            end = min(len(texts), max(at + 1, int(np.searchsorted(starts, starts[at] + TOGETHER))))
+            yield from self._together(texts.slice(at, end - at), starts[at : end + 1])
+            at = end
+
+    def _together(self, texts: pa.Array, starts: np.ndarray) -> Iterator[bytes]:
+        size = int(starts[-1] - starts[0])
+        if not size:
+            return iter([b""] * len(texts))
+        buffer = texts.buffers()[2].slice(int(starts[0]), size)
+        starts = starts - starts[0]
+        whole = np.zeros(len(texts), bool)
+        for s in self.special:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        at = _parts(np.frombuffer(buffer, np.uint8), starts, whole)
+        parts = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, size).astype(np.int64)), buffer]).dictionary_encode()
+        # to_pylist takes several times as long here
+        distinct = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = pa.array(self._looked_up(distinct), pa.large_binary()).take(parts.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[np.searchsorted(at, starts)].tolist()
+        data = ids.buffers()[2].to_pybytes()
+        return (data[a:b] for a, b in zip(ends, ends[1:]))
+
+    def _looked_up(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of distinct parts."""
+        found = list(map(self.parts.get, parts))
+        self.again.update(compress(parts, found))
+        new = [p for p, ids in zip(parts, found) if ids is None]
+        words = list(filter(_SPACED_WORD, new))
+        fresh = dict(zip(words, self._merge_all(words)))
+        fresh |= {p: self._start(p.decode()) for p in new if p not in fresh}
+        found = [fresh[p] if ids is None else ids for p, ids in zip(parts, found)]
+        self._keep(fresh)
+        return found
+
+    def _merge_all(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters, each after a space, so that their first ids tell where one begins."""
+        if not words:
+            return []
+        calls = [charmap_decode(b"\0".join(words[k : k + CALL_WORDS]), "strict", self.spaced)[0] for k in range(0, len(words), CALL_WORDS)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.merger.encode_batch_fast(calls, add_special_tokens=False)])
+        starts = np.flatnonzero(self.opens[ids])
+        if len(starts) != len(words):  # a vocabulary without the space's byte
+            return [self._encode(w.decode()) for w in words]
+        data, starts = ids.tobytes(), (4 * starts).tolist()
+        return [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)])]
+
+    def _keep(self, new: dict[bytes, bytes]) -> None:
+        """Put parts in the memo. When it is full it starts anew with the parts that were met again, where these leave half of the room."""
+        new = {p: ids for p, ids in new.items() if len(p) <= MEMO_PART}
+        size = _memo_size(new)
+        if self.held + size > MEMO_BYTES:
+            self.parts = {p: self.parts[p] for p in self.again if p in self.parts}
+            self.held, self.again = _memo_size(self.parts), set()
+            if self.held > MEMO_BYTES // 2:
+                self.parts, self.held = {}, 0
+        if self.held + size <= MEMO_BYTES:
+            self.parts.update(new)
+            self.held += size
+
+
+def _memo_size(memo: dict[bytes, bytes]) -> int:
+    return sum(map(len, memo)) + sum(map(len, memo.values())) + 200 * len(memo)
+
 
 def encoder(path: str) -> Encoder:
     """The worker process's encoder for a vocabulary file."""

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoding import encoder
-from .shared import batches_of, scratch, split_uri, staged, text_or_empty, write_file
+from .shared import scratch, split_uri, staged, text_or_empty, write_file
 
 MAGIC = b"RPR1"
 #: Ids in a shard file at most, but for one longer document.
@@ -225,9 +225,9 @@ def write_shards(docs: DataFrame, vocabulary_path: str, end_id: int, folder: str
             write_file(path, pack_file(compress(ids, sizes, max(enc.vocab_size, end_id + 1)), doc_ids, sizes))
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": pa.array([len(held)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64())})
 
-        for batch in batches_of(it):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = enc.ids(text) + tail
+        for batch in it:
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.many(batch.column(1))):
+                ids += tail
                 if held and size + len(ids) // 4 > shard_ids:
                     yield flush()
                     shard, doc_ids, held, size = shard + 1, [], [], 0

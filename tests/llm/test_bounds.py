@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,78 @@ def test_other_vocabularies_encode_whole_texts(tmp_path):
     assert np.frombuffer(enc.ids(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def odd_texts(rng, n):
+    """Texts of letters, marks, digits, contractions, all white space, special tokens and other scripts."""
+    white = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    parts = [*"aZé ßÿ×÷ªº0９'.,-_~\x00\x7f\n ", "'s", "'ll", " ", "  ", "\n", "\n\n", " the", "<|endoftext|>", "日本", "\u0301", "🙂"]
+    return ["".join(rng.choices(parts + white if k % 2 else parts, k=rng.randint(0, 12))) for k in range(n)]
+
+
+@pytest.mark.parametrize("together", [1, 50, 1 << 20])
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_many_texts_at_once(name, together, monkeypatch):
+    monkeypatch.setattr(encoding, "TOGETHER", together)
+    enc = encoding.Encoder(encoding.vocabulary(name))
+    texts = ["", "", *odd_texts(random.Random(together), 1500), "\nline", ""]
+    want = [enc.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    for kind in (pa.string(), pa.large_string()):
+        got = list(enc.many(pa.array(texts, kind).slice(1)))
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == want[1:]
+    assert list(enc.many(pa.array([], pa.string()))) == [] and list(enc.many(pa.array(["", ""]))) == [b"", b""]
+
+
+def test_new_words_are_merged_together(monkeypatch):
+    """New words of all texts go to the library in calls of CALL_WORDS, not one by one; marks and line ends beside them make no other words."""
+    enc = encoding.Encoder(encoding.vocabulary("byte_bpe_50k.json"))
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choices("abcdefghijé", k=9)) for _ in range(2000)})
+    texts = [" " + " ".join(w + rng.choice(["", ",", ".", "!", ".\n9"]) for w in words[k : k + 100]) for k in range(0, len(words), 100)]
+    want = [enc.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    alone, tokenize, encode = [], enc.tokenize, enc._encode
+    monkeypatch.setattr(enc, "tokenize", lambda x: alone.append(x) or tokenize(x))
+    monkeypatch.setattr(enc, "_encode", lambda x: alone.append(x) or encode(x))
+    for _ in range(2):
+        assert [np.frombuffer(g, "<u4").tolist() for g in enc.many(pa.array(texts))] == want
+    assert len(alone) < 10 and not any(c.isalpha() for x in alone for c in x)
+    assert {w.decode()[1:] for w in enc.parts if w[-1:].isalnum() or w[-1] > 127} - {""} == set(words)
+
+
+@pytest.mark.parametrize("byte", ["\u0120", "\u0100", "e"])
+def test_many_without_a_byte(byte, tmp_path):
+    """A vocabulary that lacks a byte (of the space, of NUL, a letter) drops it, with no ids for some parts."""
+    with open(encoding.vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        described = json.load(f)
+    model = described["model"]
+    model["vocab"] = {t: i for t, i in model["vocab"].items() if byte not in t or t == "<|endoftext|>"}
+    model["merges"] = [m for m in model["merges"] if byte not in "".join(m)]
+    path = str(tmp_path / "less.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(described, f)
+    enc = encoding.Encoder(path)
+    texts = ["to be  or e\x00e eee", "\x00", "e", " e e", "\x00 e\x00", "more of these words"]
+    want = [enc.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    for _ in range(2):
+        assert [np.frombuffer(g, "<u4").tolist() for g in enc.many(pa.array(texts))] == want
+
+
+def test_memo_of_parts_is_bounded(monkeypatch):
+    """A full memo keeps the parts that were met again."""
+    monkeypatch.setattr(encoding, "MEMO_BYTES", 20_000)
+    monkeypatch.setattr(encoding, "TOGETHER", 200)
+    enc = encoding.Encoder(encoding.vocabulary("byte_bpe_50k.json"))
+    rng = random.Random(2)
+    texts = [" often met " + " ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(20)) for _ in range(100)] + ["日本語" * 3000]
+    for k, ids in enumerate(enc.many(pa.array(texts))):
+        assert np.frombuffer(ids, "<u4").tolist() == enc.tokenizer.encode(texts[k], add_special_tokens=False).ids
+        assert enc.held <= 20_000 and encoding._memo_size(enc.parts) == enc.held
+        if k > 1:
+            assert b" often" in enc.parts
+    assert all(len(p) <= encoding.MEMO_PART for p in enc.parts)
+    many_words = " ".join(str(k) + "x" for k in range(5000))
+    assert np.frombuffer(next(enc.many(pa.array([many_words]))), "<u4").tolist() == enc.tokenizer.encode(many_words, add_special_tokens=False).ids
+    assert enc.held <= 20_000
+
+
 # Re-Pair
 
 
