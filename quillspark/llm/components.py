@@ -42,7 +42,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     round before it is deleted then.
     Rounds grow with the logarithm of the largest component.
     """
-    spark = edges.sparkSession
     now = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     now = staged(now, "edges")
     mark = None
@@ -55,7 +54,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         discard(last)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return spark.createDataFrame([], "node long, root long") if mark is None else now.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    # an empty table too: createDataFrame would start Python workers of their own in each executor, and these stay
+    return now.select(F.col("b").cast("long").alias("node"), F.col("a").cast("long").alias("root"))
 
 
 class Forest:

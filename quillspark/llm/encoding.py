@@ -15,6 +15,7 @@ texts together.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -23,6 +24,7 @@ from codecs import charmap_decode
 from collections.abc import Iterator
 from itertools import compress
 from operator import attrgetter
+from time import monotonic
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +54,10 @@ STOPS, SHORT = (".", ","), 6
 #: Fixed value: the space in the byte-level alphabet.
 SPACE = "\u0120"
 
+#: Seconds after its last task began from which an encoder is dropped by tasks of other operators in its process.
+IDLE_S = 10
 _encoders: dict[str, "Encoder"] = {}
+_last_used: dict[str, float] = {}
 _id = attrgetter("id")
 
 
@@ -312,9 +317,19 @@ def encoder(path: str) -> Encoder:
     """The worker process's encoder for a vocabulary file."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _last_used[path] = monotonic()
     return _encoders[path]
 
 
+def drop_idle() -> None:
+    """Drop encoders not used for IDLE_S, with their memos: the worker process that holds them now runs another operator."""
+    idle = [p for p in _encoders if monotonic() - _last_used[p] > IDLE_S]
+    for path in idle:
+        del _encoders[path]
+    if idle:
+        gc.collect()  # an encoder and its memos refer to each other
+
+
 def vocabulary(name: str) -> str:
     """Where a public vocabulary file lies."""
     import public_tokenizers

@@ -11,11 +11,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .encoding import drop_idle
 from .shared import batches_of, staged, text_or_empty
 
 BITS = 18
@@ -168,15 +168,17 @@ def score_table(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast((np.nonzero(model.weights)[0], model.weights[model.weights != 0], model.bias))
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        drop_idle()
         bins, values, bias = shared.value
         weights = np.zeros(1 << BITS)
         weights[bins] = values
         wanted = weights != 0
         for texts in parts:
-            z = np.array([bias + weights[present(t, wanted)].sum() for t in texts], dtype=float)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+            # a text at a time: a batch of ten thousand whole texts isn't made Python strings at once
+            z = np.array([bias + weights[present(t.as_py(), wanted)].sum() for t in texts], dtype=float)
+            yield pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
     return docs.withColumn("score", score(text_or_empty())).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

@@ -2,6 +2,7 @@
 
 import json
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontam, encoding, licences, packing, pii, repair, shared, simhash, toxicity, warc
+from quillspark.llm import components, decontam, encoding, licences, packing, pii, repair, shared, simhash, toxicity, warc
 
 
 # encoding
@@ -305,3 +306,45 @@ def test_licence_identifiers_and_names(spark):
     got = {r.doc_id: r.labels for r in licences.licence_scan(docs).collect()}
     assert [got[k] for k in range(len(texts))] == list(texts.values())
     assert len({label for label, _, _ in licences.TEMPLATES}) >= 30
+
+
+# memory of executors between stages
+
+
+def test_no_links_start_no_python_workers(spark, monkeypatch):
+    """createDataFrame of an empty list is a Python RDD: its workers stay in each executor."""
+    none = spark.sql("select 1L a, 1L b")  # a loop isn't a link
+
+    def refuse(*_, **__):
+        raise AssertionError("a Python RDD was made")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refuse)
+    for edges in (none, none.limit(0)):
+        found = components.connected_components(edges)
+        assert found.dtypes == [("node", "bigint"), ("root", "bigint")] and found.count() == 0
+
+
+def test_idle_encoders_leave_the_worker(monkeypatch):
+    """Tasks of other operators drop an encoder that is no longer used, memo included; one in use stays."""
+    path = encoding.vocabulary("word_bpe_49k.json")
+    enc = encoding.encoder(path)
+    enc.ids("some words of a text")
+    held = weakref.ref(enc)
+    del enc
+    list(shared.batches_of(iter([])))
+    assert encoding._encoders[path] is held()
+    monkeypatch.setattr(encoding, "IDLE_S", -1)
+    list(shared.batches_of(iter([])))
+    assert path not in encoding._encoders and held() is None
+    assert encoding.encoder(path).ids("some words")
+
+
+def test_scores_of_a_batch_are_read_text_by_text(spark):
+    """The texts of an Arrow batch aren't all made Python strings at once."""
+    weights = np.zeros(1 << toxicity.BITS)
+    weights[toxicity.present("some words é 日本")] = 0.25
+    model = toxicity.Model(weights, -1.0)
+    texts = ["some words", "日本語 é", "", None, "x" * 50_000]
+    scored = toxicity.score_table(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model)
+    got = {r.doc_id: r.score for r in scored.collect()}
+    assert got == pytest.approx({i: model.score(t or "") for i, t in enumerate(texts)})
