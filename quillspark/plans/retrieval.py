@@ -6,6 +6,7 @@ Query set of the dense plans: every vector whose id is divisible by 100, against
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -181,15 +182,26 @@ def rerank(spark, sf_dir):
     return rounded(_reranked(spark, sf_dir).select("qid", "previous_rank", "chunk_id", "rerank_score", "rerank_rank"), "rerank_score")
 
 
+#: Words lie between the characters that the SQL's ``\\s`` has: a no-break space is part of a word.
+_WORD = re.compile(r"[^\t\n\f\r ]+")
+
+
 @F.pandas_udf(ArrayType(FloatType()))
 def hashed_embedding(texts: pd.Series) -> pd.Series:
-    """A deterministic stand-in for an embedding model: signed hashed words, 64 dimensions, unit length."""
+    """A deterministic stand-in for an embedding model: signed hashed words, 64 dimensions, unit length.
+
+    Words whose signs cancel out leave no direction: such a text gets that of its own hash. One
+    without words is zero.
+    """
     out = []
     for text in texts:
         v = np.zeros(64, np.float32)
-        for w in (text or "").lower().split():
+        words = _WORD.findall((text or "").lower())
+        for w in words:
             h = zlib.crc32(w.encode())
             v[h % 64] += 1 if h >> 16 & 1 else -1
+        if words and not v.any():
+            v[zlib.crc32(" ".join(words).encode()) % 64] = 1
         out.append(v / (np.linalg.norm(v) or 1))
     return pd.Series(out)
 

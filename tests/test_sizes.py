@@ -1,5 +1,6 @@
 """What only large tables hold: large ids, words that cancel out, more files than one listing takes."""
 
+import zlib
 
 
 def written(spark, folder, name, rows, schema):
@@ -19,3 +20,15 @@ def test_long_document_of_large_ids(spark, tmp_path):
     rows = long_document(spark, folder).orderBy("document", "pos").collect()
     assert {p for r in rows for p in r.pages.split(",")} == {"1", "2"} | {str(n * 10**4 + p) for n in (3 * 10**5, 9 * 10**5) for p in (1, 2)}
     assert {r.document.split("_")[0] for r in rows} == {"법0", "법900001"}
+
+
+def test_embedding_of_words_that_cancel_out(spark, tmp_path):
+    from quillspark.plans.retrieval import embed
+
+    hashes = {f"w{i}": zlib.crc32(f"w{i}".encode()) for i in range(2000)}
+    plus = next(w for w, h in hashes.items() if h >> 16 & 1)
+    minus = next(w for w, h in hashes.items() if not h >> 16 & 1 and h % 64 == hashes[plus] % 64)
+    texts = [f"{plus} {minus}", " ", "\x0b　", " \t\r\n\f", "", None, plus]
+    folder = written(spark, tmp_path, "documents", [(k, x, "a") for k, x in enumerate(texts)], DOCUMENTS)
+    got = {r.chunk_id: (r.dim, r.norm) for r in embed(spark, folder).collect()}
+    assert got == {0: (64, 1.0), 1: (64, 1.0), 2: (64, 1.0), 3: (64, 0.0), 4: (64, 0.0), 5: (64, 0.0), 6: (64, 1.0)}
