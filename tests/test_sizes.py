@@ -32,3 +32,28 @@ def test_embedding_of_words_that_cancel_out(spark, tmp_path):
     folder = written(spark, tmp_path, "documents", [(k, x, "a") for k, x in enumerate(texts)], DOCUMENTS)
     got = {r.chunk_id: (r.dim, r.norm) for r in embed(spark, folder).collect()}
     assert got == {0: (64, 1.0), 1: (64, 1.0), 2: (64, 1.0), 3: (64, 0.0), 4: (64, 0.0), 5: (64, 0.0), 6: (64, 1.0)}
+
+
+def test_files_are_listed_in_groups(spark, tmp_path, monkeypatch):
+    """Subfolders, files beside them, odd names and hidden ones: the rows of one listing."""
+    from quillspark.operators import ingest as I
+    from quillspark.sources import decode as D
+    from quillspark.sources import files as S
+
+    folder = tmp_path / "files"
+    rows = [(f"법{k}_법률.txt", b"\xff" if k % 7 == 3 else b"x" * (k + 1)) for k in range(60)]
+    D.write_files(spark.createDataFrame([(n, bytearray(b)) for n, b in rows], "name string, content binary"), str(folder), 12)
+    assert len(list(folder.glob("files-*/*.txt"))) == 60 and len(list(folder.iterdir())) == 12
+    for name in ("b[1]*{a}.txt", "_hidden.txt", ".hidden.txt", "other.pdf", "deep/er/c d?.txt", "_no/x.txt"):
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(b"text")
+    whole = D.decoded_files(spark, str(folder), D.text_pages, "*.txt", 50)
+    assert len(S.listed_groups(spark, str(folder))) == 1 and len(want := sorted(map(tuple, whole.collect()), key=str)) == 62
+    monkeypatch.setattr(S, "LISTED", 10)
+    groups = S.listed_groups(spark, str(folder))
+    assert len(groups) >= 6
+    assert sorted(map(tuple, D.decoded_files(spark, str(folder), D.text_pages, "*.txt", 50).collect()), key=str) == want
+    good, failed = I.decode_folder(spark, str(folder), str(tmp_path / "out"), D.text_pages, "*.txt", 50)
+    assert (good.count(), failed.count()) == (sum(r[4] is None for r in want), sum(r[4] is not None for r in want))
+    assert sum(g.bytes for g in groups) == sum(f.stat().st_size for f in folder.rglob("*") if f.is_file() and not f.name.startswith((".", "_")) and "_no" not in f.parts)
+    assert S.listed_groups(spark, f"{folder}/files-*") == [S.Group([f"{folder}/files-*"], None)]
