@@ -2,6 +2,9 @@
 
 import zlib
 
+import pytest
+from pyspark.sql import functions as F
+
 
 def written(spark, folder, name, rows, schema):
     spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
@@ -57,3 +60,25 @@ def test_files_are_listed_in_groups(spark, tmp_path, monkeypatch):
     assert (good.count(), failed.count()) == (sum(r[4] is None for r in want), sum(r[4] is not None for r in want))
     assert sum(g.bytes for g in groups) == sum(f.stat().st_size for f in folder.rglob("*") if f.is_file() and not f.name.startswith((".", "_")) and "_no" not in f.parts)
     assert S.listed_groups(spark, f"{folder}/files-*") == [S.Group([f"{folder}/files-*"], None)]
+
+
+@pytest.mark.parametrize("by_law", [False, True, None])
+def test_blocks_of_scores_are_all_pairs(spark, by_law):
+    """Copies, scaled copies, repeated ids, null laws and vectors without a direction: the rows of scoring pair by pair."""
+    import numpy as np
+    from pyspark.sql import Window
+
+    from quillspark.operators import dense as D
+
+    rng = np.random.default_rng(7)
+    v = rng.standard_normal((40, 6)).astype(np.float32)
+    rows = [(i, None if i % 11 == 0 else f"l{i % 3}", (v[i % 40] * (1 + i // 200)).tolist()) for i in range(400)]
+    rows += [(7, "l1", v[7].tolist()), (1000, "l0", None), (1001, "l0", [None] * 6), (1002, "l0", [1.0, 2.0])]
+    points = spark.createDataFrame(rows, "chunk_id long, law string, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(r[0], r[1], r[2]) for r in rows if r[0] % 9 == 7 or r[0] % 11 == 0] + [(5000, "none", v[3].tolist()), (5001, None, None)], "qid long, law string, embedding array<float>")
+    pairs = D._all_pairs(queries, points, by_law, True).withColumn("score", F.round("score", 12))
+    want = pairs.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id"))).where("r <= 8")
+    got = D.dense_top_k(queries, points, 8, by_law, exclude_self=True)
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+    rows_of = lambda df, r: sorted(((x.qid, x[r], x.chunk_id, None if x.score is None else round(x.score, 9)) for x in df.collect()), key=str)
+    assert rows_of(got, "dense_rank") == rows_of(want, "r")
