@@ -18,13 +18,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, IntegralType, StringType, StructField, StructType
 
 from ..storage import staged
-from .dense import BROADCAST_QUERIES, dot, norm
+from .dense import BROADCAST_QUERIES, block_hits, dot, has_direction, norm
 
 CELLS, PROBES = 64, 8
 #: Rows that the codebook is trained on (those of the least hashed ids), and rounds of k-means.
 TRAIN_ROWS, ROUNDS = 16_384, 10
+#: Pairs of query and probed cell that a search sends to the tasks at once.
+PROBED_PAIRS = 1_000_000
 #: Room for rounding in bounds.
 ROOM = 1e-9
 
@@ -95,20 +98,22 @@ def _bound(angle: Column, radius: Column) -> Column:
 
 
 def _ranked_cells(queries: DataFrame, cells: DataFrame, by_law: bool | None) -> DataFrame:
-    """(qid, qv, qn, law, cell, n, bound, nth): each query's cells, the nearest direction first. Cells are broadcast: a row a law and cell."""
+    """(qid, law, cell, n, bound, nth): each query's cells, the nearest direction first. Cells are broadcast: a row a law and cell."""
     q = queries.select("qid", F.col("law").alias("q_law"), F.transform("embedding", lambda x: x.cast("double")).alias("qv")).withColumn("qn", norm(F.col("qv")))
     same = F.col("q_law") == F.col("law_")
     on = same if by_law else F.lit(True) if by_law is False else F.col("q_law").isNull() | same
     met = with_direction(q.withColumn("embedding", F.col("qv"))).drop("embedding").join(F.broadcast(cells), on)
     angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(F.col("qv"), F.col("middle")) / F.col("qn"))))
-    met = met.withColumn("bound", _bound(angle, F.col("radius"))).withColumn("angle", angle)
+    met = met.withColumn("angle", angle).select("qid", "law", "cell", "n", "angle", _bound(F.col("angle"), F.col("radius")).alias("bound"))
     nearest = Window.partitionBy("qid").orderBy("angle", "law", "cell")
-    return met.withColumn("nth", F.row_number().over(nearest)).select("qid", "qv", "qn", "law", "cell", "n", "bound", "nth")
+    return met.withColumn("nth", F.row_number().over(nearest)).select("qid", "law", "cell", "n", "bound", "nth")
 
 
-def _scored(index: Cells, spark: SparkSession, probed: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    """The k best points of each query in its probed cells; ``probed`` (qid, qv, qn, law, cell) is broadcast in groups."""
-    points = index.points(spark).withColumn("pv", F.transform("embedding", lambda x: x.cast("double"))).withColumn("pn", norm(F.col("pv")))
+def _pairs(points: DataFrame, probed: DataFrame, queries: DataFrame, exclude_self: bool) -> DataFrame:
+    """Every pair of a query and a point of its probed cells; ``probed`` (qid, law, cell) is broadcast with the vectors in groups."""
+    points = points.withColumn("pv", F.transform("embedding", lambda x: x.cast("double"))).withColumn("pn", norm(F.col("pv")))
+    vectors = queries.select("qid", F.transform("embedding", lambda x: x.cast("double")).alias("qv")).withColumn("qn", norm(F.col("qv")))
+    probed = probed.join(vectors, "qid")
     groups, hits = ceil(probed.count() / BROADCAST_QUERIES) or 1, None
     for g in range(groups):
         own = probed if groups == 1 else probed.where(F.pmod(F.xxhash64("qid", "cell"), F.lit(groups)) == g)
@@ -118,6 +123,46 @@ def _scored(index: Cells, spark: SparkSession, probed: DataFrame, k: int, exclud
             met = met.where(F.col("qid") != F.col("chunk_id"))
         met = met.select("qid", "chunk_id", F.col("law_").alias("law"), (dot(F.col("qv"), F.col("pv")) / (F.col("qn") * F.col("pn"))).alias("score"))
         hits = met if hits is None else hits.unionByName(met)
+    return hits
+
+
+def _blocks(points: DataFrame, probed: DataFrame, queries: DataFrame, dim: int, k: int, exclude_self: bool) -> DataFrame:
+    """Blocks of scores of each probed cell; ``probed`` goes through the driver: ``PROBED_PAIRS`` of it."""
+    spark = points.sparkSession
+    rows = queries.select("qid", F.transform("embedding", lambda x: x.cast("double")).alias("qv")).toArrow()
+    vectors = rows.column("qv").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, dim)
+    qids = rows.column("qid").to_pylist()
+    own = pd.DataFrame({"qid": pd.Series(qids, dtype=object), "row": np.arange(len(qids))})
+    named = probed.select("law", "cell").distinct().collect()  # a row a law and cell
+    keys = spark.createDataFrame([(r.law, r.cell, key) for key, r in enumerate(named)], StructType([*probed.select(F.col("law").alias("c_law"), F.col("cell").alias("c_cell")).schema, StructField("key", IntegerType())])).where("key >= 0")
+    same = (F.col("cell") == F.col("c_cell")) & F.col("law").eqNullSafe(F.col("c_law"))
+    met = probed.join(F.broadcast(keys), same).select("qid", "key").toArrow()
+    met = pd.DataFrame({"qid": pd.Series(met.column("qid").to_pylist(), dtype=object), "key": met.column("key").to_numpy()}).merge(own, "inner", "qid")
+    asked = {int(key): np.unique(x.to_numpy()) for key, x in met.groupby("key")["row"]}
+    p = points.join(F.broadcast(keys), same).select("key", "chunk_id", F.col("law_").alias("law"), "embedding")
+    return block_hits(p, vectors, qids, queries.schema["qid"].dataType, asked, k, exclude_self)
+
+
+def _scored(index: Cells, spark: SparkSession, probed: DataFrame, queries: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """The k best points of each query in its probed cells. Odd ids and vectors are scored pair by pair."""
+    points, dim = index.points(spark), index.cells(spark).agg(F.max(F.size("middle"))).first()[0]
+    kinds = [queries.schema["qid"].dataType, points.schema["chunk_id"].dataType]
+    plain = any(all(isinstance(t, kind) for t in kinds) for kind in (IntegralType, StringType))
+    good, usual = (F.col("qid").isNotNull() & has_direction(F.col("embedding"), dim), F.col("chunk_id").isNotNull() & has_direction(F.col("embedding"), dim)) if plain else (F.lit(False), F.lit(False))
+    parts, some = [], queries.where(good)
+    if not queries.where(~good).isEmpty():
+        parts.append(_pairs(points, probed, queries.where(~good), exclude_self))
+    if plain:
+        if not points.where(~usual).isEmpty():
+            parts.append(_pairs(points.where(~usual), probed, some, exclude_self))
+            points = points.where(usual)
+        groups = ceil(probed.count() / PROBED_PAIRS) or 1
+        for g in range(groups):
+            one = lambda df: df if groups == 1 else df.where(F.pmod(F.xxhash64("qid"), F.lit(groups)) == g)  # noqa: B023,E731
+            parts.append(_blocks(points, one(probed), one(some), dim, k, exclude_self))
+    hits = parts[0]
+    for part in parts[1:]:
+        hits = hits.unionByName(part)
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
     return hits.withColumn("dense_rank", F.row_number().over(best)).where(F.col("dense_rank") <= k)
 
@@ -135,16 +180,17 @@ def search(spark: SparkSession, index: Cells, queries: DataFrame, k: int = 5, by
 
     Points without a direction aren't stored and queries without one have no hits.
     """
+    asking = with_direction(queries.select("qid", "embedding"))
     cells = staged(_ranked_cells(queries, index.cells(spark), by_law), "query-cells")
     probed = cells.where(F.col("nth") <= probes)
-    hits = _scored(index, spark, probed, k, exclude_self)
+    hits = _scored(index, spark, probed, asking, k, exclude_self)
     if certified:
         hits = staged(hits, "first-hits")
         kth = hits.where(F.col("dense_rank") == k).select("qid", F.col("score").alias("kth"))
         rest = cells.where(F.col("nth") > probes).join(kth, "qid", "left").where(F.col("kth").isNull() | (F.col("bound") >= F.col("kth") - ROOM)).drop("kth")
         rest = staged(rest, "later-cells")
         best = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
-        both = hits.unionByName(_scored(index, spark, rest, k, exclude_self)).drop("dense_rank")
+        both = hits.unionByName(_scored(index, spark, rest, asking, k, exclude_self)).drop("dense_rank")
         hits = both.withColumn("dense_rank", F.row_number().over(best)).where(F.col("dense_rank") <= k)
         probed = probed.unionByName(rest)
     return Found(hits.select("qid", "dense_rank", "chunk_id", "law", "score"), probed.select("qid", "law", "cell", "n"))

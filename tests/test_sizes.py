@@ -82,3 +82,22 @@ def test_blocks_of_scores_are_all_pairs(spark, by_law):
     assert "MapInArrow" in got._jdf.queryExecution().toString()
     rows_of = lambda df, r: sorted(((x.qid, x[r], x.chunk_id, None if x.score is None else round(x.score, 9)) for x in df.collect()), key=str)
     assert rows_of(got, "dense_rank") == rows_of(want, "r")
+
+
+@pytest.mark.parametrize("ids", ["long", "string", "double"])
+def test_cells_in_blocks(spark, tmp_path, monkeypatch, ids):
+    """Probed cells are scored in blocks, in several groups; odd vectors and ids pair by pair: the rows of the exact search."""
+    import numpy as np
+
+    from quillspark.operators import cells as C
+    from quillspark.operators import dense as D
+
+    monkeypatch.setattr(C, "PROBED_PAIRS", 40)
+    v = np.random.default_rng(7).standard_normal((50, 6))
+    rows = [(float(i), f"l{i % 3}" if i % 11 else None, (v[i % 50] * (1 + i // 100)).tolist()) for i in range(300)] + [(1000.0, "l0", [1e90, 1.0, 0.0, 0.0, 0.0, 1e90])]
+    points = spark.createDataFrame(rows, "chunk_id double, law string, embedding array<double>").withColumn("chunk_id", F.col("chunk_id").cast("long").cast(ids))
+    queries = points.where(F.col("chunk_id").cast("long") % 9 == 7).withColumnRenamed("chunk_id", "qid")
+    found = C.search(spark, C.build(spark, str(tmp_path / "i"), points, 8), queries, 5, False, probes=3, certified=True, exclude_self=True)
+    assert ("MapInArrow" in found.hits._jdf.queryExecution().toString()) == (ids != "double")
+    rows_of = lambda df: sorted((x.qid, x.dense_rank, x.chunk_id, x.law, round(x.score, 9)) for x in df.collect())
+    assert rows_of(found.hits) == rows_of(D.dense_top_k(queries, points, 5, False, exclude_self=True))
