@@ -101,3 +101,32 @@ def test_cells_in_blocks(spark, tmp_path, monkeypatch, ids):
     assert ("MapInArrow" in found.hits._jdf.queryExecution().toString()) == (ids != "double")
     rows_of = lambda df: sorted((x.qid, x.dense_rank, x.chunk_id, x.law, round(x.score, 9)) for x in df.collect())
     assert rows_of(found.hits) == rows_of(D.dense_top_k(queries, points, 5, False, exclude_self=True))
+
+
+def test_blocks_are_cut_where_they_are_sorted(spark, monkeypatch):
+    """Blocks of 3 over small batches and several parts: every posting once, by falling impact, tiers as by each term's first part; postings are shuffled once."""
+    from quillspark.operators import segments as G
+
+    monkeypatch.setattr(G, "BLOCK", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        rows = [(c, None if c % 5 == 0 else f"l{c % 3}", t, 1 + c % 4, 2 + c % 7) for c in range(40) for t in ["all", f"t{c % 6}", f"only{c}"] + ["half"] * (c % 2)]
+        posts = spark.createDataFrame(rows, "chunk_id long, law string, term string, tf long, dl int")
+        blocks = G._blocks(posts)
+        got = blocks.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "MapInArrow" not in blocks._jdf.queryExecution().toString() and "Window" not in blocks._jdf.queryExecution().toString()
+    entries = [(e.chunk_id, e.law, b.term, e.tf, e.dl) for b in got for e in b.entries]
+    assert sorted(entries, key=str) == sorted(rows, key=str)
+    for term in {b.term for b in got}:
+        own = sorted((b for b in got if b.term == term), key=lambda b: (b.part, b.block))
+        flat = [(-e.tf, e.dl, e.chunk_id) for b in own for e in b.entries]
+        assert flat == sorted(flat)
+        for b in own:
+            assert (b.n, b.max_tf, b.min_dl) == (len(b.entries), max(e.tf for e in b.entries), min(e.dl for e in b.entries))
+            assert b.tier == (2 if b.part > own[0].part else 1 if b.block else 0)
+        for part in {b.part for b in own}:
+            sizes = [len(b.entries) for b in own if b.part == part]
+            assert [b.block for b in own if b.part == part] == list(range(len(sizes))) and set(sizes[:-1]) <= {3} and sizes[-1] <= 3
+    assert G._blocks(posts.limit(0)).count() == 0
